@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haltbook.llm import bpe, packing
+from haltbook.llm import bpe, media, packing, simhash
 from haltbook.llm.common import table
 
 
@@ -14,6 +14,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -22,6 +30,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op10_packing": op10_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op10_packing": op10_packing}
 
 ORACLES: dict[str, str] = {}
