@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haltbook.llm import bpe, media, packing, simhash
+from haltbook.llm import bpe, media, packing, simhash, toxicity
 from haltbook.llm.common import table
 
 
@@ -26,10 +26,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op10_packing": op10_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
 
 ORACLES: dict[str, str] = {}
