@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haltbook.llm import bpe, media, packing, simhash, toxicity, urls
+from haltbook.llm import bpe, media, packing, quality, simhash, toxicity, urls
 from haltbook.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_packing": op10_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op5_quality": op5_quality, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_packing": op10_packing}
 
 ORACLES: dict[str, str] = {}
