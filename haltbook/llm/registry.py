@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haltbook.llm import bpe, lm, media, packing, pii, quality, simhash, toxicity, urls
+from haltbook.llm import bpe, linededup, lm, media, packing, pii, quality, simhash, toxicity, urls
 from haltbook.llm.common import table
 
 
@@ -22,6 +23,20 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    done = linededup.dedup_lines(docs.select("doc_id", "text", lines.alias("n_lines")))
+    return done.select(
+        "doc_id",
+        "n_lines",
+        F.size("exact_lines").cast("long").alias("n_exact"),
+        F.size("similar_lines").cast("long").alias("n_similar"),
+        F.array_join("exact_lines", ",").alias("exact_lines"),
+        F.array_join("similar_lines", ",").alias("similar_lines"),
+    )
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(table(spark, sf_dir, "documents"))
 
@@ -50,6 +65,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_lm": op2_lm, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_packing": op10_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_lm": op2_lm, "op3_lines": op3_lines, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_packing": op10_packing}
 
 ORACLES: dict[str, str] = {}
