@@ -55,7 +55,7 @@ def rule_starts(events: DataFrame, notices: DataFrame, aliases: DataFrame, marke
     marked = notices.select(*key, "time", "text").where(contains_any(F.lower("text"), markers))
     escaped = F.regexp_replace(F.lower("alias"), r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
     names = F.broadcast(aliases.where(F.length("alias") > 0).select("name", F.concat(F.lit("(?iuUs)"), escaped, F.lit(f".{{0,{reach}}}\\b(?:{either})")).alias("__p")))
-    hits = marked.join(names, F.lower("text").rlike(F.col("__p"))).select(*key, "name", "time", "text").distinct()
+    hits = marked.join(names, F.rlike(F.lower("text"), F.col("__p"))).select(*key, "name", "time", "text").distinct()
     have = events.where(F.col("event_type") == START).select(*key, F.col("attraction").alias("name")).distinct()
     new = hits.join(have, [*key, "name"], "left_anti")
     made = new.select(

@@ -1,5 +1,109 @@
-"""Queries."""
+"""Queries of event normalization and cause rules."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from haltbook.functions.causes import Rules, clean_reason, stop_cause, visitor_incident
+from haltbook.operators import events as ev
 from haltbook.plans.register import collector
+from haltbook.plans.views import NOTICES, notices, table
 
 QUERIES, ORACLES, query = collector()
+
+KEY = ("chat_key", "message_index")
+BASE = f"""{NOTICES}, ns as (select *, (pos + 1)::int as message_index from notices),
+ es as (select chat_key, case when pos % 5 = 4 then 99 else (pos + 1)::int end as message_index, case pos % 3 when 0 then '' when 1 then '--:--' else '10:05' end as time,
+ case when pos % 2 = 0 then 'STOP_UNPLANNED' else 'START' end as event_type, case when pos % 4 = 0 then 'en stop' else left(text, 60) end as quote, pos as event_seq from notices)"""
+RULES = Rules(
+    weather=["###"], technical=["er", "que"], generic=["src1"], patterns=["(token = [^.,;]+)", "(idiot [^.,;]+)"], visitors=[r"\bthe\b.{0,40}(?:moron|scum)"],
+    phrases=[("clown", "Clown near")], prefix="^(?:xx)\\s+", tail="\\s+(?:the|of)\\b.*", default="Unknown",
+)
+
+
+def indexed(spark, sf_dir):
+    return notices(spark, sf_dir).withColumn("message_index", (F.col("pos") + 1).cast("int"))
+
+
+def events(spark, sf_dir):
+    p = F.col("pos")
+    return notices(spark, sf_dir).select(
+        "chat_key",
+        F.when(p % 5 == 4, 99).otherwise((p + 1).cast("int")).alias("message_index"),
+        F.when(p % 3 == 0, "").when(p % 3 == 1, "--:--").otherwise("10:05").alias("time"),
+        F.when(p % 2 == 0, "STOP_UNPLANNED").otherwise("START").alias("event_type"),
+        F.when(p % 4 == 0, "en stop").otherwise(F.left("text", F.lit(60))).alias("quote"),
+        p.alias("event_seq"),
+        F.lit("of").alias("attraction"),
+    )
+
+
+JOIN = " from es left join ns on ns.chat_key = es.chat_key and ns.message_index = es.message_index"
+
+
+@query("e1_future", f"with {BASE} select es.chat_key, es.event_seq{JOIN} where not coalesce(contains(lower(ns.text), 'tion'), false) or contains(lower(es.quote), 'the')")
+def e1_future(spark, sf_dir):
+    return ev.drop_future(events(spark, sf_dir), indexed(spark, sf_dir), ["tion"], "the", KEY).select("chat_key", "event_seq")
+
+
+@query(
+    "e2_fill",
+    f"""with {BASE} select es.chat_key, es.event_seq, case when es.time in ('', '--:--') then ns.time else es.time end as time,
+ case when es.time not in ('', '--:--') and es.time <> ns.time then ns.time end as message_time{JOIN}""",
+)
+def e2_fill(spark, sf_dir):
+    return ev.fill_times(events(spark, sf_dir), indexed(spark, sf_dir), KEY).select("chat_key", "event_seq", "time", "message_time")
+
+
+@query(
+    "e5_rule_starts",
+    f"""with {BASE}, hit as (select distinct chat_key, message_index, 'of' as attraction, left(trim(text), 140) as quote from ns where regexp_matches(lower(text), '(?s)of.{{0,80}}\\b(?:the th|is the)'))
+ select chat_key, message_index, attraction, quote from hit h where not exists (select 1 from es where es.chat_key = h.chat_key and es.message_index = h.message_index and event_type = 'START')""",
+)
+def e5_rule_starts(spark, sf_dir):
+    aliases = spark.createDataFrame([("of", "of")], "name string, alias string")
+    found = ev.rule_starts(events(spark, sf_dir), indexed(spark, sf_dir), aliases, ["the th", "is the"], key=KEY)
+    return found.where("event_seq is null").select("chat_key", "message_index", "attraction", "quote")
+
+
+@query(
+    "e6_enrich",
+    f"""with {BASE}, j as (select es.*, case when event_type = 'STOP_UNPLANNED' then nullif(trim(ns.text), '') end as source_text{JOIN})
+ select chat_key, event_seq, source_text, case when source_text is not null and (trim(quote) = '' or ends_with(lower(quote), 'stop') or len(regexp_split_to_array(trim(quote), '\\s+')) <= 3) then source_text else quote end as quote from j""",
+)
+def e6_enrich(spark, sf_dir):
+    return ev.enrich_stops(events(spark, sf_dir), indexed(spark, sf_dir), ["stop"], key=KEY).select("chat_key", "event_seq", "source_text", "quote")
+
+
+VISITOR = r"regexp_matches({}, '(?is)\bthe\b[^\n]{{0,40}}(?:moron|scum)')"
+
+
+@query("e8_visitor", "select doc_id, " + VISITOR.format("text") + " as visitor from documents")
+def e8_visitor(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", visitor_incident(F.col("text"), RULES).alias("visitor"))
+
+
+CLEAN = r"trim(trim(regexp_replace({}, '\s+', ' ', 'g')), ' .,:;""''«»')"
+
+
+def cleaned(expr: str) -> str:
+    c = CLEAN.format(expr).replace('""', '"')
+    return f"upper(left({c}, 1)) || substring({c}, 2)"
+
+
+@query("e10_clean", f"select doc_id, {cleaned('text')} as reason from documents")
+def e10_clean(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", clean_reason(F.col("text"), RULES).alias("reason"))
+
+
+@query(
+    "e9_cause",
+    r"""with d as (select doc_id, trim(text) as quote, source as reason, lower(trim(text) || ' ' || source || ' ') as joined from documents),
+ m as (select *, coalesce(nullif(regexp_extract(quote, '(?i)(token = [^.,;]+)', 1), ''), nullif(regexp_extract(quote, '(?i)(idiot [^.,;]+)', 1), '')) as hit from d),
+ n as (select *, regexp_replace(hit, '(?is)\s+(?:the|of)\b.*', '') as first from m)
+ select doc_id, case when contains(joined, '###') or """ + VISITOR.format("joined") + """ or not (contains(joined, 'er') or contains(joined, 'que')) then null
+ else coalesce(nullif(""" + cleaned("first") + """, ''), case when contains(reason, 'er') or contains(reason, 'que') or not contains(reason, 'src1') then """ + cleaned("reason") + """ end,
+ case when contains(joined, 'clown') then 'Clown near' else 'Unknown' end) end as cause from n""",
+)
+def e9_cause(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", stop_cause(F.col("text"), F.col("source"), F.lit(""), RULES).alias("cause"))
