@@ -231,21 +231,30 @@ def shared_class(word) -> F.Column:
 
 
 def know_words(counts: DataFrame, own: int, frequent: int) -> Words:
+    """Only words above a count that leaves at most ``frequent`` of them come to the driver."""
     total = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).collect()
+    level = F.floor(F.log2("c") * 16).cast("int")  # some hundred levels of counts
+    least = 0
+    for r in counts.groupBy(level.alias("at")).agg(F.count("*").alias("n")).orderBy(F.desc("at")).collect():
+        frequent -= r.n
+        least = r["at"]
+        if frequent < 0:
+            least += 1
+            break
+    top = counts.where(level >= least).toLocalIterator()
+    top = sorted(((r.word, r.c) for r in top), key=lambda r: (-r[1], r[0]))
     tokens, types = np.zeros(own + SHARED), np.zeros(own + SHARED)
     for r in counts.groupBy(shared_class("word").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         tokens[own + r.k], types[own + r.k] = r.n, r.v
     known = {}
-    for i, r in enumerate(top):
-        word = r.word.encode()
-        k = own + zlib.crc32(r.word[-3:].encode()) % SHARED
+    for i, (word, c) in enumerate(top):
+        k = own + zlib.crc32(word[-3:].encode()) % SHARED
         if i < own:
-            tokens[k] -= r.c
+            tokens[k] -= c
             types[k] -= 1
-            tokens[i] = r.c
+            tokens[i] = c
             k = i
-        known[word] = (k, r.c)
+        known[word.encode()] = (k, c)
     discount = total[2] / (total[2] + 2 * total[3]) if total[2] and total[3] else 0.5
     return Words(known, own, total[0] or 0, total[1], discount, tokens, types)
 
@@ -300,7 +309,7 @@ def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int,
 def score_documents(
     docs: DataFrame,
     own: int = 1536,
-    frequent: int = 200_000,
+    frequent: int = 100_000,
     size: int = 32,
     noise: int = 64,
     warm_docs: int = 3_000,
