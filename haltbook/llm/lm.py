@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,11 @@ SHARED = 512
 
 @dataclass
 class Words:
-    """What the workers know about words: (class, count) of the frequent ones."""
+    """What the workers know about words: place, class and count of the frequent ones."""
 
-    known: dict[bytes, tuple[int, int]]
+    place: dict[bytes, int]
+    kind: np.ndarray
+    count: np.ndarray
     own: int
     total: int
     types: int
@@ -57,19 +60,37 @@ class Words:
     def classes(self) -> int:
         return self.own + SHARED
 
-    def class_of(self, word: bytes) -> int:
-        found = self.known.get(word)
-        return found[0] if found else self.own + zlib.crc32(word.decode()[-3:].encode()) % SHARED
-
-    def base(self, count: int) -> float:
-        return float(np.log10((count + 0.5) / (self.total + 0.5 * (self.types + 1))))
-
-    def inside(self, kind: int, count: int) -> float:
-        """log10 of a word's probability in its class."""
-        if kind < self.own or not self.class_tokens[kind]:
-            return 0.0
-        mass = count - self.discount if count else self.discount * self.class_types[kind]
-        return float(np.log10(mass / self.class_tokens[kind]))
+    def shared(self, word: bytes) -> int:
+        return self.own + zlib.crc32(word.decode()[-3:].encode()) % SHARED
+
+    def base(self, count):
+        return np.log10((count + 0.5) / (self.total + 0.5 * (self.types + 1)))
+
+    def inside(self) -> np.ndarray:
+        """log10 of each frequent word's probability in its class."""
+        if not len(self.kind):
+            return np.zeros(0)
+        return np.where(self.kind < self.own, 0.0, np.log10((self.count - self.discount) / np.maximum(self.class_tokens[self.kind], 1e-9)))
+
+    def places(self, tokens: list[bytes]) -> np.ndarray:
+        """Place of each token, -1 for words that are not frequent."""
+        return np.array(list(map(self.place.get, tokens, repeat(-1))), np.int64)
+
+    def kinds(self, tokens: list[bytes], places: np.ndarray, known: Generations) -> np.ndarray:
+        """Classes of the tokens, after the two end classes that begin every text."""
+        end = self.place.get(END)
+        first = self.kind[end] if end is not None else self.shared(END)
+        out = np.empty(len(tokens) + 2, np.int64)
+        out[:2] = first
+        out[2:] = self.kind[places] if len(self.kind) else 0
+        for i in np.flatnonzero(places < 0).tolist():
+            t = tokens[i]
+            k = known.young.get(t)
+            if k is None:
+                k = known.young[t] = self.shared(t)
+            out[i + 2] = k
+        known.turn()
+        return out
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -122,7 +143,7 @@ def _sum_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation with noise shared by a batch, adaptive step sizes."""
 
-    def __init__(self, model: Bilinear, share: np.ndarray, rate: float, noise: int, seed: int, batch: int = 4096):
+    def __init__(self, model: Bilinear, share: np.ndarray, rate: float, noise: int, seed: int, batch: int = 8192):
         self.m = Bilinear(*(x.copy() for x in model.arrays()))
         self.rate, self.noise, self.batch = rate, noise, batch
         self.rng = np.random.default_rng(seed)
@@ -137,7 +158,7 @@ class Trainer:
         """One text's classes; its context begins with two end classes (class of END first)."""
         self.waiting.append(kinds)
         self.held += len(kinds) - 2
-        if self.held >= 16 * self.batch:
+        if self.held >= 8 * self.batch:
             self.flush()
 
     def flush(self) -> None:
@@ -184,6 +205,7 @@ class Scorer:
         total = np.exp(left - high) @ np.exp(right - low).T  # all pairs of context classes at once
         self.left, self.right = left - high, right - low
         self.normal = np.log(np.maximum(total, 1e-37))
+        self.frequent_base, self.frequent_inside = words.base(words.count), words.inside()
         self.known = Generations(250_000)
 
     def log10(self, kinds: np.ndarray) -> float:
@@ -195,16 +217,6 @@ class Scorer:
 _scorers: dict = {}
 
 
-def _kinds(texts: list[list[bytes]], words: Words, known: Generations) -> Iterator[np.ndarray]:
-    end = words.class_of(END)
-    for tokens in texts:
-        known.turn()
-        young = known.young
-        for t in known.missing(tokens):
-            young[t] = words.class_of(t)
-        yield np.array([end, end, *map(young.__getitem__, tokens)], np.int64)
-
-
 def count_words(docs: DataFrame, hold: int = 200_000) -> DataFrame:
     """(word, c) over the training rows of (text binary, held_out); counted in the task first."""
 
@@ -246,17 +258,17 @@ def know_words(counts: DataFrame, own: int, frequent: int) -> Words:
     tokens, types = np.zeros(own + SHARED), np.zeros(own + SHARED)
     for r in counts.groupBy(shared_class("word").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         tokens[own + r.k], types[own + r.k] = r.n, r.v
-    known = {}
+    kind = np.zeros(len(top), np.int64)
     for i, (word, c) in enumerate(top):
-        k = own + zlib.crc32(word[-3:].encode()) % SHARED
+        kind[i] = own + zlib.crc32(word[-3:].encode()) % SHARED
         if i < own:
-            tokens[k] -= c
-            types[k] -= 1
+            tokens[kind[i]] -= c
+            types[kind[i]] -= 1
             tokens[i] = c
-            k = i
-        known[word.encode()] = (k, c)
+            kind[i] = i
+    place = {word.encode(): i for i, (word, _) in enumerate(top)}
     discount = total[2] / (total[2] + 2 * total[3]) if total[2] and total[3] else 0.5
-    return Words(known, own, total[0] or 0, total[1], discount, tokens, types)
+    return Words(place, kind, np.array([c for _, c in top], np.int64), own, total[0] or 0, total[1], discount, tokens, types)
 
 
 def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int, rate: float) -> Bilinear:
@@ -270,9 +282,10 @@ def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int,
     training = docs.where("not held_out")
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Generations(250_000)
+        lexicon, known = known_words.value, Generations(250_000)
         for batch in batches:
-            rows = [k.astype("<u2").tobytes() for k in _kinds([tokens_of(t) for t in batch.column(0).to_pylist()], known_words.value, known)]
+            texts = map(tokens_of, batch.column(0).to_pylist())
+            rows = [lexicon.kinds(t, lexicon.places(t), known).astype("<u2").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["kinds"])
 
     sample = training.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(warm_docs).select("text")
@@ -287,10 +300,10 @@ def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int,
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warm, of = shared.value
         own = Trainer(warm, of, rate / 3, noise, TaskContext.get().partitionId())
-        known = Generations(250_000)
+        lexicon, known = known_words.value, Generations(250_000)
         for batch in batches:
-            for k in _kinds((tokens_of(t) for t in batch.column(0).to_pylist()), known_words.value, known):
-                own.add(k)
+            for t in map(tokens_of, batch.column(0).to_pylist()):
+                own.add(lexicon.kinds(t, lexicon.places(t), known))
         own.flush()
         if own.seen:
             rows = own.m.rows().astype("f8")
@@ -310,8 +323,8 @@ def score_documents(
     docs: DataFrame,
     own: int = 1536,
     frequent: int = 100_000,
-    size: int = 32,
-    noise: int = 64,
+    size: int = 24,
+    noise: int = 32,
     warm_docs: int = 3_000,
     rate: float = 0.15,
     id_col: str = "doc_id",
@@ -333,24 +346,17 @@ def score_documents(
             _scorers.clear()
             _scorers[key] = Scorer(lexicon, bilinear)
         scorer = _scorers[key]
-        known, row = lexicon.known, TaskContext.get().partitionId() << 40
-        info = Generations(250_000)  # word -> (known count or 0, base, inside)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
             for doc_id, held_out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = tokens_of(text)
-                (kinds,) = _kinds([tokens], lexicon, scorer.known)
-                info.turn()
-                young = info.young
-                for t in info.missing(tokens):
-                    if t in known:
-                        kind, c = known[t]
-                        young[t] = (1, lexicon.base(c), lexicon.inside(kind, c))
-                    else:
-                        young[t] = (0, 0.0, 0.0)
-                n_known, base, inside = map(sum, zip(*map(young.__getitem__, tokens), strict=True))
-                rare = Counter(t for t in tokens if not young[t][0])
-                out.append((row, doc_id, held_out, len(tokens), n_known, base, inside + scorer.log10(kinds), list(rare), list(rare.values())))
+                places = lexicon.places(tokens)
+                score = scorer.log10(lexicon.kinds(tokens, places, scorer.known))
+                found = places[places >= 0]
+                base, inside = scorer.frequent_base[found].sum(), scorer.frequent_inside[found].sum()
+                rare = Counter([tokens[i] for i in np.flatnonzero(places < 0).tolist()])
+                out.append((row, doc_id, held_out, len(tokens), len(found), float(base), float(inside + score), list(rare), list(rare.values())))
                 row += 1
             kinds_of = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_of, strict=True)] if out else [pa.array([], t) for t in kinds_of]

@@ -33,7 +33,7 @@ def compare(got, rows):
 def test_normalised():
     """Probabilities of all classes after any two classes sum to one."""
     rng = np.random.default_rng(1)
-    words = lm.Words({}, 5, 10, 3, 0.5, np.ones(5 + lm.SHARED), np.ones(5 + lm.SHARED))
+    words = lm.Words({}, np.zeros(0, int), np.zeros(0, int), 5, 10, 3, 0.5, np.ones(5 + lm.SHARED), np.ones(5 + lm.SHARED))
     n = words.classes
     m = lm.Bilinear(*(rng.normal(0, 0.5, s).astype("f4") for s in ((n, 4), (n, 4), (2, 4, 4), (n,))))
     s = lm.Scorer(words, m)
