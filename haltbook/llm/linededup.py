@@ -8,10 +8,11 @@ higher up in its own. Lines with fewer than ``min_words`` distinct words always
    The rank of a word's bucket, then its hash, orders the words of a line; any order that all lines
    share keeps the join exact, and this one puts rare words first.
 2. Prefix filter: similar sets share a word among their first n - ceil(t n) + 1. Each distinct line
-   posts these with its size, the word's place in it, and where the line first occurs. Positional and
-   length filters then drop pairs that cannot reach the overlap.
-3. Postings of a word meet its ``leaders`` earliest lines first, so that a group of near copies costs
-   as many comparisons as it has lines; only lines that no leader explains meet the others.
+   posts these with its size, the word's place in it, and where the line first occurs. Positional,
+   length and bitmap filters then drop pairs that cannot reach the overlap.
+3. Words posted by more than ``hot`` lines are joined apart: their postings meet the word's ``leaders``
+   earliest lines first, so that a group of near copies costs as many comparisons as it has lines;
+   only lines that no leader explains meet the others.
 4. Jaccard is verified on the whole sets of the pairs that are left.
 
 Words are compared by 63 bits of hash, lines by a 64-bit hash and their number of words.
@@ -66,71 +67,86 @@ def _least_overlap(a: Column, b: Column, t: float) -> Column:
 
 
 def _may_reach(t: float) -> Column:
-    """Length and positional filters for postings x and y of one word."""
+    """Length, positional and bitmap filters for postings x and y of one word. The bitmap has the
+    parity of a line's words in 64 hash classes; each differing bit is a word that one line lacks."""
     n, m, k, j = F.col("x.n"), F.col("y.n"), F.col("x.k"), F.col("y.k")
     lengths = F.least(n, m) >= F.ceil(F.greatest(n, m) * t - 1e-9)
-    return lengths & (F.least(n - k, m - j) + F.least(k, j) >= _least_overlap(n, m, t))
+    need = _least_overlap(n, m, t)
+    differ = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    return lengths & (F.least(n - k, m - j) + F.least(k, j) >= need) & (differ <= n + m - need * 2)
 
 
-def postings(lines: DataFrame, ranks: Column, threshold: float, min_words: int) -> DataFrame:
-    """(word, h, n, k, pos, rn) of the prefixes of all distinct lines, for words posted twice or
-    more; rn numbers a word's lines by first occurrence."""
-    sets = lines.select("h", "pos", coded(F.col("line"), ranks).alias("codes")).where(F.size("codes") >= min_words)
+def postings(sets: DataFrame, threshold: float) -> DataFrame:
+    """(word, h, n, k, bits, pos, group): the prefixes of all distinct lines, and how many lines
+    post the word. One exchange, by word, serves the count and the join."""
     n = F.size("codes")
     prefix = F.slice("codes", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    each = sets.select("h", n.alias("n"), "pos", F.posexplode(prefix).alias("k", "word"))
-    once = each.groupBy("word", "h", "n", "k").agg(F.min("pos").alias("pos"))
-    w = Window.partitionBy("word")
-    ranked = once.withColumn("group", F.count("*").over(w)).where("group > 1")
-    return ranked.drop("group").withColumn("rn", F.row_number().over(w.orderBy("pos", "h")))
+    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+    measured = sets.select("h", n.alias("n"), "pos", parity.alias("bits"), prefix.alias("prefix"))  # once per line, not per word
+    each = measured.select("h", "n", "pos", "bits", F.posexplode("prefix").alias("k", "word"))
+    return each.withColumn("group", F.count("*").over(Window.partitionBy("word"))).where("group > 1")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, ranks: Column, threshold: float) -> DataFrame:
-    """(h, n) of the later lines of the pairs (h, n, h2, n2) that are similar."""
+def verified(pairs: DataFrame, distinct: DataFrame, ranks: Column, threshold: float, small: int = 400_000) -> DataFrame:
+    """h of the later lines of the pairs (h, h2) that are similar. The ids of lines to fetch are
+    broadcast only if they are counted to be at most ``small``."""
     wanted = pairs.select("h").union(pairs.select(F.col("h2").alias("h"))).distinct()
-    texts = lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    sets = stored(texts.select("h", coded(F.col("line"), ranks).alias("codes")), "sets")
+    if wanted.limit(small + 1).count() <= small:
+        wanted = F.broadcast(wanted)
+    sets = stored(distinct.join(wanted, "h", "left_semi").select("h", coded(F.col("line"), ranks).alias("codes")), "sets")
     both = pairs.join(sets.withColumnRenamed("codes", "a"), "h").join(sets.select(F.col("h").alias("h2"), F.col("codes").alias("b")), "h2")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= _least_overlap(F.size("a"), F.size("b"), threshold)).select("h", "n").distinct()
-
-
-def similar_lines(lines: DataFrame, ranks: Column, threshold: float, min_words: int, leaders: int) -> DataFrame:
-    """(h, n) of the distinct lines that have a similar line before them."""
-    posted = stored(postings(lines, ranks, threshold, min_words), "postings")
-    x, y = posted.alias("x"), posted.alias("y")
-    pair = [F.col("x.h").alias("h"), F.col("x.n").alias("n"), F.col("y.h").alias("h2"), F.col("y.n").alias("n2")]
-    first = x.join(y.where(F.col("rn") <= leaders), (F.col("x.word") == F.col("y.word")) & (F.col("y.rn") < F.col("x.rn")) & _may_reach(threshold))
-    led = stored(verified(stored(first.select(*pair).distinct(), "pairs"), lines, ranks, threshold), "led")
-    alone = posted.where(F.col("rn") > leaders + 1).join(led, ["h", "n"], "left_anti").alias("x")
-    rest = alone.join(y.where(F.col("rn") > leaders), (F.col("x.word") == F.col("y.word")) & (F.col("y.rn") < F.col("x.rn")) & _may_reach(threshold))
-    late = verified(stored(rest.select(*pair).distinct(), "pairs"), lines, ranks, threshold)
-    return led.unionByName(late)
-
-
-def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return both.where(shared >= _least_overlap(F.size("a"), F.size("b"), threshold)).select("h").distinct()
+
+
+def similar_lines(distinct: DataFrame, ranks: Column, threshold: float, min_words: int, leaders: int, hot: int) -> DataFrame:
+    """h of the distinct lines (h, pos, line) that have a similar line before them."""
+    sets = distinct.select("h", "pos", coded(F.col("line"), ranks).alias("codes")).where(F.size("codes") >= min_words)
+    posted = postings(sets, threshold)
+    x, y = posted.where(F.col("group") <= hot).alias("x"), posted.where(F.col("group") <= hot).alias("y")
+    meet = (F.col("x.word") == F.col("y.word")) & _may_reach(threshold)
+    pair = [F.col("x.h").alias("h"), F.col("y.h").alias("h2")]
+    cold = x.join(y, meet & (F.col("y.pos") < F.col("x.pos"))).select(*pair, *(F.lit(None).cast(posted.schema[c].dataType).alias(c) for c in ("word", "n", "k", "bits", "pos")))
+    first = stored(cold.unionByName(posted.where(F.col("group") > hot).withColumn("h2", F.lit(None).cast("long")).select(*cold.columns)), "postings")
+    found = stored(verified(first.where("word is null").select("h", "h2").distinct(), distinct, ranks, threshold), "similar")
+    crowded = first.where("word is not null").drop("h2")
+    if crowded.isEmpty():
+        return found
+    crowded = stored(crowded.withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("pos"))), "crowded")
+    x, y = crowded.join(found, "h", "left_anti").alias("x"), crowded.alias("y")
+    earlier = meet & (F.col("y.rn") < F.col("x.rn"))
+    led = verified(stored(x.join(y.where(F.col("rn") <= leaders), earlier).select(*pair).distinct(), "pairs"), distinct, ranks, threshold)
+    found = stored(found.union(led).distinct(), "similar")
+    x = crowded.where(F.col("rn") > leaders + 1).join(found, "h", "left_anti").alias("x")
+    rest = x.join(y.where(F.col("rn") > leaders), earlier).select(*pair).distinct()
+    return found.union(verified(stored(rest, "pairs"), distinct, ranks, threshold)).distinct()
+
+
+def removed_lines(
+    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 256, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(doc_key, exact, similar): the numbers (from 0) of each document's removed lines."""
-    every = lines_of(docs, id_col, text_col)
+    # A line of so few characters cannot have min_words words.
+    every = lines_of(docs, id_col, text_col).where(F.length("line") >= 2 * min_words - 1)
     place = F.col("doc_key").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("line_no")
     lines = every.select("doc_key", "line_no", "line", F.xxhash64("line").alias("h"), place.cast("decimal(38,0)").alias("pos"))
     ranks = bucket_ranks(docs, text_col)
-    found = similar_lines(lines, ranks, threshold, min_words, leaders).select("h", F.lit(True).alias("similar")).distinct()
-    # A line with too few distinct words stays; a first look at its length avoids most of the work.
-    long_enough = F.size(F.array_distinct(words_of(F.col("line")))) >= min_words
-    occurs = lines.where(long_enough).select("doc_key", "line_no", "h", "pos")
-    firsts = stored(occurs.groupBy("h").agg(F.min("pos").alias("first"), F.count("*").alias("times")).join(found, "h", "left"), "lines")
-    gone = firsts.where("similar or times > 1")
-    judged = occurs.join(gone, "h").where("similar or pos > first")
+    distinct = stored(lines.groupBy("h").agg(F.min("pos").alias("pos"), F.count("*").alias("times"), F.first("line").alias("line")), "lines")
+    found = similar_lines(distinct, ranks, threshold, min_words, leaders, hot).select("h", F.lit(True).alias("similar"))
+    enough = F.size(F.array_distinct(words_of(F.col("line")))) >= min_words
+    repeated = distinct.where("times > 1").where(enough).select("h", F.col("pos").alias("first"))
+    gone = stored(repeated.join(found, "h", "full").join(distinct.select("h", F.col("pos").alias("own")), "h").select("h", F.coalesce("first", "own").alias("first"), "similar"), "gone")
+    judged = lines.select("doc_key", "line_no", "h", "pos").join(gone, "h").where("similar or pos > first")
     return judged.groupBy("doc_key").agg(
         F.array_sort(F.collect_set(F.when(F.col("pos") > F.col("first"), F.col("line_no")))).alias("exact"),
         F.array_sort(F.collect_set(F.when(F.col("pos") == F.col("first"), F.col("line_no")))).alias("similar"),
     )
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` with the text's removed lines taken out, and ``exact_lines`` and
     ``similar_lines``, the numbers of these lines; columns of these names are replaced."""
-    removed = removed_lines(docs, threshold, min_words, leaders, id_col, text_col).select(
+    removed = removed_lines(docs, threshold, min_words, leaders, hot, id_col, text_col).select(
         F.col("doc_key").alias("__key"), F.col("exact").alias("__exact"), F.col("similar").alias("__similar")
     )
     none = F.array().cast("array<int>")

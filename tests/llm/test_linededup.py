@@ -59,7 +59,8 @@ def test_random_lines(spark):
     got = linededup.dedup_lines(docs).collect()
     assert len(got) == len(rows)
     compare(got, rows)
-    compare(linededup.dedup_lines(docs, leaders=1).collect(), rows)
+    compare(linededup.dedup_lines(docs, leaders=1, hot=2).collect(), rows)
+    compare(linededup.dedup_lines(docs, hot=8).collect(), rows)
 
 
 def test_edges(spark):
