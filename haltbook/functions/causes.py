@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from haltbook import defaults as D
-from haltbook.functions.timecols import contains_any, squash
+from haltbook.functions.timecols import contains_any, let, squash
 
 
 @dataclass
@@ -36,7 +36,7 @@ def clean_reason(c, rules: Rules | None = None) -> Column:
     """Squashed, without outer punctuation and lead-in, first letter capital."""
     t = F.btrim(squash(c), F.lit(" .,:;\"'«»"))
     t = F.regexp_replace(t, "(?iuU)" + (rules or Rules()).prefix, "")
-    return F.concat(F.upper(F.left(t, F.lit(1))), F.substr(t, F.lit(2)))
+    return let(t, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substr(x, F.lit(2))))
 
 
 def trim_tail(c, rules: Rules | None = None) -> Column:
@@ -48,13 +48,24 @@ def stop_cause(quote, reason, rationale, rules: Rules | None = None) -> Column:
     r = rules or Rules()
     quote, reason = F.trim(F.coalesce(quote, F.lit(""))), F.trim(F.coalesce(reason, F.lit("")))
     joined = F.lower(F.concat_ws(" ", quote, reason, F.coalesce(rationale, F.lit(""))))
-    said = F.lower(reason)
-    own = (reason != "") & (contains_any(said, r.technical) | ~contains_any(said, r.generic))
-    specific = [F.nullif(F.regexp_extract(quote, "(?iuU)" + p, 1), F.lit("")) for p in r.patterns]
-    first = F.coalesce(*specific) if specific else F.lit(None).cast("string")
-    phrase = F.lit(r.default)
-    for marker, text in reversed(r.phrases):
-        phrase = F.when(F.contains(joined, F.lit(marker)), text).otherwise(phrase)
-    excluded = contains_any(joined, r.weather) | visitor_incident(joined, r) | ~contains_any(joined, r.technical)
-    found = F.coalesce(F.nullif(clean_reason(trim_tail(first, r), r), F.lit("")), F.when(own, clean_reason(reason, r)), phrase)
-    return F.when(~excluded, F.nullif(found, F.lit("")))
+    first = F.lit("")
+    for p in reversed(r.patterns):
+        first = let(F.regexp_extract(quote, "(?iuU)" + p, 1), _unless_blank(first))
+    specific = clean_reason(trim_tail(first, r), r)
+
+    def said(x: Column) -> Column:
+        own = (x != "") & (contains_any(F.lower(x), r.technical) | ~contains_any(F.lower(x), r.generic))
+        return F.when(own, clean_reason(x, r)).otherwise("")
+
+    def ladder(j: Column) -> Column:
+        phrase = F.lit(r.default)
+        for marker, text in reversed(r.phrases):
+            phrase = F.when(F.contains(j, F.lit(marker)), text).otherwise(phrase)
+        excluded = contains_any(j, r.weather) | visitor_incident(j, r) | ~contains_any(j, r.technical)
+        return F.when(~excluded, let(specific, _unless_blank(let(reason, lambda x: let(said(x), _unless_blank(phrase))))))
+
+    return let(joined, ladder)
+
+
+def _unless_blank(other: Column):
+    return lambda x: F.when(x == "", other).otherwise(x)

@@ -17,6 +17,11 @@ def squash(c) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def let(value, body) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank_to_null(c) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
