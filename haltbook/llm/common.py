@@ -41,7 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     recomputation of what lies before it, and every later read sees the same rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

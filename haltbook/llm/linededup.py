@@ -67,24 +67,34 @@ def _least_overlap(a: Column, b: Column, t: float) -> Column:
 
 
 def _may_reach(t: float) -> Column:
-    """Length, positional and bitmap filters for postings x and y of one word. The bitmap has the
-    parity of a line's words in 64 hash classes; each differing bit is a word that one line lacks."""
+    """Length, positional and bitmap filters for postings x and y of one word. At the first word that
+    two lines share, the overlap is at most what follows in either; one posting of each similar pair
+    is that word. The bitmaps hold the parity of a line's words in 128 hash classes; each differing
+    bit is a word that one line lacks."""
     n, m, k, j = F.col("x.n"), F.col("y.n"), F.col("x.k"), F.col("y.k")
     lengths = F.least(n, m) >= F.ceil(F.greatest(n, m) * t - 1e-9)
     need = _least_overlap(n, m, t)
-    differ = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    return lengths & (F.least(n - k, m - j) + F.least(k, j) >= need) & (differ <= n + m - need * 2)
+    differ = sum(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in ("low", "high"))
+    return lengths & (F.least(n - k, m - j) >= need) & (differ <= n + m - need * 2)
+
+
+def _parity(codes: Column, half: int) -> Column:
+    def flip(a: Column, c: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(F.shiftright(c, 6).bitwiseAND(F.lit(1)) == half, a.bitwiseXOR(bit)).otherwise(a)
+
+    return F.aggregate(codes, F.lit(0).cast("long"), flip)
 
 
 def postings(sets: DataFrame, threshold: float) -> DataFrame:
-    """(word, h, n, k, bits, pos, group): the prefixes of all distinct lines, and how many lines
-    post the word. One exchange, by word, serves the count and the join."""
+    """(word, h, n, k, low, high, pos, group): the prefixes of all distinct lines, and how many
+    lines post the word. One exchange, by word, serves the count and all joins."""
     n = F.size("codes")
     prefix = F.slice("codes", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    measured = sets.select("h", n.alias("n"), "pos", parity.alias("bits"), prefix.alias("prefix"))  # once per line, not per word
-    each = measured.select("h", "n", "pos", "bits", F.posexplode("prefix").alias("k", "word"))
-    return each.withColumn("group", F.count("*").over(Window.partitionBy("word"))).where("group > 1")
+    measured = sets.select("h", n.alias("n"), "pos", _parity(F.col("codes"), 0).alias("low"), _parity(F.col("codes"), 1).alias("high"), prefix.alias("prefix"))  # once per line, not per word
+    each = measured.select("h", "n", "pos", "low", "high", F.posexplode("prefix").alias("k", "word"))
+    plain = each.where("word is not null and n is not null and pos is not null")  # what joins would add: equal plans share an exchange
+    return plain.withColumn("group", F.count("*").over(Window.partitionBy("word"))).where("group > 1")
 
 
 def verified(pairs: DataFrame, distinct: DataFrame, ranks: Column, threshold: float, small: int = 400_000) -> DataFrame:
@@ -106,7 +116,7 @@ def similar_lines(distinct: DataFrame, ranks: Column, threshold: float, min_word
     x, y = posted.where(F.col("group") <= hot).alias("x"), posted.where(F.col("group") <= hot).alias("y")
     meet = (F.col("x.word") == F.col("y.word")) & _may_reach(threshold)
     pair = [F.col("x.h").alias("h"), F.col("y.h").alias("h2")]
-    cold = x.join(y, meet & (F.col("y.pos") < F.col("x.pos"))).select(*pair, *(F.lit(None).cast(posted.schema[c].dataType).alias(c) for c in ("word", "n", "k", "bits", "pos")))
+    cold = x.join(y, meet & (F.col("y.pos") < F.col("x.pos"))).select(*pair, *(F.lit(None).cast(posted.schema[c].dataType).alias(c) for c in ("word", "n", "k", "low", "high", "pos")))
     first = stored(cold.unionByName(posted.where(F.col("group") > hot).withColumn("h2", F.lit(None).cast("long")).select(*cold.columns)), "postings")
     found = stored(verified(first.where("word is null").select("h", "h2").distinct(), distinct, ranks, threshold), "similar")
     crowded = first.where("word is not null").drop("h2")
