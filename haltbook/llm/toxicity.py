@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from haltbook.llm.common import Generations
+from haltbook.llm.common import Generations, stored
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
 
@@ -202,7 +202,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, support: float = 0.02, odds: float = 1.0, entries: int = 4_000, longest: int = 9) -> Model:
     """Fit on at most ``sample`` labelled rows. The features of those rows (four numbers and a
     label each) come to the driver for the logistic fit."""
-    rows = labelled_sample(docs, labels, sample)
+    rows = stored(labelled_sample(docs, labels, sample), "labelled")  # read three times
     lexicon = learn_lexicon(rows, support, odds, entries, longest)
     if not lexicon.stems and not lexicon.words:
         return Model(lexicon, np.array([-30.0, 0, 0, 0, 0]))
