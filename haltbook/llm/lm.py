@@ -288,7 +288,10 @@ def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int,
             rows = [lexicon.kinds(t, lexicon.places(t), known).astype("<u2").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["kinds"])
 
-    sample = training.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(warm_docs).select("text")
+    ends = words.place.get(END)
+    share_of_docs = warm_docs / max(1, int(words.count[ends]) if ends is not None else 1)  # END closes each training text
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, share_of_docs) * (1 << 30))
+    sample = training.where(drawn).select("text").limit(2 * warm_docs)
     trainer = Trainer(model, share, rate, noise, 0)
     found = [np.frombuffer(r.kinds, "<u2").astype(np.int64) for r in sample.mapInArrow(classes, "kinds binary").collect()]
     for _ in range(2):
@@ -323,7 +326,7 @@ def score_documents(
     docs: DataFrame,
     own: int = 1536,
     frequent: int = 100_000,
-    size: int = 24,
+    size: int = 16,
     noise: int = 32,
     warm_docs: int = 3_000,
     rate: float = 0.15,
