@@ -114,7 +114,8 @@ def clause_features(read: list[tuple[int, float]], table: dict, n_tokens: int) -
     if not clauses:
         return [0.0] * 4
     size = n_tokens + 20
-    return [max(clauses), 100 * sum(clauses) / size, 100 * sum(c * c for c in clauses) / size, 100 * hits / size]
+    dense = np.log1p([100 * sum(clauses) / size, 100 * sum(c * c for c in clauses) / size, 100 * hits / size])
+    return [max(clauses), *dense.tolist()]
 
 
 _machines: dict = {}
@@ -186,17 +187,32 @@ def learn_lexicon(rows: DataFrame, support: float, odds: float, entries: int, lo
     return Lexicon(stems, whole, longest)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
-    """Newton's method with a ridge penalty on all weights but the bias."""
-    a = np.hstack([np.ones((len(x), 1)), x])
-    w, penalty = np.zeros(a.shape[1]), np.diag([1e-6] + [ridge] * x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 2_000) -> np.ndarray:
+    """Bias and weights by projected gradient ascent with step control. Weights stay at or above
+    zero, since every feature is evidence for the label: a stronger match never lowers a score."""
+    scale = np.maximum(x.std(0), 1e-9)
+    a, w, rate = np.hstack([np.ones((len(x), 1)), x / scale]), np.zeros(x.shape[1] + 1), 1.0
+    w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+
+    def value(w: np.ndarray) -> float:
+        z = a @ w
+        return float((y * z - np.logaddexp(0, z)).mean() - ridge / 2 * (w[1:] ** 2).sum() / len(y) ** 0.5)
+
+    now = value(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step = a.T @ (y - p) / len(y)
+        step[1:] -= ridge * w[1:] / len(y) ** 0.5
+        while rate > 1e-9:
+            new = w + rate * step
+            new[1:] = np.maximum(new[1:], 0)
+            if (then := value(new)) >= now:
+                break
+            rate /= 2
+        if then - now < 1e-10:
             break
-    return w
+        w, now, rate = new, then, rate * 1.5
+    return np.concatenate([w[:1], w[1:] / scale])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, support: float = 0.02, odds: float = 1.0, entries: int = 4_000, longest: int = 9) -> Model:

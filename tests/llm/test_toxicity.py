@@ -43,3 +43,14 @@ def test_held_out_accuracy(spark):
     hit, said = (s >= 0.3) & (y == 1), s >= 0.3
     print("AUC", auc, "precision", hit.sum() / said.sum(), "recall", hit.sum() / (y == 1).sum())
     assert auc > 0.95 and hit.sum() / said.sum() > 0.9 and hit.sum() / (y == 1).sum() > 0.9
+
+
+def test_logistic_on_separable_features():
+    """Separable classes must not make the fit run away: later, stronger evidence scores higher."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(4_000) < 0.1).astype(float)
+    x = np.where(y[:, None] > 0, rng.gamma(3, 2, (4_000, 4)) + 1, 0.0)
+    x[:, 2] = x[:, 1] * 2
+    w = t.fit_logistic(x, y)
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert (w[1:] >= 0).all() and (p[y == 1] >= 0.3).all() and (p[y == 0] < 0.1).all()
