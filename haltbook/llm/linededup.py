@@ -4,8 +4,8 @@ A line's set is its distinct words (A-Z lower-cased). A line goes if the same li
 has a Jaccard similarity of at least ``threshold``, comes earlier: in a document of a smaller id, or
 higher up in its own. Lines with fewer than ``min_words`` distinct words always stay.
 
-1. Rarity: every word of the corpus is counted in one of 65,536 hash buckets, a table of fixed size.
-   The rank of a word's bucket, then its hash, orders the words of a line; any order that all lines
+1. Rarity: every word of the corpus is counted in one of 16,384 hash buckets, a table of fixed size.
+   The level of a word's bucket, then its hash, orders the words of a line; any order that all lines
    share keeps the join exact, and this one puts rare words first.
 2. Prefix filter: similar sets share a word among their first n - ceil(t n) + 1. Each distinct line
    posts these with its size, the word's place in it, and where the line first occurs. Positional,
@@ -24,13 +24,15 @@ result.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haltbook.llm.common import lower_ascii, stored
 from haltbook.llm.quality import let, words_of
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 LAST_ID = (1 << 63) - 1
 
 
@@ -41,14 +43,16 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def bucket_ranks(docs: DataFrame, text_col: str = "text") -> Column:
-    """A constant array: for each hash bucket its rank by how many words of the corpus fall in it.
-    The driver gets BUCKETS rows at most."""
+    """A constant array: for each hash bucket the logarithmic level (0 to 99) of how many words of
+    the corpus fall in it. The driver gets BUCKETS rows at most; levels of two digits keep the
+    constant, and with it every plan that names it, small."""
     words = docs.select(F.explode(words_of(lower_ascii(F.col(text_col)))).alias("w"))
     counts = words.groupBy((F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()
-    ranks = [0] * BUCKETS
-    for rank, r in enumerate(sorted(counts, key=lambda r: (r.n, r.b))):
-        ranks[r.b] = rank
-    return F.from_json(F.lit("[" + ",".join(map(str, ranks)) + "]"), "array<long>")
+    top = max((r.n for r in counts), default=1)
+    levels = [0] * BUCKETS
+    for r in counts:
+        levels[r.b] = int(99 * log(r.n) / log(top + 1))
+    return F.from_json(F.lit("[" + ",".join(map(str, levels)) + "]"), "array<int>")
 
 
 def coded(line: Column, ranks: Column) -> Column:
@@ -56,7 +60,7 @@ def coded(line: Column, ranks: Column) -> Column:
 
     def code(h: Column) -> Column:
         place = F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.shiftleft(place, 47).bitwiseOR(F.shiftrightunsigned(h, 17))
+        return F.shiftleft(place.cast("long"), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
 
     hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
     return F.sort_array(F.array_distinct(F.transform(hashes, code)))
