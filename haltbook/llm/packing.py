@@ -24,6 +24,7 @@ import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,6 +38,9 @@ PIECES = (
     "offset long, tier long, step_group long"
 )
 
+#: Marks that end a chunk; none of them joins a letter before it.
+MARKS = ".,;:!?%$#&*|"
+
 _encoders: dict = {}
 
 
@@ -59,20 +63,37 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Ids of unknown chunks. The tokenizer parts letters from marks, so a word and the marks
+        behind it are looked up apart: far fewer words than chunks are new. A word whose normal or
+        lower-case form has other than letters stays whole."""
+        known, parts = self.known, {}
+        for c in chunks:
+            text = c.decode()
+            word = text.rstrip(MARKS)
+            if word != text and (word.isascii() or normalize("NFC", word).lower().isalpha()) and word.isalpha():
+                at = len(word.encode())
+                parts[c] = c[:at], c[at:]
+        new = known.missing(x for c in chunks for x in parts.get(c, (c,)))
+        young = known.young
+        young.update(zip(new, self._ids(new), strict=True))
+        for c, (word, marks) in parts.items():
+            young[c] = young[word] + young[marks]
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
         for first in range(0, len(texts), 256):
             split = [t.split() for t in texts[first : first + 256]]
             known.turn()
-            new = known.missing(c for chunks in split for c in chunks)
+            new = known.missing(set().union(*split))
             young = known.young
-            young.update(zip(new, self._ids(new), strict=True))
+            self._learn(new)
             for chunks in split:
                 yield b"".join(map(young.__getitem__, chunks))
             for c in new:
                 if len(c) > self.longest:
-                    del young[c]
+                    young.pop(c, None)
 
 
 def _encoder(path: str, size: int) -> ChunkEncoder:
@@ -166,7 +187,7 @@ def pack_documents(
     end_id: int = 2,
     block_tokens: int = 2_000_000,
     step_tokens: int = 1 << 20,
-    cached_chunks: int = 250_000,
+    cached_chunks: int = 400_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
