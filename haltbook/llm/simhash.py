@@ -46,7 +46,10 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     ends = list(accumulate(len(t) + 1 for t in tokens))
     starts = [0, *ends[: len(tokens) - words]]
     hashes = np.array([xxh64_intdigest(line[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)], "<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # bounds what a very long text unpacks at once
+        part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        bits += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
