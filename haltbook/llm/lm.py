@@ -143,7 +143,7 @@ def _sum_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation with noise shared by a batch, adaptive step sizes."""
 
-    def __init__(self, model: Bilinear, share: np.ndarray, rate: float, noise: int, seed: int, batch: int = 8192):
+    def __init__(self, model: Bilinear, share: np.ndarray, rate: float, noise: int, seed: int, batch: int = 4096):
         self.m = Bilinear(*(x.copy() for x in model.arrays()))
         self.rate, self.noise, self.batch = rate, noise, batch
         self.rng = np.random.default_rng(seed)
@@ -158,7 +158,7 @@ class Trainer:
         """One text's classes; its context begins with two end classes (class of END first)."""
         self.waiting.append(kinds)
         self.held += len(kinds) - 2
-        if self.held >= 8 * self.batch:
+        if self.held >= 16 * self.batch:
             self.flush()
 
     def flush(self) -> None:
@@ -326,8 +326,8 @@ def score_documents(
     docs: DataFrame,
     own: int = 1536,
     frequent: int = 100_000,
-    size: int = 16,
-    noise: int = 32,
+    size: int = 32,
+    noise: int = 64,
     warm_docs: int = 3_000,
     rate: float = 0.15,
     id_col: str = "doc_id",

@@ -61,3 +61,19 @@ def test_held_out_gain(spark):
     base, score, n = (sum(getattr(r, k) for r in held) for k in ("base_score", "score", "n_tokens"))
     print(base / n, score / n)
     assert score / n > base / n + 0.1
+
+
+def test_whole_model(spark, monkeypatch):
+    """The defaults train 32 values a class against 64 noise samples, in batches of 4,096."""
+    seen, train = [], lm.train
+
+    def watched(docs, words, size, noise, *rest):
+        model = train(docs, words, size, noise, *rest)
+        seen.append((noise, model.context.shape, model.target.shape))
+        return model
+
+    monkeypatch.setattr(lm, "train", watched)
+    lm.score_documents(spark.createDataFrame([(2, "a b c"), (4, "a b d")], "doc_id long, text string"))
+    assert seen == [(64, (1536 + lm.SHARED, 32), (1536 + lm.SHARED, 32))]
+    share = np.full(4, 0.25)
+    assert lm.Trainer(lm.Bilinear.start(share, 2), share, 0.1, 2, 0).batch == 4096
