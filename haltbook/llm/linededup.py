@@ -17,9 +17,10 @@ higher up in its own. Lines with fewer than ``min_words`` distinct words always
 
 Words are compared by 63 bits of hash, lines by a 64-bit hash and their number of words.
 
-A null text has no lines and stays null. Rows that share an id (all null ids: one, the last) count as
-one document: a line is not removed for its own place in such a row. An empty table gives an empty
-result.
+A null text has no lines and stays null. Rows that share an id (all null ids: one, the last) have the
+same places, so a line is not removed for its own place in another of them; what is removed is known
+by row. With ``apart``, as the registered query and the pipeline have it, such rows follow each other
+by a hash of their text and repeats among them go too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +37,32 @@ BUCKETS = 1 << 14
 LAST_ID = (1 << 63) - 1
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_key, line_no, line): all lines, A-Z lower-cased."""
-    chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_key"), lower_ascii(F.col(text_col)).alias("t"))
-    return chosen.select("doc_key", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """(doc_key, row_hash): rows of the same id and text share it, others do not."""
+    key = F.col(id_col).cast("long")
+    return [F.coalesce(key, F.lit(LAST_ID)).alias("doc_key"), F.xxhash64(key, F.col(text_col)).alias("row_hash")]
+
+
+def row_place(id_col: str, apart: bool) -> Column:
+    """What orders the rows, times 2 ** 32 for the lines; needs row_hash. Apart, rows of one id follow each
+    other by 31 bits of their hash, and rows without id, after all others, by 63."""
+
+    def wide(c: Column) -> Column:
+        return c.cast("decimal(38,0)")
+
+    key = F.col(id_col).cast("long")
+    if not apart:
+        return wide(F.coalesce(key, F.lit(LAST_ID))) * F.lit(1 << 32)
+    of_id = wide(wide(key) * F.lit(1 << 31) + F.shiftrightunsigned("row_hash", 33)) * F.lit(1 << 32)
+    no_id = F.lit(str(1 << 126)).cast("decimal(38,0)") + wide(F.shiftrightunsigned("row_hash", 1)) * F.lit(1 << 32)
+    return F.when(key.isNull(), wide(no_id)).otherwise(wide(of_id))
+
+
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", apart: bool = False) -> DataFrame:
+    """(doc_key, row_hash, row_at, line_no, line): all lines, A-Z lower-cased."""
+    keyed = docs.select(F.col(id_col), *row_key(id_col, text_col), lower_ascii(F.col(text_col)).alias("t"))
+    chosen = keyed.select("doc_key", "row_hash", row_place(id_col, apart).alias("row_at"), "t")
+    return chosen.select("doc_key", "row_hash", "row_at", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
 
 
 def bucket_ranks(docs: DataFrame, text_col: str = "text") -> Column:
@@ -137,39 +160,47 @@ def similar_lines(distinct: DataFrame, ranks: Column, threshold: float, min_word
 
 
 def removed_lines(
-    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 256, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 256, id_col: str = "doc_id", text_col: str = "text", apart: bool = False
 ) -> DataFrame:
-    """(doc_key, exact, similar): the numbers (from 0) of each document's removed lines."""
+    """(doc_key, row_hash, exact, similar): the numbers (from 0) of each row's removed lines."""
     # A line of so few characters cannot have min_words words.
-    every = lines_of(docs, id_col, text_col).where(F.length("line") >= 2 * min_words - 1)
-    place = F.col("doc_key").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("line_no")
-    lines = every.select("doc_key", "line_no", "line", F.xxhash64("line").alias("h"), place.cast("decimal(38,0)").alias("pos"))
+    every = lines_of(docs, id_col, text_col, apart).where(F.length("line") >= 2 * min_words - 1)
+    place = F.col("row_at") + F.col("line_no")
+    lines = every.select("doc_key", "row_hash", "line_no", "line", F.xxhash64("line").alias("h"), place.cast("decimal(38,0)").alias("pos"))
     ranks = bucket_ranks(docs, text_col)
     distinct = stored(lines.groupBy("h").agg(F.min("pos").alias("pos"), F.count("*").alias("times"), F.first("line").alias("line")), "lines")
     found = similar_lines(distinct, ranks, threshold, min_words, leaders, hot).select("h", F.lit(True).alias("similar"))
     enough = F.size(F.array_distinct(words_of(F.col("line")))) >= min_words
     repeated = distinct.where("times > 1").where(enough).select("h", F.col("pos").alias("first"))
     gone = stored(repeated.join(found, "h", "full").join(distinct.select("h", F.col("pos").alias("own")), "h").select("h", F.coalesce("first", "own").alias("first"), "similar"), "gone")
-    judged = lines.select("doc_key", "line_no", "h", "pos").join(gone, "h").where("similar or pos > first")
-    return judged.groupBy("doc_key").agg(
+    judged = lines.select("doc_key", "row_hash", "line_no", "h", "pos").join(gone, "h").where("similar or pos > first")
+    return judged.groupBy("doc_key", "row_hash").agg(
         F.array_sort(F.collect_set(F.when(F.col("pos") > F.col("first"), F.col("line_no")))).alias("exact"),
         F.array_sort(F.collect_set(F.when(F.col("pos") == F.col("first"), F.col("line_no")))).alias("similar"),
     )
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 256, id_col: str = "doc_id", text_col: str = "text", apart: bool = False
+) -> DataFrame:
     """The columns of ``docs`` with the text's removed lines taken out, and ``exact_lines`` and
     ``similar_lines``, the numbers of these lines; columns of these names are replaced."""
-    removed = removed_lines(docs, threshold, min_words, leaders, hot, id_col, text_col).select(
-        F.col("doc_key").alias("__key"), F.col("exact").alias("__exact"), F.col("similar").alias("__similar")
+    removed = removed_lines(docs, threshold, min_words, leaders, hot, id_col, text_col, apart).select(
+        F.col("doc_key").alias("__key"), F.col("row_hash").alias("__hash"), F.col("exact").alias("__exact"), F.col("similar").alias("__similar")
     )
     none = F.array().cast("array<int>")
     kept = docs.drop("exact_lines", "similar_lines")
-    joined = kept.join(removed, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)) == F.col("__key"), "left")
+    key, row_hash = row_key(id_col, text_col)
+    rows = kept.withColumns({"__key": key, "__hash": row_hash})
     exact, similar = F.coalesce("__exact", none), F.coalesce("__similar", none)
-    text = F.when(F.col("__key").isNull(), F.col(text_col)).otherwise(
-        let(F.concat(exact, similar), lambda out: F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(out, i)), "\n"))
+    if apart:  # of rows of the same id and text, all lines of all but one are repeats
+        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__key")))
+        numbers = F.transform(F.split(lower_ascii(F.col(text_col)), "\n"), lambda x, i: F.when(F.size(F.array_distinct(words_of(x))) >= min_words, i))
+        exact = F.when(F.col("__n") > 1, F.coalesce(F.array_compact(numbers), none)).otherwise(exact)
+        similar = F.when(F.col("__n") > 1, none).otherwise(similar)
+    joined = rows.join(removed, ["__key", "__hash"], "left").withColumns({"__exact": exact, "__similar": similar})
+    text = F.when(F.size("__exact") + F.size("__similar") == 0, F.col(text_col)).otherwise(
+        let(F.concat("__exact", "__similar"), lambda out: F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(out, i)), "\n"))
     )
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept.columns]
-    return joined.select(*columns, exact.alias("exact_lines"), similar.alias("similar_lines"))
-
+    return joined.select(*columns, F.col("__exact").alias("exact_lines"), F.col("__similar").alias("similar_lines"))
