@@ -26,7 +26,7 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    done = linededup.dedup_lines(docs.select("doc_id", "text", lines.alias("n_lines")), apart=True)
+    done = linededup.dedup_lines(docs.select("doc_id", "text", lines.alias("n_lines")), min_words=1, apart=True)
     return done.select(
         "doc_id",
         "n_lines",

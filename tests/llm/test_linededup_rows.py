@@ -1,4 +1,19 @@
-from haltbook.llm import linededup
+import corpus_pipeline
+from haltbook.llm import linededup, registry
+from tests.llm.test_linededup import slow
+
+AT = "/root/testdata/sf0.001"
+
+
+def test_short_lines(spark):
+    """The query and the pipeline remove repeats of lines of any number of words."""
+    docs = spark.read.parquet(f"{AT}/documents.parquet")
+    wanted = slow([(r.doc_id, r.text) for r in docs.collect()], least=1)
+    shown = {d: tuple(",".join(map(str, sorted(x))) for x in w) for d, w in wanted.items()}
+    assert {r.doc_id: (r.exact_lines, r.similar_lines) for r in registry.op3_lines(spark, AT).collect()} == shown
+    rows = [(1, "all rights reserved.\nspam\nspam spam\n\n \nof, edti"), (2, "spam\n\n \nedti of,\nall rights\nAll rights reserved.")]
+    odd = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, odd, AT).collect()} == {1: "all rights reserved.\nspam\n\n \nof, edti", 2: "\n \nall rights"}
 
 
 def test_rows_of_one_id(spark):
