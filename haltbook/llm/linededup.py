@@ -15,7 +15,7 @@ higher up in its own. Lines with fewer than ``min_words`` distinct words always
    only lines that no leader explains meet the others.
 4. Jaccard is verified on the whole sets of the pairs that are left.
 
-Words are compared by 63 bits of hash, lines by a 64-bit hash and their number of words.
+Words are compared by 47 bits of hash and their level, lines by a 64-bit hash.
 
 A null text has no lines and stays null. Rows that share an id (all null ids: one, the last) have the
 same places, so a line is not removed for its own place in another of them; what is removed is known
