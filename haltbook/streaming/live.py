@@ -16,7 +16,8 @@ NOTICE = "chat_key string, pos long, date date, time string, text string"
 
 def stream_notices(spark: SparkSession, folder: str, schema: str = NOTICE, late: str = "30 days", per_batch: int = 64) -> DataFrame:
     """A feed of notice files without repeats of a key within ``late`` (X1). The bound keeps the
-    state small; repeats beyond it are caught by the store (X2)."""
+    state small, but the watermark also drops every notice more than ``late`` behind the newest one of
+    earlier batches, first-time ones too: load back-filled exports into the store (X2), not here."""
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(folder)
     keyed = feed.withColumns({"at": instant(F.col("date").cast("string"), F.col("time")), "notice_key": F.concat_ws("|", "chat_key", notice_key())})
     return keyed.withWatermark("at", late).dropDuplicatesWithinWatermark(["notice_key"]).drop("at", "notice_key")
