@@ -24,12 +24,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v longs); the component is its smallest
-    node. Each round is a table in the shared folder; no node's links meet in one task's memory."""
+    node. Each round is a table in the shared folder; no node's links meet in one task's memory.
+    Rounds go on until nothing changes; their number grows with the logarithm of a component's length."""
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or not state.n:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
@@ -37,4 +38,3 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             )
         seen = state
         now = stored(_star(_star(now, True), False), "edges")
-    raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -4,18 +4,23 @@ A line's set is its distinct words (A-Z lower-cased). A line goes if the same li
 has a Jaccard similarity of at least ``threshold``, comes earlier: in a document of a smaller id, or
 higher up in its own. Lines with fewer than ``min_words`` distinct words always stay.
 
-1. Rarity: every word of the corpus is counted in one of 16,384 hash buckets, a table of fixed size.
-   The level of a word's bucket, then its hash, orders the words of a line; any order that all lines
-   share keeps the join exact, and this one puts rare words first.
+1. Rarity: every word of the corpus is counted in one of ``BUCKETS`` hash buckets. The counts' levels
+   are a table of fixed size (one byte a bucket) that plans read as a scalar subquery. A word's level,
+   then its hash, orders the words of a line: rare words first. Any order that all lines share keeps
+   the join exact.
 2. Prefix filter: similar sets share a word among their first n - ceil(t n) + 1. Each distinct line
-   posts these with its size, the word's place in it, and where the line first occurs. Positional,
-   length and bitmap filters then drop pairs that cannot reach the overlap.
-3. Words posted by more than ``hot`` lines are joined apart: their postings meet the word's ``leaders``
-   earliest lines first, so that a group of near copies costs as many comparisons as it has lines;
-   only lines that no leader explains meet the others.
+   posts these with its size, the word's place in it and a bitmap of its words. Positional, length and
+   bitmap filters, evaluated inside the join, drop pairs that cannot reach the overlap.
+3. A word whose bucket counts more than ``hot`` may be posted by many lines. Such postings are dealt by
+   line, not by word, and kept apart. Words that turn out to be posted by at most ``hot`` lines are
+   then joined as the others. For the rest, lines first meet the word's ``leaders`` earliest lines, so
+   that a group of near copies costs as many comparisons as it has lines; only lines that no leader
+   explains meet others, and of these only those that share a second word of the prefix (longer by
+   one) with them.
 4. Jaccard is verified on the whole sets of the pairs that are left.
 
-Words are compared by 47 bits of hash and their level, lines by a 64-bit hash.
+Equal lines are told by 128 bits of hash and their length. Words are compared by 56 bits of hash and
+their level. A pair of similar lines with equal 64-bit hashes (one in 2 ** 64) would be missed.
 
 A null text has no lines and stays null. Rows that share an id (all null ids: one, the last) have the
 same places, so a line is not removed for its own place in another of them; what is removed is known
@@ -25,15 +30,16 @@ by a hash of their text and repeats among them go too. An empty table gives an e
 
 from __future__ import annotations
 
-from math import log
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haltbook.llm.common import lower_ascii, stored
-from haltbook.llm.quality import let, words_of
+from haltbook.llm.quality import let, spaced, words_of
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 20
+PAGE = 1 << 11
+#: Levels of counts for each doubling.
+STEPS = 5
 LAST_ID = (1 << 63) - 1
 
 
@@ -58,134 +64,224 @@ def row_place(id_col: str, apart: bool) -> Column:
     return F.when(key.isNull(), wide(no_id)).otherwise(wide(of_id))
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", apart: bool = False) -> DataFrame:
-    """(doc_key, row_hash, row_at, line_no, line): all lines, A-Z lower-cased."""
-    keyed = docs.select(F.col(id_col), *row_key(id_col, text_col), lower_ascii(F.col(text_col)).alias("t"))
-    chosen = keyed.select("doc_key", "row_hash", row_place(id_col, apart).alias("row_at"), "t")
-    return chosen.select("doc_key", "row_hash", "row_at", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+def lines_of(docs: DataFrame, id_col: str, text_col: str, apart: bool, min_words: int) -> DataFrame:
+    """(doc_key, row_hash, line_no, line, h, g, pos): lines, A-Z lower-cased, that can have ``min_words``
+    words. (h, g) tells equal lines, pos orders all lines."""
+    keyed = docs.select(F.col(id_col), *row_key(id_col, text_col), F.col(text_col).alias("t"))
+    placed = keyed.select("doc_key", "row_hash", row_place(id_col, apart).alias("row_at"), F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+    # A line of so few characters cannot have min_words words.
+    able = placed.where(F.length("line") >= 2 * min_words - 1).withColumn("line", lower_ascii(F.col("line")))
+    pos = (F.col("row_at") + F.col("line_no")).cast("decimal(38,0)")
+    return able.select("doc_key", "row_hash", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.length("line"), "line").alias("g"), pos.alias("pos"))
+
+
+def level_of(count: Column) -> Column:
+    return F.least(F.floor(F.log2(count + 1) * STEPS), F.lit(126)).cast("tinyint")
 
 
-def bucket_ranks(docs: DataFrame, text_col: str = "text") -> Column:
-    """A constant array: for each hash bucket the logarithmic level (0 to 99) of how many words of
-    the corpus fall in it. The driver gets BUCKETS rows at most; levels of two digits keep the
-    constant, and with it every plan that names it, small."""
-    words = docs.select(F.explode(words_of(lower_ascii(F.col(text_col)))).alias("w"))
-    counts = words.groupBy((F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()
-    top = max((r.n for r in counts), default=1)
-    levels = [0] * BUCKETS
-    for r in counts:
-        levels[r.b] = int(99 * log(r.n) / log(top + 1))
-    return F.from_json(F.lit("[" + ",".join(map(str, levels)) + "]"), "array<int>")
+def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row, one column: for each hash bucket the logarithmic level of how many words of the corpus
+    fall in it. Every bucket is there, so its size is the same whatever the input."""
+    words = docs.select(F.explode(F.split(spaced(lower_ascii(F.col(text_col))), "[ \n]")).alias("w"))
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    counts = words.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    every = counts.union(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int"), F.lit(0).cast("long")))
+    levels = every.groupBy("b").agg(F.sum("n").alias("n")).select(F.floor(F.col("b") / PAGE).alias("page"), F.struct("b", level_of(F.col("n")).alias("level")).alias("x"))
 
+    def values(name: str, field: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(name)), lambda x: x[field])
 
-def coded(line: Column, ranks: Column) -> Column:
-    """The line's distinct words as longs whose order is that of rarity."""
+    pages = levels.groupBy("page").agg(values("x", "level").alias("levels")).select(F.struct("page", "levels").alias("x"))
+    return stored(pages.agg(F.flatten(values("x", "levels")).alias("levels")), "rarity")
+
+
+def coded(lines: DataFrame, ranks: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and codes: the line's distinct words as longs whose order is that of rarity."""
 
     def code(h: Column) -> Column:
-        place = F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.shiftleft(place.cast("long"), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
+        level = F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
+    return lines.select(*keep, "line", ranks.scalar().alias("ranks")).select(*keep, F.sort_array(F.array_distinct(F.transform(hashes, code))).alias("codes"))
+
 
-    hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, code)))
+def first_code_of(count: int) -> int:
+    """Words whose bucket counts at most ``count`` have smaller codes."""
+    from math import floor, log2
 
+    return (min(floor(log2(count + 1) * STEPS), 126) + 1) << 56
 
-def _least_overlap(a: Column, b: Column, t: float) -> Column:
+
+def least_overlap(a: Column, b: Column, t: float) -> Column:
     return F.ceil((a + b) * (t / (1 + t)) - F.lit(1e-9))
 
 
-def _may_reach(t: float) -> Column:
-    """Length, positional and bitmap filters for postings x and y of one word. At the first word that
-    two lines share, the overlap is at most what follows in either; one posting of each similar pair
-    is that word. The bitmaps hold the parity of a line's words in 128 hash classes; each differing
-    bit is a word that one line lacks."""
-    n, m, k, j = F.col("x.n"), F.col("y.n"), F.col("x.k"), F.col("y.k")
-    lengths = F.least(n, m) >= F.ceil(F.greatest(n, m) * t - 1e-9)
-    need = _least_overlap(n, m, t)
+def may_reach(t: float) -> Column:
+    """Length, positional and bitmap filters for postings x and y of one word; r counts the words from
+    this one on. At the first word that two lines share, the overlap is at most r in either, and one
+    posting of each similar pair is that word. The length filter, least(n, m) >= t greatest(n, m), and
+    the bound on what precedes both places follow from the two bounds on r. The bitmaps hold the parity
+    of a line's words in 128 hash classes; each differing bit is a word that one line lacks. Written
+    short: generated code of over 8,000 bytes a method would be interpreted."""
+    rest = F.lit((1 << 32) - 1)
+    both = F.shiftright("x.nr", 32) + F.shiftright("y.nr", 32)
+    need = both * (t / (1 + t)) - 1e-9
     differ = sum(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in ("low", "high"))
-    return lengths & (F.least(n - k, m - j) >= need) & (differ <= n + m - need * 2)
-
+    return (F.col("x.nr").bitwiseAND(rest) >= need) & (F.col("y.nr").bitwiseAND(rest) >= need) & (differ <= both - need * 2)
 
-def _parity(codes: Column, half: int) -> Column:
-    def flip(a: Column, c: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-        return F.when(F.shiftright(c, 6).bitwiseAND(F.lit(1)) == half, a.bitwiseXOR(bit)).otherwise(a)
 
-    return F.aggregate(codes, F.lit(0).cast("long"), flip)
+def measured(sets: DataFrame, *keep: str) -> DataFrame:
+    """n, low and high of each set: its size and two bitmaps of its words' parities."""
+    one = F.lit(1).cast("long")
 
+    def mark(bit: Column, c: Column) -> Column:
+        return F.call_function("shiftleft", bit, c.bitwiseAND(F.lit(63)).cast("int"))
 
-def postings(sets: DataFrame, threshold: float) -> DataFrame:
-    """(word, h, n, k, low, high, pos, group): the prefixes of all distinct lines, and how many
-    lines post the word. One exchange, by word, serves the count and all joins."""
+    every = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(mark(one, c)))
+    half = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(mark(F.shiftright(c, 6).bitwiseAND(one), c)))
     n = F.size("codes")
-    prefix = F.slice("codes", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    measured = sets.select("h", n.alias("n"), "pos", _parity(F.col("codes"), 0).alias("low"), _parity(F.col("codes"), 1).alias("high"), prefix.alias("prefix"))  # once per line, not per word
-    each = measured.select("h", "n", "pos", "low", "high", F.posexplode("prefix").alias("k", "word"))
-    plain = each.where("word is not null and n is not null and pos is not null")  # what joins would add: equal plans share an exchange
-    return plain.withColumn("group", F.count("*").over(Window.partitionBy("word"))).where("group > 1")
-
-
-def verified(pairs: DataFrame, distinct: DataFrame, ranks: Column, threshold: float, small: int = 400_000) -> DataFrame:
-    """h of the later lines of the pairs (h, h2) that are similar. The ids of lines to fetch are
-    broadcast only if they are counted to be at most ``small``."""
-    wanted = pairs.select("h").union(pairs.select(F.col("h2").alias("h"))).distinct()
-    if wanted.limit(small + 1).count() <= small:
-        wanted = F.broadcast(wanted)
-    sets = stored(distinct.join(wanted, "h", "left_semi").select("h", coded(F.col("line"), ranks).alias("codes")), "sets")
-    both = pairs.join(sets.withColumnRenamed("codes", "a"), "h").join(sets.select(F.col("h").alias("h2"), F.col("codes").alias("b")), "h2")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= _least_overlap(F.size("a"), F.size("b"), threshold)).select("h").distinct()
-
-
-def similar_lines(distinct: DataFrame, ranks: Column, threshold: float, min_words: int, leaders: int, hot: int) -> DataFrame:
-    """h of the distinct lines (h, pos, line) that have a similar line before them."""
-    sets = distinct.select("h", "pos", coded(F.col("line"), ranks).alias("codes")).where(F.size("codes") >= min_words)
-    posted = postings(sets, threshold)
-    x, y = posted.where(F.col("group") <= hot).alias("x"), posted.where(F.col("group") <= hot).alias("y")
-    meet = (F.col("x.word") == F.col("y.word")) & _may_reach(threshold)
-    pair = [F.col("x.h").alias("h"), F.col("y.h").alias("h2")]
-    cold = x.join(y, meet & (F.col("y.pos") < F.col("x.pos"))).select(*pair, *(F.lit(None).cast(posted.schema[c].dataType).alias(c) for c in ("word", "n", "k", "low", "high", "pos")))
-    first = stored(cold.unionByName(posted.where(F.col("group") > hot).withColumn("h2", F.lit(None).cast("long")).select(*cold.columns)), "postings")
-    found = stored(verified(first.where("word is null").select("h", "h2").distinct(), distinct, ranks, threshold), "similar")
-    crowded = first.where("word is not null").drop("h2")
-    if crowded.isEmpty():
-        return found
-    crowded = stored(crowded.withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("pos"))), "crowded")
-    x, y = crowded.join(found, "h", "left_anti").alias("x"), crowded.alias("y")
-    earlier = meet & (F.col("y.rn") < F.col("x.rn"))
-    led = verified(stored(x.join(y.where(F.col("rn") <= leaders), earlier).select(*pair).distinct(), "pairs"), distinct, ranks, threshold)
-    found = stored(found.union(led).distinct(), "similar")
-    x = crowded.where(F.col("rn") > leaders + 1).join(found, "h", "left_anti").alias("x")
-    rest = x.join(y.where(F.col("rn") > leaders), earlier).select(*pair).distinct()
-    return found.union(verified(stored(rest, "pairs"), distinct, ranks, threshold)).distinct()
+    return sets.select(*keep, "codes", n.alias("n"), every.alias("every"), half.alias("low")).withColumn("high", F.col("every").bitwiseXOR(F.col("low"))).drop("every")
+
+
+def prefix_size(n: Column, t: float) -> Column:
+    return n - F.ceil(n * t - 1e-9).cast("int") + 1
+
+
+POSTING = ["word", "h", "nr", "low", "high"]  # nr: n * 2 ** 32 + r
+
+
+class Corpus:
+    """The lines of one table and what the join needs of them."""
+
+    def __init__(self, docs: DataFrame, threshold: float, min_words: int, id_col: str, text_col: str, apart: bool, small: int):
+        self.t, self.min_words, self.small = threshold, min_words, small
+        self.texts = lines_of(docs, id_col, text_col, apart, min_words)
+        self.lines = stored(self.texts.drop("line"), "lines")
+        self.distinct = stored(self.lines.groupBy("h", "g").agg(F.min("pos").alias("pos"), F.count("*").alias("times")), "distinct")
+        self.ranks = rarity(docs, text_col)
+
+    def bounded(self, df: DataFrame) -> DataFrame:
+        """To be broadcast if it is counted to have at most ``small`` rows."""
+        return F.broadcast(df) if df.limit(self.small + 1).count() <= self.small else df
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(h, g, pos, codes) of the distinct lines whose h is in ``wanted``, read again from the texts."""
+        places = self.bounded(stored(self.distinct.join(self.bounded(wanted.distinct()), "h", "left_semi").select("h", "g", F.col("pos").alias("at")), "wanted"))
+        found = self.texts.join(places, ["h", "g"]).where("pos = at")
+        return stored(coded(found, self.ranks, "h", "g", "pos").dropDuplicates(["h", "g"]), "sets")
+
+    def postings(self) -> DataFrame:
+        """The prefixes of all distinct lines."""
+        repeated = self.bounded(self.distinct.where("times > 1").select("h", "g", F.col("pos").alias("at")))
+        first = self.texts.join(repeated, ["h", "g"], "left").where("at is null or at = pos")
+        # A filter on codes, as explode infers one too, would be pushed below and compute them once more.
+        prefix = F.when(F.col("n") >= self.min_words, F.slice("codes", 1, prefix_size(F.col("n"), self.t)))
+        each = measured(coded(first, self.ranks, "h"), "h").select("h", "n", "low", "high", F.posexplode_outer(prefix).alias("k", "word"))
+        return each.withColumn("nr", F.shiftleft(F.col("n").cast("long"), 32) + F.col("n") - F.col("k")).select(*POSTING).where("word is not null")
+
+    def later(self, pairs: DataFrame) -> DataFrame:
+        """(h, g) of the later line of each of the pairs (h, h2) that are similar."""
+        wanted = pairs.select("h").union(pairs.select(F.col("h2").alias("h")))
+        sets = self.sets(wanted)
+        x, y = (sets.select(F.col("h").alias(f"h_{s}"), F.col("g").alias(f"g_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("codes").alias(f"codes_{s}")) for s in "xy")
+        both = pairs.join(x, F.col("h") == F.col("h_x")).join(y, F.col("h2") == F.col("h_y"))
+        shared = F.size(F.array_intersect("codes_x", "codes_y"))
+        alike = both.where(shared >= least_overlap(F.size("codes_x"), F.size("codes_y"), self.t))
+        after = F.col("pos_x") > F.col("pos_y")
+        return alike.select(F.when(after, F.col("h_x")).otherwise(F.col("h_y")).alias("h"), F.when(after, F.col("g_x")).otherwise(F.col("g_y")).alias("g")).distinct()
+
+    def similar(self, leaders: int, hot: int) -> DataFrame:
+        """(h, g) of the distinct lines that have a similar line before them."""
+        limit = F.lit(first_code_of(hot))
+        posted = self.postings()
+        x, y = posted.alias("x"), posted.alias("y")
+
+        def key(side: str) -> Column:
+            word, h = F.col(f"{side}.word"), F.col(f"{side}.h")
+            return F.when(word < limit, word).otherwise(F.xxhash64(word, h))
+
+        def own(side: str) -> Column:
+            return F.when(F.col(f"{side}.word") >= limit, F.col(f"{side}.h"))
+
+        # What may be crowded passes through the same exchange as the rest, alone with itself. No term names
+        # one side only: it would be pushed down there, and the two sides would not share the exchange.
+        pair = (F.col("x.h") < F.col("y.h")) & may_reach(self.t)
+        meet = (key("x") == key("y")) & (F.col("x.word").bitwiseXOR(F.col("y.word")) == 0) & (pair | (own("x") == own("y")))
+        met = x.join(y, meet).select(*(F.col(f"x.{c}") for c in POSTING), F.when(F.col("x.h") < F.col("y.h"), F.col("y.h")).alias("h2"))
+        met = stored(met, "met")
+        maybe = met.where("h2 is null").select(*POSTING).distinct()
+        counts = maybe.groupBy("word").agg(F.count("*").alias("group")).where("group > 1")
+        crowded = stored(maybe.join(counts, "word"), "crowded")
+        x, y = crowded.where(F.col("group") <= hot).alias("x"), crowded.where(F.col("group") <= hot).alias("y")
+        mild = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.h") < F.col("y.h")) & may_reach(self.t)).select("x.h", F.col("y.h").alias("h2"))
+        pairs = stored(met.where("h2 is not null").select("h", "h2").union(mild).distinct(), "pairs")
+        found = stored(self.later(pairs), "similar")
+        heavy = crowded.where(F.col("group") > hot).drop("group")
+        return found if heavy.isEmpty() else self.similar_in_groups(heavy, found, leaders)
+
+    def similar_in_groups(self, heavy: DataFrame, found: DataFrame, leaders: int) -> DataFrame:
+        """``found`` and the lines with a similar line before them among the postings of heavy words."""
+        placed = stored(heavy.join(self.distinct.groupBy("h").agg(F.min("pos").alias("pos")), "h"), "heavy")
+        ranked = placed.withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("pos", "h")))
+        first = stored(ranked.where(F.col("rn") <= leaders).drop("rn"), "leaders")
+        x, y = placed.join(found, "h", "left_anti").alias("x"), first.alias("y")
+        meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.h") != F.col("y.h")) & may_reach(self.t)
+        led = x.join(y, meet).select(F.least("x.h", "y.h").alias("h"), F.greatest("x.h", "y.h").alias("h2")).distinct()
+        found = stored(found.union(self.later(stored(led, "led"))).distinct(), "similar")
+        rest = stored(placed.join(found, "h", "left_anti"), "rest")
+        if rest.isEmpty():
+            return found
+        near = placed.join(rest.select("word").distinct(), "word", "left_semi")
+        n = F.size("codes")
+        k = n - F.col("nr").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        second = F.slice("codes", k + 2, F.greatest(prefix_size(n, self.t) - k, F.lit(0)))
+        alone = F.when(F.ceil(n * self.t - 1e-9) == 1, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>"))  # one shared word is enough
+        sets = self.sets(near.select("h")).select("h", "codes").dropDuplicates(["h"])
+        keyed = near.join(sets, "h").select(*POSTING, F.explode(F.concat(second, alone)).alias("second"))
+        keyed = stored(keyed, "keyed")
+        x, y = keyed.join(rest.select("h").distinct(), "h", "left_semi").alias("x"), keyed.alias("y")
+        meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.second") == F.col("y.second")) & (F.col("x.h") != F.col("y.h")) & may_reach(self.t)
+        pairs = x.join(y, meet).select(F.least("x.h", "y.h").alias("h"), F.greatest("x.h", "y.h").alias("h2")).distinct()
+        return found.union(self.later(stored(pairs, "pairs"))).distinct()
 
 
 def removed_lines(
-    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 256, id_col: str = "doc_id", text_col: str = "text", apart: bool = False
+    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 1024, id_col: str = "doc_id", text_col: str = "text", apart: bool = False, small: int = 400_000
 ) -> DataFrame:
     """(doc_key, row_hash, exact, similar): the numbers (from 0) of each row's removed lines."""
-    # A line of so few characters cannot have min_words words.
-    every = lines_of(docs, id_col, text_col, apart).where(F.length("line") >= 2 * min_words - 1)
-    place = F.col("row_at") + F.col("line_no")
-    lines = every.select("doc_key", "row_hash", "line_no", "line", F.xxhash64("line").alias("h"), place.cast("decimal(38,0)").alias("pos"))
-    ranks = bucket_ranks(docs, text_col)
-    distinct = stored(lines.groupBy("h").agg(F.min("pos").alias("pos"), F.count("*").alias("times"), F.first("line").alias("line")), "lines")
-    found = similar_lines(distinct, ranks, threshold, min_words, leaders, hot).select("h", F.lit(True).alias("similar"))
-    enough = F.size(F.array_distinct(words_of(F.col("line")))) >= min_words
-    repeated = distinct.where("times > 1").where(enough).select("h", F.col("pos").alias("first"))
-    gone = stored(repeated.join(found, "h", "full").join(distinct.select("h", F.col("pos").alias("own")), "h").select("h", F.coalesce("first", "own").alias("first"), "similar"), "gone")
-    judged = lines.select("doc_key", "row_hash", "line_no", "h", "pos").join(gone, "h").where("similar or pos > first")
+    corpus = Corpus(docs, threshold, min_words, id_col, text_col, apart, small)
+    found = stored(corpus.similar(leaders, hot).withColumn("similar", F.lit(True)), "similar")
+    enough = corpus.distinct.where("times > 1").join(found, ["h", "g"], "left_anti").withColumn("similar", F.lit(False))
+    if min_words > 1:  # of repeated lines, only those of enough words are known to go
+        sets = corpus.sets(enough.select("h")).where(F.size("codes") >= min_words)
+        enough = enough.join(sets.select("h", "g"), ["h", "g"], "left_semi")
+    else:
+        blank = corpus.texts.where(F.trim(spaced(F.col("line"))) == "").select("h", "g").distinct()
+        enough = enough.join(blank, ["h", "g"], "left_anti")
+    gone = enough.select("h", "g", F.col("pos").alias("first"), "similar").union(corpus.distinct.join(found, ["h", "g"]).select("h", "g", "pos", "similar"))
+    judged = corpus.lines.join(stored(gone, "gone"), ["h", "g"]).where("similar or pos > first")
     return judged.groupBy("doc_key", "row_hash").agg(
         F.array_sort(F.collect_set(F.when(F.col("pos") > F.col("first"), F.col("line_no")))).alias("exact"),
         F.array_sort(F.collect_set(F.when(F.col("pos") == F.col("first"), F.col("line_no")))).alias("similar"),
     )
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """With __again, false for one row of each (__key, __hash). Rows are numbered in their task first, so that many equal
+    rows do not meet in one."""
+    of_task = F.row_number().over(Window.partitionBy("__key", "__hash", "__task").orderBy("__task"))
+    of_all = F.row_number().over(Window.partitionBy("__key", "__hash", F.when(F.col("__in_task") == 1, -1).otherwise(F.col("__task"))).orderBy("__in_task"))
+    numbered = rows.withColumn("__task", F.spark_partition_id()).withColumn("__in_task", of_task).withColumn("__n", of_all)
+    return numbered.withColumn("__again", (F.col("__in_task") > 1) | (F.col("__n") > 1)).drop("__task", "__in_task", "__n")
+
+
 def dedup_lines(
-    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 256, id_col: str = "doc_id", text_col: str = "text", apart: bool = False
+    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 1024, id_col: str = "doc_id", text_col: str = "text", apart: bool = False, small: int = 400_000
 ) -> DataFrame:
     """The columns of ``docs`` with the text's removed lines taken out, and ``exact_lines`` and
     ``similar_lines``, the numbers of these lines; columns of these names are replaced."""
-    removed = removed_lines(docs, threshold, min_words, leaders, hot, id_col, text_col, apart).select(
+    removed = removed_lines(docs, threshold, min_words, leaders, hot, id_col, text_col, apart, small).select(
         F.col("doc_key").alias("__key"), F.col("row_hash").alias("__hash"), F.col("exact").alias("__exact"), F.col("similar").alias("__similar")
     )
     none = F.array().cast("array<int>")
@@ -193,14 +289,18 @@ def dedup_lines(
     key, row_hash = row_key(id_col, text_col)
     rows = kept.withColumns({"__key": key, "__hash": row_hash})
     exact, similar = F.coalesce("__exact", none), F.coalesce("__similar", none)
-    if apart:  # of rows of the same id and text, all lines of all but one are repeats
-        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__key")))
+    if apart and not rows.groupBy("__key", "__hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # of rows of the same id and text, all lines of all but one are repeats
+        rows = one_of_each(rows)
         numbers = F.transform(F.split(lower_ascii(F.col(text_col)), "\n"), lambda x, i: F.when(F.size(F.array_distinct(words_of(x))) >= min_words, i))
-        exact = F.when(F.col("__n") > 1, F.coalesce(F.array_compact(numbers), none)).otherwise(exact)
-        similar = F.when(F.col("__n") > 1, none).otherwise(similar)
+        exact = F.when(F.col("__again"), F.coalesce(F.array_compact(numbers), none)).otherwise(exact)
+        similar = F.when(F.col("__again"), none).otherwise(similar)
     joined = rows.join(removed, ["__key", "__hash"], "left").withColumns({"__exact": exact, "__similar": similar})
-    text = F.when(F.size("__exact") + F.size("__similar") == 0, F.col(text_col)).otherwise(
-        let(F.concat("__exact", "__similar"), lambda out: F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(out, i)), "\n"))
-    )
+
+    def remaining(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.concat("__exact", "__similar"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(F.size("__exact") + F.size("__similar") == 0, F.col(text_col)).otherwise(let(F.split(text_col, "\n"), remaining))
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept.columns]
     return joined.select(*columns, F.col("__exact").alias("exact_lines"), F.col("__similar").alias("similar_lines"))

@@ -31,8 +31,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def spaced(text: Column) -> Column:
+    """All ASCII white space as blanks. One ``replace`` a character is many times as fast as ``translate``."""
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * 5), " "), "")
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def without(text: Column, chars: str) -> Column:
