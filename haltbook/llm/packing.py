@@ -11,8 +11,10 @@ state is larger than one block. Within a block
 4. what cannot fill a window moves on to the next block; after the last block it is cut into
    power-of-two sequences, which need no padding.
 
-Step groups hold windows of one tier and ``step_tokens`` tokens each, so that all steps weigh the
-same; only the last group of a tier in a task can be short.
+Step groups hold sequences of one tier and block, about ``step_tokens`` tokens each. The groups of a tier
+and block are equal in number of sequences to within one and balanced by attention cost. Groups do not
+cross tasks, so a task with fewer tokens has shorter groups. The last tokens of a task (fewer than the
+shortest tier) become sequences of smaller powers of two.
 
 Null texts count as empty: their only id is the end id. A null document id is passed through.
 Repeated rows are packed row by row. An empty table gives no pieces.
@@ -24,8 +26,10 @@ import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from unicodedata import normalize
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -58,25 +62,50 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known, self.longest = Generations(size), longest
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _ids(self, chunks: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only. Many are encoded as one text: each gives one piece, and the last
+        id of a piece is one that ends a word. Should the counts differ, words are encoded one by one."""
+        out: list[bytes] = []
+        for first in range(0, len(words), 1024):
+            part = words[first : first + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part) or len(ids) != ends[-1]:
+                out += self._ids(part)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
+
     def _learn(self, chunks: list[bytes]) -> None:
         """Ids of unknown chunks. The tokenizer parts letters from marks, so a word and the marks
         behind it are looked up apart: far fewer words than chunks are new. A word whose normal or
         lower-case form has other than letters stays whole."""
-        known, parts = self.known, {}
+        known, parts, plain = self.known, {}, set()
         for c in chunks:
             text = c.decode()
             word = text.rstrip(MARKS)
-            if word != text and (word.isascii() or normalize("NFC", word).lower().isalpha()) and word.isalpha():
-                at = len(word.encode())
-                parts[c] = c[:at], c[at:]
+            if word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha()):
+                if word != text:
+                    at = len(word.encode())
+                    parts[c] = c[:at], c[at:]
+                    plain.add(c[:at])
+                else:
+                    plain.add(c)
         new = known.missing(x for c in chunks for x in parts.get(c, (c,)))
+        words = [x for x in new if x in plain]
+        other = [x for x in new if x not in plain]
         young = known.young
-        young.update(zip(new, self._ids(new), strict=True))
+        young.update(zip(words, self._words(words), strict=True))
+        young.update(zip(other, self._ids(other), strict=True))
         for c, (word, marks) in parts.items():
             young[c] = young[word] + young[marks]
 
@@ -112,7 +141,8 @@ class Packer:
         while window >= shortest:
             self.tiers.append(window)
             window //= 2
-        self.in_tier: dict[int, int] = {}
+        self.waiting: dict[int, list[list[tuple[int, int, int]]]] = {tier: [] for tier in self.tiers}
+        self.groups = 0
         self.rest: list[tuple[int, int, int]] = []  # (length, document, start), by length
         self.pieces: list[tuple] = []
 
@@ -125,13 +155,30 @@ class Packer:
             insort(self.rest, (n - start, doc, start))
 
     def _sequence(self, parts: list[tuple[int, int, int]], tier: int) -> None:
-        at, k = 0, self.in_tier.get(tier, 0)
-        self.in_tier[tier] = k + 1
-        group = self.base + (tier.bit_length() << 32) + k // max(1, self.step_tokens // tier)
-        for doc, start, length in parts:
-            self.pieces.append((doc, start, length, self.next_id, at, tier, group))
-            at += length
-        self.next_id += 1
+        self.waiting.setdefault(tier, []).append(parts)
+
+    def group(self) -> None:
+        """Step groups of the sequences that wait: as many as fill them best, equal in number to within
+        one sequence. Sequences are dealt by their attention cost (the sum of squared piece lengths),
+        dearest first, each to the cheapest group that has room."""
+        for tier, sequences in self.waiting.items():
+            if not sequences:
+                continue
+            count = max(1, round(len(sequences) * tier / self.step_tokens))
+            room = -(-len(sequences) // count)
+            cost = [sum(n * n for _, _, n in parts) for parts in sequences]
+            heap = [(0, g, 0) for g in range(count)]
+            for k in sorted(range(len(sequences)), key=lambda k: -cost[k]):
+                spent, g, held = heappop(heap)
+                at, number = 0, self.base + self.groups + g
+                for doc, start, length in sequences[k]:
+                    self.pieces.append((doc, start, length, self.next_id, at, tier, number))
+                    at += length
+                self.next_id += 1
+                if held + 1 < room:
+                    heappush(heap, (spent + cost[k], g, held + 1))
+            self.groups += count
+            self.waiting[tier] = []
 
     def pack(self) -> None:
         """Fill all windows that can be filled; keep the rest."""
@@ -159,7 +206,7 @@ class Packer:
 
     def finish(self) -> None:
         """Cut what is left into sequences whose lengths are powers of two."""
-        left = [(doc, start, n) for n, doc, start in reversed(self.rest)]
+        left = [(doc, start, n) for n, doc, start in self.rest]  # taken from the end: the longest first
         self.rest = []
         size = self.window
         total = sum(n for _, _, n in left)
@@ -169,11 +216,11 @@ class Packer:
                 continue
             parts, need = [], size
             while need:
-                doc, start, n = left.pop(0)
+                doc, start, n = left.pop()
                 take = min(n, need)
                 parts.append((doc, start, take))
                 if n > take:
-                    left.insert(0, (doc, start + take, n - take))
+                    left.append((doc, start + take, n - take))
                 need -= take
             self._sequence(parts, size)
             total -= size
@@ -195,6 +242,7 @@ def pack_documents(
     end = struct.pack("<I", end_id)
 
     def rows(packer: Packer, held: dict) -> Iterator[pa.RecordBatch]:
+        packer.group()
         out = []
         for doc, start, length, seq, at, tier, group in packer.pieces:
             doc_id, ids = held[doc]

@@ -104,3 +104,29 @@ def test_packing_given_documents(spark):
     for r in rows:
         groups[r.step_group, r.tier] += r.length
     assert len(rows) < 2 * len(wanted)
+
+
+def test_step_groups(spark):
+    """Groups of one tier hold whole sequences; within a task and block they are equal to within one sequence
+    and near each other in attention cost. Many small partitions give one short group a tier each."""
+    path = P.path("word_bpe_49k.json")
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def groups(parts, **sizes):
+        rows = packing.pack_documents(d.repartition(parts), path, **sizes).collect()
+        seq = defaultdict(list)
+        for r in rows:
+            seq[r.step_group, r.tier, r.sequence_id].append(r.length)
+        out = defaultdict(list)
+        for (g, tier, _), lengths in seq.items():
+            out[g, tier].append(sum(n * n for n in lengths))
+        assert len({g for g, _ in out}) == len(out)
+        return out, sum(r.length for r in rows)
+
+    whole, n = groups(1, window=512, step_tokens=16 * 512)
+    full = [c for (_, tier), c in whole.items() if tier == 512]
+    assert max(map(len, full)) - min(map(len, full)) <= 1 and max(map(len, full)) <= 18
+    cost = [sum(c) / len(c) for c in full]
+    assert max(cost) < 1.1 * min(cost)
+    small, m = groups(40, window=512, step_tokens=16 * 512)
+    assert m == n and max(len(c) * tier for (_, tier), c in small.items()) <= 1.6 * 16 * 512
