@@ -1,8 +1,8 @@
 """Operator 5 [native]: quality rules by weak supervision.
 
 Rules do not have to agree: each votes for quality (1), against it (-1) or abstains (0). A label
-model estimates their accuracies by expectation-maximisation on the counted vote patterns, and the
-posterior probability of quality decides. Two base conditions (too few words, too many words in
+model estimates their accuracies by expectation-maximisation on the counted vote patterns, with bad rows
+of several kinds, and the posterior probability of quality decides. Two base conditions (too few words, too many words in
 repeated passages) reject whatever the rules say.
 
 All counts are made in the row by SQL functions on the whole text; nothing is shuffled but the
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haltbook.llm import label_model
-from haltbook.llm.common import stored
+from haltbook.llm.common import WORD, stored
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -43,7 +43,19 @@ def words_of(text: Column) -> Column:
 
 
 def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+def runs_of_three(text: Column, chars: str) -> Column:
+    return F.length(text) - F.length(without_runs(text, chars))
+
+
+def without_runs(text: Column, chars: str) -> Column:
+    for c in chars:
+        text = F.replace(text, F.lit(c * 3), F.lit(""))
+    return text
 
 
 def _repeated(words: Column) -> Column:
@@ -79,7 +91,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Counts of every text."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("t"))
-    lines = F.filter(F.split("t", "\n"), lambda x: without(x, SPACES) != "")
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))
     n = F.length("t")
     counted = base.select(
         "doc_id",
@@ -90,12 +102,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (n - F.length(without(F.col("t"), "!?"))).cast("long").alias("n_shouts"),
         (n - F.length(without(F.col("t"), ".,;:"))).cast("long").alias("n_stops"),
         (n - F.length(without(F.col("t"), "|"))).cast("long").alias("n_bars"),
-        (n - F.length(without(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_capitals"),
-        (n - F.length(without(F.col("t"), "0123456789"))).cast("long").alias("n_digits"),
+        F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        F.regexp_count("t", F.lit("[0-9]")).cast("long").alias("n_digits"),
+        runs_of_three(F.col("t"), SYMBOLS).cast("long").alias("n_in_runs"),
     )
     return counted.select(
         "doc_id", "w.n_words", "word_chars", "n_symbols", F.col("l.d").alias("n_dup_lines"), "w.n_repeat_words",
-        F.col("l.n").cast("long").alias("n_lines"), "n_shouts", "n_stops", "n_bars", "n_capitals", "n_digits",
+        F.col("l.n").cast("long").alias("n_lines"), "n_shouts", "n_stops", "n_bars", "n_capitals", "n_digits", "n_in_runs",
     )
 
 
@@ -120,6 +133,7 @@ def votes() -> dict[str, Column]:
         "v_shouts": vote(share("n_shouts", "n_words") < 0.05, share("n_shouts", "n_words") > 0.3),
         "v_stops": vote(share("n_stops", "n_words").between(0.04, 0.4), share("n_stops", "n_words") > 0.8),
         "v_bars": vote(None, share("n_bars", "n_words") > 0.15),
+        "v_runs": vote(None, share("n_in_runs", "n_words") > 0.1),
         "v_capitals": vote(share("n_capitals", "word_chars") < 0.1, share("n_capitals", "word_chars") > 0.3),
         "v_digits": vote(None, share("n_digits", "word_chars") > 0.6),
     }
@@ -131,7 +145,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     rules = votes()
     names = list(rules)
     voted = stored(measure(docs), "quality").withColumns(rules)
-    model = label_model.fit(label_model.count_patterns(voted, names))
+    model = label_model.fit_kinds(label_model.count_patterns(voted, names))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = voted.select(*counts, failed.alias("base_failed"), label_model.posterior(model, names).alias("quality"))

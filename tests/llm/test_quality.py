@@ -1,5 +1,7 @@
+import random
 import re
 from collections import Counter
+from math import log
 
 from haltbook.llm import label_model, quality
 
@@ -55,3 +57,27 @@ def test_given_documents(spark):
     print(pairs)
     assert pairs[1, True] / (pairs[1, True] + pairs[1, False]) > 0.95
     assert pairs[0, False] / (pairs[0, True] + pairs[0, False]) > 0.9
+
+
+def test_known_reliabilities():
+    """Independent rules: the estimated chances are the true ones; a copy of a rule does not count twice."""
+    rng = random.Random(9)
+    against = [(0.15, 0.8), (0.1, 0.6), (0.05, 0.7), (0.15, 0.5), (0.1, 0.75)]  # of good and of bad rows
+    rows = []
+    for _ in range(20_000):
+        good = rng.random() < 0.7
+        rows.append((good, tuple(-1 if rng.random() < a[not good] else rng.choice((0, 1)) for a in against)))
+    start, weights = label_model.fit(list(Counter(v for _, v in rows).items()))
+    for (g, b), w in zip(against, weights, strict=True):
+        assert abs(w[-1] - (log(g) - log(b))) < 0.35
+    said = [start + sum(w[x] for w, x in zip(weights, v, strict=True)) > 0 for _, v in rows]
+    assert abs(sum(said) / len(rows) - 0.7) < 0.05
+    assert sum(s == good for s, (good, _) in zip(said, rows, strict=True)) / len(rows) > 0.9
+    once = [s for s, (_, v) in zip(said, rows, strict=True) if v.count(-1) == 1]
+    assert sum(once) / len(once) > 0.5  # one negative vote alone seldom decides
+    twice = [(good, (*v, v[0])) for good, v in rows]
+    start, weights = label_model.fit(list(Counter(v for _, v in twice).items()))
+    both = weights[0][-1] + weights[5][-1]
+    assert abs(both - (log(0.15) - log(0.8))) < 0.6
+    said = [start + sum(w[x] for w, x in zip(weights, v, strict=True)) > 0 for _, v in twice]
+    assert sum(s == good for s, (good, _) in zip(said, twice, strict=True)) / len(rows) > 0.9
