@@ -36,6 +36,7 @@ FRAMES = (
 )
 UNIT = 192
 FRAME_ROWS = 256
+MOST_PIXELS = 1 << 24
 TABLE = 4096
 SINGLE = [bytes([i]) for i in range(256)]
 
@@ -201,12 +202,15 @@ class _Reader:
         return np.frombuffer(self.take(3 << (flags & 7) + 1), np.uint8).reshape(-1, 3)
 
 
-def decode_gif(data: bytes) -> Iterator[Frame]:
-    """The frames as shown, in order."""
+def decode_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """The frames as shown, in order. A header may claim a canvas of any size: one of more than
+    ``most_pixels`` is refused before memory is taken."""
     r = _Reader(data)
     if r.take(6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = r.unpack("<HHBBB")
+    if width * height > most_pixels:
+        raise ValueError(f"more than {most_pixels} pixels")
     shared = r.palette(flags)
     canvas = np.zeros((height, width, 3), np.uint8)
     if shared is not None and background < len(shared):
@@ -220,6 +224,8 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         if kind == 0x21:
             if r.take(1)[0] == 0xF9:
                 body = r.blocks()
+                if len(body) < 4:
+                    raise ValueError("short graphic control block")
                 bits, delay, index = struct.unpack("<BHB", body[:4])
                 disposal, clear_index = bits >> 2 & 7, index if bits & 1 else None
             else:
@@ -232,6 +238,8 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         palette = shared if palette is None else palette
         if palette is None:
             raise ValueError("no palette")
+        if w * h > most_pixels:
+            raise ValueError(f"more than {most_pixels} pixels")
         bits = r.take(1)[0]
         found = np.frombuffer(lzw_decode(r.blocks(), bits), np.uint8)
         if len(found) < w * h:

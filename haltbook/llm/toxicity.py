@@ -12,7 +12,7 @@ bound of the fit. Everything else reads all rows. The label, language, source an
 inputs of its score.
 
 Null and empty texts match no clause and get the score of such a text. Repeated rows are scored row
-by row. Rows without a label are only scored. Without any usable label the model has no stems and a
+by row. Rows without a label are only scored; a row without id is not held out, and no label is its own. Without any usable label the model has no stems and a
 score of 0. An empty table gives an empty result.
 """
 
@@ -165,10 +165,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     return found.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies would make chance words look certain
 
 
-def learn_lexicon(rows: DataFrame, support: float, odds: float, entries: int, longest: int) -> Lexicon:
+def learn_lexicon(rows: DataFrame, support: float, odds: float, longest: int) -> Lexicon:
     """Word beginnings and words that toxic texts have and others lack; ``support`` is the least
-    share of the toxic texts (and three texts). Counts are Spark's; the driver gets at most
-    ``entries`` rows of them."""
+    share of the toxic texts (and three texts). Counts are Spark's; the driver gets the entries that
+    reach the support: at most the distinct entries of a text, divided by ``support``, on average."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}']+"), lambda w: F.length(w) >= 3))
     starts = F.sequence(F.lit(3), F.lit(longest))
     marks = F.flatten(F.transform(words, lambda w: F.array_append(F.transform(starts, lambda n: F.substr(w, F.lit(1), n)), F.concat(w, F.lit("$")))))
@@ -179,7 +179,7 @@ def learn_lexicon(rows: DataFrame, support: float, odds: float, entries: int, lo
     weight = F.log((F.col("bad") + 0.5) / n_bad) - F.log((F.col("good") + 0.5) / n_good)
     kept = counts.where(F.col("bad") >= max(3, support * n_bad)).withColumn("weight", weight).where(F.col("weight") >= odds)
     stems, whole = {}, {}
-    for r in kept.orderBy(F.desc(F.col("weight") * F.sqrt("bad")), F.length("mark"), "mark").limit(entries).collect():
+    for r in kept.collect():
         if r.mark.endswith("$"):
             whole[r.mark[:-1]] = r.weight
         else:
@@ -215,11 +215,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int
     return np.concatenate([w[:1], w[1:] / scale])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, support: float = 0.02, odds: float = 1.0, entries: int = 4_000, longest: int = 9) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, support: float = 0.02, odds: float = 1.0, longest: int = 9) -> Model:
     """Fit on at most ``sample`` labelled rows. The features of those rows (four numbers and a
     label each) come to the driver for the logistic fit."""
     rows = stored(labelled_sample(docs, labels, sample), "labelled")  # read three times
-    lexicon = learn_lexicon(rows, support, odds, entries, longest)
+    lexicon = learn_lexicon(rows, support, odds, longest)
     if not lexicon.stems and not lexicon.words:
         return Model(lexicon, np.array([-30.0, 0, 0, 0, 0]))
     table = grammar()
@@ -256,4 +256,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, threshold
     """(doc_id, held_out, score, predicted) of every row."""
     model = train(docs, labels, sample)
     scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, threshold)
-    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "score", "predicted")

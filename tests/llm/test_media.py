@@ -147,3 +147,17 @@ def test_texts(spark):
     stored = media.store_texts(docs).collect()
     assert next(hashlib.sha256(r.data).hexdigest() for r in stored if r.media_id == 5) == got[5].media_sha256
     assert media.text_media(docs.limit(0)).count() == 0
+
+
+def test_malformed_blocks(spark):
+    good = media.encode_gif(b"x" * 192)
+    at = good.index(b"\x21\xf9\x04")
+    short = good[:at] + b"\x21\xf9\x02ab\x00" + good[at + 8 :]
+    huge = good[:6] + b"\xff\xff\xff\xff" + good[10:]
+    wide = bytearray(good)
+    wide[at + 13 : at + 17] = b"\xff\xff\xff\xff"
+    for bad in (short, huge, bytes(wide), good[:at], good[:-1]):
+        with pytest.raises(ValueError):
+            list(media.decode_gif(bad))
+    rows = media.media_frames(spark.createDataFrame([(1, bytearray(short)), (2, bytearray(huge)), (3, bytearray(good))], "media_id long, data binary")).collect()
+    assert sorted((r.media_id, r.error is None) for r in rows) == [(1, False), (2, False), (3, True)]

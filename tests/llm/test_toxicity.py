@@ -54,3 +54,38 @@ def test_logistic_on_separable_features():
     w = t.fit_logistic(x, y)
     p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
     assert (w[1:] >= 0).all() and (p[y == 1] >= 0.3).all() and (p[y == 0] < 0.1).all()
+
+
+def slow_features(text, lexicon, aimed=1.5, denied=0.4, quoted=0.6):
+    """The clause scores read off the rules, clause by clause, without machines."""
+    tokens = t.TOKEN.findall(text.lower())
+    clauses, own, hits, seen = [], 0.0, 0, set()
+    for token in [*tokens, "."]:
+        kind, weight = lexicon.read(token)
+        if kind == t.BREAK:
+            clauses += [own] if own else []
+            own, seen = 0.0, set()
+        elif kind in (t.INSULT, t.THREAT):
+            hits += 1
+            factor = 1.0 if kind == t.INSULT or t.TARGET in seen else 0.3
+            for of, by in ((t.TARGET, aimed), (t.NEGATION, denied), (t.REPORT, quoted)):
+                factor *= by if of in seen else 1.0
+            own += weight * factor
+        else:
+            seen.add(kind)
+    if not clauses:
+        return [0.0] * 4
+    size = len(tokens) + 20
+    return [max(clauses), *np.log1p([100 * sum(clauses) / size, 100 * sum(c * c for c in clauses) / size, 100 * hits / size])]
+
+
+def test_against_plain_clauses(spark):
+    """All given documents: the composed transducer gives what a plain reading of the clauses gives."""
+    lex = t.Lexicon({"idio": 2.0, "scu": 1.0, "mor": 1.5}, {"the": 0.5, "of": 0.25})
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rng = np.random.default_rng(2)
+    words = [*t.THREATS[:4], *t.TARGETS[:4], *t.NEGATIONS[:3], *t.REPORTS[:3], "idiot", "scum", "plain", ".", "!", "\n"]
+    texts += [" ".join(rng.choice(words, 30)) for _ in range(500)] + ["", None]
+    got = t._features(texts, lex, t.grammar(), t.Generations(1000))
+    want = np.array([slow_features(x or "", lex) for x in texts])
+    assert np.allclose(got, want) and (got[:, 0] > 0).sum() > 500
