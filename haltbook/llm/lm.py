@@ -1,17 +1,20 @@
 """Operator 2: language-model scoring with a log-bilinear model.
 
-Word counts of the whole training part are Spark's. The ``own`` most frequent words are classes of
-their own; the others share classes by their last letters. A log-bilinear model predicts the class of
-a token from the classes of the two before it. It is trained in numpy with noise-contrastive
-estimation: a warm start on a bounded sample of documents, then every task goes once over its own
-training texts and Spark averages the tasks' parameters. Scores are normalised: the model is
-bilinear, so the normalisers of all pairs of context classes are one matrix product,
+Word counts of the whole training part are Spark's. The ``targets`` most frequent words are predicted as
+themselves, all others as one of 512 classes by their last letters, inside which a word has its
+discounted share; what is discounted is the probability of an unknown word of the class. The context
+of a token is the two tokens before it; there, the ``own`` most frequent words have vectors of their own
+and the others share those of 512 classes.
+
+The model is trained in numpy with noise-contrastive estimation: a warm start on a bounded sample of
+documents, then every task goes once over its own training texts and Spark averages what the tasks
+made of each vector, weighted by how often they met it. Scores are normalised: the model is bilinear,
+so the normalisers of all pairs of context classes are one matrix product,
 
     Z[a, b] = sum_w exp(left[a, w]) exp(right[b, w]),
 
-computed once per Python worker; a token's class log-probability is then three table look-ups.
-Inside a class a word has its discounted share of the class, and what is discounted is the
-probability of an unknown word of the class.
+computed once as a Spark job over blocks of rows, a table of fixed size. A token's log-probability is
+then a product of two vectors and a look-up.
 
 The ``frequent`` most frequent words travel to the workers with their counts (a bounded table). The
 counts of all other words are met by a join on the word; no word among them is frequent enough to
@@ -33,7 +36,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haltbook.llm.common import Generations, stored
@@ -42,6 +45,10 @@ END = b""
 SHARED = 512
 
 
+def class_of(word: str) -> int:
+    return zlib.crc32(word[-3:].encode()) % SHARED
+
+
 @dataclass
 class Words:
     """What the workers know about words: place, class and count of the frequent ones."""
@@ -50,18 +57,23 @@ class Words:
     kind: np.ndarray
     count: np.ndarray
     own: int
+    targets: int
     total: int
     types: int
     discount: float
     class_tokens: np.ndarray
     class_types: np.ndarray
 
-    @property
-    def classes(self) -> int:
-        return self.own + SHARED
-
     def shared(self, word: bytes) -> int:
-        return self.own + zlib.crc32(word.decode()[-3:].encode()) % SHARED
+        return self.targets + class_of(word.decode())
+
+    def contexts(self) -> np.ndarray:
+        """The context class of each target."""
+        out = np.concatenate([np.arange(self.targets), self.own + np.arange(SHARED)])
+        for word, i in self.place.items():
+            if self.own <= i < self.targets:
+                out[i] = self.own + class_of(word.decode())
+        return out
 
     def base(self, count):
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.types + 1)))
@@ -70,14 +82,14 @@ class Words:
         """log10 of each frequent word's probability in its class."""
         if not len(self.kind):
             return np.zeros(0)
-        return np.where(self.kind < self.own, 0.0, np.log10((self.count - self.discount) / np.maximum(self.class_tokens[self.kind], 1e-9)))
+        return np.where(self.kind < self.targets, 0.0, np.log10((self.count - self.discount) / np.maximum(self.class_tokens[self.kind], 1e-9)))
 
     def places(self, tokens: list[bytes]) -> np.ndarray:
         """Place of each token, -1 for words that are not frequent."""
         return np.array(list(map(self.place.get, tokens, repeat(-1))), np.int64)
 
     def kinds(self, tokens: list[bytes], places: np.ndarray, known: Generations) -> np.ndarray:
-        """Classes of the tokens, after the two end classes that begin every text."""
+        """Targets of the tokens, after the two ends that begin every text."""
         end = self.place.get(END)
         first = self.kind[end] if end is not None else self.shared(END)
         out = np.empty(len(tokens) + 2, np.int64)
@@ -107,55 +119,52 @@ class Bilinear:
     bias: np.ndarray
 
     @classmethod
-    def start(cls, share: np.ndarray, size: int) -> Bilinear:
+    def start(cls, share: np.ndarray, contexts: int, size: int) -> Bilinear:
         rng = np.random.default_rng(0)
-        n = len(share)
-        small = [rng.normal(0, 0.1, (n, size)).astype("f4") for _ in range(2)]
+        context, target = (rng.normal(0, 0.1, (n, size)).astype("f4") for n in (contexts, len(share)))
         eye = np.stack([np.eye(size, dtype="f4")] * 2)
-        return cls(small[0], small[1], eye, np.log(share).astype("f4"))
+        return cls(context, target, eye, np.log(share).astype("f4"))
 
     def arrays(self) -> list[np.ndarray]:
         return [self.context, self.target, self.places, self.bias]
 
     def rows(self) -> np.ndarray:
-        """All parameters as rows of one width."""
-        size = self.context.shape[1]
-        flat = np.concatenate([x.ravel() for x in self.arrays()])
-        return np.pad(flat, (0, -len(flat) % size)).reshape(-1, size)
+        """All parameters as rows: contexts, targets with their bias at the end, places."""
+        wide = [np.pad(self.context, ((0, 0), (0, 1))), np.hstack([self.target, self.bias[:, None]]), np.pad(self.places.reshape(-1, self.places.shape[-1]), ((0, 0), (0, 1)))]
+        return np.concatenate(wide)
 
     def from_rows(self, rows: np.ndarray) -> Bilinear:
-        flat, out, at = rows.astype("f4").ravel(), [], 0
-        for x in self.arrays():
-            out.append(flat[at : at + x.size].reshape(x.shape))
-            at += x.size
-        return Bilinear(*out)
+        n, m = len(self.context), len(self.context) + len(self.target)
+        rows = rows.astype("f4")
+        return Bilinear(rows[:n, :-1].copy(), rows[n:m, :-1].copy(), rows[m:, :-1].reshape(self.places.shape), rows[n:m, -1].copy())
 
 
-def _sum_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, values.shape[1]), "f4")
-    order = np.argsort(index.astype(np.uint16) if n < 65536 else index, kind="stable")
+def sum_by(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct indices, sums of their values)."""
+    order = np.argsort(index.astype(np.uint16) if index.max() < 65536 else index, kind="stable")
     ranked = index[order]
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    out[ranked[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+    return ranked[first], np.add.reduceat(values[order], first, axis=0)
 
 
 class Trainer:
-    """Noise-contrastive estimation with noise shared by a batch, adaptive step sizes."""
+    """Noise-contrastive estimation with noise shared by a batch, adaptive step sizes. Only the vectors
+    that a batch meets are touched; ``met`` counts how often."""
 
-    def __init__(self, model: Bilinear, share: np.ndarray, rate: float, noise: int, seed: int, batch: int = 4096):
+    def __init__(self, model: Bilinear, share: np.ndarray, contexts: np.ndarray, rate: float, noise: int, batch: int = 4096):
         self.m = Bilinear(*(x.copy() for x in model.arrays()))
-        self.rate, self.noise, self.batch = rate, noise, batch
-        self.rng = np.random.default_rng(seed)
+        self.contexts, self.rate, self.noise, self.batch = contexts, rate, noise, batch
+        self.rng = np.random.default_rng(0)
         self.log_noise = np.log(noise * share).astype("f4")
         self.steps = np.cumsum(share)
         self.squares = [np.full(x.shape, 1e-2, "f4") for x in self.m.arrays()]
+        self.met = [np.zeros(len(self.m.context), np.int64), np.zeros(len(self.m.target), np.int64)]
         self.waiting: list[np.ndarray] = []
         self.held = 0
         self.seen = 0
 
     def add(self, kinds: np.ndarray) -> None:
-        """One text's classes; its context begins with two end classes (class of END first)."""
+        """One text's targets, after two ends."""
         self.waiting.append(kinds)
         self.held += len(kinds) - 2
         if self.held >= 16 * self.batch:
@@ -168,12 +177,17 @@ class Trainer:
         order = self.rng.permutation(len(w))
         for at in range(0, len(w), self.batch):
             pick = order[at : at + self.batch]
-            self.step(a[pick], b[pick], w[pick])
+            self.step(self.contexts[a[pick]], self.contexts[b[pick]], w[pick])
         self.waiting, self.held = [], 0
 
+    def climb(self, k: int, at, gradient: np.ndarray) -> None:
+        x, s = self.m.arrays()[k], self.squares[k]
+        s[at] += gradient * gradient
+        x[at] += self.rate * gradient / np.sqrt(s[at])
+
     def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
-        m, n = self.m, len(self.m.bias)
-        noise = np.minimum(np.searchsorted(self.steps, self.rng.random(self.noise)), n - 1)
+        m = self.m
+        noise = np.minimum(np.searchsorted(self.steps, self.rng.random(self.noise)), len(m.bias) - 1)
         ca, cb = m.context[a], m.context[b]
         h = ca @ m.places[0] + cb @ m.places[1]
         tw, tn = m.target[w], m.target[noise]
@@ -183,35 +197,69 @@ class Trainer:
         down = -1 / (1 + np.exp(-np.clip(neg, -30, 30)))
         gh = up[:, None] * tw + down @ tn
         scale = np.float32(1 / len(w))
-        target = _sum_by(w, up[:, None] * h, n)
-        np.add.at(target, noise, down.T @ h)
-        bias = np.bincount(w, up, n).astype("f4")
-        np.add.at(bias, noise, down.sum(0))
-        context = _sum_by(a, gh @ m.places[0].T, n) + _sum_by(b, gh @ m.places[1].T, n)
-        places = np.stack([ca.T @ gh, cb.T @ gh])
-        for x, g, s in zip(m.arrays(), (context, target, places, bias), self.squares, strict=True):
-            g *= scale
-            s += g * g
-            x += self.rate * g / np.sqrt(s)
+        pull = np.hstack([np.concatenate([up[:, None] * h, down.T @ h]), np.concatenate([up, down.sum(0)])[:, None]])
+        targets, pull = sum_by(np.concatenate([w, noise]), pull * scale)
+        contexts, push = sum_by(np.concatenate([a, b]), np.concatenate([gh @ m.places[0].T, gh @ m.places[1].T]) * scale)
+        places = np.stack([ca.T @ gh, cb.T @ gh]) * scale
+        self.climb(0, contexts, push)
+        self.climb(1, targets, pull[:, :-1])
+        self.climb(2, slice(None), places)
+        self.climb(3, targets, pull[:, -1])
+        self.met[0][contexts] += 1
+        self.met[1][targets] += 1
         self.seen += len(w)
 
+    def weights(self) -> np.ndarray:
+        """How often each of the model's rows was touched."""
+        return np.concatenate([*self.met, np.full(self.m.places.shape[0] * self.m.places.shape[1], self.seen)])
+
+
+def normalisers(model: Bilinear, rows: np.ndarray, block: int = 2048) -> np.ndarray:
+    """log Z of the given context classes, as the nearer to the start, and all classes: natural logs."""
+    left = model.context[rows] @ model.places[0]
+    right = model.context @ model.places[1]
+    high, low = np.full(len(left), -np.inf, "f4"), np.full(len(right), -np.inf, "f4")
+    for at in range(0, len(model.bias), block):
+        t, b = model.target[at : at + block], model.bias[at : at + block]
+        high, low = np.maximum(high, (left @ t.T).max(1)), np.maximum(low, (right @ t.T + b).max(1))
+    total = np.zeros((len(left), len(right)))
+    for at in range(0, len(model.bias), block):
+        t, b = model.target[at : at + block], model.bias[at : at + block]
+        total += np.exp(left @ t.T - high[:, None]) @ np.exp(right @ t.T + b - low[:, None]).T
+    return np.log(np.maximum(total, 1e-37)) + high[:, None] + low
+
+
+def all_normalisers(spark: SparkSession, model: Bilinear, step: int = 128) -> np.ndarray:
+    """The square table of log Z, its rows dealt to tasks; its size depends on the number of context
+    classes only."""
+    shared, n = spark.sparkContext.broadcast(model), len(model.context)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                z = normalisers(shared.value, np.arange(first, min(n, first + step))).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([z.tobytes()], pa.binary())], names=["first", "z"])
+
+    parts = spark.range(0, n, step, -(-n // step)).mapInArrow(task, "first long, z binary").collect()
+    return np.concatenate([np.frombuffer(r.z, "<f4").reshape(-1, n) for r in sorted(parts)])
+
 
 class Scorer:
-    def __init__(self, words: Words, model: Bilinear):
-        self.words = words
-        left = (model.context @ model.places[0]) @ model.target.T
-        right = (model.context @ model.places[1]) @ model.target.T + model.bias
-        high, low = left.max(1, keepdims=True), right.max(1, keepdims=True)
-        total = np.exp(left - high) @ np.exp(right - low).T  # all pairs of context classes at once
-        self.left, self.right = left - high, right - low
-        self.normal = np.log(np.maximum(total, 1e-37))
+    def __init__(self, words: Words, model: Bilinear, normal: np.ndarray):
+        self.words, self.normal, self.target, self.bias = words, normal, model.target, model.bias
+        self.left, self.right = model.context @ model.places[0], model.context @ model.places[1]
+        self.contexts = words.contexts()
         self.frequent_base, self.frequent_inside = words.base(words.count), words.inside()
         self.known = Generations(250_000)
 
     def log10(self, kinds: np.ndarray) -> float:
-        """log10 probability of a class sequence; kinds has the two leading end classes."""
-        a, b, w = kinds[:-2], kinds[1:-1], kinds[2:]
-        return float((self.left[a, w] + self.right[b, w] - self.normal[a, b]).sum(dtype=float)) / np.log(10)
+        """log10 probability of a sequence of targets, after two ends."""
+        near = self.contexts[kinds[:-1]]
+        a, b, w, total = near[:-1], near[1:], kinds[2:], 0.0
+        for at in range(0, len(w), 1 << 15):  # bounds what a very long text gathers at once
+            i, j, k = (x[at : at + (1 << 15)] for x in (a, b, w))
+            total += float((np.einsum("ij,ij->i", self.left[i] + self.right[j], self.target[k]) + self.bias[k] - self.normal[i, j]).sum(dtype=float))
+        return total / np.log(10)
 
 
 _scorers: dict = {}
@@ -242,7 +290,7 @@ def shared_class(word) -> F.Column:
     return (F.crc32(F.encode(F.right(word, F.lit(3)), "UTF-8")) % SHARED).cast("int")
 
 
-def know_words(counts: DataFrame, own: int, frequent: int) -> Words:
+def know_words(counts: DataFrame, own: int, targets: int, frequent: int) -> Words:
     """Only words above a count that leaves at most ``frequent`` of them come to the driver."""
     total = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     level = F.floor(F.log2("c") * 16).cast("int")  # some hundred levels of counts
@@ -255,27 +303,30 @@ def know_words(counts: DataFrame, own: int, frequent: int) -> Words:
             break
     top = counts.where(level >= least).toLocalIterator()
     top = sorted(((r.word, r.c) for r in top), key=lambda r: (-r[1], r[0]))
-    tokens, types = np.zeros(own + SHARED), np.zeros(own + SHARED)
+    targets = min(targets, len(top))
+    tokens, types = np.zeros(targets + SHARED), np.zeros(targets + SHARED)
     for r in counts.groupBy(shared_class("word").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        tokens[own + r.k], types[own + r.k] = r.n, r.v
+        tokens[targets + r.k], types[targets + r.k] = r.n, r.v
     kind = np.zeros(len(top), np.int64)
     for i, (word, c) in enumerate(top):
-        kind[i] = own + zlib.crc32(word[-3:].encode()) % SHARED
-        if i < own:
+        kind[i] = targets + class_of(word)
+        if i < targets:
             tokens[kind[i]] -= c
             types[kind[i]] -= 1
             tokens[i] = c
             kind[i] = i
     place = {word.encode(): i for i, (word, _) in enumerate(top)}
     discount = total[2] / (total[2] + 2 * total[3]) if total[2] and total[3] else 0.5
-    return Words(place, kind, np.array([c for _, c in top], np.int64), own, total[0] or 0, total[1], discount, tokens, types)
+    return Words(place, kind, np.array([c for _, c in top], np.int64), own, targets, total[0] or 0, total[1], discount, tokens, types)
 
 
-def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int, rate: float) -> Bilinear:
-    """The model from the training rows of (doc_id, text binary, held_out)."""
+def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int, warm_tokens: int, rate: float) -> Bilinear:
+    """The model from the training rows of (doc_id, text binary, held_out). The warm start takes training
+    texts in the order of a hash of id and text until it has ``warm_docs`` of them or ``warm_tokens``
+    tokens; what the model is then depends on how Spark deals the rows to tasks, as averaging does."""
     spark = docs.sparkSession
     share = (words.class_tokens + 0.5) / (words.class_tokens + 0.5).sum()
-    model = Bilinear.start(share, size)
+    model = Bilinear.start(share, words.own + SHARED, size)
     if not words.total:
         return model
     known_words = spark.sparkContext.broadcast(words)
@@ -284,39 +335,47 @@ def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int,
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, known = known_words.value, Generations(250_000)
         for batch in batches:
-            texts = map(tokens_of, batch.column(0).to_pylist())
-            rows = [lexicon.kinds(t, lexicon.places(t), known).astype("<u2").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["kinds"])
+            texts = map(tokens_of, batch.column(1).to_pylist())
+            rows = [lexicon.kinds(t, lexicon.places(t), known).astype("<i4").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["at", "kinds"])
 
     ends = words.place.get(END)
     share_of_docs = warm_docs / max(1, int(words.count[ends]) if ends is not None else 1)  # END closes each training text
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, share_of_docs) * (1 << 30))
-    sample = training.where(drawn).select("text").limit(2 * warm_docs)
-    trainer = Trainer(model, share, rate, noise, 0)
-    found = [np.frombuffer(r.kinds, "<u2").astype(np.int64) for r in sample.mapInArrow(classes, "kinds binary").collect()]
+    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    drawn = training.select(at.alias("at"), "text").where(F.col("at") < int(min(1.0, 1.2 * share_of_docs) * (1 << 30)))
+    found, held = [], 0
+    contexts = words.contexts()
+    trainer = Trainer(model, share, contexts, rate, noise)
+    for r in drawn.orderBy("at").limit(warm_docs).mapInArrow(classes, "at long, kinds binary").orderBy("at").toLocalIterator():
+        found.append(np.frombuffer(r.kinds, "<i4").astype(np.int64))
+        held += len(found[-1])
+        if held > warm_tokens:
+            break
     for _ in range(2):
         for k in found:
             trainer.add(k)
         trainer.flush()
-    shared = spark.sparkContext.broadcast((trainer.m, share))
+    shared = spark.sparkContext.broadcast((trainer.m, share, contexts))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        warm, of = shared.value
-        own = Trainer(warm, of, rate / 3, noise, TaskContext.get().partitionId())
+        warm, of, near = shared.value
+        own = Trainer(warm, of, near, rate / 3, noise)
         lexicon, known = known_words.value, Generations(250_000)
         for batch in batches:
             for t in map(tokens_of, batch.column(0).to_pylist()):
                 own.add(lexicon.kinds(t, lexicon.places(t), known))
         own.flush()
-        if own.seen:
-            rows = own.m.rows().astype("f8")
-            columns = [pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), own.seen)), *(pa.array(c) for c in rows.T * own.seen)]
+        weight = own.weights()
+        rows = np.flatnonzero(weight)
+        if len(rows):
+            moved = own.m.rows()[rows].astype("f8").T * weight[rows]
+            columns = [pa.array(rows), pa.array(weight[rows]), *(pa.array(c) for c in moved)]
             yield pa.RecordBatch.from_arrays(columns, names=["at", "n", *names])
 
-    names = [f"p{i}" for i in range(size)]
+    names = [f"p{i}" for i in range(size + 1)]
     parts = training.select("text").mapInArrow(refine, "at long, n long, " + ", ".join(f"{p} double" for p in names))
     mean = parts.groupBy("at").agg(*((F.sum(p) / F.sum("n")).alias(p) for p in names)).collect()
-    rows = trainer.m.rows().astype("f8")
+    rows = trainer.m.rows()
     for r in mean:
         rows[r["at"]] = r[1:]
     return trainer.m.from_rows(rows)
@@ -325,10 +384,12 @@ def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int,
 def score_documents(
     docs: DataFrame,
     own: int = 1536,
+    targets: int = 20_000,
     frequent: int = 100_000,
     size: int = 32,
     noise: int = 64,
     warm_docs: int = 3_000,
+    warm_tokens: int = 3_000_000,
     rate: float = 0.15,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -338,16 +399,16 @@ def score_documents(
     held = F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string")) % 5 == 1, F.lit(False))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"), held.alias("held_out"))
     counts = stored(count_words(slim), "words")
-    words = know_words(counts, own, frequent)
-    model = train(slim, words, size, noise, warm_docs, rate)
-    shared = spark.sparkContext.broadcast((words, model))
+    words = know_words(counts, own, targets, frequent)
+    model = train(slim, words, size, noise, warm_docs, warm_tokens, rate)
+    shared = spark.sparkContext.broadcast((words, model, all_normalisers(spark, model)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, bilinear = shared.value
+        lexicon = shared.value[0]
         key = id(lexicon)
         if key not in _scorers:
             _scorers.clear()
-            _scorers[key] = Scorer(lexicon, bilinear)
+            _scorers[key] = Scorer(*shared.value)
         scorer = _scorers[key]
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -368,7 +429,7 @@ def score_documents(
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<string>, times array<int>"
     part = stored(slim.select("doc_id", "held_out", "text").mapInArrow(task, schema), "scores")
-    kinds = [(k - own, float(words.class_tokens[k]), float(words.class_types[k])) for k in range(own, own + SHARED)]
+    kinds = [(k, float(words.class_tokens[words.targets + k]), float(words.class_types[words.targets + k])) for k in range(SHARED)]
     of_class = F.broadcast(spark.createDataFrame(kinds, "k int, class_n double, class_v double"))
     rare = part.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     met = rare.join(counts, "word", "left").withColumn("k", shared_class("word")).join(of_class, "k")

@@ -267,6 +267,7 @@ def mask(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Dat
     overlapping spans become one. A null text stays null."""
     t = F.col(text_col)
     marked = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(base_spans(F.coalesce(t, F.lit(""))).alias("base"), candidates(F.coalesce(t, F.lit(""))).alias("cand")).alias("__found"))
+    marked = stored(marked, "found")  # spans are searched once, for the fit and for the mask
     weights = fit(marked.select("__found.cand"))
     f = F.col("__found")
 
