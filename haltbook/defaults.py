@@ -27,6 +27,8 @@ TODAY_MARKER = "сегодня"
 TEST_MARKERS = ["тестовый", "прокат"]
 TEST_PREFIX = "[Тест] "
 NO_STOPS = "работал без остановок"
+#: Fixed value: the line of an export without notices.
+EMPTY_RANGE = "# Нет сообщений за выбранный диапазон дат."
 MECHANIC_PHRASES = [
     ("механик на месте", "Механик на месте"),
     ("механик в пути", "Механик в пути"),

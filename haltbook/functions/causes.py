@@ -55,14 +55,14 @@ def stop_cause(quote, reason, rationale, rules: Rules | None = None) -> Column:
 
     def said(x: Column) -> Column:
         own = (x != "") & (contains_any(F.lower(x), r.technical) | ~contains_any(F.lower(x), r.generic))
-        return F.when(own, clean_reason(x, r)).otherwise("")
+        return F.when(own, clean_reason(x, r))  # may be blank, which E11 rejects
 
     def ladder(j: Column) -> Column:
         phrase = F.lit(r.default)
         for marker, text in reversed(r.phrases):
             phrase = F.when(F.contains(j, F.lit(marker)), text).otherwise(phrase)
         excluded = contains_any(j, r.weather) | visitor_incident(j, r) | ~contains_any(j, r.technical)
-        return F.when(~excluded, let(specific, _unless_blank(let(reason, lambda x: let(said(x), _unless_blank(phrase))))))
+        return F.when(~excluded, let(specific, _unless_blank(let(reason, lambda x: F.coalesce(said(x), phrase)))))
 
     return let(joined, ladder)
 

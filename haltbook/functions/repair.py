@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from haltbook import defaults as D
+from haltbook.functions.timecols import let
 
 
 def occurrences(c, marker: str) -> Column:
@@ -59,7 +60,7 @@ def repair_best(c, codepages=None, markers=None, weight: int = D.DAMAGE_SCORES["
         )
         return F.when(text.isNotNull(), score)
 
-    options = F.array(ranked(c, 0), *(ranked(recode(c, p), k + 1) for k, p in enumerate(codepages)))
+    options = F.array(ranked(c, 0), *(let(recode(c, p), lambda text, k=k: ranked(text, k + 1)) for k, p in enumerate(codepages)))
     best = F.array_min(F.filter(options, lambda x: x.isNotNull()))["text"]
     return F.when(damage(c, markers, weight, box) > 0, best).otherwise(c)
 

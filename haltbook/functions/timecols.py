@@ -13,8 +13,9 @@ DAY = 86400
 
 
 def squash(c) -> Column:
-    """Runs of white space become one space; none at the ends (M1)."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space, no-break spaces and byte-order marks among them, become one space; none at
+    the ends (M1)."""
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x{FEFF}]+", " "))
 
 
 def let(value, body) -> Column:

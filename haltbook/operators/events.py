@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from haltbook import defaults as D
 from haltbook.functions.timecols import blank_to_null, contains_any
+from haltbook.operators.assets import small
 from haltbook.operators.pairing import INFO, START, STOP, TEST
 
 KEY = ("date", "message_index")
@@ -54,7 +55,7 @@ def rule_starts(events: DataFrame, notices: DataFrame, aliases: DataFrame, marke
     either = "|".join(re.escape(m) for m in markers)
     marked = notices.select(*key, "time", "text").where(contains_any(F.lower("text"), markers))
     escaped = F.regexp_replace(F.lower("alias"), r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
-    names = F.broadcast(aliases.where(F.length("alias") > 0).select("name", F.concat(F.lit("(?iuUs)"), escaped, F.lit(f".{{0,{reach}}}\\b(?:{either})")).alias("__p")))
+    names = small(aliases.where(F.length("alias") > 0).select("name", F.concat(F.lit("(?iuUs)"), escaped, F.lit(f".{{0,{reach}}}\\b(?:{either})")).alias("__p")))
     hits = marked.join(names, F.rlike(F.lower("text"), F.col("__p"))).select(*key, "name", "time", "text").distinct()
     have = events.where(F.col("event_type") == START).select(*key, F.col("attraction").alias("name")).distinct()
     new = hits.join(have, [*key, "name"], "left_anti")
@@ -108,3 +109,20 @@ def rejects(marked: DataFrame) -> DataFrame:
 def accepted(marked: DataFrame) -> DataFrame:
     """The complement, which goes to pairing."""
     return marked.where("not rejected").drop("rejected", "quarantine_reason")
+
+
+def normalize_events(events: DataFrame, notices: DataFrame, aliases: DataFrame | None = None, key: Sequence[str] = KEY, **options) -> DataFrame:
+    """The deterministic steps from raw events to those that are judged and paired: E1, E2, E4, E7, E5
+    (with ``aliases``), E6. Options: future, today, tests, starts, quotes (marker lists)."""
+    got = drop_future(events, notices, options.get("future"), options.get("today", D.TODAY_MARKER), key)
+    got = override_tests(drop_test_conflicts(fill_times(got, notices, key), key), options.get("tests"))
+    if aliases is not None:
+        got = rule_starts(got, notices, aliases, options.get("starts"), key=key)
+    return enrich_stops(got, notices, options.get("quotes"), key=key)
+
+
+def stored_events(docs: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:
+    """The events that day documents hold (S15): raw_events, or events where those are none or empty.
+    They go through ``normalize_events`` again."""
+    has = F.coalesce(F.size("raw_events") > 0, F.lit(False))
+    return docs.select(*keys, F.explode(F.when(has, F.col("raw_events")).otherwise(F.col("events"))).alias("__e")).select(*keys, "__e.*")

@@ -45,9 +45,10 @@ def with_islands(events: DataFrame, day: Sequence[str] = ("date",)) -> tuple[Dat
     return islands.where("island > 0").drop("opens"), closers
 
 
-def pair_incidents(events: DataFrame, day: Sequence[str] = ("date",), extra: Sequence[str] = ()) -> DataFrame:
+def pair_incidents(events: DataFrame, day: Sequence[str] = ("date",), extra: Sequence[str] = (), stops: Column | None = None) -> DataFrame:
     """One row per incident (P1, P2): ``day``, attraction, incident, stop_s, start_s, n_stops,
-    closed_by, and stop_/start_/test_ structs with the ``extra`` columns of the deciding events."""
+    closed_by, and stop_/start_/test_ structs with the ``extra`` columns of the deciding events.
+    With ``stops``, this value of all its stops as a sorted array."""
     islands, closers = with_islands(events, day)
     picked = F.struct(F.col("ord"), F.col("time_s"), *(F.col(c) for c in extra))
     kind, timed = F.col("event_type"), F.col("time_s").isNotNull()
@@ -57,6 +58,7 @@ def pair_incidents(events: DataFrame, day: Sequence[str] = ("date",), extra: Seq
         F.min(F.when((kind == TEST) & timed, picked)).alias("test"),
         F.max(F.when((kind == TEST) & ~timed, picked)).alias("untimed"),
         F.count_if(kind == STOP).alias("n_stops"),
+        *([F.sort_array(F.collect_list(F.when(kind == STOP, stops))).alias("stops")] if stops is not None else []),
     )
     last = F.max("island").over(Window.partitionBy(*day, "attraction", "epoch")) == F.col("island")
     closing = closers.select(*(F.col(c).alias(f"g_{c}") for c in day), F.col("epoch").alias("g_epoch"), picked.alias("general"))
@@ -77,6 +79,7 @@ def pair_incidents(events: DataFrame, day: Sequence[str] = ("date",), extra: Seq
         F.col("n_stops").cast("long").alias("n_stops"),
         how.alias("closed_by"),
         "epoch", "island", "stop", closer.alias("closer"), F.when(closer.isNull(), F.col("untimed")).alias("tried"),
+        *(["stops"] if stops is not None else []),
     )
 
 
@@ -102,13 +105,9 @@ def _append(acc: Column, text: Column) -> Column:
 def incident_detail(events: DataFrame, day: Sequence[str] = ("date",), test_prefix: str = D.TEST_PREFIX) -> DataFrame:
     """Folded reasons, notes, sources and evidence, and the closing event's part."""
     extra = ("message_index", "event_seq", "quote")
-    incidents = pair_incidents(events, day, extra)
-    islands, _ = with_islands(events, day)
-    keys = [*day, "attraction", "epoch", "island"]
     text = F.trim(F.coalesce("quote", F.lit("")))
-    stops = islands.where(F.col("event_type") == STOP).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("ord", "message_index", "event_seq", text.alias("quote"), F.coalesce("reason", F.lit("")).alias("reason")))).alias("s")
-    )
+    stop = F.struct("ord", "message_index", "event_seq", text.alias("quote"), F.coalesce("reason", F.lit("")).alias("reason"))
+    incidents = pair_incidents(events, day, extra, stop).withColumnRenamed("stops", "s")
     closer = F.coalesce("closer", "tried")
     shown = F.trim(F.coalesce(closer["quote"], F.lit("")))
     by_test = closer.isNotNull() & (F.coalesce("closed_by", F.lit(TEST)) == TEST)
@@ -117,7 +116,7 @@ def incident_detail(events: DataFrame, day: Sequence[str] = ("date",), test_pref
     refs = F.array_distinct(F.transform("s", lambda x: F.concat(F.lit("#"), x["message_index"].cast("string"))))
     closing_ref = F.when(closer.isNotNull() & ~by_test, F.array(F.concat(F.lit("#"), closer["message_index"].cast("string")))).otherwise(F.array().cast("array<string>"))
     closing_quote = F.when(closer.isNotNull() & ~by_test & (shown != ""), F.array(shown)).otherwise(F.array().cast("array<string>"))
-    return incidents.join(stops, keys).select(
+    return incidents.select(
         *day, "attraction", "incident", "stop_s", "start_s", "closed_by",
         reasons.alias("reason"),
         F.array_join(quotes, "; ").alias("note"),

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haltbook import defaults as D
 from haltbook.functions.timecols import as_date, blank_to_null, parse_clock
 from haltbook.operators.assets import normalize_asset
 from haltbook.operators.notices import in_range, order_notices
@@ -41,14 +44,14 @@ def write_stop_log(df: DataFrame, path: str) -> None:
     dated.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
 
 
-def replace_dates(df: DataFrame, path: str, dates: DataFrame) -> str:
+def replace_dates(df: DataFrame, path: str, dates: DataFrame, to: str | None = None) -> str:
     """Replaces all rows of the given dates, also of those that now have none (S6). Dynamic partition
     overwrite would keep emptied dates and cannot read what it writes, so a new snapshot folder is
-    written beside the old one and its path returned."""
+    written beside the old one (or to ``to``) and its path returned."""
     spark = df.sparkSession
     old = read_stop_log(spark, path)
     kept = old.join(dates.select(F.col("date").alias("__d")).distinct(), F.col("date") == F.col("__d"), "left_anti")
-    snapshot = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    snapshot = to or f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     write_stop_log(kept.unionByName(df, allowMissingColumns=True), snapshot)
     return snapshot
 
@@ -63,15 +66,20 @@ def write_quarantine(df: DataFrame, path: str) -> bool:
     return True
 
 
-def day_docs(notices: DataFrame, events: DataFrame, rows: DataFrame) -> DataFrame:
-    """One document per date: notices, events and rows as sorted arrays, and their counts."""
+def day_docs(
+    notices: DataFrame, events: DataFrame, rows: DataFrame, raw_events: DataFrame | None = None, quarantine: DataFrame | None = None, keys: Sequence[str] = ("date",)
+) -> DataFrame:
+    """One document per date (or finer ``keys``): notices, events, rows and, where given, raw events and
+    rejected events as sorted arrays, and their counts (S9)."""
 
-    def packed(df: DataFrame, name: str, order: str) -> DataFrame:
-        own = F.struct(order, *(c for c in df.columns if c not in ("date", order)))
-        return df.groupBy("date").agg(F.sort_array(F.collect_list(own)).alias(name))
+    def packed(df: DataFrame, order: str, name: str) -> DataFrame:
+        own = F.struct(order, *(c for c in df.columns if c not in (*keys, order)))
+        return df.groupBy(*keys).agg(F.sort_array(F.collect_list(own)).alias(name))
 
-    out = packed(notices, "messages", "pos").join(packed(events, "events", "event_seq"), "date", "full").join(packed(rows, "rows", "incident"), "date", "full")
-    count = {f"n_{c}": F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) for c in ("messages", "events", "rows")}
+    parts = [(notices, "pos", "messages"), (events, "event_seq", "events"), (rows, "incident", "rows"), (raw_events, "event_seq", "raw_events"), (quarantine, "event_seq", "quarantine")]
+    given = [packed(*p) for p in parts if p[0] is not None]
+    out = reduce(lambda a, b: a.join(b, list(keys), "full"), given)
+    count = {f"n_{p[2]}": F.greatest(F.coalesce(F.size(p[2]), F.lit(0)), F.lit(0)) for p in parts if p[0] is not None}
     return out.withColumns(count)
 
 
@@ -82,13 +90,20 @@ def write_day_docs(docs: DataFrame, path: str) -> None:
 def month_doc(docs: DataFrame) -> DataFrame:
     """One document per month with its days and all their rows (S10); offered for parity, the flat
     tables are the normal form."""
-    return docs.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(
-        F.sort_array(F.collect_list("date")).alias("dates"),
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("date", "rows"))), lambda x: F.coalesce(x["rows"], F.expr("array()").cast(docs.schema["rows"].dataType)))).alias("rows"),
-        F.sum("n_messages").cast("long").alias("n_messages"),
-        F.sum("n_events").cast("long").alias("n_events"),
-        F.sum("n_rows").cast("long").alias("n_rows"),
-    )
+
+    def joined(name: str) -> Column:
+        none = F.expr("array()").cast(docs.schema[name].dataType)
+        return F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("date", name))), lambda x: F.coalesce(x[name], none))).alias(name)
+
+    lists = [c for c in ("rows", "quarantine") if c in docs.columns]
+    counts = [c for c in docs.columns if c.startswith("n_")]
+    return docs.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.sort_array(F.collect_list("date")).alias("dates"), *map(joined, lists), *(F.sum(c).cast("long").alias(c) for c in counts))
+
+
+def month_rows(docs: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows (or rejected events) of all days as a flat table with its month, for months that are too
+    large for one document."""
+    return docs.select(F.date_format("date", "yyyy-MM").alias("month"), "date", F.explode(name).alias("__x")).select("month", "date", "__x.*")
 
 
 def export_chat(notices: DataFrame, chat_key: str, start: str | None = None, end: str | None = None, exported_at: str = "") -> DataFrame:
@@ -106,9 +121,18 @@ def export_line() -> Column:
     return F.concat(F.when(header != "", F.concat(F.lit("["), header, F.lit("] "))).otherwise(""), F.coalesce("text", F.lit("")))
 
 
-def text_export(notices: DataFrame) -> DataFrame:
-    """One line per notice, in order."""
-    return order_notices(notices).select(export_line().alias("value"))
+def text_export(notices: DataFrame, prompt: str | None = None, header: bool = False) -> DataFrame:
+    """One line per notice, in order (S12). With ``header`` or a prompt the header's lines come first;
+    without any notice, a line that says so stands in their place."""
+    if prompt is None and not header:
+        return order_notices(notices).select(export_line().alias("value"))
+    spark, head = notices.sparkSession, text_header(prompt)
+    if notices.isEmpty():
+        return spark.createDataFrame([(x,) for x in [*head[:-1], D.EMPTY_RANGE]], "value string")
+    before = spark.createDataFrame([(k, x) for k, x in enumerate(head)], "__at long, value string")
+    first = [F.coalesce(F.col("date").cast("string"), F.lit("")).alias("__d"), F.coalesce("time", F.lit("")).alias("__t"), F.col("pos").alias("__p")]
+    lines = notices.select(F.lit(len(head)).cast("long").alias("__at"), export_line().alias("value"), *first)
+    return before.unionByName(lines, allowMissingColumns=True).orderBy("__at", "__d", "__t", "__p").select("value")
 
 
 def text_header(prompt: str | None = None) -> list[str]:
