@@ -147,13 +147,10 @@ def ledger(grid: DataFrame, incidents: DataFrame, hours: DataFrame) -> DataFrame
 
 
 def ledger_wide(long: DataFrame, names: list[str]) -> DataFrame:
-    """Four columns per attraction and two for the park (D12). The pivot's values are given."""
-    keys = ["date", "kind", "slot"]
-    wide = long.groupBy(*keys).pivot("attraction", names).agg(
-        F.first("stop_s", True).alias("stop_s"), F.first("start_s", True).alias("start_s"), F.first("downtime_s", True).alias("downtime_s"), F.first("stops", True).alias("stops")
-    )
-    park = long.groupBy(*keys).agg(F.sum("downtime_s").alias("park_downtime_s"), F.sum("stops").alias("park_stops"))
-    return wide.join(park, keys)
+    """Four columns per attraction and two for the park (D12), all in one aggregate."""
+    values = ("stop_s", "start_s", "downtime_s", "stops")
+    cells = [F.max(F.when(F.col("attraction") == n, F.col(c))).alias(f"{n}_{c}") for n in names for c in values]
+    return long.groupBy("date", "kind", "slot").agg(*cells, F.sum("downtime_s").alias("park_downtime_s"), F.sum("stops").alias("park_stops"))
 
 
 def _summary(df: DataFrame, digits: int) -> DataFrame:

@@ -183,3 +183,28 @@ def test_range_and_replace(spark, tmp_path):
     new = tables.replace_dates(log.where("seq = 2").withColumn("seq", F.lit(20).cast("long")), str(tmp_path / "log"), log.where("seq > 1").select("date"))
     assert sorted(r.seq for r in tables.read_stop_log(spark, new).collect()) == [1, 20]
     assert tables.write_quarantine(log.limit(0).withColumn("time", F.lit("")), str(tmp_path / "q")) is False
+
+
+def test_white_space_of_chat_pages(spark):
+    got = column(spark, ["\u00a0a\u00a0\u2003b\ufeff\n", "\u00a0", "x\ty", None], t.squash)
+    assert got == ["a b", "", "x y", None]
+
+
+def test_blank_reason_stays_blank(spark):
+    """A model reason that cleans to nothing is not replaced by a default: E11 rejects it."""
+    rules = causes.Rules(weather=["rain"], technical=["motor"], generic=["unknown"], patterns=[], visitors=[], phrases=[], prefix="^xx", tail="zz.*", default="Unknown cause")
+    got = column(spark, ["...", "unknown", "belt torn"], lambda v: causes.stop_cause(F.lit("motor"), v, F.lit(""), rules))
+    assert got == ["", "Unknown cause", "Belt torn"]
+
+
+def test_empty_export(spark):
+    none = spark.createDataFrame([], "chat_key string, pos long, date date, time string, text string")
+    assert [r.value for r in tables.text_export(none, header=True).collect()] == [D.EMPTY_RANGE]
+    assert [r.value for r in tables.text_export(none, "Say.").collect()] == ["# === PROMPT ===", "Say.", "", D.EMPTY_RANGE]
+    one = spark.createDataFrame([("c", 0, date(2024, 1, 2), "09:00", "hi")], none.schema)
+    assert [r.value for r in tables.text_export(one, header=True).collect()] == ["# === MESSAGES ===", "[2024-01-02 09:00] hi"]
+
+
+def test_day_key_of_stored_events(spark):
+    rows = spark.sql("select date'2024-01-02' as date, cast(array() as array<struct<event_seq:long>>) as raw_events, array(named_struct('event_seq', 5L)) as events union all select date'2024-01-03', array(named_struct('event_seq', 7L)), null")
+    assert sorted((str(r.date), r.event_seq) for r in events.stored_events(rows).collect()) == [("2024-01-02", 5), ("2024-01-03", 7)]
