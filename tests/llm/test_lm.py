@@ -31,15 +31,28 @@ def compare(got, rows):
 
 
 def test_normalised():
-    """Probabilities of all classes after any two classes sum to one."""
+    """Probabilities of all targets after any two sum to one, and so do those of all words and the unknown
+    ones of each class."""
     rng = np.random.default_rng(1)
-    words = lm.Words({}, np.zeros(0, int), np.zeros(0, int), 5, 10, 3, 0.5, np.ones(5 + lm.SHARED), np.ones(5 + lm.SHARED))
-    n = words.classes
-    m = lm.Bilinear(*(rng.normal(0, 0.5, s).astype("f4") for s in ((n, 4), (n, 4), (2, 4, 4), (n,))))
-    s = lm.Scorer(words, m)
+    own, targets = 5, 9
+    listed = [b"w%d" % i for i in range(30)]
+    place = {w: i for i, w in enumerate(listed)}
+    count = np.arange(60, 30, -1)
+    kind = np.array([i if i < targets else targets + lm.class_of(w.decode()) for i, w in enumerate(listed)])
+    tokens, types = np.zeros(targets + lm.SHARED), np.zeros(targets + lm.SHARED)
+    np.add.at(tokens, kind, count)
+    np.add.at(types, kind, 1)
+    words = lm.Words(place, kind, count, own, targets, int(count.sum()), 30, 0.5, tokens, types)
+    n, near = targets + lm.SHARED, own + lm.SHARED
+    m = lm.Bilinear(*(rng.normal(0, 0.5, s).astype("f4") for s in ((near, 4), (n, 4), (2, 4, 4), (n,))))
+    s = lm.Scorer(words, m, lm.normalisers(m, np.arange(near), block=64))
     for a, b in ((0, 1), (7, 7), (300, 2)):
-        total = sum(10 ** s.log10(np.array([a, b, w])) for w in range(n))
-        assert total == pytest.approx(1, abs=1e-4)
+        chance = [10 ** s.log10(np.array([a, b, w])) for w in range(n)]
+        assert sum(chance) == pytest.approx(1, abs=1e-4)
+        inside = words.inside()
+        known = sum(chance[k] * 10 ** i for k, i in zip(kind, inside, strict=True))
+        unknown = sum(chance[targets + k] * (0.5 * types[targets + k] / tokens[targets + k] if tokens[targets + k] else 1) for k in range(lm.SHARED))
+        assert known + unknown == pytest.approx(1, abs=1e-4)
 
 
 def test_edges(spark):
@@ -64,7 +77,8 @@ def test_held_out_gain(spark):
 
 
 def test_whole_model(spark, monkeypatch):
-    """The defaults train 32 values a class against 64 noise samples, in batches of 4,096."""
+    """The defaults train 32 values a vector against 64 noise samples, in batches of 4,096; all words of a
+    small vocabulary (here three and the end) are targets."""
     seen, train = [], lm.train
 
     def watched(docs, words, size, noise, *rest):
@@ -74,6 +88,6 @@ def test_whole_model(spark, monkeypatch):
 
     monkeypatch.setattr(lm, "train", watched)
     lm.score_documents(spark.createDataFrame([(2, "a b c"), (4, "a b d")], "doc_id long, text string"))
-    assert seen == [(64, (1536 + lm.SHARED, 32), (1536 + lm.SHARED, 32))]
+    assert seen == [(64, (1536 + lm.SHARED, 32), (5 + lm.SHARED, 32))]
     share = np.full(4, 0.25)
-    assert lm.Trainer(lm.Bilinear.start(share, 2), share, 0.1, 2, 0).batch == 4096
+    assert lm.Trainer(lm.Bilinear.start(share, 3, 2), share, np.zeros(4, int), 0.1, 2).batch == 4096
