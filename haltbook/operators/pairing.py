@@ -9,6 +9,7 @@ every key, so many days and chats are one plan. ``day`` names the columns that k
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,13 +31,16 @@ def with_order(events: DataFrame) -> DataFrame:
 
 
 def with_islands(events: DataFrame, day: Sequence[str] = ("date",)) -> tuple[DataFrame, DataFrame]:
-    """(events of incidents with epoch and island, general starts by epoch)."""
-    keyed = with_order(events).repartition(*day) if len(day) > 1 else with_order(events)
-    by_day = Window.partitionBy(*day).orderBy("ord")
-    general = (F.col("event_type") == GENERAL).cast("int")
-    epochs = keyed.withColumn("epoch", F.sum(general).over(by_day.rowsBetween(Window.unboundedPreceding, 0)) - general)
-    closers = epochs.where(F.col("event_type") == GENERAL)
-    own = epochs.where(F.col("event_type").isin(STOP, START, TEST))
+    """(events of incidents with epoch and island, general starts by epoch). A day's general starts are few:
+    its other events meet them by a join, so no task holds all events of a day."""
+    keyed = with_order(events)
+    general = keyed.where(F.col("event_type") == GENERAL)
+    closers = general.withColumn("epoch", F.row_number().over(Window.partitionBy(*day).orderBy("ord")) - 1)
+    marks = general.groupBy(*(F.col(c).alias(f"__{c}") for c in day)).agg(F.collect_list("ord").alias("__marks"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in day))
+    before = F.size(F.filter("__marks", lambda x: x < F.col("ord")))
+    own = keyed.where(F.col("event_type").isin(STOP, START, TEST)).join(marks, same, "left")
+    own = own.withColumn("epoch", F.when(F.col("__marks").isNull(), 0).otherwise(before)).drop("__marks", *(f"__{c}" for c in day))
     by_asset = Window.partitionBy(*day, "attraction", "epoch").orderBy("ord")
     untimed = (F.col("event_type") == TEST) & F.col("time_s").isNull()
     before = F.last(F.when(~untimed, F.col("event_type")), ignorenulls=True).over(by_asset.rowsBetween(Window.unboundedPreceding, -1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from haltbook.functions import timecols as t
 from haltbook.plans import report, yearly
 from haltbook.plans.register import collector
-from haltbook.plans.views import ASSETS, DAYS, LOG, MONTH, PRIORITIES, YEAR, assets, log, month_log, schedule, year_log
+from haltbook.plans.views import ASSETS, DAYS, LOG, MONTH, PRIORITIES, YEAR, YEAR_DAYS, assets, log, month_log, schedule, year_log
 
 QUERIES, ORACLES, query = collector()
 
@@ -19,8 +19,8 @@ SUMS = "sum(downtime_s)::bigint as downtime_s, sum(stops)::bigint as stops"
 YM = "strftime(date, '%Y-%m')"
 
 
-def year_days(spark, sf_dir):
-    return report.asset_days(year_log(spark, sf_dir))
+def all_days(spark, sf_dir):
+    return report.asset_days(log(spark, sf_dir))
 
 
 def month_grid(spark, sf_dir):
@@ -31,8 +31,8 @@ def month_days(spark, sf_dir):
     return report.on_spine(month_grid(spark, sf_dir), month_log(spark, sf_dir))
 
 
-def year_hours(spark, sf_dir):
-    days = year_log(spark, sf_dir).select("date").distinct()
+def hours(rows):
+    days = rows.select("date").distinct()
     return report.hours_for(days, schedule(days))
 
 
@@ -54,7 +54,7 @@ def d2_hours(spark, sf_dir):
 
 @query("d3_schedule", f"with {DAYS}{YHOURS} select date, open, close from yh")
 def d3_schedule(spark, sf_dir):
-    return year_hours(spark, sf_dir)
+    return hours(log(spark, sf_dir))
 
 
 @query("d4_spine", MDAYS + ", n as (select date, attraction, count(*) as n from mlog group by all) select g.date, g.attraction, coalesce(n, 0) as n from grid g left join n using (date, attraction)")
@@ -68,27 +68,27 @@ def d4_spine(spark, sf_dir):
     f"with {DAYS}, s as (select *, row_number() over (partition by date, attraction order by coalesce(stop_s, 86340), seq) as slot from ylog) select seq, slot, max(slot) over (partition by date) as day_slots from s",
 )
 def d5_slots(spark, sf_dir):
-    return report.slots(year_log(spark, sf_dir)).select("seq", F.col("slot").cast("long").alias("slot"), F.col("day_slots").cast("long").alias("day_slots"))
+    return report.slots(log(spark, sf_dir)).select("seq", F.col("slot").cast("long").alias("slot"), F.col("day_slots").cast("long").alias("day_slots"))
 
 
 @query("d6_day", f"with {DAYS} select date, attraction, {SUMS} from adays group by grouping sets ((date, attraction), (date))")
 def d6_day(spark, sf_dir):
-    return report.day_totals(year_days(spark, sf_dir))
+    return report.day_totals(all_days(spark, sf_dir))
 
 
 @query("d7_positive", f"with {DAYS} select date, attraction, coalesce(sum(d), 0)::bigint as downtime_s, count(*) filter (d > 0) as stops from dlog group by all")
 def d7_positive(spark, sf_dir):
-    return report.asset_days(year_log(spark, sf_dir), count_zero=False)
+    return report.asset_days(log(spark, sf_dir), count_zero=False)
 
 
 @query("d8_week", f"with {DAYS} select {YM} as month, week(date)::int as week, attraction, min(date) as first_date, max(date) as last_date, {SUMS} from adays group by 1, 2, 3")
 def d8_week(spark, sf_dir):
-    return report.week_totals(year_days(spark, sf_dir))
+    return report.week_totals(all_days(spark, sf_dir))
 
 
 @query("d9_month", f"with {DAYS} select {YM} as month, attraction, {SUMS} from adays group by grouping sets ((1, attraction), (1))".replace("grouping sets ((1, attraction), (1))", f"grouping sets (({YM}, attraction), ({YM}))"))
 def d9_month(spark, sf_dir):
-    return report.month_totals(year_days(spark, sf_dir))
+    return report.month_totals(all_days(spark, sf_dir))
 
 
 @query(
@@ -99,7 +99,7 @@ def d9_month(spark, sf_dir):
  union all select 'month', month, null, null, attraction, {SUMS} from k group by month, attraction union all select 'month', month, null, null, null, {SUMS} from k group by month) select * from parts""",
 )
 def d10_levels(spark, sf_dir):
-    return report.ledger_totals(year_days(spark, sf_dir))
+    return report.ledger_totals(all_days(spark, sf_dir))
 
 
 LEDGER = (
@@ -142,12 +142,12 @@ SUMMARY = f"{SUMS}, round(sum(downtime_s) / 3600.0, 2) as hours"
 
 @query("d13_summary", f"with {DAYS}, k as (select {YM} as month, * from adays) select month, coalesce(attraction, 'Итого') as attraction, {SUMMARY} from k group by grouping sets ((month, attraction), (month))")
 def d13_summary(spark, sf_dir):
-    return report.month_summary(year_days(spark, sf_dir))
+    return report.month_summary(all_days(spark, sf_dir))
 
 
 @query("d14_weeks", f"with {DAYS}, k as (select {YM} as month, week(date)::int as week, * from adays) select month, week, coalesce(attraction, 'Итого') as attraction, {SUMMARY} from k group by grouping sets ((month, week, attraction), (month, week))")
 def d14_weeks(spark, sf_dir):
-    return report.week_summaries(year_days(spark, sf_dir))
+    return report.week_summaries(all_days(spark, sf_dir))
 
 
 @query(
@@ -157,7 +157,7 @@ def d14_weeks(spark, sf_dir):
 )
 def d15_labels(spark, sf_dir):
     s = F.col("downtime_s")
-    return year_days(spark, sf_dir).select("date", "attraction", t.duration_label(s).alias("label"), t.short_label(s).alias("short"))
+    return all_days(spark, sf_dir).select("date", "attraction", t.duration_label(s).alias("label"), t.short_label(s).alias("short"))
 
 
 @query(
@@ -166,17 +166,17 @@ def d15_labels(spark, sf_dir):
  select month, coalesce(ord, 1073741824)::bigint as ord, coalesce(attraction, 'Итого') as attraction, hours, stops from s left join assets on name = attraction""",
 )
 def d16_series(spark, sf_dir):
-    return report.chart_series(year_days(spark, sf_dir), assets(spark))
+    return report.chart_series(all_days(spark, sf_dir), assets(spark))
 
 
 @query("d17_normative", f"with {DAYS}{YHOURS} select month, normative_s from yn")
 def d17_normative(spark, sf_dir):
-    return report.normative(year_hours(spark, sf_dir))
+    return report.normative(hours(log(spark, sf_dir)))
 
 
 @query("d18_ratio", f"with {DAYS}{YHOURS}, p as (select {YM} as month, sum(downtime_s)::bigint as downtime_s from adays group by 1) select month, downtime_s, normative_s, downtime_s / normative_s as ratio from p join yn using (month)")
 def d18_ratio(spark, sf_dir):
-    return report.month_ratio(year_days(spark, sf_dir), report.normative(year_hours(spark, sf_dir)))
+    return report.month_ratio(all_days(spark, sf_dir), report.normative(hours(log(spark, sf_dir))))
 
 
 NAMES = "['Январь','Февраль','Март','Апрель','Май','Июнь','Июль','Август','Сентябрь','Октябрь','Ноябрь','Декабрь']"
@@ -187,7 +187,7 @@ def d19_months(spark, sf_dir):
     return log(spark, sf_dir).select(F.month("date").alias("month")).distinct().select("month", t.month_name(F.col("month")).alias("name"))
 
 
-MATRIX = f"with {DAYS}, {ASSETS}, mx as (select m.range::int as month, ord::int as ord, name as attraction, coalesce(sum(downtime_s), 0)::bigint as downtime_s, coalesce(sum(stops), 0)::bigint as stops from range(1, 13) m cross join assets left join adays on month(date) = m.range and attraction = name group by all)"
+MATRIX = f"with {YEAR_DAYS}, {ASSETS}, mx as (select m.range::int as month, ord::int as ord, name as attraction, coalesce(sum(downtime_s), 0)::bigint as downtime_s, coalesce(sum(stops), 0)::bigint as stops from range(1, 13) m cross join assets left join adays on month(date) = m.range and attraction = name group by all)"
 
 
 def matrix(spark, sf_dir):
@@ -216,7 +216,7 @@ def y3_summary(spark, sf_dir):
 
 @query("y4_ratio", MATRIX + YHOURS + " select d as downtime_s, (5 * n)::bigint as normative_s, d / (5 * n) as ratio from (select sum(downtime_s)::bigint as d from mx), (select sum(normative_s)::bigint as n from yn)")
 def y4_ratio(spark, sf_dir):
-    return yearly.year_ratio(matrix(spark, sf_dir), report.normative(year_hours(spark, sf_dir)))
+    return yearly.year_ratio(matrix(spark, sf_dir), report.normative(hours(year_log(spark, sf_dir))))
 
 
 @query("y5_series", MATRIX + " select month, attraction, round(downtime_s / 3600.0, 2) as hours, null::bigint as stops from mx union all select null, attraction, null, sum(stops)::bigint from mx group by attraction")

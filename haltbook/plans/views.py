@@ -76,8 +76,10 @@ def year_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 YEAR_LOG = LOG + f", ylog as (select * from log where year(date) = {YEAR})"
 #: Downtime and stops of complete incidents by date and attraction.
-DAYS = YEAR_LOG + """, dlog as (select *, case when stop_s is not null and start_s is not null then ((start_s - stop_s) % 86400 + 86400) % 86400 end as d from ylog),
+OF_DAYS = """, dlog as (select *, case when stop_s is not null and start_s is not null then ((start_s - stop_s) % 86400 + 86400) % 86400 end as d from ylog),
  adays as (select date, attraction, coalesce(sum(d), 0)::bigint as downtime_s, count(d) as stops from dlog group by all)"""
+DAYS = LOG + ", ylog as (select * from log)" + OF_DAYS
+YEAR_DAYS = YEAR_LOG + OF_DAYS
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
