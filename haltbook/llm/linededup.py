@@ -1,12 +1,13 @@
-"""Operator 3: removal of repeated and similar lines by an exact set-similarity join.
+"""Operator 3 [native]: removal of repeated and similar lines by an exact set-similarity join.
 
 A line's set is its distinct words (A-Z lower-cased). A line goes if the same line, or one whose set
 has a Jaccard similarity of at least ``threshold``, comes earlier: in a document of a smaller id, or
 higher up in its own. Lines with fewer than ``min_words`` distinct words always stay.
 
-1. Rarity: every word of the corpus is counted in one of ``BUCKETS`` hash buckets; the counts' levels
-   are a table of fixed size (one byte a bucket). A word's level, then its hash, orders the words of a
-   line: rare words first. Any order that all lines share keeps the join exact.
+1. Rarity: every word of the corpus is counted in one of ``BUCKETS`` hash buckets. The counts' levels
+   are a table of fixed size (one byte a bucket) that plans read as a scalar subquery. A word's level,
+   then its hash, orders the words of a line: rare words first. Any order that all lines share keeps
+   the join exact.
 2. Prefix filter: similar sets share a word among their first n - ceil(t n) + 1. Each distinct line
    posts these with its size, the word's place in it and a bitmap of its words. Positional, length and
    bitmap filters, evaluated inside the join, drop pairs that cannot reach the overlap.
@@ -20,11 +21,8 @@ higher up in its own. Lines with fewer than ``min_words`` distinct words always
    least) is verified first, on the whole sets; other pairs are verified only for lines that it does not
    explain.
 
-Reading texts (words, hashes, codes) is Python over Arrow batches; everything else is joins and
-aggregates. A form in SQL functions only took twice the CPU time (README).
-
-Equal lines are told by 128 bits of hash. Words are compared by 56 bits of hash and their level. A pair
-of similar lines that are equal in 64 bits of their hashes (one in 2 ** 64) would be missed.
+Equal lines are told by 128 bits of hash and their length. Words are compared by 56 bits of hash and
+their level. A pair of similar lines with equal 64-bit hashes (one in 2 ** 64) would be missed.
 
 A null text has no lines and stays null. Rows that share an id (all null ids: one, the last) have the
 same places, so a line is not removed for its own place in another of them; what is removed is known
@@ -34,23 +32,14 @@ by a hash of their text and repeats among them go too. An empty table gives an e
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
-from collections.abc import Iterator
-from math import floor, log2
-
-import numpy as np
-import pyarrow as pa
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haltbook.llm.common import Generations, lower_ascii, stored
-from haltbook.llm.quality import let, words_of
+from haltbook.llm.common import WORD, lower_ascii, stored
+from haltbook.llm.quality import let, spaced, words_of
 
 BUCKETS = 1 << 20
-#: Rows of texts that are held at once in a task.
-AT_ONCE = 512
+PAGE = 1 << 11
 #: Levels of counts for each doubling.
 STEPS = 5
 LAST_ID = (1 << 63) - 1
@@ -77,137 +66,52 @@ def row_place(id_col: str, apart: bool) -> Column:
     return F.when(key.isNull(), wide(no_id)).otherwise(wide(of_id))
 
 
-def rows_of(docs: DataFrame, id_col: str, text_col: str, apart: bool) -> DataFrame:
-    """(doc_key, row_hash, row_at, text binary)."""
-    keyed = docs.select(F.col(id_col), *row_key(id_col, text_col), F.encode(F.col(text_col), "UTF-8").alias("__t"))
-    return keyed.select("doc_key", "row_hash", row_place(id_col, apart).cast("decimal(38,0)").alias("row_at"), F.col("__t").alias("text"))
-
-
-def at_place() -> Column:
-    """What orders all lines."""
-    return (F.col("row_at") + F.col("line_no")).cast("decimal(38,0)").alias("pos")
-
-
-def hashes_of(items: list[bytes]) -> np.ndarray:
-    """items x 2 signed longs: 128 bits of hash."""
-    from xxhash import xxh3_128_digest
-
-    return np.frombuffer(b"".join(map(xxh3_128_digest, items)), "<i8").reshape(-1, 2)
-
-
-def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, AT_ONCE):
-            yield batch.slice(at, AT_ONCE)
-
-
-LINES = "doc_key long, row_hash long, row_at decimal(38,0), line_no int, h long, g long, blank boolean"
-
-
-def scan(rows: DataFrame, least: int, hold: int = 400_000) -> DataFrame:
-    """LINES of all lines of at least ``least`` bytes and, with nulls there, (bucket, n) of all words. (h, g)
-    tells equal lines. Words are counted in the task first."""
-
-    def counted(counts: Counter) -> pa.RecordBatch:
-        buckets, n = hashes_of(list(counts))[:, 0] & (BUCKETS - 1), np.fromiter(counts.values(), np.int64, len(counts))
-        found, back = np.unique(buckets, return_inverse=True)
-        total = np.bincount(back, n, len(found)).astype(np.int64)
-        kinds = [pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(found), t) for t in kinds), pa.array(found.astype(np.int32)), pa.array(total)], names=names)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches_of(batches):
-            of, numbers, lines = [], [], []
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                if text is None:
-                    continue
-                low = text.lower()
-                counts.update(low.split())
-                for k, line in enumerate(low.split(b"\n")):
-                    if len(line) >= least:
-                        of.append(i)
-                        numbers.append(k)
-                        lines.append(line)
-                if len(counts) > hold:
-                    yield counted(counts)
-                    counts.clear()
-            if lines:
-                at, hashes = pa.array(of, pa.int32()), hashes_of(lines)
-                blank = pa.array([not x or x.isspace() and not x.strip() for x in lines], pa.bool_())
-                own = [*(batch.column(c).take(at) for c in range(3)), pa.array(numbers, pa.int32()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), blank]
-                yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(lines), pa.int32()), pa.nulls(len(lines), pa.int64())], names=names)
-        if counts:
-            yield counted(counts)
-
-    schema = f"{LINES}, bucket int, n long"
-    names = [c.split()[0] for c in schema.split(", ")]
-    return rows.mapInArrow(task, schema)
+def lines_of(docs: DataFrame, id_col: str, text_col: str, apart: bool, min_words: int) -> DataFrame:
+    """(doc_key, row_hash, line_no, line, h, g, pos, blank): lines, A-Z lower-cased, that can have ``min_words``
+    words. (h, g) tells equal lines, pos orders all lines."""
+    keyed = docs.select(F.col(id_col), *row_key(id_col, text_col), F.col(text_col).alias("t"))
+    placed = keyed.select("doc_key", "row_hash", row_place(id_col, apart).alias("row_at"), F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+    # A line of so few characters cannot have min_words words.
+    able = placed.where(F.length("line") >= 2 * min_words - 1).withColumn("line", lower_ascii(F.col("line")))
+    pos = (F.col("row_at") + F.col("line_no")).cast("decimal(38,0)")
+    return able.select("doc_key", "row_hash", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.length("line"), "line").alias("g"), pos.alias("pos"), (~F.col("line").rlike(WORD)).alias("blank"))
 
 
 def level_of(count: Column) -> Column:
-    return F.least(F.floor(F.log2(count + 1) * STEPS), F.lit(126)).cast("byte")
-
-
-def rarity(counts: DataFrame) -> np.ndarray:
-    """The level of each bucket. The driver gets BUCKETS rows at most, whatever the input."""
-    found = counts.groupBy("bucket").agg(level_of(F.sum("n")).alias("level")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return out
-
-
-class Coder:
-    """Codes of words: longs whose order is that of rarity."""
-
-    def __init__(self, levels: np.ndarray, size: int = 400_000):
-        self.levels, self.known = levels, Generations(size)
+    return F.least(F.floor(F.log2(count + 1) * STEPS), F.lit(126)).cast("tinyint")
 
-    def learn(self, words: set[bytes]) -> dict[bytes, int]:
-        self.known.turn()
-        new = self.known.missing(words)
-        if new:
-            h = hashes_of(new)[:, 0]
-            codes = self.levels[h & (BUCKETS - 1)] << 56 | (h >> 8) & ((1 << 56) - 1)
-            self.known.young.update(zip(new, codes.tolist(), strict=True))
-        return self.known.young
 
-    def sets(self, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all lines' codes, sorted in each line, and how many each has)."""
-        split = [set(x.split()) for x in lines]
-        code = self.learn(set().union(*split)).__getitem__
-        out, sizes = array("q"), []
-        for words in split:
-            out.extend(sorted(map(code, words)))
-            sizes.append(len(words))
-        return np.frombuffer(out, np.int64) if out else np.zeros(0, np.int64), np.array(sizes, np.int64)
+def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row, one column: for each hash bucket the logarithmic level of how many words of the corpus
+    fall in it. Every bucket is there, so its size is the same whatever the input."""
+    words = docs.select(F.explode(F.split(spaced(lower_ascii(F.col(text_col))), "[ \n]")).alias("w"))
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    counts = words.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    every = counts.union(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int"), F.lit(0).cast("long")))
+    levels = every.groupBy("b").agg(F.sum("n").alias("n")).select(F.floor(F.col("b") / PAGE).alias("page"), F.struct("b", level_of(F.col("n")).alias("level")).alias("x"))
 
+    def values(name: str, field: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(name)), lambda x: x[field])
 
-_coder: list = []
+    pages = levels.groupBy("page").agg(values("x", "level").alias("levels")).select(F.struct("page", "levels").alias("x"))
+    return stored(pages.agg(F.flatten(values("x", "levels")).alias("levels")), "rarity")
 
 
-def coder_of(levels: Broadcast) -> Coder:
-    """One coder a worker, as long as the table stays the same."""
-    if not _coder or _coder[0] is not levels:
-        _coder[:] = [levels, Coder(levels.value)]
-    return _coder[1]
+def coded(lines: DataFrame, ranks: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and codes: the line's distinct words as longs whose order is that of rarity."""
 
+    def code(h: Column) -> Column:
+        level = F.coalesce(F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint"))  # never null: longs are then sorted as such
+        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-def parities(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bitmaps of each set: the parity of its words in 128 hash classes."""
-    bit = np.uint64(1) << (codes & 63).astype(np.uint64)
-    half = (codes >> 6) & 1 == 1
-    out = []
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    for chosen in (half, ~half):
-        marks = np.append(np.where(chosen, bit, np.uint64(0)), np.uint64(0))
-        found = np.bitwise_xor.reduceat(marks, starts) if len(starts) else np.zeros(0, np.uint64)
-        out.append(np.where(sizes > 0, found, np.uint64(0)).view(np.int64))
-    return out[0], out[1]
+    hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
+    return lines.select(*keep, "line", ranks.scalar().alias("ranks")).select(*keep, F.sort_array(F.array_distinct(F.transform(hashes, code))).alias("codes"))
 
 
 def first_code_of(count: int) -> int:
     """Words whose bucket counts at most ``count`` have smaller codes."""
+    from math import floor, log2
+
     return (min(floor(log2(count + 1) * STEPS), 126) + 1) << 56
 
 
@@ -232,6 +136,19 @@ def may_reach(t: float) -> Column:
     return (F.col("x.nr").bitwiseAND(rest) >= need) & (F.col("y.nr").bitwiseAND(rest) >= need) & (differing() <= both - need * 2)
 
 
+def measured(sets: DataFrame, *keep: str) -> DataFrame:
+    """n, low and high of each set: its size and two bitmaps of its words' parities."""
+    one = F.lit(1).cast("long")
+
+    def mark(bit: Column, c: Column) -> Column:
+        return F.call_function("shiftleft", bit, c.bitwiseAND(F.lit(63)).cast("int"))
+
+    every = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(mark(one, c)))
+    half = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(mark(F.shiftright(c, 6).bitwiseAND(one), c)))
+    n = F.size("codes")
+    return sets.select(*keep, "codes", n.alias("n"), every.alias("every"), half.alias("low")).withColumn("high", F.col("every").bitwiseXOR(F.col("low"))).drop("every")
+
+
 def prefix_size(n: Column, t: float) -> Column:
     return n - F.ceil(n * t - 1e-9).cast("int") + 1
 
@@ -244,11 +161,11 @@ class Corpus:
 
     def __init__(self, docs: DataFrame, threshold: float, min_words: int, id_col: str, text_col: str, apart: bool, small: int):
         self.t, self.min_words, self.small = threshold, min_words, small
-        self.rows = rows_of(docs, id_col, text_col, apart)
-        found = stored(scan(self.rows, max(0, 2 * min_words - 1)), "scan")  # of fewer bytes, no line has min_words words
-        self.lines = found.where("h is not null").select("doc_key", "row_hash", "row_at", "line_no", "h", "g", "blank", at_place())
+        self.texts = lines_of(docs, id_col, text_col, apart, min_words)
+        self.rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+        self.lines = stored(self.texts.drop("line"), "lines")
         self.distinct = stored(self.lines.groupBy("h", "g").agg(F.min("pos").alias("pos"), F.count("*").alias("times"), F.max("blank").alias("blank")), "distinct")
-        self.levels = docs.sparkSession.sparkContext.broadcast(rarity(found.where("h is null").select("bucket", "n")))
+        self.ranks = rarity(docs, text_col)
 
     def bounded(self, df: DataFrame) -> DataFrame:
         """To be broadcast if it is counted to have at most ``small`` rows."""
@@ -258,60 +175,23 @@ class Corpus:
         """(h, g, pos, codes) of the distinct lines whose h is in ``wanted``, read again from the texts."""
         places = self.bounded(stored(self.distinct.join(self.bounded(wanted.distinct()), "h", "left_semi").select("h", "g", F.col("pos").alias("at")), "wanted"))
         chosen = self.lines.join(places, ["h", "g"]).where("pos = at").groupBy("doc_key", "row_hash")
-        listed = self.bounded(stored(chosen.agg(F.collect_set("line_no").alias("numbers")), "chosen"))
-        levels = self.levels
-
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder = coder_of(levels)
-            for batch in batches_of(batches):
-                of, numbers, lines = [], [], []
-                for i, (text, chosen) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    own = text.lower().split(b"\n")
-                    of += [i] * len(chosen)
-                    numbers += chosen
-                    lines += [own[k] for k in chosen]
-                if lines:
-                    codes, sizes = coder.sets(lines)
-                    hashes = hashes_of(lines)
-                    nested = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(codes))
-                    own = [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), batch.column(0).take(pa.array(of, pa.int32())), pa.array(numbers, pa.int32()), nested]
-                    yield pa.RecordBatch.from_arrays(own, names=["h", "g", "row_at", "line_no", "codes"])
-
-        read = self.rows.join(listed, ["doc_key", "row_hash"]).select("row_at", "text", "numbers")
-        found = read.mapInArrow(task, "h long, g long, row_at decimal(38,0), line_no int, codes array<long>").select("h", "g", at_place(), "codes")
-        return stored(found.dropDuplicates(["h", "g"]), "sets")  # rows of the same id and text have the same places
+        listed = self.bounded(stored(chosen.agg(F.collect_set(F.struct("line_no", "h", "g", "pos")).alias("wanted")), "chosen"))
+
+        def lines(parts: Column) -> Column:
+            return F.transform("wanted", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), x["pos"].alias("pos"), F.get(parts, x["line_no"]).alias("line")))
+
+        each = self.rows.join(listed, ["doc_key", "row_hash"]).select(F.explode(let(F.split("text", "\n"), lines)).alias("x")).select("x.*")
+        low = each.withColumn("line", lower_ascii(F.col("line")))
+        return stored(coded(low, self.ranks, "h", "g", "pos").dropDuplicates(["h", "g"]), "sets")  # rows of the same id and text have the same places
 
     def postings(self) -> DataFrame:
         """The prefixes of all distinct lines."""
-        levels, t, least = self.levels, self.t, max(1, self.min_words)
-
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder = coder_of(levels)
-            for batch in batches_of(batches):
-                of, numbers, lines = [], [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    for k, line in enumerate(text.lower().split(b"\n") if text is not None else ()):
-                        if len(line) >= 2 * least - 1:
-                            of.append(i)
-                            numbers.append(k)
-                            lines.append(line)
-                if not lines:
-                    continue
-                codes, sizes = coder.sets(lines)
-                low, high = parities(codes, sizes)
-                size = np.where(sizes >= least, sizes - np.ceil(sizes * t - 1e-9).astype(np.int64) + 1, 0)
-                starts, ends = np.concatenate([[0], np.cumsum(sizes)])[:-1], np.concatenate([[0], np.cumsum(size)])
-                kept = codes[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])]
-                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept))
-                own = [pa.array(hashes_of(lines)[:, 0]), batch.column(0).take(pa.array(of, pa.int32())), pa.array(numbers, pa.int32())]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes), pa.array(low), pa.array(high), prefix], names=["h", "row_at", "line_no", "n", "low", "high", "prefix"])
-
-        schema = "h long, row_at decimal(38,0), line_no int, n long, low long, high long, prefix array<long>"
-        read = self.rows.select("row_at", "text").mapInArrow(task, schema)
         repeated = self.bounded(self.distinct.where("times > 1").select("h", F.col("pos").alias("at")))
-        first = read.join(repeated, "h", "left").where((F.size("prefix") > 0) & (F.col("at").isNull() | (F.col("at") == at_place())))
-        each = first.select("h", "n", "low", "high", F.posexplode_outer("prefix").alias("k", "word"))
-        return each.select("word", "h", (F.shiftleft("n", 32) + F.col("n") - F.col("k")).alias("nr"), "low", "high")
+        first = self.texts.join(repeated, "h", "left").where("at is null or at = pos")
+        # A filter on codes, as explode infers one too, would be pushed below and compute them once more.
+        prefix = F.when(F.col("n") >= self.min_words, F.slice("codes", 1, prefix_size(F.col("n"), self.t)))
+        each = measured(coded(first, self.ranks, "h"), "h").select("h", "n", "low", "high", F.posexplode_outer(prefix).alias("k", "word"))
+        return each.withColumn("nr", F.shiftleft(F.col("n").cast("long"), 32) + F.col("n") - F.col("k")).select(*POSTING).where("word is not null")
 
     def later(self, pairs: DataFrame) -> DataFrame:
         """(h, g) of the later line of each similar pair of ``pairs`` (h, h2, differ). A line's likeliest
@@ -351,7 +231,11 @@ class Corpus:
         # one side only: it would be pushed down there, and the two sides would not share the exchange.
         pair = (F.col("x.h") < F.col("y.h")) & may_reach(self.t)
         meet = (key("x") == key("y")) & (F.col("x.word").bitwiseXOR(F.col("y.word")) == 0) & (pair | (own("x") == own("y")))
-        met = x.join(y, meet).select(*(F.when(F.col("x.h") == F.col("y.h"), F.col(f"x.{c}")).alias(c) if c != "h" else F.col("x.h") for c in POSTING), F.when(F.col("x.h") < F.col("y.h"), F.col("y.h")).alias("h2"), differing().cast("int").alias("differ"))
+        met = x.join(y, meet).select(
+            *(F.when(F.col("x.h") == F.col("y.h"), F.col(f"x.{c}")).alias(c) if c != "h" else F.col("x.h") for c in POSTING),
+            F.when(F.col("x.h") < F.col("y.h"), F.col("y.h")).alias("h2"),
+            differing().cast("int").alias("differ"),
+        )
         met = stored(met, "met")
         maybe = met.where("h2 is null").select(*POSTING).distinct()
         counts = maybe.groupBy("word").agg(F.count("*").alias("group")).where("group > 1")
