@@ -60,17 +60,24 @@ def intermediate(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
     """Cut the lineage with a written table in the shared folder: a lost executor costs no
-    recomputation of what lies before it, and every later read sees the same rows."""
+    recomputation of what lies before it, and every later read sees the same rows. ``by`` names a
+    column whose values get folders of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if _open and not keep:
         _open[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """To be broadcast if it is counted to have at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class Generations:
     """Bounded map of two generations: when the young one is full it becomes the old one, so
     what is in use stays and memory holds at most 2 * size entries."""

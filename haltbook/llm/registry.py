@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haltbook.llm import bpe, linededup, lm, media, packing, pii, quality, simhash, toxicity, urls
+from haltbook.llm import bpe, collocations, linededup, lm, media, packing, pii, quality, simhash, toxicity, urls
 from haltbook.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_lm": op2_lm, "op3_lines": op3_lines, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_packing": op10_packing}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_lm": op2_lm, "op3_lines": op3_lines, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_packing": op10_packing, "op12_collocations": op12_collocations}
+
+ORACLES: dict[str, str] = {"op12_collocations": collocations.oracle_sql()}
