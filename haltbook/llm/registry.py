@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haltbook.llm import bpe, collocations, licenses, linededup, lm, media, packing, pii, quality, simhash, toxicity, urls
+from haltbook.llm import bpe, collocations, licenses, linededup, lm, media, packing, pii, quality, simhash, toxicity, trie, urls
 from haltbook.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,6 @@ def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_lm": op2_lm, "op3_lines": op3_lines, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_packing": op10_packing, "op12_collocations": op12_collocations, "op13_licenses": op13_licenses}
+QUERIES = {"op1_simhash": op1_simhash, "op2_lm": op2_lm, "op3_lines": op3_lines, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_gif": op6_gif, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_packing": op10_packing, "op11_trie": op11_trie, "op12_collocations": op12_collocations, "op13_licenses": op13_licenses}
 
-ORACLES: dict[str, str] = {"op12_collocations": collocations.oracle_sql()}
+ORACLES: dict[str, str] = {"op11_trie": trie.oracle_sql(), "op12_collocations": collocations.oracle_sql()}
