@@ -5,10 +5,10 @@
    into words. A place (``at``) is the number of words and piece ends before it, so two places are of
    adjacent positions of one piece if they differ by one. Rows hold blocks of whole pieces of one
    language; a block is closed at the first piece end after ``block`` words.
-2. The relation of length k is semi-joined with the frequent groups (phrases) of that length, and merge-joined
-   with itself by piece and adjacent position; that gives the relation of length k + 1, which is persisted in
-   the same order and group-counted by Spark. Groups that occur at least ``least`` times are the phrases of
-   that length and what the next round keeps.
+2. The relation of length k, semi-joined with the frequent groups (phrases) of that length, is merge-joined
+   with itself by piece and adjacent position; that gives the relation of length k + 1, which Spark
+   group-counts. Groups that occur at least ``least`` times are the phrases of that length. What of the relation they keep
+   is persisted in the same order before the next round extends it.
 3. Candidates get the lowest of their cuts' scores by joins with the counts of their parts, and go if a longer
    candidate that holds them is frequent enough.
 
@@ -152,48 +152,63 @@ def kept(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def grouped(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one row of each distinct row of ``words``, their counts)."""
-    code = np.zeros(len(words), np.int64)
+    code, size = np.zeros(len(words), np.int64), 1
     for k in range(words.shape[1]):
-        _, of_word = np.unique(words[:, k], return_inverse=True)
-        _, code = np.unique(code * (of_word.max(initial=0) + 1) + of_word, return_inverse=True)
+        values, of_word = np.unique(words[:, k], return_inverse=True)
+        if size * len(values) >= 1 << 62:
+            distinct, code = np.unique(code, return_inverse=True)
+            size = len(distinct)
+        code, size = code * len(values) + of_word, size * len(values)
     _, first, n = np.unique(code, return_index=True, return_counts=True)
     return words[first], n
 
 
-def extended(batches: Iterator[pa.RecordBatch], width: int, table: np.ndarray, last: bool, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """From rows of the relation of ``width`` words: those of the next one (kind 0) and its counts (kind 1).
-    Counts of up to ``most`` occurrences are sent together."""
-    names = ["kind", "lang", "at", "words", *(f"w{k + 1}" for k in range(width + 1)), "n"]
-    waiting: dict[str, list[np.ndarray]] = {}
+def joined(row: tuple[str, pa.ListScalar, pa.ListScalar], width: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(at, words) of the relation of ``width`` + 1 words, from a row of the one of ``width`` and the table of its frequent groups."""
+    lang, at, words = row[0], row[1].values.to_numpy(), row[2].values.to_numpy().reshape(-1, width)
+    good = kept(table, mixed(lang, words))  # the semi-join
+    at, words = at[good], words[good]
+    # The merge-join: places are sorted and unique, so what stands at ``at`` + 1 can only be the next row.
+    left = np.flatnonzero(at[1:] == at[:-1] + 1)
+    return at[left], np.concatenate([words[left], words[left + 1][:, -1:]], 1)
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.ListScalar, pa.ListScalar]]:
+    for i in range(len(batch)):
+        yield batch.column(0)[i].as_py(), batch.column(1)[i], batch.column(2)[i]
+
 
-    def pack(kind: int, lang: str, m: int, at, words, columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array([lang] * m, pa.string()), at, words, *columns], names=names)
+def group_counts(batches: Iterator[pa.RecordBatch], width: int, table: np.ndarray, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Counts of the groups of ``width`` + 1 words, of up to ``most`` occurrences together."""
+    names = ["lang", *(f"w{k + 1}" for k in range(width + 1)), "n"]
+    waiting: dict[str, list[np.ndarray]] = {}
 
     def counted(lang: str) -> pa.RecordBatch:
         groups, n = grouped(np.concatenate(waiting.pop(lang)))
-        none = pa.nulls(len(n), pa.list_(pa.int32())), pa.nulls(len(n), pa.list_(pa.int64()))
-        return pack(1, lang, len(n), *none, [*(pa.array(groups[:, k], pa.int64()) for k in range(width + 1)), pa.array(n, pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), *(pa.array(groups[:, k], pa.int64()) for k in range(width + 1)), pa.array(n, pa.int64())], names=names)
 
     for batch in batches:
-        for i, lang in enumerate(batch.column(0).to_pylist()):
-            at = batch.column(1)[i].values.to_numpy()
-            words = batch.column(2)[i].values.to_numpy().reshape(-1, width)
-            good = kept(table, mixed(lang, words))  # the semi-join
-            at, words = at[good], words[good]
-            # The merge-join: places are sorted and unique, so what stands at ``at`` + 1 can only be the next row.
-            left = np.flatnonzero(at[1:] == at[:-1] + 1)
-            at, words = at[left], np.concatenate([words[left], words[left + 1][:, -1:]], 1)
-            if not len(at):
-                continue
-            if not last:
-                yield pack(0, lang, 1, lists([at], pa.int32()), lists([words.reshape(-1)], pa.int64()), [pa.nulls(1, pa.int64())] * (width + 2))
-            waiting.setdefault(lang, []).append(words)
-            if sum(map(len, waiting[lang])) >= most:
-                yield counted(lang)
+        for row in rows_of(batch):
+            at, words = joined(row, width, table)
+            if len(at):
+                waiting.setdefault(row[0], []).append(words)
+                sizes = {lang: sum(map(len, got)) for lang, got in waiting.items()}
+                if sum(sizes.values()) >= most:
+                    yield counted(max(sizes, key=sizes.get))
     for lang in list(waiting):
         yield counted(lang)
 
 
+def extended(batches: Iterator[pa.RecordBatch], width: int, table: np.ndarray, after: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of the relation of ``width`` + 1 words, of frequent groups (``after`` is their table) only."""
+    for batch in batches:
+        for row in rows_of(batch):
+            at, words = joined(row, width, table)
+            good = kept(after, mixed(row[0], words))
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), lists([at[good]], pa.int32()), lists([words[good].reshape(-1)], pa.int64())], names=["lang", "at", "words"])
+
+
 def word_relation(docs: DataFrame, lang_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame]:
     """(R1, (lang, word, w1, n)), with ids that tell all words apart."""
     slim = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
@@ -213,14 +228,16 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang_col:
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
     found = [frequent.select("lang", "w1", "n")]
+    share = docs.sparkSession.sparkContext.broadcast
+    table = share(bit_table(found[0], 1, filter_bits))
     for width in range(1, longest):
-        table = docs.sparkSession.sparkContext.broadcast(bit_table(found[-1], width, filter_bits))
         of_group = [f"w{k + 1}" for k in range(width + 1)]
-        schema = f"kind int, {OCCURRENCES}, " + "".join(f"{w} long, " for w in of_group) + "n long"
-        last = width + 1 == longest
-        both = stored(relation.mapInArrow(lambda b, k=width, t=table, e=last: extended(b, k, t.value, e), schema), "pairs", by="kind")
-        relation = both.where("kind = 0").select("lang", "at", "words")
-        found.append(stored(both.where("kind = 1").groupBy("lang", *of_group).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases"))
+        counts = relation.mapInArrow(lambda b, k=width, t=table: group_counts(b, k, t.value), "lang string, " + "".join(f"{w} long, " for w in of_group) + "n long")
+        found.append(stored(counts.groupBy("lang", *of_group).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases"))
+        if width + 1 < longest:
+            after = share(bit_table(found[-1], width + 1, filter_bits))
+            relation = stored(relation.mapInArrow(lambda b, k=width, t=table, a=after: extended(b, k, t.value, a.value), OCCURRENCES), "occurrences")
+            table = after
     return found, totals, frequent.select("lang", F.col("w1").alias("w"), "word")
 
 
