@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from haltbook import defaults as D
-from haltbook.functions.timecols import contains_any, let, squash
+from haltbook.functions.timecols import contains_any, let, squash, strip
 
 
 @dataclass
@@ -46,7 +46,7 @@ def trim_tail(c, rules: Rules | None = None) -> Column:
 def stop_cause(quote, reason, rationale, rules: Rules | None = None) -> Column:
     """Technical cause of a stop; NULL if weather, visitors or nothing technical explains it."""
     r = rules or Rules()
-    quote, reason = F.trim(F.coalesce(quote, F.lit(""))), F.trim(F.coalesce(reason, F.lit("")))
+    quote, reason = strip(F.coalesce(quote, F.lit(""))), strip(F.coalesce(reason, F.lit("")))
     joined = F.lower(F.concat_ws(" ", quote, reason, F.coalesce(rationale, F.lit(""))))
     first = F.lit("")
     for p in reversed(r.patterns):

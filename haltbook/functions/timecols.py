@@ -12,10 +12,18 @@ from haltbook import defaults as D
 DAY = 86400
 
 
+#: White space in the wide sense: tabs, line ends, no-break spaces and byte-order marks too.
+WHITE = r"(?U)[\s\x{FEFF}]+"
+
+
 def squash(c) -> Column:
-    """Runs of white space, no-break spaces and byte-order marks among them, become one space; none at
-    the ends (M1)."""
-    return F.trim(F.regexp_replace(c, r"(?U)[\s\x{FEFF}]+", " "))
+    """Runs of white space become one space; none at the ends (M1)."""
+    return F.trim(F.regexp_replace(c, WHITE, " "))
+
+
+def strip(c) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+\z", "")
 
 
 def let(value, body) -> Column:
@@ -24,7 +32,7 @@ def let(value, body) -> Column:
 
 
 def blank_to_null(c) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def chat_key(url) -> Column:
@@ -59,7 +67,7 @@ def parse_clock(c) -> Column:
 
 def strict_clock(c) -> Column:
     """Minutes of a text that is H:MM as a whole."""
-    t = F.trim(c)
+    t = strip(c)
     h = F.nullif(F.regexp_extract(t, r"^(\d{1,2}):(\d{1,2})$", 1), F.lit("")).cast("int")
     m = F.nullif(F.regexp_extract(t, r"^(\d{1,2}):(\d{1,2})$", 2), F.lit("")).cast("int")
     return F.when((h <= 23) & (m <= 59), h * 60 + m)
@@ -71,12 +79,12 @@ def as_date(c) -> Column:
 
 def date_key(c) -> Column:
     """ISO date of a date, timestamp or text; the first ten characters if it is none."""
-    t = F.left(F.trim(c.cast("string")), F.lit(10))
+    t = F.left(strip(c.cast("string")), F.lit(10))
     return F.coalesce(F.date_format(as_date(t), "yyyy-MM-dd"), t)
 
 
 def can_date(c) -> Column:
-    return as_date(F.left(F.trim(c.cast("string")), F.lit(10))).isNotNull()
+    return as_date(F.left(strip(c.cast("string")), F.lit(10))).isNotNull()
 
 
 def can_time(c) -> Column:
@@ -128,6 +136,12 @@ def opening(date, rule=None) -> tuple[Column, Column]:
     return tuple(F.when(early, rule["weekday"][k]).otherwise(rule["weekend"][k]) for k in (0, 1))
 
 
+def hours_of(seconds: Column, digits: int = 2) -> Column:
+    """Hours rounded half up; the rounding is of integers, so 522 s are 0.15 h."""
+    scale = 10**digits
+    return F.floor((seconds * scale + 1800) / 3600) / scale
+
+
 def duration_label(seconds, hour=D.HOUR_LABEL, minute=D.MINUTE_LABEL) -> Column:
     """Hours and whole minutes."""
     m = F.floor(seconds / 60).cast("long")

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haltbook import defaults as D
-from haltbook.functions.timecols import blank_to_null, contains_any
-from haltbook.operators.assets import small
+from haltbook.functions.timecols import WHITE, blank_to_null, contains_any, strip
+from haltbook.operators.alias_index import containing, same
 from haltbook.operators.pairing import INFO, START, STOP, TEST
 
 KEY = ("date", "message_index")
 
 
 def _with_notice(events: DataFrame, notices: DataFrame, key: Sequence[str], **columns: str) -> DataFrame:
-    side = notices.select(*(F.col(c).alias(f"__{c}") for c in key), *(F.trim(F.col(v)).alias(k) for k, v in columns.items()))
+    side = notices.select(*(F.col(c).alias(f"__{c}") for c in key), *(strip(F.col(v)).alias(k) for k, v in columns.items()))
     on = [F.col(c) == F.col(f"__{c}") for c in key]
     return events.join(side, on, "left").drop(*(f"__{c}" for c in key))
 
@@ -34,7 +34,7 @@ def drop_future(events: DataFrame, notices: DataFrame, markers=None, today: str
 def fill_times(events: DataFrame, notices: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """A blank time becomes the notice's; a differing notice time is kept as message_time."""
     joined = _with_notice(events.drop("message_time"), notices, key, __time="time")
-    own, header = F.trim("time"), blank_to_null(F.col("__time"))
+    own, header = strip(F.col("time")), blank_to_null(F.col("__time"))
     blank = F.coalesce(own.isin("", "--:--"), F.lit(True))
     return joined.withColumns({"message_time": F.when(~blank & (own != header), header), "time": F.when(blank, header).otherwise(own)}).drop("__time")
 
@@ -50,18 +50,19 @@ def drop_test_conflicts(events: DataFrame, key: Sequence[str] = KEY) -> DataFram
 def rule_starts(events: DataFrame, notices: DataFrame, aliases: DataFrame, markers=None, reach: int = 80, cut: int = 140, key: Sequence[str] = KEY) -> DataFrame:
     """Events with starts that a rule finds: an alias, then a start marker at a word's beginning
     within ``reach`` characters; one for each notice and asset without a start (E5). aliases has
-    (name, alias); it is the small dimension, and notices without a marker never meet it."""
+    (name, alias); notices without a marker never meet it."""
     markers = D.START_MARKERS if markers is None else markers
     either = "|".join(re.escape(m) for m in markers)
-    marked = notices.select(*key, "time", "text").where(contains_any(F.lower("text"), markers))
-    escaped = F.regexp_replace(F.lower("alias"), r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
-    names = small(aliases.where(F.length("alias") > 0).select("name", F.concat(F.lit("(?iuUs)"), escaped, F.lit(f".{{0,{reach}}}\\b(?:{either})")).alias("__p")))
-    hits = marked.join(names, F.rlike(F.lower("text"), F.col("__p"))).select(*key, "name", "time", "text").distinct()
+    marked = notices.select(*key, "time", "text", F.lower("text").alias("__t")).where(contains_any(F.col("__t"), markers))
+    escaped = F.regexp_replace(F.col("__a"), r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
+    names = aliases.where(F.length("alias") > 0).select("name", F.lower("alias").alias("__a"))
+    met = containing(marked, names, key).join(names, "__a").withColumn("__p", F.concat(F.lit("(?iuUs)"), escaped, F.lit(f".{{0,{reach}}}\\b(?:{either})")))
+    hits = marked.alias("n").join(met.alias("m"), same("n", "m", key)).where(F.rlike(F.col("n.__t"), F.col("m.__p"))).select(*(F.col(f"n.{c}") for c in key), "name", "time", "text").distinct()
     have = events.where(F.col("event_type") == START).select(*key, F.col("attraction").alias("name")).distinct()
     new = hits.join(have, [*key, "name"], "left_anti")
     made = new.select(
-        *key, F.trim("time").alias("time"), F.col("name").alias("attraction_name"), F.col("name").alias("attraction"), F.lit(START).alias("event_type"),
-        F.lit("").alias("reason"), F.left(F.trim("text"), F.lit(cut)).alias("quote"),
+        *key, strip(F.col("time")).alias("time"), F.col("name").alias("attraction_name"), F.col("name").alias("attraction"), F.lit(START).alias("event_type"),
+        F.lit("").alias("reason"), F.left(strip(F.col("text")), F.lit(cut)).alias("quote"),
     )
     return events.unionByName(made, allowMissingColumns=True)
 
@@ -69,8 +70,8 @@ def rule_starts(events: DataFrame, notices: DataFrame, aliases: DataFrame, marke
 def enrich_stops(events: DataFrame, notices: DataFrame, generic=None, words: int = 3, key: Sequence[str] = KEY) -> DataFrame:
     """A stop's generic quote becomes its notice; the notice is kept as source_text."""
     joined = _with_notice(events.drop("source_text"), notices, key, __text="text")
-    quote = F.trim(F.coalesce("quote", F.lit("")))
-    short = F.size(F.split(quote, r"\s+")) <= words
+    quote = strip(F.coalesce("quote", F.lit("")))
+    short = F.size(F.split(quote, WHITE)) <= words
     for marker in D.GENERIC_QUOTES if generic is None else generic:
         short = short | F.endswith(F.lower(quote), F.lit(marker))
     source = F.when(F.col("event_type") == STOP, blank_to_null(F.col("__text")))
@@ -96,7 +97,7 @@ def quarantine_reason(events: DataFrame, assets: DataFrame) -> DataFrame:
     known = assets.select(F.col("name").alias("__n")).distinct()
     stop, info = F.col("event_type") == STOP, F.col("event_type") == INFO
     foreign = stop & F.col("__n").isNull()
-    bare = stop & F.coalesce(F.trim("cause") == "", F.lit(True))
+    bare = stop & F.coalesce(strip(F.col("cause")) == "", F.lit(True))
     reason = F.when(foreign, F.concat(F.lit("Not target attraction: "), F.coalesce("attraction", F.lit("")))).when(bare, "No technical cause")
     joined = events.join(known, F.col("attraction") == F.col("__n"), "left")
     return joined.withColumns({"quarantine_reason": reason, "rejected": F.coalesce(foreign | bare | info, F.lit(False))}).drop("__n")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haltbook.functions.timecols import strip
+
 EVENT = "chain_of_thought string, message_index int, time string, attraction_name string, event_type string, reason string, quote string"
 EVENT_TYPE = f"struct<{EVENT.replace(' string', ':string').replace(' int', ':int')}>"
 
@@ -22,7 +24,7 @@ def render(df: DataFrame, template: str, columns: list[str], into: str = "prompt
 
 def unwrapped(raw: Column) -> Column:
     """Model text without thinking spans and code fences."""
-    t = F.trim(F.regexp_replace(raw, "(?is)<think>.*?</think>", ""))
+    t = strip(F.regexp_replace(raw, "(?is)<think>.*?</think>", ""))
     return F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
 
 
@@ -48,7 +50,7 @@ def parse_events(df: DataFrame, column: str) -> DataFrame:
     """Events of a model result: an object with events, a bare list, or either as a JSON string;
     nothing on failure (C6). The object form is tried first, since a list schema would take a bare
     object for a list of one."""
-    t = F.trim(F.col(column))
+    t = strip(F.col(column))
     text = F.coalesce(F.when(F.startswith(t, F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), t, F.lit("}")), "$.v")), t)
     boxed = F.from_json(F.when(F.startswith(text, F.lit("{")), text), f"struct<events:array<{EVENT_TYPE}>>")["events"]
     inner = F.get_json_object(text, "$.events")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haltbook import defaults as D
+from haltbook.functions.timecols import strip
 
 STOP, START, TEST, GENERAL, INFO = "STOP_UNPLANNED", "START", "TEST_RUN", "START_GENERAL", "INFO"
 
@@ -109,11 +110,11 @@ def _append(acc: Column, text: Column) -> Column:
 def incident_detail(events: DataFrame, day: Sequence[str] = ("date",), test_prefix: str = D.TEST_PREFIX) -> DataFrame:
     """Folded reasons, notes, sources and evidence, and the closing event's part."""
     extra = ("message_index", "event_seq", "quote")
-    text = F.trim(F.coalesce("quote", F.lit("")))
+    text = strip(F.coalesce("quote", F.lit("")))
     stop = F.struct("ord", "message_index", "event_seq", text.alias("quote"), F.coalesce("reason", F.lit("")).alias("reason"))
     incidents = pair_incidents(events, day, extra, stop).withColumnRenamed("stops", "s")
     closer = F.coalesce("closer", "tried")
-    shown = F.trim(F.coalesce(closer["quote"], F.lit("")))
+    shown = strip(F.coalesce(closer["quote"], F.lit("")))
     by_test = closer.isNotNull() & (F.coalesce("closed_by", F.lit(TEST)) == TEST)
     quotes = F.filter(F.transform("s", lambda x: x["quote"]), lambda q: q != "")
     reasons = F.aggregate("s", F.lit(""), lambda a, x: F.when((x["reason"] == "") | F.contains(a, x["reason"]), a).otherwise(_append(a, x["reason"])))

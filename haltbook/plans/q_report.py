@@ -137,7 +137,7 @@ def d12_wide(spark, sf_dir):
     return report.ledger_wide(month_ledger(spark, sf_dir), PRIORITIES)
 
 
-SUMMARY = f"{SUMS}, round(sum(downtime_s) / 3600.0, 2) as hours"
+SUMMARY = f"{SUMS}, floor((sum(downtime_s) + 18) / 36) / 100 as hours"
 
 
 @query("d13_summary", f"with {DAYS}, k as (select {YM} as month, * from adays) select month, coalesce(attraction, 'Итого') as attraction, {SUMMARY} from k group by grouping sets ((month, attraction), (month))")
@@ -162,7 +162,7 @@ def d15_labels(spark, sf_dir):
 
 @query(
     "d16_series",
-    f"""with {DAYS}, {ASSETS}, k as (select {YM} as month, * from adays), s as (select month, attraction, sum(stops)::bigint as stops, round(sum(downtime_s) / 3600.0, 2) as hours from k group by grouping sets ((month, attraction), (month)))
+    f"""with {DAYS}, {ASSETS}, k as (select {YM} as month, * from adays), s as (select month, attraction, sum(stops)::bigint as stops, floor((sum(downtime_s) + 18) / 36) / 100 as hours from k group by grouping sets ((month, attraction), (month)))
  select month, coalesce(ord, 1073741824)::bigint as ord, coalesce(attraction, 'Итого') as attraction, hours, stops from s left join assets on name = attraction""",
 )
 def d16_series(spark, sf_dir):
@@ -219,6 +219,6 @@ def y4_ratio(spark, sf_dir):
     return yearly.year_ratio(matrix(spark, sf_dir), report.normative(hours(year_log(spark, sf_dir))))
 
 
-@query("y5_series", MATRIX + " select month, attraction, round(downtime_s / 3600.0, 2) as hours, null::bigint as stops from mx union all select null, attraction, null, sum(stops)::bigint from mx group by attraction")
+@query("y5_series", MATRIX + " select month, attraction, floor((downtime_s + 18) / 36) / 100 as hours, null::bigint as stops from mx union all select null, attraction, null, sum(stops)::bigint from mx group by attraction")
 def y5_series(spark, sf_dir):
     return yearly.year_series(matrix(spark, sf_dir))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haltbook import defaults as D
-from haltbook.functions.timecols import DAY, downtime_s, opening, strict_clock
+from haltbook.functions.timecols import DAY, downtime_s, hours_of, opening, strict_clock
 
 #: Missing stop times in a day's order: as 23:59, after everything, or as 00:00.
 LATE, LAST, EARLY = 86340, 1 << 30, 0
@@ -44,7 +44,8 @@ def slots(incidents: DataFrame, missing: int = LATE) -> DataFrame:
     """Incidents numbered in their day, and the day's number of slots."""
     own = Window.partitionBy("date", "attraction").orderBy(F.coalesce("stop_s", F.lit(missing)), "seq")
     numbered = incidents.withColumn("slot", F.row_number().over(own))
-    return numbered.withColumn("day_slots", F.greatest(F.max("slot").over(Window.partitionBy("date")), F.lit(1)))
+    height = incidents.groupBy("date", "attraction").count().groupBy("date").agg(F.max("count").cast("int").alias("day_slots"))
+    return numbered.join(height, "date")
 
 
 def complete() -> Column:
@@ -154,7 +155,7 @@ def ledger_wide(long: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _summary(df: DataFrame, digits: int) -> DataFrame:
-    return df.withColumn("hours", F.round(F.col("downtime_s") / 3600.0, digits)).withColumn("attraction", F.coalesce("attraction", F.lit(D.TOTAL_LABEL)))
+    return df.withColumn("hours", hours_of(F.col("downtime_s"), digits)).withColumn("attraction", F.coalesce("attraction", F.lit(D.TOTAL_LABEL)))
 
 
 def month_summary(days: DataFrame, digits: int = 2) -> DataFrame:

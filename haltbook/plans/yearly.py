@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haltbook.functions.timecols import hours_of
 from haltbook.plans.report import asset_days
 
 
@@ -53,6 +54,6 @@ def year_ratio(matrix: DataFrame, planned: DataFrame) -> DataFrame:
 
 def year_series(matrix: DataFrame) -> DataFrame:
     """Chart tables (Y5): downtime hours by month and asset, stops by asset (month NULL)."""
-    hours = matrix.select("month", "attraction", F.round(F.col("downtime_s") / 3600.0, 2).alias("hours"), F.lit(None).cast("long").alias("stops"))
+    hours = matrix.select("month", "attraction", hours_of(F.col("downtime_s")).alias("hours"), F.lit(None).cast("long").alias("stops"))
     stops = matrix.groupBy("attraction").agg(F.sum("stops").cast("long").alias("stops"))
     return hours.unionByName(stops.select(F.lit(None).cast("int").alias("month"), "attraction", F.lit(None).cast("double").alias("hours"), "stops"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haltbook import defaults as D
-from haltbook.functions.timecols import as_date, blank_to_null, parse_clock
+from haltbook.functions.timecols import as_date, blank_to_null, parse_clock, strip
 from haltbook.operators.assets import normalize_asset
 from haltbook.operators.notices import in_range, order_notices
 
@@ -22,8 +22,8 @@ def read_chat_export(spark: SparkSession, paths) -> DataFrame:
     order is kept (S1)."""
     docs = spark.read.schema(EXPORT).option("multiLine", True).json(paths)
     each = docs.select(F.col("sourceUrl").alias("chat_key"), F.posexplode("messages").alias("pos", "m"))
-    raw = F.trim("m.messageDate")
-    found = each.select("chat_key", F.col("pos").cast("long").alias("pos"), raw.alias("raw_date"), as_date(F.left(raw, F.lit(10))).alias("date"), F.trim("m.time").alias("time"), F.trim("m.text").alias("text"))
+    raw = strip(F.col("m.messageDate"))
+    found = each.select("chat_key", F.col("pos").cast("long").alias("pos"), raw.alias("raw_date"), as_date(F.left(raw, F.lit(10))).alias("date"), strip(F.col("m.time")).alias("time"), strip(F.col("m.text")).alias("text"))
     return found.where(F.coalesce("raw_date", F.lit("")) != "")
 
 
@@ -148,7 +148,7 @@ def write_text(lines: DataFrame, path: str) -> None:
 def day_text_report(df: DataFrame) -> DataFrame:
     """(date, value): each day's text below its heading, by date (S13). Takes date, report."""
     head = F.concat(F.lit("===== "), F.col("date").cast("string"), F.lit(" =====\n"))
-    return df.select("date", F.concat(head, F.trim("report"), F.lit("\n")).alias("value")).orderBy("date")
+    return df.select("date", F.concat(head, strip(F.col("report")), F.lit("\n")).alias("value")).orderBy("date")
 
 
 def pending_days(notices: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
@@ -167,8 +167,8 @@ def write_rows(df: DataFrame, path: str) -> None:
 def keep_rows(df: DataFrame, none: str) -> DataFrame:
     """Rows that report something (R1): no "worked without stops", and any of five fields."""
     fields = ["reason", "note", "downtime", "stop_time", "start_time"]
-    said = F.lower(F.concat_ws(" ", *(F.coalesce(F.trim(c), F.lit("")) for c in fields[:3])))
-    some = F.concat(*(F.coalesce(F.trim(c), F.lit("")) for c in fields)) != ""
+    said = F.lower(F.concat_ws(" ", *(F.coalesce(strip(F.col(c)), F.lit("")) for c in fields[:3])))
+    some = F.concat(*(F.coalesce(strip(F.col(c)), F.lit("")) for c in fields)) != ""
     return df.where(~F.contains(said, F.lit(none)) & some)
 
 
@@ -178,11 +178,11 @@ def prepare_rows(df: DataFrame, assets: DataFrame, none: str, unknown: int = 999
     order = assets.select(F.col("name").alias("__n"), F.col("ord").alias("__o"))
     typed = kept.join(order, F.col("attraction") == F.col("__n"), "left").withColumns(
         {
-            "date": as_date(F.left(F.trim(F.col("date").cast("string")), F.lit(10))),
+            "date": as_date(F.left(strip(F.col("date").cast("string")), F.lit(10))),
             "stop_min": parse_clock(F.col("stop_time")),
             "start_min": parse_clock(F.col("start_time")),
             "asset_order": F.coalesce("__o", F.lit(unknown)),
-            **{c: F.coalesce(F.trim(c), F.lit("")) for c in ("downtime", "reason", "note")},
+            **{c: F.coalesce(strip(F.col(c)), F.lit("")) for c in ("downtime", "reason", "note")},
         }
     )
     return typed.drop("__n", "__o").orderBy("date", "asset_order", F.coalesce("stop_min", F.lit(0)))
