@@ -14,9 +14,11 @@ from haltbook.operators.pairing import incident_detail
 from haltbook.plans.q_pairing import COLUMNS, PAIRS
 from haltbook.plans.register import collector
 from haltbook.plans.views import LOG, NOTICES, SIGNALS, assets, log, notices, signals, table
+from haltbook.sources import manifest
 from haltbook.sources import tables as io
 from haltbook.sources.scratch import scratch
 from haltbook.streaming import live
+from haltbook.streaming.notice_store import read_store, store_sink
 
 QUERIES, ORACLES, query = collector()
 
@@ -48,8 +50,10 @@ def s4_read_year(spark, sf_dir):
 def s6_replace(spark, sf_dir):
     """The days of May are replaced; odd ones have no rows any more."""
     rows = log(spark, sf_dir).where("month(date) = 5")
-    new = io.replace_dates(rows.where("day(date) % 2 = 0"), log_path(spark, sf_dir), rows.select("date").distinct())
-    return io.read_stop_log(spark, new).select("date", "seq", "attraction")
+    root = scratch(spark, "log")
+    manifest.commit(log(spark, sf_dir), root)
+    manifest.commit(rows.where("day(date) % 2 = 0"), root, rows.select("date").distinct())
+    return manifest.read_log(spark, root).select("date", "seq", "attraction")
 
 
 @query("s8_quarantine", f"with {SIGNALS} select event_seq, case when time_s is null then null else strftime(date, '%Y-%m-%d') || ' ' || lpad((time_s // 3600)::varchar, 2, '0') || ':' || lpad((time_s // 60 % 60)::varchar, 2, '0') end as at from signals where event_type = 'INFO' or event_seq % 10 = 0 and event_type = 'TEST_RUN'")
@@ -344,8 +348,8 @@ def x2_store(spark, sf_dir):
     out, path = scratch(spark, "store"), feed(spark, sf_dir)
     for _ in range(2):  # a replay from the beginning adds nothing
         raw = spark.readStream.schema(live.NOTICE).json(path)
-        _run(raw.writeStream.foreachBatch(live.store_sink(out)), spark)
-    return spark.read.parquet(out).select("chat_key", "pos", "date", "time")
+        _run(raw.writeStream.foreachBatch(store_sink(out, 16)), spark)
+    return read_store(spark, out).select("chat_key", "pos", "date", "time")
 
 
 @query("x3_refresh", PAIRS + f" select {', '.join(COLUMNS)} from pairs where date in (select date from signals where event_seq % 1000 = 0)")

@@ -12,6 +12,7 @@ from haltbook.plans.q_io import _run
 from haltbook.plans.q_pairing import COLUMNS, PAIRS
 from haltbook.plans.register import collector
 from haltbook.plans.views import NOTICES, SIGNALS, notices, signals
+from haltbook.sources import manifest
 from haltbook.sources import tables as io
 from haltbook.sources.scratch import scratch
 from haltbook.streaming import live
@@ -124,4 +125,4 @@ def x3_stream(spark, sf_dir):
     schema = s.schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).json(path)
     _run(raw.writeStream.foreachBatch(live.refresh_sink(lambda: spark.read.schema(schema).json(path), root, COLUMNS)), spark)
-    return io.read_stop_log(spark, live.latest_snapshot(spark, root)).select(*COLUMNS)
+    return manifest.read_log(spark, root).select(*COLUMNS)

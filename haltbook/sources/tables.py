@@ -1,8 +1,7 @@
-"""Readers and writers."""
+"""Readers and writers."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -44,18 +43,6 @@ def write_stop_log(df: DataFrame, path: str) -> None:
     dated.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
 
 
-def replace_dates(df: DataFrame, path: str, dates: DataFrame, to: str | None = None) -> str:
-    """Replaces all rows of the given dates, also of those that now have none (S6). Dynamic partition
-    overwrite would keep emptied dates and cannot read what it writes, so a new snapshot folder is
-    written beside the old one (or to ``to``) and its path returned."""
-    spark = df.sparkSession
-    old = read_stop_log(spark, path)
-    kept = old.join(dates.select(F.col("date").alias("__d")).distinct(), F.col("date") == F.col("__d"), "left_anti")
-    snapshot = to or f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    write_stop_log(kept.unionByName(df, allowMissingColumns=True), snapshot)
-    return snapshot
-
-
 def write_quarantine(df: DataFrame, path: str) -> bool:
     """Full replacement if there are rejects (S8); date_time from date and time, the raw text where
     they are no instant."""

@@ -4,83 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haltbook.functions.timecols import instant
-from haltbook.operators.notices import append_notices, notice_key
+from haltbook.operators.notices import notice_key
 from haltbook.operators.pairing import pair_incidents
-from haltbook.sources.tables import replace_dates, write_stop_log
+from haltbook.sources.manifest import commit
 
-MONTHS = 1200
 NOTICE = "chat_key string, pos long, date date, time string, text string"
 
 
 def stream_notices(spark: SparkSession, folder: str, schema: str = NOTICE, late: str = "30 days", per_batch: int = 64) -> DataFrame:
-    """A feed of notice files without repeats of a key within ``late`` (X1). The bound keeps the
-    state small, but the watermark also drops every notice more than ``late`` behind the newest one of
-    earlier batches, first-time ones too: load back-filled exports into the store (X2), not here."""
+    """A feed of notice files without repeats of a key within ``late``, for consumers that need rows at once (X1). Its
+    watermark drops what is more than ``late`` behind the newest notice; ``notice_store.store_sink`` takes the same files
+    without that bound: there every first-time notice gets in."""
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(folder)
     keyed = feed.withColumns({"at": instant(F.col("date").cast("string"), F.col("time")), "notice_key": F.concat_ws("|", "chat_key", notice_key())})
     return keyed.withWatermark("at", late).dropDuplicatesWithinWatermark(["notice_key"]).drop("at", "notice_key")
 
 
-def store_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: append what the store lacks (X2). A replayed batch adds nothing. The store is
-    partitioned by month and a batch reads the months of its own dates."""
-
-    def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        month = F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("none"))
-        own = batch.withColumn("month", month)
-        months = [r.month for r in own.select("month").distinct().limit(MONTHS + 1).collect()]
-        if not months:
-            return
-        try:
-            store = spark.read.schema(own.schema).parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            store = spark.createDataFrame([], own.schema)
-        if len(months) <= MONTHS:  # repeats have the date of what they repeat; other months are not read
-            store = store.where(F.col("month").isin(months))
-        new, _ = append_notices(store, own)
-        new.select(*own.columns).write.mode("append").partitionBy("month").parquet(path)
-
-    return append
-
-
 def refresh_days(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """Incidents of the days that a batch touches, from the whole store (X3); to be written with
-    ``replace_dates``."""
+    """Incidents of the days that a batch touches, from the whole store (X3); to be committed with
+    ``manifest.commit``. The store is read between the batch's first and last day."""
     days = batch.select(F.col("date").alias("__d")).distinct()
-    return pair_incidents(store.join(days, F.col("date") == F.col("__d"), "left_semi"))
-
-
-def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> str | None:
-    """The complete log of the newest batch (before the given one)."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return None
-    names = [x.getPath().getName() for x in fs.listStatus(top)]
-    done = [int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    chosen = [n for n in done if before is None or n < before]
-    return f"{root}/{max(chosen)}" if chosen else None
+    first, last = batch.agg(F.min("date"), F.max("date")).first()
+    near = store.where(F.col("date").between(F.lit(first), F.lit(last)))
+    return pair_incidents(near.join(days, F.col("date") == F.col("__d"), "left_semi"))
 
 
-def refresh_sink(store: Callable[[], DataFrame], root: str, columns: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: pair the days that a batch touches again and replace them in the stop log (X3). Each
-    batch writes its log below ``root`` under its own number, so a replayed batch gives the same log."""
+def refresh_sink(store: Callable[[], DataFrame], root: str, columns: list[str], stream: str | None = None, keep: int = 3) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: pair the days that a batch touches again and replace them in the stop log (X3). A batch rewrites the
+    months of its days. With ``stream``, a name that belongs to the stream's checkpoint, a batch that comes again finds its
+    version committed; without, it gives the same rows once more."""
 
     def refresh(batch: DataFrame, number: int) -> None:
-        spark, to = batch.sparkSession, f"{root}/{number}"
-        rows = refresh_days(batch, store()).select(*columns)
-        old = latest_snapshot(spark, root, number)
-        if old is None:
-            write_stop_log(rows, to)
-        else:
-            replace_dates(rows, old, batch.select("date").distinct(), to)
+        if not batch.isEmpty():
+            commit(refresh_days(batch, store()).select(*columns), root, batch.select("date").distinct(), stream, number, keep)
 
     return refresh

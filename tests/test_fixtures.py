@@ -11,7 +11,7 @@ from haltbook.functions import causes, repair
 from haltbook.functions import timecols as t
 from haltbook.operators import assets, events, model_io, notices, pairing
 from haltbook.plans import report
-from haltbook.sources import tables
+from haltbook.sources import manifest, tables
 
 S, R, T, G, I = "STOP_UNPLANNED", "START", "TEST_RUN", "START_GENERAL", "INFO"
 
@@ -179,9 +179,9 @@ def test_range_and_replace(spark, tmp_path):
     with pytest.raises(ValueError):
         notices.in_range(n, "2024-02-01", "2024-01-01")
     log = spark.createDataFrame([(date(2024, 1, d), d) for d in (1, 2, 3)], "date date, seq long")
-    tables.write_stop_log(log, str(tmp_path / "log"))
-    new = tables.replace_dates(log.where("seq = 2").withColumn("seq", F.lit(20).cast("long")), str(tmp_path / "log"), log.where("seq > 1").select("date"))
-    assert sorted(r.seq for r in tables.read_stop_log(spark, new).collect()) == [1, 20]
+    manifest.commit(log, str(tmp_path / "log"))
+    manifest.commit(log.where("seq = 2").withColumn("seq", F.lit(20).cast("long")), str(tmp_path / "log"), log.where("seq > 1").select("date"))
+    assert sorted(r.seq for r in manifest.read_log(spark, str(tmp_path / "log")).collect()) == [1, 20]
     assert tables.write_quarantine(log.limit(0).withColumn("time", F.lit("")), str(tmp_path / "q")) is False
 
 
