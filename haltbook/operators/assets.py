@@ -120,8 +120,8 @@ def facts(notices: DataFrame, assets: DataFrame, hint: str = D.GENERAL_HINT, mar
     return own.unionByName(wide.select(*key, F.lit(hint).alias("target_hint"), F.col("text").alias("fragment")))
 
 
-def asset_lines(assets: DataFrame) -> DataFrame:
-    """One text: full names, else names, in order (C4)."""
+def asset_lines(assets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One text: full names, else names, in order; with ``by`` one for each of its values (C4)."""
     shown = F.coalesce(blank_to_null(F.col("full_name")), F.col("name"))
-    return assets.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", shown.alias("n")))), lambda x: x["n"]), "\n").alias("lines"))
-
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", shown.alias("n")))), lambda x: x["n"]), "\n")
+    return assets.groupBy(*by).agg(lines.alias("lines"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haltbook.functions.timecols import strip
+from haltbook.operators.alias_index import same
+from haltbook.operators.scans import number_rows
+from haltbook.sources.scratch import scratch
 
 EVENT = "chain_of_thought string, message_index int, time string, attraction_name string, event_type string, reason string, quote string"
 EVENT_TYPE = f"struct<{EVENT.replace(' string', ':string').replace(' int', ':int')}>"
@@ -62,33 +67,53 @@ def parse_events(df: DataFrame, column: str) -> DataFrame:
 
 def merge_chunks(df: DataFrame, day: list[str]) -> tuple[DataFrame, DataFrame]:
     """(events with event_seq in chunk order, counts by chunk) of (day, chunk, event_pos, ...)."""
-    w = Window.partitionBy(*day).orderBy("chunk", "event_pos")
-    return df.withColumn("event_seq", F.row_number().over(w).cast("long")), df.groupBy(*day, "chunk").agg(F.count("*").alias("events"))
+    return number_rows(df, day, "chunk", "event_seq", ["event_pos"], size=64), df.groupBy(*day, "chunk").agg(F.count("*").alias("events"))
 
 
-def extract_events(chunks: DataFrame, fn: Callable[[dict], list[dict]], keys: list[str], retries: int = 3) -> DataFrame:
-    """Events of each chunk by a user function, called again up to ``retries`` times when it raises
-    (U1). The only step that needs Python workers; a chunk's bound is its number of notices."""
-    names = [f.split()[0] for f in EVENT.split(", ")]
+def extract_events(
+    chunks: DataFrame, fn: Callable[[dict], list[dict]], keys: list[str], retries: int = 3, path: str | None = None, again: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of each chunk by a user function, called again up to ``retries`` times when it raises (U1). A chunk
+    whose last call raises is a reject with its error; the job goes on. The only step that needs Python workers; a chunk's bound is
+    its number of notices. With ``path`` results are kept there by chunk key: another run calls only chunks
+    without a result, and with ``again`` those that were rejected too."""
+    spark = chunks.sparkSession
     kept = chunks.select(*keys).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.fields) + ", event_pos int, " + EVENT
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + ", found string, error string"
 
-    def call(row: dict) -> list[dict]:
-        for attempt in range(max(1, retries)):
+    def call(row: dict) -> tuple[str | None, str | None]:
+        error = None
+        for _ in range(max(1, retries)):
             try:
-                return fn(row)
-            except Exception:
-                if attempt + 1 >= max(1, retries):
-                    raise
-        return []
+                return json.dumps(fn(row), ensure_ascii=False), None
+            except Exception as e:  # what a user's function raises is the chunk's result
+                error = f"{type(e).__name__}: {e}"
+        return None, error
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [
-                [row[k] for k in keys] + [i] + [e.get(n) for n in names] for row in frame.to_dict("records") for i, e in enumerate(call(row))
-            ]
-            out = pd.DataFrame(rows, columns=[*keys, "event_pos", *names])
-            out["message_index"] = out["message_index"].astype("Int32")
-            yield out
-
-    return chunks.mapInPandas(task, schema)
+            rows = [[row[k] for k in keys] + list(call(row)) for row in frame.to_dict("records")]
+            yield pd.DataFrame(rows, columns=[*keys, "found", "error"])
+
+    at = path or scratch(spark, "extracted")
+    todo = chunks
+    if path is not None:
+        done = _kept(spark, path, schema)
+        if done is not None:
+            had = done if not again else done.where("error is null")
+            todo = chunks.alias("c").join(had.select(*keys).distinct().alias("d"), same("c", "d", keys), "left_anti")
+    todo.mapInPandas(task, schema).write.mode("append").parquet(at)
+    every = _kept(spark, at, schema)
+    events = every.where("error is null").select(*keys, F.posexplode(F.from_json("found", f"array<{EVENT_TYPE}>")).alias("event_pos", "__e"))
+    rejected = every.where("error is not null").groupBy(*keys).agg(F.max("error").alias("error"))
+    good = every.where("error is null").select(*keys).distinct()
+    return events.select(*keys, "event_pos", "__e.*"), rejected.alias("r").join(good.alias("g"), same("r", "g", keys), "left_anti")
+
+
+def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

@@ -1,29 +1,28 @@
 """Notice tables: numbering, dates, bodies, dedup, ranges, coverage, transcripts (S2, M5-M11, S14,
-A10, C1, C2). A notice has chat_key, pos, date, time, text; chat and day are in every window's key."""
+A10, C1, C2). A notice has chat_key, pos, date, time, text; days and chats may be of any size."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haltbook.functions.timecols import blank_to_null, clock, label_date, squash
+from haltbook.operators.scans import carry_last, number_rows
 
 
 def index_notices(notices: DataFrame, day: Sequence[str] = ("chat_key", "date")) -> DataFrame:
-    """message_index: 1-based place in the day, in file order."""
-    return notices.withColumn("message_index", F.row_number().over(Window.partitionBy(*day).orderBy("pos")))
+    """message_index: 1-based place in the day, in file order (S2). A day may be of any size."""
+    return number_rows(notices, day, "pos", "message_index").withColumn("message_index", F.col("message_index").cast("int"))
 
 
 def carry_dates(blocks: DataFrame, as_of: Column, chat: str = "chat_key", **labels) -> DataFrame:
     """A block without own date takes the last header's before it; headers go (M5). ``label`` is a
     block's header text or NULL."""
-    header = label_date(F.col("label"), as_of, **labels)
-    w = Window.partitionBy(chat).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = blocks.withColumn("__header", header)
-    return marked.withColumn("carried_date", F.last("__header", ignorenulls=True).over(w)).where("__header is null").drop("__header")
+    marked = blocks.withColumn("__header", label_date(F.col("label"), as_of, **labels))
+    return carry_last(marked, [chat], "pos", "__header", "carried_date").where("__header is null").drop("__header")
 
 
 def resolve_date(df: DataFrame, columns: Sequence[str], carried: str = "carried_date") -> DataFrame:

@@ -9,13 +9,14 @@ every key, so many days and chats are one plan. ``day`` names the columns that k
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haltbook import defaults as D
 from haltbook.functions.timecols import strip
+from haltbook.operators.alias_index import same
+from haltbook.operators.scans import ranged_count
 
 STOP, START, TEST, GENERAL, INFO = "STOP_UNPLANNED", "START", "TEST_RUN", "START_GENERAL", "INFO"
 
@@ -31,17 +32,25 @@ def with_order(events: DataFrame) -> DataFrame:
     return events.withColumn("ord", order_key())
 
 
-def with_islands(events: DataFrame, day: Sequence[str] = ("date",)) -> tuple[DataFrame, DataFrame]:
-    """(events of incidents with epoch and island, general starts by epoch). A day's general starts are few:
-    its other events meet them by a join, so no task holds all events of a day."""
+def with_epochs(events: DataFrame, day: Sequence[str], few: int) -> tuple[DataFrame, DataFrame]:
+    """(events of incidents, general starts), each with the number of its day's general starts before it."""
     keyed = with_order(events)
+    wanted = F.col("event_type").isin(STOP, START, TEST)
     general = keyed.where(F.col("event_type") == GENERAL)
+    if general.limit(few + 1).count() > few:
+        counted = ranged_count(keyed.where(wanted | (F.col("event_type") == GENERAL)), day, "ord", F.col("event_type") == GENERAL, "epoch")
+        return counted.where(wanted), counted.where(F.col("event_type") == GENERAL)
     closers = general.withColumn("epoch", F.row_number().over(Window.partitionBy(*day).orderBy("ord")) - 1)
-    marks = general.groupBy(*(F.col(c).alias(f"__{c}") for c in day)).agg(F.collect_list("ord").alias("__marks"))
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in day))
+    marks = general.groupBy(*day).agg(F.collect_list("ord").alias("__marks"))
+    own = keyed.where(wanted).alias("e").join(F.broadcast(marks).alias("m"), same("e", "m", day), "left").select("e.*", "m.__marks")
     before = F.size(F.filter("__marks", lambda x: x < F.col("ord")))
-    own = keyed.where(F.col("event_type").isin(STOP, START, TEST)).join(marks, same, "left")
-    own = own.withColumn("epoch", F.when(F.col("__marks").isNull(), 0).otherwise(before)).drop("__marks", *(f"__{c}" for c in day))
+    return own.withColumn("epoch", F.when(F.col("__marks").isNull(), 0).otherwise(before)).drop("__marks"), closers
+
+
+def with_islands(events: DataFrame, day: Sequence[str] = ("date",), few: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(events of incidents with epoch and island, general starts by epoch). Up to ``few`` general starts are broadcast; more are
+    counted by a scan in ranges of the order. Either way no task holds all events of a day."""
+    own, closers = with_epochs(events, day, few)
     by_asset = Window.partitionBy(*day, "attraction", "epoch").orderBy("ord")
     untimed = (F.col("event_type") == TEST) & F.col("time_s").isNull()
     before = F.last(F.when(~untimed, F.col("event_type")), ignorenulls=True).over(by_asset.rowsBetween(Window.unboundedPreceding, -1))
@@ -50,11 +59,11 @@ def with_islands(events: DataFrame, day: Sequence[str] = ("date",)) -> tuple[Dat
     return islands.where("island > 0").drop("opens"), closers
 
 
-def pair_incidents(events: DataFrame, day: Sequence[str] = ("date",), extra: Sequence[str] = (), stops: Column | None = None) -> DataFrame:
+def pair_incidents(events: DataFrame, day: Sequence[str] = ("date",), extra: Sequence[str] = (), stops: Column | None = None, few: int = 5000) -> DataFrame:
     """One row per incident (P1, P2): ``day``, attraction, incident, stop_s, start_s, n_stops,
     closed_by, and stop_/start_/test_ structs with the ``extra`` columns of the deciding events.
     With ``stops``, this value of all its stops as a sorted array."""
-    islands, closers = with_islands(events, day)
+    islands, closers = with_islands(events, day, few)
     picked = F.struct(F.col("ord"), F.col("time_s"), *(F.col(c) for c in extra))
     kind, timed = F.col("event_type"), F.col("time_s").isNotNull()
     grouped = islands.groupBy(*day, "attraction", "epoch", "island").agg(

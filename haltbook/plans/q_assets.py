@@ -108,6 +108,6 @@ def a9_facts(spark, sf_dir):
     return a.facts(documents(spark, sf_dir), words(spark), markers=MARKERS, foreign=FOREIGN).select("pos", "target_hint", "fragment")
 
 
-@query("c4_lines", "select string_agg(coalesce(nullif(trim(p_type), ''), p_name), chr(10) order by p_partkey) as lines from part")
+@query("c4_lines", "select p_brand, p_size, string_agg(coalesce(nullif(trim(p_type), ''), p_name), chr(10) order by p_partkey) as lines from part group by 1, 2")
 def c4_lines(spark, sf_dir):
-    return a.asset_lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("full_name")))
+    return a.asset_lines(table(spark, sf_dir, "part").select("p_brand", "p_size", F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("full_name")), ["p_brand", "p_size"])

@@ -76,26 +76,34 @@ def documents(spark, sf_dir):
     return io.day_docs(c, s.select("date", "event_seq", "event_type", "attraction"), rows)
 
 
-DOCS = PAIRS + f""", {NOTICES}, dn as (select date, count(*) as n_messages, min(text) as first from (select date, text from notices) group by 1), de as (select date, count(*) as n_events from signals group by 1),
- dr as (select date, count(*) as n_rows from pairs group by 1), docs as (select date, coalesce(n_messages, 0) as n_messages, coalesce(n_events, 0) as n_events, coalesce(n_rows, 0) as n_rows from dn full join de using (date) full join dr using (date))"""
+PIECE = 20
+PIECES = f"""with {SIGNALS}, {NOTICES}, e as (select date, 'messages' as part, chat_key::bigint * 100 + pos as place from notices union all select date, 'events', event_seq from signals),
+ k as (select *, (row_number() over (partition by {{keys}}part order by place) - 1) // {PIECE} as piece from e)
+ select {{keys}}part, piece::int as piece, min(place) as first, max(place) as last, count(*)::int as n from k group by all"""
 
 
-@query("s9_day_docs", DOCS + " select date, n_messages::bigint as n_messages, n_events::bigint as n_events, n_rows::bigint as n_rows from docs")
+def pieces(spark, sf_dir, keys, back):
+    n = notices(spark, sf_dir).select("date", (F.col("chat_key").cast("long") * 100 + F.col("pos")).alias("pos"), "text")
+    e = signals(spark, sf_dir).select("date", "event_seq", "event_type", "attraction")
+    path = scratch(spark, "pieces")
+    io.fragments({"messages": (n, "pos"), "events": (e, "event_seq")}, keys, PIECE).write.json(path)
+    read = spark.read.schema(f"{back}part string, piece int, first long, last long, entries string").json(path)
+    return read.select(*keys, "part", "piece", "first", "last", F.size(F.from_json("entries", "array<map<string,string>>")).alias("n"))
+
+
+@query("s9_day_docs", PIECES.format(keys="date, "))
 def s9_day_docs(spark, sf_dir):
-    path = scratch(spark, "days")
-    io.write_day_docs(documents(spark, sf_dir), path)
-    back = spark.read.schema("date date, messages array<struct<pos:long,text:string>>, events array<struct<event_seq:long>>, rows array<struct<incident:long>>, n_messages long, n_events long, n_rows long").json(path)
+    """The day documents in pieces, written and read again."""
+    return pieces(spark, sf_dir, ["date"], "date date, ")
 
-    def size(c):
-        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
 
-    return back.select("date", size("messages").alias("n_messages"), size("events").alias("n_events"), size("rows").alias("n_rows"))
+MONTH_ROWS = PAIRS + " select strftime(date, '%Y-%m') as month, date, incident, attraction, stop_s, start_s from pairs"
 
 
-@query("s10_month_doc", DOCS + " select strftime(date, '%Y-%m') as month, count(*)::bigint as days, sum(n_messages)::bigint as n_messages, sum(n_events)::bigint as n_events, sum(n_rows)::bigint as n_rows from docs group by 1")
+@query("s10_month_doc", MONTH_ROWS)
 def s10_month_doc(spark, sf_dir):
-    d = io.month_doc(documents(spark, sf_dir))
-    return d.select("month", F.size("dates").cast("long").alias("days"), "n_messages", "n_events", F.size("rows").cast("long").alias("n_rows"))
+    """The month's rows from its day documents, flat."""
+    return io.month_rows(documents(spark, sf_dir)).select("month", "date", "incident", "attraction", "stop_s", "start_s")
 
 
 EXPORTED = f"with {NOTICES} select chat_key, (row_number() over (order by date, time, pos) - 1) as pos, date, time, trim(text) as text from notices where chat_key = '3'"
@@ -273,6 +281,12 @@ def c7_merge(spark, sf_dir):
     return counts.join(last.join(total, "date").where("n = t").select("date"), "date", "left_semi")
 
 
+@query("c7_rows", "select cast(ts as date) as date, event_id as chunk, p::int as event_pos, row_number() over (partition by cast(ts as date) order by event_id, p) as event_seq from events, range(2) r(p) where event_id % 4 < 3")
+def c7_rows(spark, sf_dir):
+    own = results(spark, sf_dir).withColumn("chunk", F.col("event_id"))
+    return m.merge_chunks(m.parse_events(own, "raw"), ["date"])[0].select("date", "chunk", "event_pos", "event_seq")
+
+
 def find_tion(row: dict) -> list[dict]:
     """A rule extractor: an INFO for each line of the chunk that has the syllable."""
     return [{"message_index": i, "event_type": "INFO", "quote": x[:20]} for i, x in enumerate(row["transcript"].split("\n")) if "tion" in x]
@@ -286,7 +300,7 @@ def find_tion(row: dict) -> list[dict]:
  select chat_key, chunk, k::int as message_index, left(line, 20) as quote from l where contains(line, 'tion')""",
 )
 def u1_extract(spark, sf_dir):
-    found = m.extract_events(chunk(notices(spark, sf_dir), 3), find_tion, ["chat_key", "chunk", "transcript"])
+    found, _ = m.extract_events(chunk(notices(spark, sf_dir), 3), find_tion, ["chat_key", "chunk", "transcript"])
     return found.select("chat_key", "chunk", "message_index", "quote")
 
 

@@ -143,6 +143,11 @@ def s14_append(spark, sf_dir):
     return n.append_notices(notices(spark, sf_dir).where("pos % 4 = 0"), doubled(spark, sf_dir))[1]
 
 
+@query("s14_rows", APPEND + " select chat_key, pos, date, time, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from fresh")
+def s14_rows(spark, sf_dir):
+    return n.append_notices(notices(spark, sf_dir).where("pos % 4 = 0"), doubled(spark, sf_dir))[0].select(*KEYS, "date", "time", "text")
+
+
 @query("a10_days", f"with {NOTICES}, d as (select *, dense_rank() over (order by date) as k from notices) select chat_key, pos, date from d where k <= 7")
 def a10_days(spark, sf_dir):
     return n.select_days(notices(spark, sf_dir), limit=7).select(*KEYS, "date")

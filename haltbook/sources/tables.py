@@ -12,6 +12,7 @@ from haltbook import defaults as D
 from haltbook.functions.timecols import as_date, blank_to_null, parse_clock, strip
 from haltbook.operators.assets import normalize_asset
 from haltbook.operators.notices import in_range, order_notices
+from haltbook.operators.scans import number_rows
 
 EXPORT = "exportedAt string, sourceUrl string, count int, messages array<struct<text:string, messageDate:string, time:string>>"
 
@@ -54,10 +55,17 @@ def write_quarantine(df: DataFrame, path: str) -> bool:
 
 
 def day_docs(
-    notices: DataFrame, events: DataFrame, rows: DataFrame, raw_events: DataFrame | None = None, quarantine: DataFrame | None = None, keys: Sequence[str] = ("date",)
+    notices: DataFrame,
+    events: DataFrame,
+    rows: DataFrame,
+    raw_events: DataFrame | None = None,
+    quarantine: DataFrame | None = None,
+    keys: Sequence[str] = ("date",),
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """One document per date (or finer ``keys``): notices, events, rows and, where given, raw events and
-    rejected events as sorted arrays, and their counts (S9)."""
+    rejected events as sorted arrays, and their counts (S9). ``runs`` (keys, then model, prompt, raw_model or what else
+    tells how the events were made) is kept with the document. Days that are too large for a row: ``fragments``."""
 
     def packed(df: DataFrame, order: str, name: str) -> DataFrame:
         own = F.struct(order, *(c for c in df.columns if c not in (*keys, order)))
@@ -67,9 +75,26 @@ def day_docs(
     given = [packed(*p) for p in parts if p[0] is not None]
     out = reduce(lambda a, b: a.join(b, list(keys), "full"), given)
     count = {f"n_{p[2]}": F.greatest(F.coalesce(F.size(p[2]), F.lit(0)), F.lit(0)) for p in parts if p[0] is not None}
+    if runs is not None:
+        out = out.join(runs, list(keys), "left")
     return out.withColumns(count)
 
 
+def fragments(parts: dict[str, tuple[DataFrame, str]], keys: Sequence[str] = ("date",), size: int = 1000) -> DataFrame:
+    """The documents of ``keys`` in pieces of at most ``size`` entries (S9, S10, S11): (keys, part, piece, first, last, entries), where part is a name
+    of ``parts``, which gives each its rows and the number that orders them, and entries is a JSON list. Read in the order of part
+    and piece they are the document, however large it is."""
+    out = []
+    for name, (df, order) in parts.items():
+        own = F.struct(F.col(order).cast("long").alias("at"), F.to_json(F.struct(*(c for c in df.columns if c not in keys))).alias("entry"))
+        piece = F.floor((F.col("__n") - 1) / size).cast("int").alias("piece")
+        numbered = number_rows(df, keys, order, "__n").select(*keys, F.lit(name).alias("part"), piece, own.alias("x"))
+        texts = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["entry"])
+        found = numbered.groupBy(*keys, "part", "piece").agg(F.min("x.at").alias("first"), F.max("x.at").alias("last"), F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias("entries"))
+        out.append(found)
+    return reduce(DataFrame.unionByName, out)
+
+
 def write_day_docs(docs: DataFrame, path: str) -> None:
     docs.repartition("date").write.mode("overwrite").partitionBy("date").json(path)
 

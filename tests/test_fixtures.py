@@ -154,7 +154,7 @@ def test_model_output(spark):
         return [{"message_index": row["k"], "event_type": "INFO"}]
 
     chunks = spark.createDataFrame([(1,), (2,)], "k int").coalesce(1)
-    assert [r.message_index for r in model_io.extract_events(chunks, shaky, ["k"]).collect()] == [1, 2]
+    assert [r.message_index for r in model_io.extract_events(chunks, shaky, ["k"])[0].collect()] == [1, 2]
 
 
 def test_month_edges(spark):
