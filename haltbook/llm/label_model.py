@@ -10,7 +10,8 @@ labeler's weight is divided by one plus its squared correlations with the others
 variance they share), and the classes settle again.
 
 ``fit`` knows one bad class. ``fit_kinds`` lets bad rows be of several kinds, which rules tell apart:
-rules whose negative votes go together (correlation of at least ``tied``) describe one kind. With one
+rules whose negative votes go together (correlation of at least ``tied``) describe one kind, and so does a rule whose
+negative votes go with no other's, as long as the classes leave it rows. With one
 bad class for all, the most common kind would take it whole and the others would pass as good.
 Results are log-odds weights per labeler and vote, applied again as a plain column expression.
 """
@@ -86,7 +87,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, smooth:
 
 
 def kinds_of(votes: np.ndarray, mass: np.ndarray, tied: float) -> list[list[int]]:
-    """Groups of two rules or more whose negative votes go together."""
+    """Groups of rules whose negative votes go together, rules that stand alone among them; none if all do."""
     near = correlations((votes == -1).astype(float), [mass]) >= tied
     left, out = set(range(votes.shape[1])), []
     while left:
@@ -95,9 +96,9 @@ def kinds_of(votes: np.ndarray, mass: np.ndarray, tied: float) -> list[list[int]
             more = [j for j in left if near[k, j]]
             group += more
             left -= set(more)
-        if len(group) > 1:
+        if (votes[:, group] == -1).any():
             out.append(sorted(group))
-    return out
+    return out if any(len(g) > 1 for g in out) else []
 
 
 def fit_kinds(patterns: list[tuple[tuple[int, ...], int]], tied: float = 0.2, rounds: int = 200, smooth: float = 1.0) -> list[Model]:
@@ -111,7 +112,8 @@ def fit_kinds(patterns: list[tuple[tuple[int, ...], int]], tied: float = 0.2, ro
     hit = np.stack([(votes[:, g] == -1).mean(1) for g in kinds], axis=1) * 20
     first = np.hstack([np.ones((len(votes), 1)), hit + 0.05])
     share, weight = settle(votes, mass, first / first.sum(1, keepdims=True), rounds, smooth)
-    return [against(share, weight, c + 1) for c in range(len(kinds))]
+    left = np.exp(share) * mass.sum() >= 2 * smooth  # the others have been emptied
+    return [against(share, weight, c + 1) for c in range(len(kinds)) if left[c + 1]]
 
 
 def odds_of(model: Model, pattern: tuple[int, ...]) -> float:

@@ -63,16 +63,34 @@ def located(text: Column, pattern: str, fields) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), entry)
 
     def offsets(entries: Column) -> Column:
-        ends = F.aggregate(
-            entries,
-            F.array(F.lit(0)),
-            lambda acc, e: F.array_append(acc, F.element_at(acc, -1) + e["g"] + e["w"]),
-        )
-        return let(ends, lambda x: F.transform(entries, lambda e, i: F.struct((F.get(x, i) + e["g"]).alias("start"), F.get(x, i + 1).alias("end"), e.alias("of"))))
+        steps = F.transform(entries, lambda e: e["g"] + e["w"])
+        return let(scanned(steps, F.lit(0), lambda x, y: x + y), lambda ends: F.transform(entries, lambda e, i: F.struct((F.get(ends, i) - e["w"]).alias("start"), F.get(ends, i).alias("end"), e.alias("of"))))
 
     return let(let(F.split(text, pattern, -1), matches), offsets)
 
 
+BLOCK = 128
+
+
+def scanned(values: Column, zero: Column, combine) -> Column:
+    """The running results of an associative ``combine`` over an array, each with its own element. Appending copies an array, so the
+    values are scanned in blocks: work grows with their number, save for one step a block."""
+
+    def run(part: Column, first: Column) -> Column:
+        return F.slice(F.aggregate(part, F.array(first), lambda acc, v: F.array_append(acc, combine(F.element_at(acc, -1), v))), 2, BLOCK)
+
+    def in_blocks(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, zero, combine))
+        before = F.aggregate(whole, F.array(zero), lambda acc, v: F.array_append(acc, combine(F.element_at(acc, -1), v)))
+        return let(before, lambda firsts: F.flatten(F.transform(blocks, lambda b, i: run(b, F.get(firsts, i)))))
+
+    def cut(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.slice(v, k * BLOCK + 1, BLOCK))
+
+    return let(let(values, cut), in_blocks)
+
+
 def digits_of(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -218,14 +236,28 @@ def accepted(cand: Column, base: Column, weights: dict, threshold: float) -> Col
                 odds = odds + term.otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
-    def fits(x) -> Column:
-        free = ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return free & (probability(x) >= threshold)
-
-    kept = F.filter(cand, fits) if weights else F.filter(cand, lambda x: F.lit(False))
+    likely = F.filter(cand, lambda x: probability(x) >= threshold) if weights else F.slice(cand, 1, 0)
+    kept = F.when(F.size(likely) * F.size(base) == 0, likely).otherwise(let(likely, lambda c: without_overlaps(c, base)))
     return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), kind_of(x["of"]["m"]).alias("kind")))
 
 
+def without_overlaps(cand: Column, base: Column) -> Column:
+    """The candidates that overlap no base span. Base spans (at their start) and candidates (at their end, before base spans of this place)
+    are put in one order; the furthest end of the base spans before a candidate's end tells whether one reaches into it."""
+    marks = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["end"].alias("end"), F.lit(-1).alias("i"))),
+        F.transform(cand, lambda x, i: F.struct(x["end"].alias("at"), F.lit(0).alias("base"), F.lit(0).alias("end"), i.alias("i"))),
+    )
+
+    def free(order: Column) -> Column:
+        reach = scanned(F.transform(order, lambda m: m["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
+        paired = let(reach, lambda r: F.transform(order, lambda m, k: F.struct(m["i"].alias("i"), F.get(r, k).alias("reach"))))
+        own = F.filter(paired, lambda p: p["i"] >= 0)
+        return F.transform(F.filter(own, lambda p: p["reach"] <= F.get(cand, p["i"])["start"]), lambda p: F.get(cand, p["i"]))
+
+    return let(F.array_sort(marks), free)
+
+
 def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, cand) of every text."""
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -233,6 +265,8 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 NAMES = list(BASE)
+#: Characters of a text that are cut together when it is masked.
+CHUNK = 1024
 
 
 def _base_text(x) -> Column:
@@ -272,15 +306,24 @@ def mask(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Dat
     f = F.col("__found")
 
     def rewrite(spans: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        # Text is cut in chunks once, since to find a place in a string takes as long as what precedes it.
+        chunks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+        reach = scanned(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
+
+        def pieces(c: Column, ends: Column) -> Column:
+            def part(first: Column, last: Column) -> Column:
+                k = F.floor(first / CHUNK).cast("int")
+                near = F.array_join(F.slice(c, k + 1, F.floor((last - 1) / CHUNK).cast("int") - k + 1), "")
+                return F.when(last > first, F.substr(near, first - k * CHUNK + 1, last - first)).otherwise("")
+
+            def masked(x, i):
+                before = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+                # a span that begins inside the last one only lengthens it
+                return F.when(x["start"] < before, "").otherwise(F.concat(part(before, x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
 
-        def step(a, x):
-            # a span that begins inside the last one only lengthens it
-            inside = x["start"] < a["at"]
-            text = F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.substr(t, a["at"] + 1, x["start"] - a["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-            return F.struct(F.greatest(a["at"], x["end"]).alias("at"), text.alias("out"))
+            return F.concat(F.array_join(F.transform(spans, masked), ""), part(F.element_at(ends, -1), F.length(t)))
 
-        return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1, F.length(t))))
+        return let(F.struct(chunks.alias("c"), reach.alias("e")), lambda x: pieces(x["c"], x["e"]))
 
     spans = all_spans(f["base"], accepted(f["cand"], f["base"], weights, threshold))
     new = let(spans, lambda s: F.when(F.size(s) == 0, t).otherwise(rewrite(s)))

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from haltbook.llm import pii
 
 KINDS = {
@@ -77,3 +79,52 @@ def test_mask(spark):
     got = {r.doc_id: r.text for r in pii.mask(docs).collect()}
     assert got == {1: "to <EMAIL> from <PHONE>.", 2: None, 3: "é plain"}
     assert pii.mask(docs).columns == docs.columns
+
+
+def test_spans_grow_linearly(spark):
+    """Four times the addresses take about four times as long, not sixteen times."""
+    import time
+
+    def seconds(n):
+        text = "".join(f"user{i}@mail.example.org token {'ab12' * 8} " for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        base = docs.select(pii.base_spans(F.col("text")).alias("base"), pii.candidates(F.col("text")).alias("cand"))
+        r = base.select(F.size("base").alias("n"), F.size(pii.without_overlaps(F.col("cand"), F.col("base"))).alias("free")).first()
+        assert (r.n, r.free) == (n, n)
+        return time.time() - start
+
+    seconds(1000)
+    few = seconds(10_000)
+    assert seconds(40_000) < 8 * few + 2
+
+
+def test_running_sums(spark):
+    rng = random.Random(3)
+    rows = [(n, [rng.randrange(100) for _ in range(n)]) for n in (0, 1, 127, 128, 129, 1000)]
+    df = spark.createDataFrame(rows, "n int, v array<int>")
+    got = df.select("n", pii.scanned(F.col("v"), F.lit(0), lambda x, y: x + y).alias("s"), pii.scanned(F.col("v"), F.lit(0), lambda x, y: F.greatest(x, y)).alias("m")).collect()
+    for (n, v), r in zip(rows, sorted(got, key=lambda r: r.n), strict=True):
+        assert r.s == [sum(v[: i + 1]) for i in range(n)] and r.m == [max(v[: i + 1]) for i in range(n)]
+
+
+def test_masked_texts(spark):
+    rng = random.Random(4)
+    parts = ["a@b.cd ", "é日 text ", "1.2.3.4", "+1 (555) 123-4567 ", "4111 1111 1111 1111 ", "x" * 700, "\n", "😀", "token = " + "a1b2" * 9 + " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(80)] + [None, "", "a@b.cd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_personal(docs).collect()}
+    got = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    for i, t in enumerate(texts):
+        want, at = "", 0
+        for kind, a, b in (s.split(":") for s in spans[i].split(",") if s):
+            if int(a) >= at:
+                want += t[at : int(a)] + f"<{kind.upper()}>"
+            at = max(at, int(b))
+        assert got[i] == (None if t is None else want + t[at:])
+
+
+def test_a_table_of_null_texts(spark):
+    docs = spark.createDataFrame([(1, None), (None, None)], "doc_id long, text string")
+    assert [(r.n_email, r.spans) for r in pii.find_personal(docs).collect()] == [(0, "")] * 2
+    assert [r.text for r in pii.mask(docs).collect()] == [None, None]

@@ -81,3 +81,28 @@ def test_known_reliabilities():
     assert abs(both - (log(0.15) - log(0.8))) < 0.6
     said = [start + sum(w[x] for w, x in zip(weights, v, strict=True)) > 0 for _, v in twice]
     assert sum(s == good for s, (good, _) in zip(said, twice, strict=True)) / len(rows) > 0.9
+
+
+def test_a_kind_that_one_rule_sees():
+    """Kind A is seen by two rules, kind B by one alone."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(30_000):
+        kind = rng.choices("GAB", [0.85, 0.1, 0.05])[0]
+        hits = {"G": (0.05, 0.05, 0.05), "A": (0.8, 0.8, 0.05), "B": (0.05, 0.05, 0.9)}[kind]
+        rows.append((kind, tuple(-1 if rng.random() < h else rng.choice((0, 1)) for h in hits)))
+    models = label_model.fit_kinds(list(Counter(v for _, v in rows).items()))
+    assert len(models) == 2
+
+    def kept(v):
+        return all(label_model.odds_of(m, v) > 0 for m in models)
+
+    share = {k: sum(kept(v) for g, v in rows if g == k) / sum(g == k for g, _ in rows) for k in "GAB"}
+    print(share)
+    assert share["B"] < 0.2 and share["A"] < 0.4 and share["G"] > 0.85
+
+
+def test_rules_that_never_object():
+    patterns = [((1, 1, 0), 500), ((-1, -1, 0), 50), ((1, 0, 1), 200)]
+    models = label_model.fit_kinds(patterns)
+    assert len(models) == 1 and label_model.odds_of(models[0], (1, 1, 0)) > 0 > label_model.odds_of(models[0], (-1, -1, 0))
