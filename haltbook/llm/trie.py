@@ -14,7 +14,7 @@
 5. The smallest member of a node owns it, so what a conversation owns is a path down to its end, and paths hang
    on paths. Sums over path trees are taken by pointer jumping (a number of rounds logarithmic in the nesting),
    sums down a path by a two-level suffix sum. Joins on a key that many rows share (the root's children) broadcast that
-   key's row alone: there are at most ``WIDE`` such keys, whatever the size.
+   key's row alone: there are at most ``common.WIDE`` such keys, whatever the size.
 
 Null role or text becomes empty. A conversation without turns of its own is none; one whose rebuilt form has no turn is a
 member and an end of the root. An empty table gives an empty result.
@@ -29,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haltbook.llm.common import WORD, stored
+from haltbook.llm.common import WORD, stored, wide_join
 
 #: Positions of a conversation that are in one unit.
 SPAN = 4096
 #: Ids of an end list in one chunk.
 CHUNK = 1 << 16
-#: Keys that are broadcast in a skewed join, at most.
-WIDE = 100_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 NODES = "depth long, k1 long, k2 long, p1 long, p2 long, conv_id long, n_convs long, words long"
@@ -70,19 +68,6 @@ def turns_of(conversations: DataFrame, conv_col: str, turn_col: str, role_col: s
     return numbered(slim, "conv_id", order).select("conv_id", "p", "t1", "t2", "words")
 
 
-def wide_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """left join right, whose ``keys`` are unique. Keys of more than a ``WIDE``-th of the left rows, of which there are
-    at most ``WIDE``, are broadcast; no other key has more rows than that. Neither side may have columns __wide or __n."""
-    counts = stored(left.groupBy(*keys).agg(F.count("*").alias("__n")), "counts")
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    wide = counts.where(F.col("__n") > max(1000, total / WIDE)).select(*keys)
-    marked = left.join(F.broadcast(wide.withColumn("__wide", F.lit(True))), keys, "left")
-    few = F.broadcast(right.join(F.broadcast(wide), keys, "left_semi"))
-    of_wide = marked.where("__wide").drop("__wide").join(few, keys, how)
-    others = marked.where("__wide is null").drop("__wide").join(right, keys, how)
-    return of_wide.unionByName(others)
-
-
 def rebuilt(turns: DataFrame, group: int, heads: int) -> DataFrame:
     """(conv_id, pos, t1, t2, words, len): pos counts from 1, a row of pos 0 stands for every conversation. Conversation c begins with the
     first h turns of conversation c - c % ``group``, and goes on with its own after its first h; h = crc32(c) % ``heads``."""

@@ -4,16 +4,23 @@ Given rules (host and path beginning, block or allow) decide first; the longest
 the other pages Spark's FP-growth mines combinations of URL tokens from labelled transactions: the
 pages that a given rule decides carry its verdict as one more item. Rules that conclude a verdict
 are pruned by support and confidence, and those that say no more than a shorter rule go. They are
-kept as an inverted index under their rarest token; a page's tokens look rules up there, a rule fires
-where all its tokens are met, the most confident one decides, and a page without a firing rule is
+kept as an inverted index under their rarest token class; a page's classes look rules up there, a rule fires
+where it has all classes met, the most confident one decides, and a page without a firing rule is
 allowed.
 
-Mining is bounded: a rule has to be met in ``support`` of the labelled pages and in ``least`` pages, and
-each transaction brings its ``width`` most telling tokens (the largest |log odds| of the verdicts among
-tokens that are frequent enough, ties by name), so no transaction has more than 2 ** width item sets
-and the number of rules does not depend on how long URLs are. All labelled pages are mined and all tokens of a page are matched.
+1. Rules of one token come from plain counts of all tokens.
+2. A token whose rule is certain is not mined further: longer rules with it say no more.
+3. Tokens of exactly the same labelled pages are one item, a class: a rule with the class stands for the rules with any of its
+   tokens. The pages are told by their number and two 64-bit hash sums.
+4. FP-growth proposes sets of at most ``longest`` classes. A transaction of more than ``width`` classes is dealt into transactions of that
+   size in which any ``longest`` of its classes meet, so its cost is bounded by powers of its length. Since a set may then be
+   counted more than once, proposals are counted again on the pages.
 
-Pages with equal token sets are matched once. A null url, or one without "://", has an empty host and
+A rule has to be met in ``support`` of the labelled pages and in ``least`` pages. All labelled pages, all tokens
+of a page and all sets of that length are mined.
+
+Pages with equal token sets are matched once; sets that many pages share are broadcast back (``wide_join``).
+A null url, or one without "://", has an empty host and
 path and no tokens; it is allowed. Repeated rows and null ids keep their rows. Without labelled pages,
 or with fewer than ``least``, no rule is mined. An empty table gives an empty result.
 """
@@ -24,7 +31,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haltbook.llm.common import lower_ascii, stored
+from haltbook.llm.common import bounded as at_most
+from haltbook.llm.common import lower_ascii, stored, wide_join
 
 #: Fixed rules of the registered query: host, path beginning, verdict.
 RULES = [
@@ -67,57 +75,98 @@ def decide_by_rules(host, path, rules: list[tuple[str, str, str]]) -> tuple[Colu
     return rule, verdict
 
 
-def telling_tokens(labelled: DataFrame, support: float, least: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """((tokens, verdict) with the most telling tokens only, (token, n) of all frequent tokens)."""
-    total = labelled.agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("bad")).first()
+def token_classes(labelled: DataFrame, need: float) -> DataFrame:
+    """(token, class, n, bad) of the tokens that ``need`` labelled pages have; class is the first of the tokens that have the same pages."""
+    each = labelled.select("verdict", F.xxhash64("row").alias("a"), F.xxhash64("row", F.lit(1)).alias("b"), F.explode("tokens").alias("token"))
     bad = F.count_if(F.col("verdict") == "block")
-    counts = labelled.select("tokens", "verdict", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), bad.alias("bad"))
-    odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5)) - F.log(F.lit((total.bad + 0.5) / (total.n - total.bad + 0.5)))
-    frequent = stored(counts.where(F.col("n") >= max(least, support * total.n)).withColumn("weight", F.abs(odds)), "tokens")
-    each = labelled.select(F.monotonically_increasing_id().alias("__row"), "verdict", "tokens").select("__row", "verdict", F.explode("tokens").alias("token"))
-    ranked = each.join(bounded(frequent.select("token", "weight")), "token").groupBy("__row", "verdict").agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "token"))).alias("x"))
-    return ranked.select(F.sort_array(F.transform(F.slice("x", 1, width), lambda x: x["token"])).alias("tokens"), "verdict"), frequent.select("token", "n")
+    counts = each.groupBy("token").agg(F.count("*").alias("n"), bad.alias("bad"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    frequent = stored(counts.where(F.col("n") >= need), "tokens")
+    first = frequent.groupBy("n", "bad", "a", "b").agg(F.min("token").alias("class"))
+    return stored(frequent.join(first, ["n", "bad", "a", "b"]).select("token", "class", "n", "bad"), "classes")
 
 
-def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """To be broadcast if it is counted to have at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def dealt(items: Column, width: int, longest: int) -> Column:
+    """Arrays of at most ``width`` items (of an array of more) in which any ``longest`` of them meet: unions of ``longest`` blocks."""
+    size = max(1, width // longest)
+    n = F.ceil(F.size(items) / size).cast("int")
+    chosen = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(i))
+    for _ in range(longest - 1):
+        chosen = F.flatten(F.transform(chosen, lambda c: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda j: j > F.element_at(c, -1)), lambda j: F.array_append(c, j))))
+    return F.transform(chosen, lambda c: F.flatten(F.transform(c, lambda k: F.slice(items, k * size + 1, size))))
 
 
-MINED = "rule_id long, tokens array<string>, rarest string, says string, confidence double, support double"
+MINED = "rule_id long, classes array<string>, rarest string, says string, confidence double, support double"
 
 
-def mine_rules(labelled: DataFrame, support: float, confidence: float, least: int = 5, width: int = 10) -> DataFrame:
-    """(rule_id, tokens, rarest, says, confidence, support) from (tokens, verdict)."""
-    n = labelled.count()
+def mine_rules(labelled: DataFrame, support: float, confidence: float, least: int = 5, longest: int = 3, width: int = 15) -> tuple[DataFrame, DataFrame]:
+    """((rule_id, classes, rarest, says, confidence, support), (token, class)) from (tokens, verdict)."""
+    spark = labelled.sparkSession
+    pages = stored(labelled.select("tokens", "verdict", F.monotonically_increasing_id().alias("row")), "labelled")
+    n = pages.count()
+    need = max(least, support * n * (1 - 1e-9))
     if n < least:
-        return labelled.sparkSession.createDataFrame([], MINED)
-    telling, counts = telling_tokens(labelled, support, least, width)
-    baskets = stored(telling.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items")), "items")
-    share = max(support, least / n) * n / max(1, baskets.count())  # of the pages that are mined
-    if share > 1:
-        return labelled.sparkSession.createDataFrame([], MINED)
-    model = FPGrowth(itemsCol="items", minSupport=share * (1 - 1e-9), minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where(F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    found = stored(found.select(F.sort_array("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 2, 99).alias("says"), "confidence", "support"), "rules")
-    # A rule stays unless it has a one-token-shorter part that concludes the same as surely.
-    shorter = found.select(F.posexplode("tokens").alias("k", "t"), "tokens", "says", "confidence").select(
-        F.array_remove("tokens", F.col("t")).alias("part"), F.col("tokens").alias("whole"), F.col("says").alias("same"), F.col("confidence").alias("sure")
-    )
-    idle = shorter.join(
-        found.select(F.col("tokens").alias("part"), F.col("says").alias("same"), F.col("confidence").alias("known")), ["part", "same"]
-    ).where("known >= sure")
-    kept = found.join(idle.select(F.col("whole").alias("tokens"), F.col("same").alias("says")).distinct(), ["tokens", "says"], "left_anti")
-    keyed = kept.select(F.xxhash64("tokens", "says").alias("rule_id"), "tokens", "says", "confidence", "support")
-    rarest = keyed.select("rule_id", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token"))["token"].alias("rarest"))
-    return stored(keyed.join(rarest, "rule_id").select("rule_id", "tokens", "rarest", "says", "confidence", F.coalesce("support", F.lit(0.0)).alias("support")), "mined")
-
-
-def match_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
+        return spark.createDataFrame([], MINED), spark.createDataFrame([], "token string, class string")
+    tokens = token_classes(pages, need)
+    classes = tokens.where("token = class").select("class", "n", "bad")
+    open_ = classes.where((F.col("bad") > 0) & (F.col("bad") < F.col("n"))).select("class")
+    of_page = pages.select("row", "verdict", F.explode("tokens").alias("token")).join(bounded(tokens.select("token", "class")), "token")
+    sets = stored(of_page.groupBy("row", "verdict").agg(F.sort_array(F.collect_set("class")).alias("classes")), "sets")
+    undecided = of_page.join(bounded(open_), "class").groupBy("row", "verdict").agg(F.sort_array(F.collect_set("class")).alias("items"))
+    undecided = stored(undecided.where(F.size("items") > 1), "undecided")
+    few, many = undecided.where(F.size("items") <= width), undecided.where(F.size("items") > width)
+    baskets = stored(few.select("items").union(many.select(F.explode(dealt(F.col("items"), width, longest)).alias("items"))), "items")
+    found = classes.select(F.array("class").alias("classes"))
+    total = baskets.count()
+    if total >= need:
+        model = FPGrowth(itemsCol="items", minSupport=need / total * (1 - 1e-9)).fit(baskets)
+        found = found.union(model.freqItemsets.where(F.size("items").between(2, longest)).select(F.sort_array("items").alias("classes")))
+    counted = stored(count_sets(sets, stored(found, "proposed"), classes), "counted")
+    sure = F.greatest(F.col("bad"), F.col("n") - F.col("bad")) / F.col("n")
+    says = F.when(F.col("bad") * 2 >= F.col("n"), "block").otherwise("allow")
+    hits = F.greatest(F.col("bad"), F.col("n") - F.col("bad"))
+    rules = counted.withColumns({"says": says, "confidence": sure, "hits": hits}).where((F.col("confidence") >= confidence) & (F.col("hits") >= need))
+    # A rule stays unless it has a shorter part that concludes the same as surely.
+    shorter = rules.where(F.size("classes") > 1).select(F.col("classes").alias("whole"), F.col("says").alias("same"), F.col("confidence").alias("sure"), F.explode(parts_of(F.col("classes"), longest)).alias("part"))
+    idle = shorter.join(rules.select(F.col("classes").alias("part"), F.col("says").alias("same"), F.col("confidence").alias("known")), ["part", "same"]).where("known >= sure")
+    kept = rules.join(idle.select(F.col("whole").alias("classes"), F.col("same").alias("says")).distinct(), ["classes", "says"], "left_anti")
+    out = kept.select(F.xxhash64("classes", "says").alias("rule_id"), "classes", "rarest", "says", "confidence", (F.col("hits") / n).alias("support"))
+    return stored(out, "mined"), tokens.select("token", "class")
+
+
+def parts_of(items: Column, longest: int) -> Column:
+    """The shorter non-empty parts of a set of at most ``longest`` items, in order."""
+    out = F.transform(items, lambda x: F.array(x))
+    for size in range(2, longest):
+        bigger = F.flatten(F.transform(out, lambda c: F.transform(F.filter(items, lambda x: x > F.element_at(c, -1)), lambda x: F.array_append(c, x))))
+        out = F.array_distinct(F.concat(out, F.filter(bigger, lambda c: F.size(c) <= F.lit(size))))
+    return F.filter(out, lambda c: F.size(c) < F.size(items))
+
+
+def indexed(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(classes, rarest): each set under its class of fewest pages."""
+    each = sets.select("classes", F.explode("classes").alias("class")).join(bounded(classes.select("class", F.col("n").alias("m"))), "class")
+    return each.groupBy("classes").agg(F.min(F.struct("m", "class"))["class"].alias("rarest"))
+
+
+def count_sets(pages: DataFrame, proposed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(classes, rarest, n, bad): the pages that have each of the proposed sets."""
+    index = indexed(proposed, classes).withColumnRenamed("classes", "need")
+    met = pages.select("verdict", F.col("classes").alias("own"), F.explode("classes").alias("rarest")).join(bounded(index), "rarest")
+    held = met.where(F.size(F.array_except("need", "own")) == 0)
+    return held.groupBy(F.col("need").alias("classes"), "rarest").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("bad"))
+
+
+def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
+    return at_most(df, most)
+
+
+def match_rules(sets: DataFrame, rules: DataFrame, tokens: DataFrame) -> DataFrame:
     """(tokens, says, confidence) of the surest rule that fires, from distinct token sets."""
-    index = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("need"), "says", "confidence", "support")
-    met = sets.select("tokens", F.explode("tokens").alias("token")).join(bounded(index), "token")
-    fired = met.where(F.size(F.array_except("need", "tokens")) == 0)
+    known = sets.select("tokens", F.explode("tokens").alias("token")).join(bounded(tokens), "token")
+    own = stored(known.groupBy("tokens").agg(F.collect_set("class").alias("own")), "own")
+    index = rules.select("rarest", F.col("classes").alias("need"), "says", "confidence", "support")
+    met = own.select("tokens", "own", F.explode("own").alias("rarest")).join(bounded(index), "rarest")
+    fired = met.where(F.size(F.array_except("need", "own")) == 0)
     best = F.max(F.struct("confidence", "support", F.size("need").alias("n"), "says"))
     return fired.groupBy("tokens").agg(best.alias("b")).select("tokens", "b.says", "b.confidence")
 
@@ -128,7 +177,8 @@ def filter_urls(
     support: float = 0.002,
     confidence: float = 0.9,
     least: int = 5,
-    width: int = 10,
+    longest: int = 3,
+    width: int = 15,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
@@ -136,9 +186,9 @@ def filter_urls(
     parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, given = decide_by_rules(F.col("host"), F.col("path"), RULES if rules is None else rules)
     judged = parts.select("page_id", "host", "path", rule.alias("rule"), given.alias("given"), url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-    mined = mine_rules(judged.where("given is not null").select("tokens", F.col("given").alias("verdict")), support, confidence, least, width)
-    said = match_rules(judged.where("rule is null").select("tokens").distinct(), mined)
-    out = judged.join(said.withColumnRenamed("confidence", "sure"), "tokens", "left")
-    return out.select(
-        "page_id", "host", "path", "rule", F.coalesce("given", "says", F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.col("sure")).alias("confidence")
-    )
+    judged = stored(judged, "judged")
+    mined, tokens = mine_rules(judged.where("given is not null").select("tokens", F.col("given").alias("verdict")), support, confidence, least, longest, width)
+    open_ = judged.where("rule is null")
+    said = stored(match_rules(open_.select("tokens").distinct(), mined, tokens), "said")
+    out = wide_join(open_, said.withColumnRenamed("confidence", "sure"), ["tokens"]).unionByName(judged.where("rule is not null"), allowMissingColumns=True)
+    return out.select("page_id", "host", "path", "rule", F.coalesce("given", "says", F.lit("allow")).alias("verdict"), F.col("sure").alias("confidence"))

@@ -1,6 +1,9 @@
 import random
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
+
+import pytest
+from pyspark.sql import functions as F
 
 from haltbook.llm import urls
 
@@ -63,23 +66,49 @@ def slow_rules(rows, support, confidence, least):
     for (s, _), n in counts.items():
         total[s] += n
     found = {(s, v): n / total[s] for (s, v), n in counts.items() if n >= need - 1e-9 and n / total[s] >= confidence}
-    shorter = {(s, v) for (s, v), c in found.items() if any(found.get((s[:i] + s[i + 1 :], v), -1) >= c for i in range(len(s)))}
-    return {k: c for k, c in found.items() if k not in shorter}
+    shorter = {(s, v) for (s, v), c in found.items() if any(found.get((part, v), -1) >= c for k in range(1, len(s)) for part in combinations(s, k))}
+    return {k: c for k, c in found.items() if k not in shorter and len(k[0]) <= 3}
+
 
+def spelled(mined, tokens):
+    """Rules of classes as rules of tokens."""
+    of_class = {}
+    for r in tokens.collect():
+        of_class.setdefault(r["class"], []).append(r.token)
+    return {(tuple(sorted(ts)), r.says): r.confidence for r in mined.collect() for ts in product(*(of_class[c] for c in r.classes))}
 
-def test_mining_against_all_subsets(spark):
+
+@pytest.mark.parametrize("width", [15, 3, 4])
+def test_mining_against_all_subsets(spark, width):
     rng = random.Random(5)
     rows = []
     for _ in range(300):
         tokens = {rng.choice("abc"), rng.choice("def") + "x", rng.choice("gh"), rng.choice("ijklm"), str(rng.randrange(40))}
+        tokens |= {"twin"} if "a" in tokens else set()
         bad = "a" in tokens and "dx" in tokens or "g" in tokens and "i" in tokens
         rows.append((sorted(tokens), "block" if bad != (rng.random() < 0.05) else "allow"))
     table = spark.createDataFrame(rows, "tokens array<string>, verdict string")
-    got = {(tuple(r.tokens), r.says): r.confidence for r in urls.mine_rules(table, 0.01, 0.85).collect()}
+    got = spelled(*urls.mine_rules(table, 0.01, 0.85, width=width))
     want = slow_rules(rows, 0.01, 0.85, 5)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) > 5
 
 
+def test_every_telling_token_has_its_rule(spark):
+    """Blocked pages of 14 segments that are found nowhere else; each segment alone blocks a page elsewhere."""
+    made = [(i, "http://x.net/" + "/".join(f"t{chr(97 + k)}" for k in range(14)) + f"/v{i}") for i in range(200)]
+    made += [(1000 + i, f"http://example.net/en/{i}") for i in range(200)] + [(2000 + k, f"http://y.com/t{chr(97 + k)}") for k in range(14)]
+    got = urls.filter_urls(spark.createDataFrame(made, "page_id long, url string")).collect()
+    assert [r.verdict for r in got if r.page_id >= 2000] == ["block"] * 14
+
+
+def test_sets_meet_in_dealt_transactions(spark):
+    items = [f"i{k:02}" for k in range(11)]
+    got = [tuple(x) for x in spark.range(1).select(urls.dealt(F.array(*map(F.lit, items)), 6, 3).alias("d")).first().d]
+    assert all(len(x) <= 6 for x in got) and all(any(set(c) <= set(x) for x in got) for c in combinations(items, 3))
+    parts = spark.range(1).select(urls.parts_of(F.array(*map(F.lit, items[:4])), 4).alias("p")).first().p
+    assert sorted(map(tuple, parts)) == sorted(c for k in (1, 2, 3) for c in combinations(items[:4], k))
+
+
 def test_long_and_few(spark):
     """Long URLs and tables of a few labelled pages end soon, and ties and repeats are as many pages."""
     long_url = "http://a.example.com/de/" + "/".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676) for i in range(2_000))
