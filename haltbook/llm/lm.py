@@ -151,10 +151,10 @@ class Trainer:
     """Noise-contrastive estimation with noise shared by a batch, adaptive step sizes. Only the vectors
     that a batch meets are touched; ``met`` counts how often."""
 
-    def __init__(self, model: Bilinear, share: np.ndarray, contexts: np.ndarray, rate: float, noise: int, batch: int = 4096):
+    def __init__(self, model: Bilinear, share: np.ndarray, contexts: np.ndarray, rate: float, noise: int, batch: int = 4096, seed: int = 0):
         self.m = Bilinear(*(x.copy() for x in model.arrays()))
         self.contexts, self.rate, self.noise, self.batch = contexts, rate, noise, batch
-        self.rng = np.random.default_rng(0)
+        self.rng = np.random.default_rng(seed)
         self.log_noise = np.log(noise * share).astype("f4")
         self.steps = np.cumsum(share)
         self.squares = [np.full(x.shape, 1e-2, "f4") for x in self.m.arrays()]
@@ -361,8 +361,12 @@ def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int,
         warm, of, near = shared.value
         own = Trainer(warm, of, near, rate / 3, noise)
         lexicon, known = known_words.value, Generations(250_000)
+        seeded = False
         for batch in batches:
-            for t in map(tokens_of, batch.column(0).to_pylist()):
+            for text in batch.column(0).to_pylist():
+                if not seeded:  # tasks draw noise of their own, the same in each try
+                    own.rng, seeded = np.random.default_rng(zlib.crc32(text or b"")), True
+                t = tokens_of(text)
                 own.add(lexicon.kinds(t, lexicon.places(t), known))
         own.flush()
         weight = own.weights()
@@ -384,10 +388,10 @@ def train(docs: DataFrame, words: Words, size: int, noise: int, warm_docs: int,
 def score_documents(
     docs: DataFrame,
     own: int = 1536,
-    targets: int = 20_000,
+    targets: int = 1536,
     frequent: int = 100_000,
     size: int = 32,
-    noise: int = 64,
+    noise: int = 256,
     warm_docs: int = 3_000,
     warm_tokens: int = 3_000_000,
     rate: float = 0.15,
