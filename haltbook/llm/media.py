@@ -268,8 +268,9 @@ def histogram(channel: np.ndarray, bins: int = 16) -> np.ndarray:
     return np.bincount(channel.ravel() // (256 // bins), minlength=bins)
 
 
-def media_frames(media: DataFrame, id_col: str = "media_id", data_col: str = "data") -> DataFrame:
-    """One row per frame of each GIF in a binary column; a null has no frames."""
+def media_frames(media: DataFrame, id_col: str = "media_id", data_col: str = "data", most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """One row per frame of each GIF in a binary column; a null has no frames. A canvas or image of more than ``most_pixels`` is an
+    error row; a task needs some ten bytes for each pixel."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +280,7 @@ def media_frames(media: DataFrame, id_col: str = "media_id", data_col: str = "da
                     continue
                 own = 0
                 try:
-                    for f in decode_gif(data):
+                    for f in decode_gif(data, most_pixels):
                         h, w, _ = f.pixels.shape
                         red, green, blue = (histogram(f.pixels[:, :, c]).tolist() for c in range(3))
                         out.append((key, own, f.start_ms, f.delay_ms, w, h, red, green, blue, hashlib.sha256(f.pixels.tobytes()).hexdigest(), None))

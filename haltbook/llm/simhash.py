@@ -11,6 +11,9 @@ exceed the radius are abandoned between groups of planes. A long run is explored
 yields its components without listing its pairs; short runs are compared together, row against the
 row k places on. A run longer than ``chunk`` is split into chunks and each two chunks meet in a task.
 
+Component ids come back to documents by joins in which fingerprints and components of very many rows are broadcast (``wide_join``), so a
+text of a million copies is no hot key.
+
 Null and blank texts have fingerprint zero and link like any other. Repeated rows and null ids keep
 their rows; the component id is the smallest id of the component, null if it has none.
 """
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haltbook.llm.common import stored
+from haltbook.llm.common import stored, wide_join
 from haltbook.llm.components import connected_components
 
 SHORT_RUN = 32
@@ -221,5 +224,5 @@ def near_duplicates(
     found = connected_components(fingerprint_links(distinct.select("fp"), radius, blocks, agree, chunk))
     labelled = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
     of_root = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = labelled.join(of_root, "root").select(F.col("fp").alias("of"), "component_id")
-    return marked.join(of_fp, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = wide_join(labelled, of_root, ["root"]).select("fp", "component_id")
+    return wide_join(marked, of_fp, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,11 +1,14 @@
 """Operator 8: toxicity by a weighted finite-state pattern grammar.
 
 Words are read as classes: insult stems and words (learned from labelled rows, each with a weight),
-threats, targets, negations, reported speech, clause ends. One small weighted transducer each says
+threats (their weight is learned too, where labels show one), targets, negations, reported speech, clause ends. One small
+weighted transducer each says
 what a class does: the insult and threat transducers emit weight, those of target, negation and
-reported speech rescale what is emitted in the rest of their clause. Their composition (the product
-of their states) is one transducer that scores whole clauses: "he said you are a ..." weighs less
-than "you are a ...". A logistic regression turns a text's clause scores into a probability.
+reported speech rescale what is emitted in their clause. Their composition (the product
+of their states) is one transducer, which reads each clause forward and backward, so that what stands on either side of a match is
+in its state: "you are a ..., he said" weighs less than "you are a ...", "i will kill you" more than "kill the lights". The factors of
+target, negation, report and aimless threats are chosen on the labels, from a few values each. A logistic regression turns a
+text's clause scores into a probability.
 
 Learning takes at most ``sample`` labelled rows, those with the smallest id hashes: the documented
 bound of the fit. Everything else reads all rows. The label, language, source and id of a row are no
@@ -34,7 +37,8 @@ from haltbook.llm.common import Generations, stored
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
 
 #: Fixed word lists of the grammar.
-THREATS = "kill destroy hurt beat crush burn shoot strangle stab punish töten zerstören matar destruir tuer détruire".split()
+THREATS = "stab stabs stabbed beat beats beaten töte tötet getötet mato mataré tue tuerai".split()
+THREAT_STEMS = "kill destroy hurt crush burn shoot strangl punish töten zerstör matar destru tuer détrui".split()
 TARGETS = "you your yours yourself he she they them du dich ihr sie tu vous toi usted ustedes ellos".split()
 NEGATIONS = "not never no isn't aren't wasn't don't nicht kein keine nie ne pas jamais nunca".split()
 REPORTS = "said says called calls wrote quoted claims reported sagte dijo llamó dit appelle".split()
@@ -44,35 +48,46 @@ TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;\n]")
 
 @dataclass(frozen=True)
 class Machine:
-    """A weighted transducer over word classes: (state, class) -> (state, factor). A missing entry
-    keeps the state with factor 1. State 0 is the start."""
+    """A weighted transducer over word classes: moves give the state after (state, class), factors what is emitted there. A
+    missing move keeps the state, a missing factor is 1. State 0 is the start; a higher state knows more."""
 
     states: int
     moves: dict = field(default_factory=dict)
+    factors: dict = field(default_factory=dict)
 
-    def step(self, state: int, kind: int) -> tuple[int, float]:
-        return self.moves.get((state, kind), (state, 1.0))
+
+@dataclass(frozen=True)
+class Grammar:
+    """The composition of machines."""
+
+    start: tuple
+    moves: dict  # (states, class): states
+    factors: dict  # (states, class): product of the factors
 
 
-def compose(machines: list[Machine]) -> dict:
-    """The product of the machines: (states, class) -> (states, product of the factors)."""
-    table = {}
+def compose(machines: list[Machine]) -> Grammar:
+    """The product of the machines."""
+    moves, factors = {}, {}
     for states in product(*(range(m.states) for m in machines)):
         for kind in range(7):
-            moved = [m.step(s, kind) for m, s in zip(machines, states, strict=True)]
-            table[states, kind] = tuple(s for s, _ in moved), float(np.prod([f for _, f in moved]))
-    return table
+            own = list(zip(machines, states, strict=True))
+            moves[states, kind] = tuple(m.moves.get((s, kind), s) for m, s in own)
+            factors[states, kind] = float(np.prod([m.factors.get((s, kind), 1.0) for m, s in own]))
+    return Grammar((0,) * len(machines), moves, factors)
+
+
+#: What the factors may be; the first of each is taken unless another fits the labels better.
+CHOICES = {"aimed": (1.5, 1.0, 2.5), "denied": (0.4, 0.2, 1.0), "quoted": (0.6, 0.3, 1.0), "aimless": (0.3, 0.1)}
 
 
-def grammar(aimed: float = 1.5, denied: float = 0.4, quoted: float = 0.6) -> dict:
+def grammar(aimed: float = 1.5, denied: float = 0.4, quoted: float = 0.6, aimless: float = 0.3) -> Grammar:
     """Classes other than insult and threat emit nothing, so factors matter for these two only."""
 
     def scope(kind: int, factor: float) -> Machine:
-        return Machine(2, {(0, kind): (1, 1.0), (0, BREAK): (0, 1.0), (1, BREAK): (0, 1.0), (1, INSULT): (1, factor), (1, THREAT): (1, factor)})
+        return Machine(2, {(0, kind): 1, (1, BREAK): 0}, {(1, INSULT): factor, (1, THREAT): factor})
 
-    insult = Machine(1, {(0, INSULT): (0, 1.0)})
-    threat = Machine(2, {(0, THREAT): (0, 0.3), (0, TARGET): (1, 1.0), (1, THREAT): (1, 1.0), (1, BREAK): (0, 1.0)})
-    return compose([insult, threat, scope(TARGET, aimed), scope(NEGATION, denied), scope(REPORT, quoted)])
+    threat = Machine(2, {(0, TARGET): 1, (1, BREAK): 0}, {(0, THREAT): aimless})
+    return compose([threat, scope(TARGET, aimed), scope(NEGATION, denied), scope(REPORT, quoted)])
 
 
 @dataclass
@@ -89,21 +104,31 @@ class Lexicon:
         weight = self.words.get(token, 0.0)
         for n in range(3, min(self.longest, len(token)) + 1):
             weight = max(weight, self.stems.get(token[:n], 0.0))
-        if weight:
-            return INSULT, weight
-        for kind, listed in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+        if token in THREATS or token.startswith(tuple(THREAT_STEMS)):
+            return THREAT, max(weight, 1.0)
+        for kind, listed in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):  # what directs a match is none itself
             if token in listed:
                 return kind, 1.0
-        return OTHER, 0.0
+        return (INSULT, weight) if weight else (OTHER, 0.0)
 
 
-def clause_features(read: list[tuple[int, float]], table: dict, n_tokens: int) -> list[float]:
+def states_before(kinds: list[int], g: Grammar) -> list[tuple]:
+    """The grammar's states in front of each class."""
+    out, state = [], g.start
+    for kind in kinds:
+        out.append(state)
+        state = g.moves[state, kind]
+    return out
+
+
+def clause_features(read: list[tuple[int, float]], g: Grammar, n_tokens: int) -> list[float]:
     """Of one text: strongest clause, and by length the sum of clauses, their squares, matches."""
-    state, own, clauses, hits = (0, 0, 0, 0, 0), 0.0, [], 0
-    for kind, weight in read:
-        state, factor = table[state, kind]
+    kinds = [k for k, _ in read]
+    forward, backward = states_before(kinds, g), states_before(kinds[::-1], g)[::-1]
+    own, clauses, hits = 0.0, [], 0
+    for (kind, weight), left, right in zip(read, forward, backward, strict=True):
         if kind in (INSULT, THREAT):
-            own += weight * factor
+            own += weight * g.factors[tuple(map(max, left, right)), kind]
             hits += 1
         elif kind == BREAK:
             if own:
@@ -121,7 +146,8 @@ def clause_features(read: list[tuple[int, float]], table: dict, n_tokens: int) -
 _machines: dict = {}
 
 
-def _features(texts: list[str | None], lexicon: Lexicon, table: dict, known: Generations) -> np.ndarray:
+def _features(texts: list[str | None], lexicon: Lexicon, grammars: list[Grammar], known: Generations) -> np.ndarray:
+    """Texts x (four features for each of the grammars)."""
     out = []
     for text in texts:
         tokens = TOKEN.findall((text or "").lower())
@@ -131,22 +157,23 @@ def _features(texts: list[str | None], lexicon: Lexicon, table: dict, known: Gen
             young[t] = lexicon.read(t)
         read = [x for x in map(young.__getitem__, tokens) if x[0]]
         matched = any(k in (INSULT, THREAT) for k, _ in read)
-        out.append(clause_features(read, table, len(tokens)) if matched else [0.0] * 4)
+        out.append([x for g in grammars for x in (clause_features(read, g, len(tokens)) if matched else [0.0] * 4)])
         for t in [t for t in young if len(t) > 64] if len(text or "") > 100_000 else ():
             del young[t]
-    return np.array(out, float).reshape(-1, 4)
+    return np.array(out, float).reshape(-1, 4 * len(grammars))
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
     weights: np.ndarray  # bias first
+    factors: dict = field(default_factory=dict)  # of the grammar
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         key = id(self)
         if key not in _machines:
             _machines.clear()
-            _machines[key] = (self, grammar(), Generations(200_000))
+            _machines[key] = (self, [grammar(**self.factors)], Generations(200_000))
         _, table, known = _machines[key]
         x = _features(texts, self.lexicon, table, known)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
@@ -187,8 +214,8 @@ def learn_lexicon(rows: DataFrame, support: float, odds: float, longest: int) ->
     return Lexicon(stems, whole, longest)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 2_000) -> np.ndarray:
-    """Bias and weights by projected gradient ascent with step control. Weights stay at or above
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 2_000) -> tuple[np.ndarray, float]:
+    """(bias and weights, mean log-likelihood less the ridge), by projected gradient ascent with step control. Weights stay at or above
     zero, since every feature is evidence for the label: a stronger match never lowers a score."""
     scale = np.maximum(x.std(0), 1e-9)
     a, w, rate = np.hstack([np.ones((len(x), 1)), x / scale]), np.zeros(x.shape[1] + 1), 1.0
@@ -212,27 +239,53 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int
         if then - now < 1e-10:
             break
         w, now, rate = new, then, rate * 1.5
-    return np.concatenate([w[:1], w[1:] / scale])
+    return np.concatenate([w[:1], w[1:] / scale]), now
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, support: float = 0.02, odds: float = 1.0, longest: int = 9) -> Model:
-    """Fit on at most ``sample`` labelled rows. The features of those rows (four numbers and a
-    label each) come to the driver for the logistic fit."""
+    """Fit on at most ``sample`` labelled rows. The features of those rows (four numbers for each of eight grammars and a
+    label each) come to the driver for the logistic fits: one with the first factors, one with each other value of each;
+    a factor is changed if that raises the likelihood."""
     rows = stored(labelled_sample(docs, labels, sample), "labelled")  # read three times
     lexicon = learn_lexicon(rows, support, odds, longest)
     if not lexicon.stems and not lexicon.words:
         return Model(lexicon, np.array([-30.0, 0, 0, 0, 0]))
-    table = grammar()
+    tried = [{}, *({name: v} for name, values in CHOICES.items() for v in values[1:])]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, grammars = Generations(200_000), [grammar(**t) for t in tried]
+        for batch in batches:
+            x = _features(batch.column(0).to_pylist(), lexicon, grammars, known)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "toxic"])
+
+    found = rows.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(task, "x binary, toxic long").collect()
+    x = np.array([np.frombuffer(r.x) for r in found]).reshape(len(found), len(tried), 4)
+    y = np.array([r.toxic for r in found], float)
+    start, first = fit_logistic(x[:, 0], y)
+    gained = {}
+    for k, t in enumerate(tried[1:], 1):
+        _, value = fit_logistic(x[:, k], y, rounds=300)
+        ((name, v),) = t.items()
+        if value > max(first + 1e-4, gained.get(name, (first, None))[0]):
+            gained[name] = value, v
+    if not gained:
+        return Model(lexicon, start)
+    factors = {name: v for name, (_, v) in gained.items()}
+    best = labelled_features(rows, lexicon, factors)
+    return Model(lexicon, fit_logistic(best[:, :4], best[:, 4])[0], factors)
+
+
+def labelled_features(rows: DataFrame, lexicon: Lexicon, factors: dict) -> np.ndarray:
+    """Features and label of the labelled rows under one grammar."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Generations(200_000)
+        known, grammars = Generations(200_000), [grammar(**factors)]
         for batch in batches:
-            x = _features(batch.column(0).to_pylist(), lexicon, table, known)
+            x = _features(batch.column(0).to_pylist(), lexicon, grammars, known)
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=["a", "b", "c", "d", "toxic"])
 
     found = rows.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(task, "a double, b double, c double, d double, toxic long")
-    values = np.array([tuple(r) for r in found.collect()], float).reshape(-1, 5)
-    return Model(lexicon, fit_logistic(values[:, :4], values[:, 4]))
+    return np.array([tuple(r) for r in found.collect()], float).reshape(-1, 5)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

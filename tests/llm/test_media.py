@@ -161,3 +161,12 @@ def test_malformed_blocks(spark):
             list(media.decode_gif(bad))
     rows = media.media_frames(spark.createDataFrame([(1, bytearray(short)), (2, bytearray(huge)), (3, bytearray(good))], "media_id long, data binary")).collect()
     assert sorted((r.media_id, r.error is None) for r in rows) == [(1, False), (2, False), (3, True)]
+
+
+def test_canvas_bound_is_a_parameter(spark):
+    gif = media.encode_gif(media.padded(b"some text " * 100))
+    df = spark.createDataFrame([(1, gif), (2, None)], "media_id long, data binary")
+    refused = media.media_frames(df, most_pixels=10).collect()
+    assert [(r.media_id, r.error) for r in refused] == [(1, "more than 10 pixels")]
+    frames = media.media_frames(df, most_pixels=1 << 25).collect()
+    assert frames and all(r.error is None and sum(r.red_histogram) == r.width * r.height for r in frames)

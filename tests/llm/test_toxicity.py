@@ -51,34 +51,60 @@ def test_logistic_on_separable_features():
     y = (rng.random(4_000) < 0.1).astype(float)
     x = np.where(y[:, None] > 0, rng.gamma(3, 2, (4_000, 4)) + 1, 0.0)
     x[:, 2] = x[:, 1] * 2
-    w = t.fit_logistic(x, y)
+    w, _ = t.fit_logistic(x, y)
     p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
     assert (w[1:] >= 0).all() and (p[y == 1] >= 0.3).all() and (p[y == 0] < 0.1).all()
 
 
-def slow_features(text, lexicon, aimed=1.5, denied=0.4, quoted=0.6):
+def slow_features(text, lexicon, aimed=1.5, denied=0.4, quoted=0.6, aimless=0.3):
     """The clause scores read off the rules, clause by clause, without machines."""
     tokens = t.TOKEN.findall(text.lower())
-    clauses, own, hits, seen = [], 0.0, 0, set()
+    clauses, now, hits = [], [], 0
     for token in [*tokens, "."]:
         kind, weight = lexicon.read(token)
-        if kind == t.BREAK:
-            clauses += [own] if own else []
-            own, seen = 0.0, set()
-        elif kind in (t.INSULT, t.THREAT):
-            hits += 1
-            factor = 1.0 if kind == t.INSULT or t.TARGET in seen else 0.3
-            for of, by in ((t.TARGET, aimed), (t.NEGATION, denied), (t.REPORT, quoted)):
-                factor *= by if of in seen else 1.0
-            own += weight * factor
-        else:
-            seen.add(kind)
+        if kind != t.BREAK:
+            now.append((kind, weight))
+            continue
+        seen, own = {k for k, _ in now}, 0.0
+        for k, w in now:
+            if k in (t.INSULT, t.THREAT):
+                hits += 1
+                factor = aimless if k == t.THREAT and t.TARGET not in seen else 1.0
+                for of, by in ((t.TARGET, aimed), (t.NEGATION, denied), (t.REPORT, quoted)):
+                    factor *= by if of in seen else 1.0
+                own += w * factor
+        clauses += [own] if own else []
+        now = []
     if not clauses:
         return [0.0] * 4
     size = len(tokens) + 20
     return [max(clauses), *np.log1p([100 * sum(clauses) / size, 100 * sum(c * c for c in clauses) / size, 100 * hits / size])]
 
 
+def test_both_ways():
+    lex = t.Lexicon({"idio": 2.0, "kil": 1.7}, {})
+    score = {x: weigh(x, lex)[0] for x in ("i will kill you", "kill the lights", "you will be killed", "idiot, you", "an idiot", "idiot, he said", "stable killers")}
+    assert score["i will kill you"] == score["you will be killed"] > 4 * score["kill the lights"] > 0
+    assert score["idiot, you"] == 3.0 > score["an idiot"] == 2.0 and score["idiot, he said"] < 3.0
+    assert lex.read("stable") == (t.OTHER, 0.0) and lex.read("killed") == (t.THREAT, 1.7) and t.Lexicon({}, {}).read("killing") == (t.THREAT, 1.0)
+
+
+def test_factors_follow_the_labels(spark):
+    """Where only aimed insults are labelled, aiming weighs more than its first factor."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for k in range(1200):
+        bad = k % 4 == 0
+        filler = " ".join(rng.choice(["plain", "word", "text", "here"], 12))
+        insult = f"{'you' if bad else 'some'} grubling" if k % 4 < 2 else "nothing"
+        rows.append((k, f"{filler}. {insult} {filler}."))
+        labels.append((k, int(bad)))
+    model = t.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), odds=0.3)
+    assert model.factors.get("aimed") == 2.5
+    aimed, other = model.score(["text. you grubling here.", "text. some grubling here."])
+    assert aimed > other
+
+
 def test_against_plain_clauses(spark):
     """All given documents: the composed transducer gives what a plain reading of the clauses gives."""
     lex = t.Lexicon({"idio": 2.0, "scu": 1.0, "mor": 1.5}, {"the": 0.5, "of": 0.25})
@@ -86,6 +112,6 @@ def test_against_plain_clauses(spark):
     rng = np.random.default_rng(2)
     words = [*t.THREATS[:4], *t.TARGETS[:4], *t.NEGATIONS[:3], *t.REPORTS[:3], "idiot", "scum", "plain", ".", "!", "\n"]
     texts += [" ".join(rng.choice(words, 30)) for _ in range(500)] + ["", None]
-    got = t._features(texts, lex, t.grammar(), t.Generations(1000))
+    got = t._features(texts, lex, [t.grammar()], t.Generations(1000))
     want = np.array([slow_features(x or "", lex) for x in texts])
     assert np.allclose(got, want) and (got[:, 0] > 0).sum() > 500
