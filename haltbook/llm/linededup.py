@@ -53,7 +53,7 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 
 def row_place(id_col: str, apart: bool) -> Column:
     """What orders the rows, times 2 ** 32 for the lines; needs row_hash. Apart, rows of one id follow each
-    other by 31 bits of their hash, and rows without id, after all others, by 63."""
+    other by 31 bits of their hash (two texts of one id with equal bits share places), and rows without id, after all others, by 63."""
 
     def wide(c: Column) -> Column:
         return c.cast("decimal(38,0)")
@@ -175,7 +175,9 @@ class Corpus:
         """(h, g, pos, codes) of the distinct lines whose h is in ``wanted``, read again from the texts."""
         places = self.bounded(stored(self.distinct.join(self.bounded(wanted.distinct()), "h", "left_semi").select("h", "g", F.col("pos").alias("at")), "wanted"))
         chosen = self.lines.join(places, ["h", "g"]).where("pos = at").groupBy("doc_key", "row_hash")
-        listed = self.bounded(stored(chosen.agg(F.collect_set(F.struct("line_no", "h", "g", "pos")).alias("wanted")), "chosen"))
+        listed = stored(chosen.agg(F.collect_set(F.struct("line_no", "h", "g", "pos")).alias("wanted")), "chosen")
+        if (listed.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= self.small:  # a row holds all wanted lines of a text
+            listed = F.broadcast(listed)
 
         def lines(parts: Column) -> Column:
             return F.transform("wanted", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), x["pos"].alias("pos"), F.get(parts, x["line_no"]).alias("line")))
@@ -274,7 +276,7 @@ class Corpus:
 
 
 def removed_lines(
-    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 1024, id_col: str = "doc_id", text_col: str = "text", apart: bool = False, small: int = 400_000
+    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 128, id_col: str = "doc_id", text_col: str = "text", apart: bool = False, small: int = 400_000
 ) -> DataFrame:
     """(doc_key, row_hash, exact, similar): the numbers (from 0) of each row's removed lines."""
     corpus = Corpus(docs, threshold, min_words, id_col, text_col, apart, small)
@@ -303,7 +305,7 @@ def one_of_each(rows: DataFrame) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 1024, id_col: str = "doc_id", text_col: str = "text", apart: bool = False, small: int = 400_000
+    docs: DataFrame, threshold: float = 0.8, min_words: int = 5, leaders: int = 3, hot: int = 128, id_col: str = "doc_id", text_col: str = "text", apart: bool = False, small: int = 400_000
 ) -> DataFrame:
     """The columns of ``docs`` with the text's removed lines taken out, and ``exact_lines`` and
     ``similar_lines``, the numbers of these lines; columns of these names are replaced."""

@@ -11,6 +11,10 @@ exceed the radius are abandoned between groups of planes. A long run is explored
 yields its components without listing its pairs; short runs are compared together, row against the
 row k places on. A run longer than ``chunk`` is split into chunks and each two chunks meet in a task.
 
+``similar_links`` finds different texts that share most of their shingles. Their fingerprints differ in too many bits for blocks, so
+candidates are fingerprints that agree on one of ``bands`` samples of ``bits`` bits and differ in at most ``radius``; each is then verified by
+exact Jaccard similarity of the shingle sets. README has the measured recall.
+
 Component ids come back to documents by joins in which fingerprints and components of very many rows are broadcast (``wide_join``), so a
 text of a million copies is no hot key.
 
@@ -170,15 +174,27 @@ def run_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarra
     return np.concatenate(us), np.concatenate(vs)
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 3, blocks: int = 5, agree: int = 2, chunk: int = 4096) -> DataFrame:
-    """(u, v) links that connect all fingerprints (column fp, distinct) within the radius."""
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def block_masks(radius: int, blocks: int, agree: int) -> list[int]:
+    """All choices of ``agree`` bit blocks: fingerprints within the radius agree on one of them."""
     if blocks - agree < radius:
         raise ValueError("blocks - agree must be at least the radius")
     bounds = [64 * k // blocks for k in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), agree):
-        mask = sum(((1 << (bounds[k + 1] - bounds[k])) - 1) << bounds[k] for k in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    return [signed(sum(((1 << (bounds[k + 1] - bounds[k])) - 1) << bounds[k] for k in chosen)) for chosen in combinations(range(blocks), agree)]
+
+
+def sampled_masks(bands: int, bits: int, seed: int = 0) -> list[int]:
+    """``bands`` fixed samples of ``bits`` bits."""
+    rng = np.random.default_rng(seed)
+    return [signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for _ in range(bands)]
+
+
+def fingerprint_links(distinct: DataFrame, radius: int, masks: list[int], chunk: int = 4096) -> DataFrame:
+    """(u, v) links of fingerprints (column fp, distinct) within the radius: they connect all of these that are equal under one
+    of the masks."""
     keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("t", "bits"))
     hot = keyed.groupBy("t", "bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     spread = (
@@ -221,8 +237,56 @@ def near_duplicates(
     """(doc_id, fingerprint, component_id), one row for each row of ``docs``."""
     marked = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    found = connected_components(fingerprint_links(distinct.select("fp"), radius, blocks, agree, chunk))
+    found = connected_components(fingerprint_links(distinct.select("fp"), radius, block_masks(radius, blocks, agree), chunk))
     labelled = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
     of_root = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_fp = wide_join(labelled, of_root, ["root"]).select("fp", "component_id")
     return wide_join(marked, of_fp, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_sets(docs: DataFrame, words: int, most: int = 1 << 20) -> DataFrame:
+    """(doc_id, hashes) of (doc_id, text binary): the distinct hashes of each text's shingles; rows of at most some ``most`` hashes are sent together."""
+
+    def hashes(text: bytes) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        tokens = text.lower().split()
+        found = {xxh64_intdigest(b" ".join(tokens[i : i + words]), 42) for i in range(max(1, len(tokens) - words + 1))} if tokens else ()
+        return np.fromiter(found, np.uint64, len(found)).view(np.int64)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows, held = [], [], 0
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                rows.append(hashes(t.as_py() or b""))
+                held += len(rows[-1])
+                if held >= most:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+                    ids, rows, held = [], [], 0
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+
+    return docs.mapInArrow(task, "doc_id long, hashes array<long>")
+
+
+def similar_links(
+    docs: DataFrame, words: int = 5, threshold: float = 0.8, radius: int = 17, bands: int = 80, bits: int = 16, id_col: str = "doc_id", text_col: str = "text", chunk: int = 4096
+) -> DataFrame:
+    """(u, v): pairs of ids (unique, not null) whose texts' shingle sets have at least this Jaccard similarity. Texts without
+    words are in no pair."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = stored(fingerprints(slim, words), "wide")
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    links = stored(fingerprint_links(distinct.select("fp"), radius, sampled_masks(bands, bits), chunk).distinct(), "links")
+    ends = links.join(distinct.select(F.col("fp").alias("u"), F.col("least_id").alias("a")), "u").join(distinct.select(F.col("fp").alias("v"), F.col("least_id").alias("b")), "v")
+    copies = wide_join(marked, distinct, ["fp"]).where("doc_id <> least_id").select(F.col("doc_id").alias("a"), F.col("least_id").alias("b"))
+    pairs = stored(ends.select("a", "b").union(copies), "candidates")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = slim.join(wanted, "doc_id", "left_semi").select("doc_id", F.encode("text", "UTF-8").alias("text"))
+    sets = stored(shingle_sets(texts, words), "sets")
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
+    both = wide_join(wide_join(pairs, left, ["a"]), right, ["b"])
+    need = (F.size("x") + F.size("y")) * (threshold / (1 + threshold)) - 1e-9
+    near = (F.size("x") > 0) & (F.least(F.size("x"), F.size("y")) >= need) & (F.size(F.array_intersect("x", "y")) >= need)
+    return both.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -71,7 +73,7 @@ def test_links_with_split_runs(spark):
     from haltbook.llm.components import connected_components
 
     for chunk in (4096, 16):
-        found = connected_components(simhash.fingerprint_links(frame, chunk=chunk)).collect()
+        found = connected_components(simhash.fingerprint_links(frame, 3, simhash.block_masks(3, 5, 2), chunk)).collect()
         got = {r.node % 2**64: r.component % 2**64 for r in found}
         assert partition({f: got.get(f, f) for f in fps}) == partition(brute_components(fps))
 
@@ -102,3 +104,54 @@ def test_given_documents(spark):
         least[comp[f]] = min(d, least.get(comp[f], d))
     for r in simhash.near_duplicates(docs).collect():
         assert r.fingerprint == f"{fps[r.doc_id]:016x}" and r.component_id == least[comp[fps[r.doc_id]]]
+
+
+def shingles(text, words=5):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    tokens = [t for t in re.split("[\x20\x09-\x0d]+", low) if t]
+    return {tuple(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
+
+
+def similar_pairs(sets, threshold=0.8):
+    """All pairs of ids whose sets are similar, through the ids of each shingle."""
+    index, shared = {}, Counter()
+    for i, s in sorted(sets.items()):
+        for x in s:
+            for j in index.setdefault(x, []):
+                shared[j, i] += 1
+            index[x].append(i)
+    return {(i, j) for (i, j), n in shared.items() if n >= threshold * (len(sets[i]) + len(sets[j]) - n) - 1e-9}
+
+
+def test_recall_and_precision_of_similar_texts(spark):
+    rng = random.Random(6)
+    texts = {}
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        texts[10 * k] = " ".join(words)
+        for m in range(1, 4):  # similarities from 0.6 to 1
+            edited = [w if rng.random() > 0.018 * m else "new" for w in words]
+            texts[10 * k + m] = " ".join(edited)
+    texts |= {10_000: "", 10_001: None, 10_002: " ", 10_003: "one", 10_004: "One", 10_005: "two words"}
+    got = simhash.similar_links(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    got = {(min(r), max(r)) for r in got}
+    want = similar_pairs({i: shingles(t) for i, t in texts.items()})
+    print("links", len(got), "of", len(want))
+    assert got <= want and (10_003, 10_004) in got
+
+    def groups(pairs):
+        root = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {i: find(i) for p in pairs for i in p}
+
+    found, whole = groups(got), groups(want)
+    joined = sum(found.get(a, a) == found.get(b, b) for a, b in want)
+    print("pairs in one group", joined / len(want))
+    assert joined >= 0.95 * len(want) and len(whole) > 100
