@@ -29,6 +29,7 @@ TEST_PREFIX = "[Тест] "
 NO_STOPS = "работал без остановок"
 #: Fixed value: the line of an export without notices.
 EMPTY_RANGE = "# Нет сообщений за выбранный диапазон дат."
+# Phrases that name a cause, and what they become.
 MECHANIC_PHRASES = [
     ("механик на месте", "Механик на месте"),
     ("механик в пути", "Механик в пути"),
@@ -37,12 +38,15 @@ MECHANIC_PHRASES = [
     ("механик вызван", "Механик вызван"),
 ]
 DEFAULT_CAUSE = "Внеплановая техническая остановка"
+# What is cut off a reason.
 REASON_PREFIX = r"^(?:из-за|из за|по причине|причина[:\s-]*)\s+"
 REASON_TAIL = r"\s+(?:прошу|продажи|просьба|механик|механики|гостей|эвакуация|ориентировочное|можно открывать)\b.*"
+# Patterns of visitor incidents.
 VISITOR_PATTERNS = [
     r"\b(?:мальчик|девочк|реб[её]нок|дет[еи]|посетител[ьяи]?|гость|гости)\b.{0,40}(?:упал|упала|упали|травм|потерял|потерялась|наш[её]лся)",
     r"\b(?:упал|упала|травм|потерял|потерялась|наш[её]лся)\b.{0,40}(?:мальчик|девочк|реб[её]нок|посетител|гость|гости)",
 ]
+# Markers of park-wide and of foreign notices.
 GLOBAL_MARKERS = [
     "все аттракционы", "всех аттракционах", "все уличные аттракционы", "аттракционы орион", "аттракционы вднх", "парк закрыт",
     "парк открыт", "продажи закрыты", "продажи открыты", "продажи прошу не открывать",
@@ -51,6 +55,7 @@ FOREIGN_MARKERS = [
     "учебный полетный центр", "автошкола ориона", "шахта ориониума", "театр сказок", "дом страхов", "воздушный трамвай", "кинопанорама",
 ]
 GENERAL_HINT = "Общее"
+# The roster at a notice's end, day labels, months, labels of reports, flags and hours.
 ROSTER_TAIL = r"\bВ смене\s*:.*"
 TODAY_LABEL, YESTERDAY_LABEL = "сегодня", "вчера"
 MONTHS_OF = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
@@ -60,6 +65,7 @@ HOUR_LABEL, MINUTE_LABEL = " ч. ", " мин."
 SHORT_HOUR, SHORT_MINUTE = "ч", "м"
 INCLUDE_FLAGS = ["", "1", "yes", "true", "да"]
 OPEN_CLOSE = {"weekday": ("09:00", "22:00"), "weekend": ("09:00", "23:00")}
+# Characters that damaged text shows, and the code pages that are tried.
 DAMAGE_SCORES = {
     "single": (["Р”", "Рѕ", "Р°", "Рµ", "Рё", "Рљ", "Рќ", "С‚", "СЂ", "СЃ", "СЊ", "С‹", "СЋ", "вЂ", "Ð", "Ñ"], 1),
     "best": (["РІР‚", "РІвЂћ", "в„", "вЂ", "тА"], 20),

@@ -125,10 +125,8 @@ def s1_read_export(spark, sf_dir):
     each = notices(spark, sf_dir).groupBy("chat_key").agg(F.sort_array(F.collect_list(m)).alias("x"))
     docs = each.select(F.to_json(F.struct(F.col("chat_key").alias("sourceUrl"), F.transform("x", lambda x: x["m"]).alias("messages"))).alias("value"))
     path = scratch(spark, "exports")
-    docs.write.option("lineSep", "\n").partitionBy().text(path)
-    one = spark.read.schema(io.EXPORT).json(path)
-    flat = one.select(F.col("sourceUrl").alias("chat_key"), F.posexplode("messages").alias("pos", "m"))
-    return flat.where(F.trim("m.messageDate") != "").select("chat_key", F.col("pos").cast("long").alias("pos"), t.as_date(F.col("m.messageDate")).alias("date"), F.trim("m.text").alias("text"))
+    docs.write.text(path)
+    return io.read_chat_export(spark, path, multi_line=False).select("chat_key", "pos", "date", "text")
 
 
 @query("s12_text", f"with {NOTICES} select '[' || strftime(date, '%Y-%m-%d') || ' ' || time || '] ' || replace(text, chr(10), ' ') as value from notices")
