@@ -271,7 +271,7 @@ def shingle_sets(docs: DataFrame, words: int, most: int = 1 << 20) -> DataFrame:
 
 
 def similar_links(
-    docs: DataFrame, words: int = 5, threshold: float = 0.8, radius: int = 17, bands: int = 80, bits: int = 16, id_col: str = "doc_id", text_col: str = "text", chunk: int = 4096
+    docs: DataFrame, words: int = 5, threshold: float = 0.8, radius: int = 17, bands: int = 96, bits: int = 15, id_col: str = "doc_id", text_col: str = "text", chunk: int = 4096
 ) -> DataFrame:
     """(u, v): pairs of ids (unique, not null) whose texts' shingle sets have at least this Jaccard similarity. Texts without
     words are in no pair."""
