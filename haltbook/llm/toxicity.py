@@ -35,6 +35,9 @@ from pyspark.sql.types import DoubleType, IntegerType, StructType
 from haltbook.llm.common import Generations, stored
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
+NOTHING = (OTHER, 0.0)
+#: Words of which a worker keeps what they are, and texts that it takes at a time.
+KNOWN, TEXTS = 50_000, 1000
 
 #: Fixed word lists of the grammar.
 THREATS = "stab stabs stabbed beat beats beaten töte tötet getötet mato mataré tue tuerai".split()
@@ -109,7 +112,7 @@ class Lexicon:
         for kind, listed in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):  # what directs a match is none itself
             if token in listed:
                 return kind, 1.0
-        return (INSULT, weight) if weight else (OTHER, 0.0)
+        return (INSULT, weight) if weight else NOTHING
 
 
 def states_before(kinds: list[int], g: Grammar) -> list[tuple]:
@@ -173,7 +176,7 @@ class Model:
         key = id(self)
         if key not in _machines:
             _machines.clear()
-            _machines[key] = (self, [grammar(**self.factors)], Generations(200_000))
+            _machines[key] = (self, [grammar(**self.factors)], Generations(KNOWN))
         _, table, known = _machines[key]
         x = _features(texts, self.lexicon, table, known)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
@@ -253,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, support: flo
     tried = [{}, *({name: v} for name, values in CHOICES.items() for v in values[1:])]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, grammars = Generations(200_000), [grammar(**t) for t in tried]
+        known, grammars = Generations(KNOWN), [grammar(**t) for t in tried]
         for batch in batches:
             x = _features(batch.column(0).to_pylist(), lexicon, grammars, known)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "toxic"])
@@ -279,7 +282,7 @@ def labelled_features(rows: DataFrame, lexicon: Lexicon, factors: dict) -> np.nd
     """Features and label of the labelled rows under one grammar."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, grammars = Generations(200_000), [grammar(**factors)]
+        known, grammars = Generations(KNOWN), [grammar(**factors)]
         for batch in batches:
             x = _features(batch.column(0).to_pylist(), lexicon, grammars, known)
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=["a", "b", "c", "d", "toxic"])
@@ -298,7 +301,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
         for batch in batches:
-            s = judge.score(batch.column("text").to_pylist())
+            texts = batch.column("text")
+            s = np.concatenate([judge.score(texts.slice(k, TEXTS).to_pylist()) for k in range(0, len(texts), TEXTS)] or [np.zeros(0)])
             columns = [*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score", "predicted"])
 
