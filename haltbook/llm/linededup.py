@@ -153,7 +153,14 @@ def prefix_size(n: Column, t: float) -> Column:
     return n - F.ceil(n * t - 1e-9).cast("int") + 1
 
 
-POSTING = ["word", "h", "nr", "low", "high"]  # nr: n * 2 ** 32 + r
+POSTING = ["word", "h", "doc", "nr", "low", "high"]  # nr: n * 2 ** 32 + r; doc: the key of the row in which the line stands first
+
+
+def paired() -> list[Column]:
+    """(h, h2, differ, order) of postings x and y, h the smaller hash; order is 1 if line h comes after line h2, -1 if before, 0 if their rows'
+    keys are equal."""
+    order = F.when(F.col("x.doc") == F.col("y.doc"), 0).when((F.col("x.doc") > F.col("y.doc")) == (F.col("x.h") < F.col("y.h")), 1).otherwise(-1)
+    return [F.least("x.h", "y.h").alias("h"), F.greatest("x.h", "y.h").alias("h2"), differing().cast("int").alias("differ"), order.alias("order")]
 
 
 class Corpus:
@@ -192,18 +199,19 @@ class Corpus:
         first = self.texts.join(repeated, "h", "left").where("at is null or at = pos")
         # A filter on codes, as explode infers one too, would be pushed below and compute them once more.
         prefix = F.when(F.col("n") >= self.min_words, F.slice("codes", 1, prefix_size(F.col("n"), self.t)))
-        each = measured(coded(first, self.ranks, "h"), "h").select("h", "n", "low", "high", F.posexplode_outer(prefix).alias("k", "word"))
+        each = measured(coded(first, self.ranks, "h", "doc_key"), "h", "doc_key").select("h", F.col("doc_key").alias("doc"), "n", "low", "high", F.posexplode_outer(prefix).alias("k", "word"))
         return each.withColumn("nr", F.shiftleft(F.col("n").cast("long"), 32) + F.col("n") - F.col("k")).select(*POSTING).where("word is not null")
 
     def later(self, pairs: DataFrame) -> DataFrame:
-        """(h, g) of the later line of each similar pair of ``pairs`` (h, h2, differ). A line's likeliest
+        """(h, g) of the later line of each similar pair of ``pairs`` (h, h2, differ, order). A line's likeliest
         partner is verified first, so that a group of near copies costs about a comparison a line."""
         wanted = pairs.select("h").union(pairs.select(F.col("h2").alias("h")))
         sets = self.sets(wanted)
         place = self.bounded(sets.groupBy("h").agg(F.min("pos").alias("pos")))
-        placed = pairs.join(place, "h").join(place.select(F.col("h").alias("h2"), F.col("pos").alias("pos2")), "h2")
-        after = F.col("pos") > F.col("pos2")
-        ordered = stored(placed.select(F.when(after, F.col("h")).otherwise(F.col("h2")).alias("h"), F.when(after, F.col("h2")).otherwise(F.col("h")).alias("h2"), "differ"), "ordered")
+        tied = pairs.where("order = 0").join(place, "h").join(place.select(F.col("h").alias("h2"), F.col("pos").alias("pos2")), "h2")
+        told = pairs.where("order <> 0").select("h", "h2", "differ", (F.col("order") == 1).alias("after"))
+        told = told.union(tied.select("h", "h2", "differ", F.col("pos") > F.col("pos2")))
+        ordered = stored(told.select(F.when(F.col("after"), F.col("h")).otherwise(F.col("h2")).alias("h"), F.when(F.col("after"), F.col("h2")).otherwise(F.col("h")).alias("h2"), "differ"), "ordered")
         best = ordered.groupBy("h").agg(F.min(F.struct("differ", "h2"))["h2"].alias("h2"))
         found = stored(self.verified(best, sets), "verified")
         rest = ordered.join(found.select("h"), "h", "left_anti").join(best, ["h", "h2"], "left_anti").select("h", "h2")
@@ -236,15 +244,15 @@ class Corpus:
         met = x.join(y, meet).select(
             *(F.when(F.col("x.h") == F.col("y.h"), F.col(f"x.{c}")).alias(c) if c != "h" else F.col("x.h") for c in POSTING),
             F.when(F.col("x.h") < F.col("y.h"), F.col("y.h")).alias("h2"),
-            differing().cast("int").alias("differ"),
+            *paired()[2:],
         )
         met = stored(met, "met")
         maybe = met.where("h2 is null").select(*POSTING).distinct()
         counts = maybe.groupBy("word").agg(F.count("*").alias("group")).where("group > 1")
         crowded = stored(maybe.join(counts, "word"), "crowded")
         x, y = crowded.where(F.col("group") <= hot).alias("x"), crowded.where(F.col("group") <= hot).alias("y")
-        mild = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.h") < F.col("y.h")) & may_reach(self.t)).select("x.h", F.col("y.h").alias("h2"), differing().cast("int").alias("differ"))
-        pairs = stored(met.where("h2 is not null").select("h", "h2", "differ").union(mild).distinct(), "pairs")
+        mild = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.h") < F.col("y.h")) & may_reach(self.t)).select(*paired())
+        pairs = stored(met.where("h2 is not null").select("h", "h2", "differ", "order").union(mild).distinct(), "pairs")
         found = stored(self.later(pairs), "similar")
         heavy = crowded.where(F.col("group") > hot).drop("group")
         return found if heavy.isEmpty() else self.similar_in_groups(heavy, found, leaders)
@@ -256,7 +264,7 @@ class Corpus:
         first = stored(ranked.where(F.col("rn") <= leaders).drop("rn"), "leaders")
         x, y = placed.join(found, "h", "left_anti").alias("x"), first.alias("y")
         meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.h") != F.col("y.h")) & may_reach(self.t)
-        led = x.join(y, meet).select(F.least("x.h", "y.h").alias("h"), F.greatest("x.h", "y.h").alias("h2"), differing().cast("int").alias("differ")).distinct()
+        led = x.join(y, meet).select(*paired()).distinct()
         found = stored(found.union(self.later(stored(led, "led"))).distinct(), "similar")
         rest = stored(placed.join(found, "h", "left_anti"), "rest")
         if rest.isEmpty():
@@ -271,7 +279,7 @@ class Corpus:
         keyed = stored(keyed, "keyed")
         x, y = keyed.join(rest.select("h").distinct(), "h", "left_semi").alias("x"), keyed.alias("y")
         meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.second") == F.col("y.second")) & (F.col("x.h") != F.col("y.h")) & may_reach(self.t)
-        pairs = x.join(y, meet).select(F.least("x.h", "y.h").alias("h"), F.greatest("x.h", "y.h").alias("h2"), differing().cast("int").alias("differ")).distinct()
+        pairs = x.join(y, meet).select(*paired()).distinct()
         return found.union(self.later(stored(pairs, "pairs"))).distinct()
 
 
