@@ -13,8 +13,8 @@ def naive(texts, names):
     return sorted((k, n) for k, t in texts for n in set(names) if t and n and n in t)
 
 
-def pairs(spark, texts, names):
-    got = containing(spark.createDataFrame(texts, "k long, __t string"), spark.createDataFrame([(n,) for n in names], "__a string"), ["k"])
+def pairs(spark, texts, names, few=0):
+    got = containing(spark.createDataFrame(texts, "k long, __t string"), spark.createDataFrame([(n,) for n in names], "__a string"), ["k"], few=few)
     return sorted((r.k, r["__a"]) for r in got.collect())
 
 
@@ -25,6 +25,7 @@ def test_names_in_texts(spark):
     names = ["".join(rng.choice(pool) + rng.choice([" ", "", ""]) for _ in range(rng.randrange(1, 4))) for _ in range(200)] + ["", None, "nowhere", " ", "a", "c"]
     wanted = [n for n in names if n and n.strip(" \t\n")]  # white space alone is no name
     assert pairs(spark, texts, names) == naive(texts, wanted)
+    assert pairs(spark, texts, names, 500) == naive(texts, wanted)
     assert pairs(spark, texts, []) == [] and pairs(spark, [], ["a"]) == []
 
 
