@@ -195,16 +195,17 @@ def sampled_masks(bands: int, bits: int, seed: int = 0) -> list[int]:
 def fingerprint_links(distinct: DataFrame, radius: int, masks: list[int], chunk: int = 4096) -> DataFrame:
     """(u, v) links of fingerprints (column fp, distinct) within the radius: they connect all of these that are equal under one
     of the masks."""
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("t", "bits"))
-    hot = keyed.groupBy("t", "bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    # One long tells mask and bits: keys that fall together only cost comparisons.
+    keyed = distinct.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)))).alias("bits"))
+    hot = keyed.groupBy("bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     spread = (
-        keyed.join(hot, ["t", "bits"], "left")
+        keyed.join(hot, "bits", "left")
         .withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("t", "bits", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp")
+        .select("bits", (F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")).alias("part"), "fp")
     )
-    dealt = spread.repartition("t", "bits", "lo", "hi").sortWithinPartitions("t", "bits", "lo", "hi")
+    dealt = spread.repartition("bits", "part").sortWithinPartitions("bits", "part")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple | None = None
@@ -220,13 +221,13 @@ def fingerprint_links(distinct: DataFrame, radius: int, masks: list[int], chunk:
                 cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
             if not len(cols[0]):
                 continue
-            new = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
+            new = np.any([c[1:] != c[:-1] for c in cols[:2]], axis=0)
             run = np.concatenate([[0], np.cumsum(new)])
             last = int(np.searchsorted(run, run[-1]))  # the last run may go on in the next batch
-            yield from links(run[:last], cols[4][:last])
+            yield from links(run[:last], cols[2][:last])
             kept = tuple(c[last:] for c in cols)
         if kept is not None:
-            yield from links(np.zeros(len(kept[0]), int), kept[4])
+            yield from links(np.zeros(len(kept[0]), int), kept[2])
 
     return dealt.mapInArrow(task, "u long, v long")
 
