@@ -21,6 +21,7 @@ class Rules:
     phrases: list = field(default_factory=lambda: D.MECHANIC_PHRASES)
     prefix: str = D.REASON_PREFIX
     tail: str = D.REASON_TAIL
+    outer: str = D.REASON_OUTER
     default: str = D.DEFAULT_CAUSE
 
 
@@ -32,11 +33,17 @@ def visitor_incident(c, rules: Rules | None = None) -> Column:
     return out
 
 
+def capital(letter) -> Column:
+    """The letter's capital of one character, as SQL has it; itself if it has none."""
+    full, title = F.upper(letter), F.initcap(letter)
+    return F.when(F.length(full) <= 1, full).when(letter == "ß", "ẞ").when(F.length(title) == 1, title).otherwise(letter)
+
+
 def clean_reason(c, rules: Rules | None = None) -> Column:
     """Squashed, without outer punctuation and lead-in, first letter capital."""
-    t = F.btrim(squash(c), F.lit(" .,:;\"'«»"))
-    t = F.regexp_replace(t, "(?iuU)" + (rules or Rules()).prefix, "")
-    return let(t, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substr(x, F.lit(2))))
+    r = rules or Rules()
+    t = F.regexp_replace(F.btrim(squash(c), F.lit(r.outer)), "(?iuU)" + r.prefix, "")
+    return let(t, lambda x: F.concat(capital(F.left(x, F.lit(1))), F.substr(x, F.lit(2))))
 
 
 def trim_tail(c, rules: Rules | None = None) -> Column:
