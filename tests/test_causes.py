@@ -10,7 +10,7 @@ from haltbook.plans import registry
 TEXTS = ['an error said "ab"', '"who went there"', "'quoted'", "«er» ", ' . token = "4c5b"', 'x token = "4c5b" the rest', '""', "ßheit er", "ŉo er", "élan er", "ǆ er", "ᾀ er", " \t\n", "", None]
 
 
-@pytest.mark.parametrize("name", ["e10_clean"])
+@pytest.mark.parametrize("name", ["e10_clean", "e9_cause"])
 def test_outer_characters(spark, tmp_path, name):
     rows = [(i, t, s) for i, t in enumerate(TEXTS) for s in ("src1", 'the "er"', None)]
     docs = [(3 * i + k, t, s) for k in range(3) for i, t, s in rows[k::3]]
