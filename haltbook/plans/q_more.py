@@ -22,14 +22,14 @@ QUERIES, ORACLES, query = collector()
 
 @query("s1_files", f"with {NOTICES} select chat_key, pos, strftime(date, '%Y-%m-%d') as raw_date, date, time, trim(text) as text from notices where pos % 3 > 0")
 def s1_files(spark, sf_dir):
-    """One multi-line document per chat; every third notice is undated and goes."""
+    """One multi-line document per chat, many to a file; every third notice is undated and goes."""
     day = F.when(F.col("pos") % 3 > 0, F.col("date").cast("string")).otherwise(" ")
     m = F.struct("pos", F.struct("text", day.alias("messageDate"), "time").alias("m"))
     each = notices(spark, sf_dir).groupBy("chat_key").agg(F.sort_array(F.collect_list(m)).alias("x"))
     doc = F.struct(F.col("chat_key").alias("sourceUrl"), F.transform("x", lambda x: x["m"]).alias("messages"))
     path = scratch(spark, "files")
-    each.select(F.xxhash64("chat_key").alias("file"), F.to_json(doc, {"pretty": "true"}).alias("value")).write.partitionBy("file").text(path)
-    return io.read_chat_export(spark, f"{path}/file=*")
+    each.select(F.to_json(doc, {"pretty": "true"}).alias("value")).write.option("lineSep", io.RECORD_END).text(path)
+    return io.read_chat_export(spark, path, separator=io.RECORD_END)
 
 
 def documents(spark, sf_dir):

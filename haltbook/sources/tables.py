@@ -16,11 +16,16 @@ from haltbook.operators.scans import number_rows
 
 EXPORT = "exportedAt string, sourceUrl string, count int, messages array<struct<text:string, messageDate:string, time:string>>"
 
+#: Ends a document where files hold many; JSON escapes it in texts.
+RECORD_END = "\x1e"
 
-def read_chat_export(spark: SparkSession, paths, multi_line: bool = True) -> DataFrame:
+
+def read_chat_export(spark: SparkSession, paths, multi_line: bool = True, separator: str | None = None) -> DataFrame:
     """(chat_key, pos, raw_date, date, time, text) of export documents, one a file or (without ``multi_line``) one a
-    line; undated notices go, file order is kept (S1)."""
-    docs = spark.read.schema(EXPORT).option("multiLine", multi_line).json(paths)
+    line; undated notices go, file order is kept (S1). With a ``separator``, a character that JSON escapes in texts, documents of
+    any number of lines end with it: files then hold many, and Spark splits them."""
+    reader = spark.read.schema(EXPORT)
+    docs = (reader.option("lineSep", separator) if separator else reader.option("multiLine", multi_line)).json(paths)
     each = docs.select(F.col("sourceUrl").alias("chat_key"), F.posexplode("messages").alias("pos", "m"))
     raw = strip(F.col("m.messageDate"))
     found = each.select("chat_key", F.col("pos").cast("long").alias("pos"), raw.alias("raw_date"), as_date(F.left(raw, F.lit(10))).alias("date"), strip(F.col("m.time")).alias("time"), strip(F.col("m.text")).alias("text"))
