@@ -4,7 +4,8 @@
    by piece and position. Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and these
    into words. A place (``at``) is the number of words and piece ends before it, so two places are of
    adjacent positions of one piece if they differ by one. Rows hold blocks of whole pieces of one
-   language; a block is closed at the first piece end after ``block`` words.
+   language; a block is closed at the first piece end after ``block`` words. ``ROWS_AT_ONCE`` of them are read and
+   sent to Python together, so a task's memory does not depend on the size of its split.
 2. The relation of length k, semi-joined with the frequent groups (phrases) of that length, is merge-joined
    with itself by piece and adjacent position; that gives the relation of length k + 1, which Spark
    group-counts. Groups that occur at least ``least`` times are the phrases of that length. What of the relation they keep
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haltbook.llm.common import bounded, stored
+from haltbook.llm.common import bounded, few_rows_at_once, stored
 
 END = b"."
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -44,7 +45,9 @@ SHAPE = bytes.maketrans(bytes(range(65, 91)) + ENDS, bytes(range(97, 123)) + END
 
 OCCURRENCES = "lang string, at array<int>, words array<long>"
 #: Most distinct words that a task keeps before it sends their counts.
-MAP_SIZE = 300_000
+MAP_SIZE = 100_000
+#: Rows of R1 that are read and sent to Python together; each has a block of words.
+ROWS_AT_ONCE = 32
 
 
 class WordIds(dict):
@@ -221,7 +224,7 @@ def word_relation(docs: DataFrame, lang_col: str, text_col: str, block: int) ->
     raise ValueError("no seed of 100 tells all words apart")
 
 
-def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text", block: int = 1 << 16, filter_bits: int = 1 << 27) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text", block: int = 1 << 13, filter_bits: int = 1 << 27) -> tuple[list[DataFrame], DataFrame, DataFrame]:
     """([(lang, w1 ... wk, n) of the phrases of k words that occur ``least`` times, for k from 1], (lang, n) of all words,
     (lang, w, word) of the frequent words)."""
     relation, words = word_relation(docs, lang_col, text_col, block)
@@ -233,10 +236,12 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang_col:
     for width in range(1, longest):
         of_group = [f"w{k + 1}" for k in range(width + 1)]
         counts = relation.mapInArrow(lambda b, k=width, t=table: group_counts(b, k, t.value), "lang string, " + "".join(f"{w} long, " for w in of_group) + "n long")
-        found.append(stored(counts.groupBy("lang", *of_group).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases"))
+        with few_rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
+            found.append(stored(counts.groupBy("lang", *of_group).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases"))
         if width + 1 < longest:
             after = share(bit_table(found[-1], width + 1, filter_bits))
-            relation = stored(relation.mapInArrow(lambda b, k=width, t=table, a=after: extended(b, k, t.value, a.value), OCCURRENCES), "occurrences")
+            with few_rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
+                relation = stored(relation.mapInArrow(lambda b, k=width, t=table, a=after: extended(b, k, t.value, a.value), OCCURRENCES), "occurrences")
             table = after
     return found, totals, frequent.select("lang", F.col("w1").alias("w"), "word")
 
@@ -271,7 +276,7 @@ def collocations(
     top: int | None = 2000,
     lang_col: str = "lang",
     text_col: str = "text",
-    block: int = 1 << 16,
+    block: int = 1 << 13,
     filter_bits: int = 1 << 27,
     most: int = 300_000,
 ) -> DataFrame:

@@ -73,6 +73,21 @@ def stored(df: DataFrame, name: str, keep: bool = False, by: str | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def few_rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside the block reads Parquet and sends Arrow batches of at most ``rows`` rows: for rows that are large,
+    whose usual batches (4,096 and 10,000 rows) would hold a whole split in the executor and once more in Python."""
+    keys = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, min(rows, int(before[k])))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def bounded(df: DataFrame, most: int) -> DataFrame:
     """To be broadcast if it is counted to have at most ``most`` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

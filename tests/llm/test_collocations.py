@@ -92,3 +92,20 @@ def test_sql_on_small_tables(spark, tmp_path):
         db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
         want = sorted(db.execute(f"SELECT {', '.join(COLUMNS)} FROM ({collocations.oracle_sql()})").fetchall())
     assert rows_of(collocations.collocations(spark.read.parquet(path))) == want
+
+
+def test_blocks_are_read_a_few_at_once(spark, monkeypatch):
+    """The relation is read and sent to Python in few rows, however many a file has; the session's settings are as before."""
+    keys = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, real = [spark.conf.get(k) for k in keys], [], collocations.stored
+
+    def watched(df, name, **more):
+        if name == "phrases" or (name == "occurrences" and not more):
+            seen.append([int(spark.conf.get(k)) for k in keys])
+        return real(df, name, **more)
+
+    monkeypatch.setattr(collocations, "stored", watched)
+    rows = texts(5, 200)
+    assert rows_of(collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), block=10)) == by_hand(rows)
+    assert seen == [[collocations.ROWS_AT_ONCE] * 2] * 3
+    assert [spark.conf.get(k) for k in keys] == before
