@@ -12,8 +12,9 @@ yields its components without listing its pairs; short runs are compared togethe
 row k places on. A run longer than ``chunk`` is split into chunks and each two chunks meet in a task.
 
 ``similar_links`` finds different texts that share most of their shingles. Their fingerprints differ in too many bits for blocks, so
-candidates are fingerprints that agree on one of ``bands`` samples of ``bits`` bits and differ in at most ``radius``; each is then verified by
-exact Jaccard similarity of the shingle sets. README has the measured recall.
+candidates are fingerprints that agree on one of ``bands`` samples of ``bits`` bits and differ in at most ``radius``; those that the sizes and the
+parities of their shingle sets do not rule out (``may_be_similar``, which loses no similar pair) are verified by exact Jaccard similarity
+of the sets. README has the measured recall.
 
 Component ids come back to documents by joins in which fingerprints and components of very many rows are broadcast (``wide_join``), so a
 text of a million copies is no hot key.
@@ -32,27 +33,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haltbook.llm.common import stored, wide_join
+from haltbook.llm.common import bounded, stored, wide_join
 from haltbook.llm.components import connected_components
 
 SHORT_RUN = 32
 QUERIES_AT_ONCE = 64
 PLANES_AT_ONCE = 16
+#: Keys of long runs that are broadcast, at most.
+MOST_HOT = 300_000
+#: Classes of shingle hashes whose parities are compared before whole sets are.
+MARKS = 1024
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """The unsigned 64-bit fingerprint of one text."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the text's shingles, repeats included; none if it has no words."""
     from xxhash import xxh64_intdigest
 
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxh64_intdigest(line, seed)
+        return np.array([xxh64_intdigest(line, seed)], "<u8")
     ends = list(accumulate(len(t) + 1 for t in tokens))
     starts = [0, *ends[: len(tokens) - words]]
-    hashes = np.array([xxh64_intdigest(line[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)], "<u8")
+    return np.array([xxh64_intdigest(line[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounds what a very long text unpacks at once
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -197,7 +211,8 @@ def fingerprint_links(distinct: DataFrame, radius: int, masks: list[int], chunk:
     of the masks."""
     # One long tells mask and bits: keys that fall together only cost comparisons.
     keyed = distinct.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)))).alias("bits"))
-    hot = keyed.groupBy("bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    # Counted first: their number is known, and few are broadcast instead of dealing all keys once more.
+    hot = bounded(stored(keyed.groupBy("bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "hot"), MOST_HOT)
     spread = (
         keyed.join(hot, "bits", "left")
         .withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
@@ -245,6 +260,40 @@ def near_duplicates(
     return wide_join(marked, of_fp, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, n, marks) of (doc_id, text): n counts the distinct shingle hashes, marks are the parities of how many of
+    them fall in each of ``MARKS`` classes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, marks = [], [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py() or b"", words)
+                fps.append(majority(hashes))
+                every = np.unique(hashes)
+                sizes.append(len(every))
+                odd = np.bincount((every & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+                marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "n", "marks"])
+
+    return docs.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(task, "doc_id long, fp long, n int, marks array<long>")
+
+
+def may_be_similar(pairs: DataFrame, marked: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (a, b) without those whose sizes or marks rule out that they are similar. Similar sets of n and m hashes share
+    need = (n + m) t / (1 + t) at least, so neither is smaller and they differ in n + m - 2 need hashes at most; each class of
+    unequal parity holds one of these. No similar pair is lost."""
+    x = marked.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"))
+    y = marked.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("marks").alias("marks_b"))
+    both = F.col("n_a") + F.col("n_b")
+    need = both * (threshold / (1 + threshold)) - 1e-9
+    sizes = wide_join(pairs, x.drop("marks_a"), ["a"]).join(y.drop("marks_b"), "b").where((F.least("n_a", "n_b") >= need) & (F.least("n_a", "n_b") > 0))
+    differ = sum((F.bit_count(F.get("marks_a", F.lit(k)).bitwiseXOR(F.get("marks_b", F.lit(k)))) for k in range(MARKS // 64)), F.lit(0))
+    told = sizes.join(x.select("a", "marks_a"), "a").join(y.select("b", "marks_b"), "b")
+    return told.where(differ <= both - need * 2).select("a", "b")
+
+
 def shingle_sets(docs: DataFrame, words: int, most: int = 1 << 20) -> DataFrame:
     """(doc_id, hashes) of (doc_id, text binary): the distinct hashes of each text's shingles; rows of at most some ``most`` hashes are sent together."""
 
@@ -277,12 +326,12 @@ def similar_links(
     """(u, v): pairs of ids (unique, not null) whose texts' shingle sets have at least this Jaccard similarity. Texts without
     words are in no pair."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = stored(fingerprints(slim, words), "wide")
+    marked = stored(sketches(slim, words), "wide")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     links = stored(fingerprint_links(distinct.select("fp"), radius, sampled_masks(bands, bits), chunk).distinct(), "links")
     ends = links.join(distinct.select(F.col("fp").alias("u"), F.col("least_id").alias("a")), "u").join(distinct.select(F.col("fp").alias("v"), F.col("least_id").alias("b")), "v")
-    copies = wide_join(marked, distinct, ["fp"]).where("doc_id <> least_id").select(F.col("doc_id").alias("a"), F.col("least_id").alias("b"))
-    pairs = stored(ends.select("a", "b").union(copies), "candidates")
+    copies = wide_join(marked.select("doc_id", "fp"), distinct, ["fp"]).where("doc_id <> least_id").select(F.col("doc_id").alias("a"), F.col("least_id").alias("b"))
+    pairs = stored(may_be_similar(stored(ends.select("a", "b").union(copies), "candidates"), marked, threshold), "maybe")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = slim.join(wanted, "doc_id", "left_semi").select("doc_id", F.encode("text", "UTF-8").alias("text"))
     sets = stored(shingle_sets(texts, words), "sets")

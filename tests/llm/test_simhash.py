@@ -155,3 +155,23 @@ def test_recall_and_precision_of_similar_texts(spark):
     joined = sum(found.get(a, a) == found.get(b, b) for a, b in want)
     print("pairs in one group", joined / len(want))
     assert joined >= 0.95 * len(want) and len(whole) > 100
+
+
+def test_few_pairs_are_verified(spark):
+    """Sizes and parities rule out pairs that are not similar, before whole sets are joined, and no pair that is."""
+    rng = random.Random(8)
+    texts = {}
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 7, 60, 400, 2000]))]
+        texts |= {10 * k + m: " ".join(w if rng.random() > 0.006 * m else "new" for w in words) for m in range(4)}
+    texts |= {9_000: "", 9_001: None, 9_002: "one", 9_003: "One"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids = sorted(texts)
+    every = {(a, b) for a in ids for b in ids if a < b}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    for threshold in (0.8, 1.0):
+        left = simhash.may_be_similar(spark.createDataFrame(sorted(every), "a long, b long"), simhash.sketches(docs, 5), threshold)
+        left = {tuple(r) for r in left.select("a", "b").collect()}
+        want = similar_pairs(sets, threshold)
+        assert want <= left <= every and len(left) < 2 * len(want) + 300
+    assert (9_002, 9_003) in left
