@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from haltbook import defaults as D
-from haltbook.functions.timecols import contains_any, let, squash, strip
+from haltbook.functions.timecols import WHITE, contains_any, let
 
 
 @dataclass
@@ -22,17 +22,24 @@ class Rules:
     prefix: str = D.REASON_PREFIX
     tail: str = D.REASON_TAIL
     outer: str = D.REASON_OUTER
+    white: str = WHITE  # runs of it become one space
+    ends: str = r"(?U)[\s\x{FEFF}]"  # goes at both ends
+    flags: str = "iuU"
     default: str = D.DEFAULT_CAUSE
 
 
 def visitor_incident(c, rules: Rules | None = None) -> Column:
     """A person word near a fall, injury or loss word, in either order."""
-    out = F.lit(False)
-    for p in (rules or Rules()).visitors:
-        out = out | c.rlike("(?iuU)" + p)
+    out, r = F.lit(False), rules or Rules()
+    for p in r.visitors:
+        out = out | c.rlike(f"(?{r.flags})" + p)
     return out
 
 
+def trimmed(c, rules: Rules) -> Column:
+    return F.regexp_replace(c, f"^{rules.ends}+|{rules.ends}+\\z", "")
+
+
 def capital(letter) -> Column:
     """The letter's capital of one character, as SQL has it; itself if it has none."""
     full, title = F.upper(letter), F.initcap(letter)
@@ -42,22 +49,24 @@ def capital(letter) -> Column:
 def clean_reason(c, rules: Rules | None = None) -> Column:
     """Squashed, without outer punctuation and lead-in, first letter capital."""
     r = rules or Rules()
-    t = F.regexp_replace(F.btrim(squash(c), F.lit(r.outer)), "(?iuU)" + r.prefix, "")
+    squashed = trimmed(F.regexp_replace(c, r.white, " "), r)
+    t = F.regexp_replace(F.btrim(squashed, F.lit(r.outer)), f"(?{r.flags})" + r.prefix, "")
     return let(t, lambda x: F.concat(capital(F.left(x, F.lit(1))), F.substr(x, F.lit(2))))
 
 
 def trim_tail(c, rules: Rules | None = None) -> Column:
-    return F.regexp_replace(c, "(?iuUs)" + (rules or Rules()).tail, "")
+    r = rules or Rules()
+    return F.regexp_replace(c, f"(?{r.flags}s)" + r.tail, "")
 
 
 def stop_cause(quote, reason, rationale, rules: Rules | None = None) -> Column:
     """Technical cause of a stop; NULL if weather, visitors or nothing technical explains it."""
     r = rules or Rules()
-    quote, reason = strip(F.coalesce(quote, F.lit(""))), strip(F.coalesce(reason, F.lit("")))
+    quote, reason = trimmed(F.coalesce(quote, F.lit("")), r), trimmed(F.coalesce(reason, F.lit("")), r)
     joined = F.lower(F.concat_ws(" ", quote, reason, F.coalesce(rationale, F.lit(""))))
     first = F.lit("")
     for p in reversed(r.patterns):
-        first = let(F.regexp_extract(quote, "(?iuU)" + p, 1), _unless_blank(first))
+        first = let(F.regexp_extract(quote, f"(?{r.flags})" + p, 1), _unless_blank(first))
     specific = clean_reason(trim_tail(first, r), r)
 
     def said(x: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from haltbook.functions import causes
 from haltbook.plans import registry
 
-TEXTS = ['an error said "ab"', '"who went there"', "'quoted'", "«er» ", ' . token = "4c5b"', 'x token = "4c5b" the rest', '""', "ßheit er", "ŉo er", "élan er", "ǆ er", "ᾀ er", " \t\n", "", None]
+TEXTS = ['an error said "ab"', '"who went there"', "'quoted'", "«er» ", ' . token = "4c5b"', 'x token = "4c5b" the rest', '""', "ßheit er", "ŉo er", "élan er", "ǆ er", "ᾀ er", " \t\n", "", None,
+         "er idiot \n", "er idiot \u2028", "er idiot \x0bof x", "er idiot \u3000x ofé", "er token = \r", "er ıdiot x", "er éthe\rmoron", "er to\u212aen = a"]
 
 
 @pytest.mark.parametrize("name", ["e10_clean", "e9_cause"])
