@@ -13,10 +13,10 @@ higher up in its own. Lines with fewer than ``min_words`` distinct words always
    bitmap filters, evaluated inside the join, drop pairs that cannot reach the overlap.
 3. A word whose bucket counts more than ``hot`` may be posted by many lines. Such postings are dealt by
    line, not by word, and kept apart. Words that turn out to be posted by at most ``hot`` lines are
-   then joined as the others. For the rest, lines first meet the word's ``leaders`` earliest lines, so
-   that a group of near copies costs as many comparisons as it has lines; only lines that no leader
-   explains meet others, and of these only those that share a second word of the prefix (longer by
-   one) with them.
+   then joined by word. In either kind lines first meet the word's ``leaders`` earliest lines, so
+   that a group of near copies costs as many pairs as it has lines; only lines that no leader
+   explains meet others, those that do not stand after them. Where more than ``hot`` lines post a word, of these only those that share
+   a second word of the prefix (longer by one) with them.
 4. Of the pairs that are left, each line's likeliest earlier partner (the one whose bitmap differs
    least) is verified first, on the whole sets; other pairs are verified only for lines that it does not
    explain.
@@ -84,7 +84,7 @@ def level_of(count: Column) -> Column:
 def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row, one column: for each hash bucket the logarithmic level of how many words of the corpus
     fall in it. Every bucket is there, so its size is the same whatever the input."""
-    words = docs.select(F.explode(F.split(spaced(lower_ascii(F.col(text_col))), "[ \n]")).alias("w"))
+    words = docs.select(F.explode(F.split(spaced(lower_ascii(F.col(text_col))), " ")).alias("w"))
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counts = words.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
     every = counts.union(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int"), F.lit(0).cast("long")))
@@ -250,10 +250,18 @@ class Corpus:
         maybe = met.where("h2 is null").select(*POSTING).distinct()
         counts = maybe.groupBy("word").agg(F.count("*").alias("group")).where("group > 1")
         crowded = stored(maybe.join(counts, "word"), "crowded")
-        x, y = crowded.where(F.col("group") <= hot).alias("x"), crowded.where(F.col("group") <= hot).alias("y")
-        mild = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.h") < F.col("y.h")) & may_reach(self.t)).select(*paired())
-        pairs = stored(met.where("h2 is not null").select("h", "h2", "differ", "order").union(mild).distinct(), "pairs")
+        mild = crowded.where(F.col("group") <= hot)
+        placed = mild.withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("doc", "h")))
+        mild = stored(placed.withColumn("leads", F.col("rn") <= leaders).drop("rn", "group"), "mild")
+        same = (F.col("x.word") == F.col("y.word")) & (F.col("x.h") != F.col("y.h")) & may_reach(self.t)
+        led = mild.alias("x").join(mild.where("leads").alias("y"), same).select(*paired())
+        pairs = stored(met.where("h2 is not null").select("h", "h2", "differ", "order").union(led).distinct(), "pairs")
         found = stored(self.later(pairs), "similar")
+        # What no leader explains meets the others that do not stand after it.
+        x, y = mild.join(found, "h", "left_anti").alias("x"), mild.where("not leads").alias("y")
+        others = stored(x.join(y, same & (F.col("x.doc") >= F.col("y.doc"))).select(*paired()).distinct(), "others")
+        if not others.isEmpty():
+            found = stored(found.union(self.later(others)).distinct(), "similar")
         heavy = crowded.where(F.col("group") > hot).drop("group")
         return found if heavy.isEmpty() else self.similar_in_groups(heavy, found, leaders)
 

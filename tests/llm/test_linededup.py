@@ -80,3 +80,15 @@ def test_edges(spark):
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     compare(linededup.dedup_lines(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_near_copies_of_words_in_middle_numbers(spark, monkeypatch):
+    """Lines of a word that up to ``hot`` lines post meet its first lines, not each other."""
+    seen, stored = [], linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda df, name, *rest: (out := stored(df, name, *rest), seen.append((name, out.count())))[0])
+    shared = [f"s{i}" for i in range(12)]
+    rows = [(i, " ".join([*shared, f"own{i}"])) for i in range(200)] + [(900 + k, " ".join([w] * 300)) for k, w in enumerate(shared)]
+    rows += [(1000 + i, " ".join([*shared[:6], *(f"x{j % 7}" for j in range(i, i + 5))])) for i in range(20)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), hot=250).collect()
+    compare(got, rows)
+    assert dict(seen)["mild"] > 200 and sum(n for name, n in seen if name in ("pairs", "others")) < 2000
