@@ -12,7 +12,8 @@ yields its components without listing its pairs; short runs are compared togethe
 row k places on. A run longer than ``chunk`` is split into chunks and each two chunks meet in a task.
 
 ``similar_links`` finds different texts that share most of their shingles. Their fingerprints differ in too many bits for blocks, so
-candidates are fingerprints that agree on one of ``bands`` samples of ``bits`` bits and differ in at most ``radius``; those that the sizes and the
+candidates are fingerprints that agree on one of ``bands`` samples of ``bits`` bits and differ in at most ``radius``, and whose sizes and
+second fingerprints are not too far apart (``sides_alike``, told in the task that compares them, so that chance pairs are not joined); those that the sizes and the
 parities of their shingle sets do not rule out (``may_be_similar``, which loses no similar pair) are verified by exact Jaccard similarity
 of the sets. README has the measured recall.
 
@@ -25,7 +26,7 @@ their rows; the component id is the smallest id of the component, null if it has
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -43,6 +44,9 @@ PLANES_AT_ONCE = 16
 MOST_HOT = 300_000
 #: Classes of shingle hashes whose parities are compared before whole sets are.
 MARKS = 1024
+#: Bits of a second fingerprint and how many may differ (of unrelated texts one pair in 15, of pairs at a similarity of 0.8 all but
+#: some 3 in 10 million, by the binomial law), and the step of the sizes' logarithm.
+SIDE_BITS, SIDE_RADIUS, LEAST_SIDE, STEP = 54, 21, 128, 0.02
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -206,11 +210,12 @@ def sampled_masks(bands: int, bits: int, seed: int = 0) -> list[int]:
     return [signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for _ in range(bands)]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int, masks: list[int], chunk: int = 4096) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int, masks: list[int], chunk: int = 4096, alike: Callable | None = None) -> DataFrame:
     """(u, v) links of fingerprints (column fp, distinct) within the radius: they connect all of these that are equal under one
-    of the masks."""
+    of the masks. With ``alike`` only links stay whose values of the column side it accepts (two arrays of unsigned longs)."""
+    carried = ["fp"] if alike is None else ["fp", "side"]
     # One long tells mask and bits: keys that fall together only cost comparisons.
-    keyed = distinct.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)))).alias("bits"))
+    keyed = distinct.select(*carried, F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)))).alias("bits"))
     # Counted first: their number is known, and few are broadcast instead of dealing all keys once more.
     hot = bounded(stored(keyed.groupBy("bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "hot"), MOST_HOT)
     spread = (
@@ -218,16 +223,20 @@ def fingerprint_links(distinct: DataFrame, radius: int, masks: list[int], chunk:
         .withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("bits", (F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")).alias("part"), "fp")
+        .select("bits", (F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")).alias("part"), *carried)
     )
     dealt = spread.repartition("bits", "part").sortWithinPartitions("bits", "part")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple | None = None
 
-        def links(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def links(k: np.ndarray, f: np.ndarray, *side: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(k) > 1:
                 u, v = run_links(k, f.view(np.uint64), radius)
+                if alike is not None:
+                    own = side[0].view(np.uint64)
+                    near = alike(own[u], own[v])
+                    u, v = u[near], v[near]
                 yield pa.RecordBatch.from_arrays([pa.array(f[u]), pa.array(f[v])], names=["u", "v"])
 
         for batch in batches:
@@ -239,10 +248,10 @@ def fingerprint_links(distinct: DataFrame, radius: int, masks: list[int], chunk:
             new = np.any([c[1:] != c[:-1] for c in cols[:2]], axis=0)
             run = np.concatenate([[0], np.cumsum(new)])
             last = int(np.searchsorted(run, run[-1]))  # the last run may go on in the next batch
-            yield from links(run[:last], cols[2][:last])
+            yield from links(run[:last], *(c[:last] for c in cols[2:]))
             kept = tuple(c[last:] for c in cols)
         if kept is not None:
-            yield from links(np.zeros(len(kept[0]), int), kept[2])
+            yield from links(np.zeros(len(kept[0]), int), *kept[2:])
 
     return dealt.mapInArrow(task, "u long, v long")
 
@@ -260,24 +269,45 @@ def near_duplicates(
     return wide_join(marked, of_fp, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def side_of(hashes: np.ndarray) -> int:
+    """In one unsigned long, what two texts are compared by besides their fingerprints: the logarithm of the size of the set of
+    ``hashes`` in steps of ``STEP``, and ``SIDE_BITS`` bits of a second fingerprint, of the set."""
+    h = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    size = min(int(np.log(max(1, len(hashes))) / STEP), (1 << (64 - SIDE_BITS)) - 1)
+    return size << SIDE_BITS | majority(h ^ (h >> np.uint64(31))) & ((1 << SIDE_BITS) - 1)
+
+
+def sides_alike(u: np.ndarray, v: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs can be similar: sizes that rule it out go without loss, and of sets of ``LEAST_SIDE`` hashes or more pairs that differ
+    in over ``SIDE_RADIUS`` bits (the bits of smaller sets scatter more, so these pass)."""
+    bits = np.uint64(SIDE_BITS)
+    steps = (u >> bits).astype(np.int64) - (v >> bits).astype(np.int64)
+    differ = np.bitwise_count((u ^ v) & np.uint64((1 << SIDE_BITS) - 1))
+    small = np.minimum(u >> bits, v >> bits) < np.uint64(np.log(LEAST_SIDE) / STEP)
+    return (np.abs(steps) <= int(-np.log(threshold) / STEP) + 1) & (small | (differ <= SIDE_RADIUS))
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, n, marks) of (doc_id, text): n counts the distinct shingle hashes, marks are the parities of how many of
+    """(doc_id, fp, side, n, marks) of (doc_id, text): side is ``side_of``, n counts the distinct shingle hashes, marks are the parities of how many of
     them fall in each of ``MARKS`` classes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, marks = [], [], []
+            fps, sides, sizes, marks = [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_py() or b"", words)
                 fps.append(majority(hashes))
                 every = np.unique(hashes)
                 sizes.append(len(every))
+                sides.append(side_of(every))
                 odd = np.bincount((every & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
                 marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "n", "marks"])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sides)]
+            columns = [batch.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "side", "n", "marks"])
 
-    return docs.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(task, "doc_id long, fp long, n int, marks array<long>")
+    return docs.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(task, "doc_id long, fp long, side long, n int, marks array<long>")
 
 
 def may_be_similar(pairs: DataFrame, marked: DataFrame, threshold: float) -> DataFrame:
@@ -327,8 +357,11 @@ def similar_links(
     words are in no pair."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = stored(sketches(slim, words), "wide")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    links = stored(fingerprint_links(distinct.select("fp"), radius, sampled_masks(bands, bits), chunk).distinct(), "links")
+    first = F.min(F.struct("doc_id", "side"))
+    distinct = marked.groupBy("fp").agg(first.alias("first")).select("fp", F.col("first.doc_id").alias("least_id"), F.col("first.side").alias("side"))
+    found = fingerprint_links(distinct, radius, sampled_masks(bands, bits), chunk, lambda u, v: sides_alike(u, v, threshold))
+    links = stored(found.distinct(), "links")
+    distinct = distinct.drop("side")
     ends = links.join(distinct.select(F.col("fp").alias("u"), F.col("least_id").alias("a")), "u").join(distinct.select(F.col("fp").alias("v"), F.col("least_id").alias("b")), "v")
     copies = wide_join(marked.select("doc_id", "fp"), distinct, ["fp"]).where("doc_id <> least_id").select(F.col("doc_id").alias("a"), F.col("least_id").alias("b"))
     pairs = stored(may_be_similar(stored(ends.select("a", "b").union(copies), "candidates"), marked, threshold), "maybe")

@@ -175,3 +175,18 @@ def test_few_pairs_are_verified(spark):
         want = similar_pairs(sets, threshold)
         assert want <= left <= every and len(left) < 2 * len(want) + 300
     assert (9_002, 9_003) in left
+
+
+def test_chance_pairs_go_before_they_are_joined():
+    """Similar sets stay, of unrelated ones of one size few do."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(300)]
+    near = [np.concatenate([x[:378], rng.integers(0, 1 << 63, 22).astype(np.uint64)]) for x in sets]  # 378 of 422
+    short = [x[:10] for x in sets] + [x[:8] for x in sets]
+    a, b = (np.array([simhash.side_of(x) for x in some], np.uint64) for some in (sets, near))
+    assert simhash.sides_alike(a, b, 0.8).all()
+    assert simhash.sides_alike(a, np.roll(a, 1), 0.8).mean() < 0.2
+    c = np.array([simhash.side_of(x) for x in short], np.uint64)
+    assert simhash.sides_alike(c[:300], c[300:], 0.8).all() and not simhash.sides_alike(a, c[:300], 0.8).any()
