@@ -179,8 +179,6 @@ def test_few_pairs_are_verified(spark):
 
 def test_chance_pairs_go_before_they_are_joined():
     """Similar sets stay, of unrelated ones of one size few do."""
-    import numpy as np
-
     rng = np.random.default_rng(3)
     sets = [rng.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(300)]
     near = [np.concatenate([x[:378], rng.integers(0, 1 << 63, 22).astype(np.uint64)]) for x in sets]  # 378 of 422
