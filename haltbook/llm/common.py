@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Characters outside A-Z that ``lower`` may change (unassigned ones: it may know newer characters).
-OTHER_CAPITALS = r"[\p{IsUppercase}\p{IsTitlecase}\p{Cn}&&[^A-Z]]"
+OTHER_CAPITALS = r"[\x{80}-\x{10FFFF}&&[\p{IsUppercase}\p{IsTitlecase}\p{Cn}]]"  # the range is looked at first: most characters are ASCII
 
 
 def lower_ascii(col):
@@ -60,15 +60,15 @@ def intermediate(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False, by: str | None = None, options: dict | None = None) -> DataFrame:
     """Cut the lineage with a written table in the shared folder: a lost executor costs no
     recomputation of what lies before it, and every later read sees the same rows. ``by`` names a
-    column whose values get folders of their own."""
+    column whose values get folders of their own, ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if _open and not keep:
         _open[-1].append(path)
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", "zstd").options(**(options or {}))
     (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

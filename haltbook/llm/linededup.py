@@ -4,10 +4,11 @@ A line's set is its distinct words (A-Z lower-cased). A line goes if the same li
 has a Jaccard similarity of at least ``threshold``, comes earlier: in a document of a smaller id, or
 higher up in its own. Lines with fewer than ``min_words`` distinct words always stay.
 
-1. Rarity: every word of the corpus is counted in one of ``BUCKETS`` hash buckets. The counts' levels
-   are a table of fixed size (one byte a bucket) that plans read as a scalar subquery. A word's level,
-   then its hash, orders the words of a line: rare words first. Any order that all lines share keeps
-   the join exact.
+1. Texts are cut once: each line is stored with the hashes of its distinct words, which all later steps
+   read instead of the text. Rarity: the words of all lines are counted in ``BUCKETS`` hash buckets, once a
+   line. The counts' levels are a table of fixed size (one byte a bucket) that plans read as a scalar
+   subquery. A word's level, then its hash, orders the words of a line: rare words first. Any order that
+   all lines share keeps the join exact.
 2. Prefix filter: similar sets share a word among their first n - ceil(t n) + 1. Each distinct line
    posts these with its size, the word's place in it and a bitmap of its words. Positional, length and
    bitmap filters, evaluated inside the join, drop pairs that cannot reach the overlap.
@@ -35,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haltbook.llm.common import WORD, lower_ascii, stored
+from haltbook.llm.common import lower_ascii, stored
 from haltbook.llm.quality import let, spaced, words_of
 
 BUCKETS = 1 << 20
@@ -43,6 +44,10 @@ PAGE = 1 << 11
 #: Levels of counts for each doubling.
 STEPS = 5
 LAST_ID = (1 << 63) - 1
+#: White space other than blanks and line ends.
+OTHER_SPACES = r"[\t\x0B\f\r]"
+#: Many words come again and again: a dictionary of two million in a file takes less than their hashes.
+DICTIONARY = {"parquet.dictionary.page.size": 16 << 20}
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -67,28 +72,34 @@ def row_place(id_col: str, apart: bool) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, apart: bool, min_words: int) -> DataFrame:
-    """(doc_key, row_hash, line_no, line, h, g, pos, blank): lines, A-Z lower-cased, that can have ``min_words``
-    words. (h, g) tells equal lines, pos orders all lines."""
+    """(doc_key, row_hash, line_no, h, g, pos, blank, words): lines, A-Z lower-cased, that can have ``min_words``
+    words. (h, g) tells equal lines, pos orders all lines, words are 56 bits of hash of the line's distinct words."""
     keyed = docs.select(F.col(id_col), *row_key(id_col, text_col), F.col(text_col).alias("t"))
     placed = keyed.select("doc_key", "row_hash", row_place(id_col, apart).alias("row_at"), F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
     # A line of so few characters cannot have min_words words.
     able = placed.where(F.length("line") >= 2 * min_words - 1).withColumn("line", lower_ascii(F.col("line")))
     pos = (F.col("row_at") + F.col("line_no")).cast("decimal(38,0)")
-    return able.select("doc_key", "row_hash", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.length("line"), "line").alias("g"), pos.alias("pos"), (~F.col("line").rlike(WORD)).alias("blank"))
+    # Few lines have white space other than blanks; one search for it costs less than to replace each kind.
+    blanks = F.when(F.col("line").rlike(OTHER_SPACES), spaced(F.col("line"))).otherwise(F.col("line"))
+    words = F.array_distinct(F.transform(F.array_remove(F.split(blanks, " "), ""), lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)))
+    told = able.select("doc_key", "row_hash", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.length("line"), "line").alias("g"), pos.alias("pos"), words.alias("words"))
+    return told.select(*told.columns[:-1], (F.size("words") == 0).alias("blank"), "words")
 
 
 def level_of(count: Column) -> Column:
     return F.least(F.floor(F.log2(count + 1) * STEPS), F.lit(126)).cast("tinyint")
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row, one column: for each hash bucket the logarithmic level of how many words of the corpus
+def bucket_of(word: Column) -> Column:
+    return word.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def rarity(lines: DataFrame) -> DataFrame:
+    """One row, one column: for each hash bucket the logarithmic level of how many ``words`` of the lines
     fall in it. Every bucket is there, so its size is the same whatever the input."""
-    words = docs.select(F.explode(F.split(spaced(lower_ascii(F.col(text_col))), " ")).alias("w"))
-    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    counts = words.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
-    every = counts.union(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int"), F.lit(0).cast("long")))
-    levels = every.groupBy("b").agg(F.sum("n").alias("n")).select(F.floor(F.col("b") / PAGE).alias("page"), F.struct("b", level_of(F.col("n")).alias("level")).alias("x"))
+    words = lines.select(F.explode("words").alias("w")).select(bucket_of(F.col("w")).alias("b"))
+    counts = words.union(lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int"))).groupBy("b").agg((F.count("*") - 1).alias("n"))
+    levels = counts.select(F.floor(F.col("b") / PAGE).alias("page"), F.struct("b", level_of(F.col("n")).alias("level")).alias("x"))
 
     def values(name: str, field: str) -> Column:
         return F.transform(F.sort_array(F.collect_list(name)), lambda x: x[field])
@@ -98,14 +109,13 @@ def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def coded(lines: DataFrame, ranks: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` and codes: the line's distinct words as longs whose order is that of rarity."""
+    """The columns ``keep`` and codes: the line's words as longs whose order is that of rarity."""
 
-    def code(h: Column) -> Column:
-        level = F.coalesce(F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint"))  # never null: longs are then sorted as such
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def code(word: Column) -> Column:
+        level = F.coalesce(F.get("ranks", bucket_of(word)), F.lit(0).cast("tinyint"))  # never null: longs are then sorted as such
+        return F.shiftleft(level.cast("long"), 56).bitwiseOR(word)
 
-    hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
-    return lines.select(*keep, "line", ranks.scalar().alias("ranks")).select(*keep, F.sort_array(F.array_distinct(F.transform(hashes, code))).alias("codes"))
+    return lines.select(*keep, "words", ranks.scalar().alias("ranks")).select(*keep, F.sort_array(F.transform("words", code)).alias("codes"))
 
 
 def first_code_of(count: int) -> int:
@@ -168,35 +178,24 @@ class Corpus:
 
     def __init__(self, docs: DataFrame, threshold: float, min_words: int, id_col: str, text_col: str, apart: bool, small: int):
         self.t, self.min_words, self.small = threshold, min_words, small
-        self.texts = lines_of(docs, id_col, text_col, apart, min_words)
-        self.rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-        self.lines = stored(self.texts.drop("line"), "lines")
+        self.lines = stored(lines_of(docs, id_col, text_col, apart, min_words), "lines", False, None, DICTIONARY)
         self.distinct = stored(self.lines.groupBy("h", "g").agg(F.min("pos").alias("pos"), F.count("*").alias("times"), F.max("blank").alias("blank")), "distinct")
-        self.ranks = rarity(docs, text_col)
+        self.ranks = rarity(self.lines)
 
     def bounded(self, df: DataFrame) -> DataFrame:
         """To be broadcast if it is counted to have at most ``small`` rows."""
         return F.broadcast(df) if df.limit(self.small + 1).count() <= self.small else df
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(h, g, pos, codes) of the distinct lines whose h is in ``wanted``, read again from the texts."""
+        """(h, g, pos, codes) of the distinct lines whose h is in ``wanted``."""
         places = self.bounded(stored(self.distinct.join(self.bounded(wanted.distinct()), "h", "left_semi").select("h", "g", F.col("pos").alias("at")), "wanted"))
-        chosen = self.lines.join(places, ["h", "g"]).where("pos = at").groupBy("doc_key", "row_hash")
-        listed = stored(chosen.agg(F.collect_set(F.struct("line_no", "h", "g", "pos")).alias("wanted")), "chosen")
-        if (listed.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= self.small:  # a row holds all wanted lines of a text
-            listed = F.broadcast(listed)
-
-        def lines(parts: Column) -> Column:
-            return F.transform("wanted", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), x["pos"].alias("pos"), F.get(parts, x["line_no"]).alias("line")))
-
-        each = self.rows.join(listed, ["doc_key", "row_hash"]).select(F.explode(let(F.split("text", "\n"), lines)).alias("x")).select("x.*")
-        low = each.withColumn("line", lower_ascii(F.col("line")))
-        return stored(coded(low, self.ranks, "h", "g", "pos").dropDuplicates(["h", "g"]), "sets")  # rows of the same id and text have the same places
+        first = self.lines.join(places, ["h", "g"]).where("pos = at")
+        return stored(coded(first, self.ranks, "h", "g", "pos").dropDuplicates(["h", "g"]), "sets")  # rows of the same id and text have the same places
 
     def postings(self) -> DataFrame:
         """The prefixes of all distinct lines."""
         repeated = self.bounded(self.distinct.where("times > 1").select("h", F.col("pos").alias("at")))
-        first = self.texts.join(repeated, "h", "left").where("at is null or at = pos")
+        first = self.lines.select("h", "doc_key", "pos", "words").join(repeated, "h", "left").where("at is null or at = pos")
         # A filter on codes, as explode infers one too, would be pushed below and compute them once more.
         prefix = F.when(F.col("n") >= self.min_words, F.slice("codes", 1, prefix_size(F.col("n"), self.t)))
         each = measured(coded(first, self.ranks, "h", "doc_key"), "h", "doc_key").select("h", F.col("doc_key").alias("doc"), "n", "low", "high", F.posexplode_outer(prefix).alias("k", "word"))

@@ -92,3 +92,14 @@ def test_near_copies_of_words_in_middle_numbers(spark, monkeypatch):
     got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), hot=250).collect()
     compare(got, rows)
     assert dict(seen)["mild"] > 200 and sum(n for name, n in seen if name in ("pairs", "others")) < 2000
+
+
+def test_texts_are_cut_once(spark, monkeypatch):
+    """Lines are stored with their distinct words, which rarity, postings and sets are read from."""
+    seen, stored = {}, linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda df, name, *rest: seen.setdefault(name, stored(df, name, *rest)))
+    text = "B b\ta  É\x0bc \r\nİ É b"
+    linededup.Corpus(spark.createDataFrame([(1, text)], "doc_id long, text string"), 0.8, 1, "doc_id", "text", True, 100)
+    got = {r.line_no: r for r in seen["lines"].collect()}
+    assert [len(got[i].words) for i in (0, 1)] == [len(words(x)) for x in text.split("\n")] == [4, 3]
+    assert len(set(got[0].words) & set(got[1].words)) == 2
