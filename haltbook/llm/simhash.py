@@ -12,7 +12,9 @@ yields its components without listing its pairs; short runs are compared togethe
 row k places on. A run longer than ``chunk`` is split into chunks and each two chunks meet in a task.
 
 ``similar_links`` finds different texts that share most of their shingles. Their fingerprints differ in too many bits for blocks, so
-candidates are fingerprints that agree on one of ``bands`` samples of ``bits`` bits and differ in at most ``radius``, and whose sizes and
+candidates are texts that agree on one of ``bands`` keys, each made of the least of their shingles' hashes under ``rows`` multipliers (MinHash:
+texts of similarity J agree on a key with probability J ** rows, unrelated ones on none, so runs of equal keys do not grow with the table). They
+differ in at most ``radius`` bits, and their sizes and
 second fingerprints are not too far apart (``sides_alike``, told in the task that compares them, so that chance pairs are not joined); those that the sizes and the
 parities of their shingle sets do not rule out (``may_be_similar``, which loses no similar pair) are verified by exact Jaccard similarity
 of the sets. README has the measured recall.
@@ -27,11 +29,12 @@ their rows; the component id is the smallest id of the component, null if it has
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haltbook.llm.common import bounded, stored, wide_join
@@ -154,8 +157,24 @@ def explore(fps: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def run_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of sorted runs of equal keys: row numbers (u, v), enough to connect what is linked."""
+def nearest(fps: np.ndarray, radius: int, block: int = 256, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row to the ``most`` that differ least in its block of rows, which are dealt by hash and anew for each run."""
+    order = np.argsort((fps ^ np.bitwise_xor.reduce(fps)) * np.uint64(0x9E3779B97F4A7C15))
+    us, vs = [], []
+    for at in range(0, len(fps), block):
+        rows = order[at : at + block]
+        differ = np.bitwise_count(fps[rows][:, None] ^ fps[rows])
+        np.fill_diagonal(differ, 65)
+        near = np.argsort(differ, axis=1, kind="stable")[:, :most]
+        hit = np.take_along_axis(differ, near, axis=1) <= radius
+        us.append(np.broadcast_to(rows[:, None], near.shape)[hit])
+        vs.append(rows[near[hit]])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def run_links(keys: np.ndarray, fps: np.ndarray, radius: int, more: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links of sorted runs of equal keys: row numbers (u, v), enough to connect what is linked. With ``more``, rows of long runs are
+    linked to the ``nearest`` ones, too, for links that are looked at further may not all stay."""
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     length = np.diff(edge)
     us, vs = [], []
@@ -165,6 +184,10 @@ def run_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarra
         linked = np.flatnonzero(root != np.arange(b - a))
         us.append(a + linked)
         vs.append(a + root[linked])
+        if more:
+            u, v = nearest(fps[a:b], radius)
+            us.append(a + u)
+            vs.append(a + v)
     rows = np.repeat((length > 1) & (length <= SHORT_RUN), length)
     if rows.any():
         at = np.flatnonzero(rows)
@@ -204,20 +227,50 @@ def block_masks(radius: int, blocks: int, agree: int) -> list[int]:
     return [signed(sum(((1 << (bounds[k + 1] - bounds[k])) - 1) << bounds[k] for k in chosen)) for chosen in combinations(range(blocks), agree)]
 
 
-def sampled_masks(bands: int, bits: int, seed: int = 0) -> list[int]:
-    """``bands`` fixed samples of ``bits`` bits."""
-    rng = np.random.default_rng(seed)
-    return [signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for _ in range(bands)]
+def masked(masks: list[int]) -> Column:
+    """A long for each mask that tells it and the bits of fp under it: keys that fall together only cost comparisons."""
+    return F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)))
+
+
+@cache
+def multipliers(count: int, seed: int = 0) -> np.ndarray:
+    """``count`` fixed odd numbers."""
+    return np.random.default_rng(seed).integers(0, 1 << 64, count, np.uint64) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """``bands`` longs, each of the least products of ``hashes`` with ``rows`` multipliers; none if there are no hashes."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    factors, least = multipliers(bands * rows)[:, None], np.full(bands * rows, ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 10):  # stays in the cache
+        np.minimum(least, (factors * hashes[at : at + (1 << 10)]).min(axis=1), out=least)
+    keys = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def keyed_by(distinct: DataFrame, masks: list[int] | None, *columns: str) -> DataFrame:
+    return distinct.select(*columns, F.explode("keys" if masks is None else masked(masks)).alias("bits"))
+
 
+def long_runs(keyed: DataFrame, least: int) -> DataFrame:
+    """(bits, n) of keys of more than ``least`` rows."""
+    return stored(keyed.groupBy("bits").agg(F.count("*").alias("n")).where(F.col("n") > least), "hot")
 
-def fingerprint_links(distinct: DataFrame, radius: int, masks: list[int], chunk: int = 4096, alike: Callable | None = None) -> DataFrame:
+
+def fingerprint_links(
+    distinct: DataFrame, radius: int, masks: list[int] | None, chunk: int = 4096, alike: Callable | None = None, runs: DataFrame | None = None
+) -> DataFrame:
     """(u, v) links of fingerprints (column fp, distinct) within the radius: they connect all of these that are equal under one
-    of the masks. With ``alike`` only links stay whose values of the column side it accepts (two arrays of unsigned longs)."""
+    of the masks or, without masks, share one of their longs in the column keys. With ``alike`` only links stay whose values of the column
+    side it accepts (two arrays of unsigned longs). ``runs`` are ``long_runs`` of at most ``chunk`` rows, where these are known."""
     carried = ["fp"] if alike is None else ["fp", "side"]
-    # One long tells mask and bits: keys that fall together only cost comparisons.
-    keyed = distinct.select(*carried, F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)))).alias("bits"))
+    keyed = keyed_by(distinct, masks, *carried)
     # Counted first: their number is known, and few are broadcast instead of dealing all keys once more.
-    hot = bounded(stored(keyed.groupBy("bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "hot"), MOST_HOT)
+    hot = bounded((long_runs(keyed, chunk) if runs is None else runs).where(F.col("n") > chunk), MOST_HOT)
     spread = (
         keyed.join(hot, "bits", "left")
         .withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
@@ -232,12 +285,13 @@ def fingerprint_links(distinct: DataFrame, radius: int, masks: list[int], chunk:
 
         def links(k: np.ndarray, f: np.ndarray, *side: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(k) > 1:
-                u, v = run_links(k, f.view(np.uint64), radius)
+                u, v = run_links(k, f.view(np.uint64), radius, alike is not None)
                 if alike is not None:
                     own = side[0].view(np.uint64)
                     near = alike(own[u], own[v])
                     u, v = u[near], v[near]
-                yield pa.RecordBatch.from_arrays([pa.array(f[u]), pa.array(f[v])], names=["u", "v"])
+                ends = f[u], f[v]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["u", "v"])
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -288,13 +342,13 @@ def sides_alike(u: np.ndarray, v: np.ndarray, threshold: float) -> np.ndarray:
     return (np.abs(steps) <= int(-np.log(threshold) / STEP) + 1) & (small | (differ <= SIDE_RADIUS))
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, side, n, marks) of (doc_id, text): side is ``side_of``, n counts the distinct shingle hashes, marks are the parities of how many of
-    them fall in each of ``MARKS`` classes."""
+def sketches(docs: DataFrame, words: int, bands: int = 24, rows: int = 4) -> DataFrame:
+    """(doc_id, fp, side, n, marks, keys) of (doc_id, text): side is ``side_of``, n counts the distinct shingle hashes, marks are the parities of how many of
+    them fall in each of ``MARKS`` classes, keys are their ``band_keys``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sides, sizes, marks = [], [], [], []
+            fps, sides, sizes, marks, keys = [], [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_py() or b"", words)
                 fps.append(majority(hashes))
@@ -303,25 +357,22 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 sides.append(side_of(every))
                 odd = np.bincount((every & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
                 marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                keys.append(band_keys(every, bands, rows).view(np.int64))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sides)]
-            columns = [batch.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "side", "n", "marks"])
+            columns = [batch.column(0), *longs, pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (marks, keys))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "side", "n", "marks", "keys"])
 
-    return docs.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(task, "doc_id long, fp long, side long, n int, marks array<long>")
+    return docs.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(task, "doc_id long, fp long, side long, n int, marks array<long>, keys array<long>")
 
 
 def may_be_similar(pairs: DataFrame, marked: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` (a, b) without those whose sizes or marks rule out that they are similar. Similar sets of n and m hashes share
-    need = (n + m) t / (1 + t) at least, so neither is smaller and they differ in n + m - 2 need hashes at most; each class of
-    unequal parity holds one of these. No similar pair is lost."""
+    """``pairs`` (a, b) without those whose sizes or marks rule out that they are similar (``within_bounds``)."""
     x = marked.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"))
     y = marked.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("marks").alias("marks_b"))
-    both = F.col("n_a") + F.col("n_b")
-    need = both * (threshold / (1 + threshold)) - 1e-9
+    need = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
     sizes = wide_join(pairs, x.drop("marks_a"), ["a"]).join(y.drop("marks_b"), "b").where((F.least("n_a", "n_b") >= need) & (F.least("n_a", "n_b") > 0))
-    differ = sum((F.bit_count(F.get("marks_a", F.lit(k)).bitwiseXOR(F.get("marks_b", F.lit(k)))) for k in range(MARKS // 64)), F.lit(0))
-    told = sizes.join(x.select("a", "marks_a"), "a").join(y.select("b", "marks_b"), "b")
-    return told.where(differ <= both - need * 2).select("a", "b")
+    told = sizes.drop("n_a", "n_b").join(x, "a").join(y, "b")
+    return told.where(within_bounds(threshold)).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, words: int, most: int = 1 << 20) -> DataFrame:
@@ -350,21 +401,18 @@ def shingle_sets(docs: DataFrame, words: int, most: int = 1 << 20) -> DataFrame:
     return docs.mapInArrow(task, "doc_id long, hashes array<long>")
 
 
-def similar_links(
-    docs: DataFrame, words: int = 5, threshold: float = 0.8, radius: int = 17, bands: int = 96, bits: int = 15, id_col: str = "doc_id", text_col: str = "text", chunk: int = 4096
-) -> DataFrame:
-    """(u, v): pairs of ids (unique, not null) whose texts' shingle sets have at least this Jaccard similarity. Texts without
-    words are in no pair."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = stored(sketches(slim, words), "wide")
-    first = F.min(F.struct("doc_id", "side"))
-    distinct = marked.groupBy("fp").agg(first.alias("first")).select("fp", F.col("first.doc_id").alias("least_id"), F.col("first.side").alias("side"))
-    found = fingerprint_links(distinct, radius, sampled_masks(bands, bits), chunk, lambda u, v: sides_alike(u, v, threshold))
-    links = stored(found.distinct(), "links")
-    distinct = distinct.drop("side")
-    ends = links.join(distinct.select(F.col("fp").alias("u"), F.col("least_id").alias("a")), "u").join(distinct.select(F.col("fp").alias("v"), F.col("least_id").alias("b")), "v")
-    copies = wide_join(marked.select("doc_id", "fp"), distinct, ["fp"]).where("doc_id <> least_id").select(F.col("doc_id").alias("a"), F.col("least_id").alias("b"))
-    pairs = stored(may_be_similar(stored(ends.select("a", "b").union(copies), "candidates"), marked, threshold), "maybe")
+def within_bounds(threshold: float) -> Column:
+    """Whether sizes and marks (n_a, marks_a, n_b, marks_b) leave open that two sets are similar. Similar sets of n and m hashes share
+    need = (n + m) t / (1 + t) at least, so neither is smaller and they differ in n + m - 2 need hashes at most; each class of
+    unequal parity holds one of these. No similar pair is lost."""
+    both = F.col("n_a") + F.col("n_b")
+    need = both * (threshold / (1 + threshold)) - 1e-9
+    differ = sum((F.bit_count(F.get("marks_a", F.lit(k)).bitwiseXOR(F.get("marks_b", F.lit(k)))) for k in range(MARKS // 64)), F.lit(0))
+    return (F.least("n_a", "n_b") >= need) & (F.least("n_a", "n_b") > 0) & (differ <= both - need * 2)
+
+
+def verified(pairs: DataFrame, slim: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) of ids whose texts' shingle sets have at least this Jaccard similarity, as (u, v)."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = slim.join(wanted, "doc_id", "left_semi").select("doc_id", F.encode("text", "UTF-8").alias("text"))
     sets = stored(shingle_sets(texts, words), "sets")
@@ -373,3 +421,31 @@ def similar_links(
     need = (F.size("x") + F.size("y")) * (threshold / (1 + threshold)) - 1e-9
     near = (F.size("x") > 0) & (F.least(F.size("x"), F.size("y")) >= need) & (F.size(F.array_intersect("x", "y")) >= need)
     return both.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def similar_links(
+    docs: DataFrame, words: int = 5, threshold: float = 0.8, radius: int = 22, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", chunk: int = 4096
+) -> DataFrame:
+    """(u, v): pairs of ids (unique, not null) whose texts' shingle sets have at least this Jaccard similarity. Texts without
+    words are in no pair. Rows of long runs meet some of the run's rows first; those that are similar to none of them then meet all."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = stored(sketches(slim, words, bands, rows), "wide")
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    one = marked.join(distinct.select(F.col("least_id").alias("doc_id")), "doc_id", "left_semi")
+    runs = long_runs(keyed_by(one, None), min(chunk, SHORT_RUN))
+    found = fingerprint_links(one.select("fp", "side", "keys"), radius, None, chunk, lambda u, v: sides_alike(u, v, threshold), runs)
+    links = stored(found.distinct(), "links")
+    ends = links.join(distinct.select(F.col("fp").alias("u"), F.col("least_id").alias("a")), "u").join(distinct.select(F.col("fp").alias("v"), F.col("least_id").alias("b")), "v")
+    copies = wide_join(marked.select("doc_id", "fp"), distinct, ["fp"]).where("doc_id <> least_id").select(F.col("doc_id").alias("a"), F.col("least_id").alias("b"))
+    pairs = stored(may_be_similar(stored(ends.select("a", "b").union(copies), "candidates"), marked, threshold), "maybe")
+    similar = stored(verified(pairs, slim, words, threshold), "similar")
+    if runs.isEmpty():
+        return similar
+    linked = similar.select(F.col("u").alias("doc_id")).union(similar.select(F.col("v").alias("doc_id"))).distinct()
+    crowd = keyed_by(one, None, "doc_id", "n", "marks").join(bounded(runs.select("bits"), MOST_HOT), "bits", "left_semi")
+    crowd = stored(crowd.join(bounded(linked.withColumn("linked", F.lit(True)), MOST_HOT), "doc_id", "left"), "crowd")
+    alone = crowd.where("linked is null")
+    x = alone.select("bits", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"))
+    y = crowd.join(bounded(alone.select("bits").distinct(), MOST_HOT), "bits", "left_semi").select("bits", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("marks").alias("marks_b"))
+    left = x.join(y, (x.bits == y.bits) & (F.col("a") != F.col("b")) & within_bounds(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return similar.union(verified(stored(left.distinct(), "left"), slim, words, threshold))

@@ -188,3 +188,28 @@ def test_chance_pairs_go_before_they_are_joined():
     assert simhash.sides_alike(a, np.roll(a, 1), 0.8).mean() < 0.2
     c = np.array([simhash.side_of(x) for x in short], np.uint64)
     assert simhash.sides_alike(c[:300], c[300:], 0.8).all() and not simhash.sides_alike(a, c[:300], 0.8).any()
+
+
+def test_unrelated_texts_share_no_run(spark, monkeypatch):
+    """Runs of equal keys do not grow with the number of unrelated texts, and similar texts share keys."""
+    seen, stored = {}, simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name, *rest: seen.setdefault(name, stored(df, name, *rest)))
+    rng = random.Random(9)
+    texts = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(30))) for i in range(4000)]
+    texts += [(5000 + i, t + " more") for i, t in texts[:50]]
+    got = simhash.similar_links(spark.createDataFrame(texts, "doc_id long, text string"), chunk=2).collect()
+    assert {(min(r), max(r)) for r in got} == {(i, 5000 + i) for i in range(50)}
+    assert seen["hot"].count() == 0 and seen["links"].count() == 50
+
+
+def test_outliers_of_a_crowd(spark):
+    """A text that is similar to few of a long run of near copies is found with these."""
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join(w if rng.random() > 0.017 else f"x{i}" for w in base) for i in range(150)}
+    for i in range(20):  # a long way from the base, near to one of the others
+        texts[1000 + i] = " ".join(w if rng.random() > 0.017 else f"y{i}" for w in texts[i].split())
+    got = simhash.similar_links(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = similar_pairs({i: shingles(t) for i, t in texts.items()})
+    assert {(min(r), max(r)) for r in got} <= want
+    assert {x for p in want for x in p} == {x for r in got for x in r} and any(x >= 1000 for p in want for x in p)
