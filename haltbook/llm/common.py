@@ -60,6 +60,9 @@ def intermediate(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, keep: bool = False, by: str | None = None, options: dict | None = None) -> DataFrame:
     """Cut the lineage with a written table in the shared folder: a lost executor costs no
     recomputation of what lies before it, and every later read sees the same rows. ``by`` names a
@@ -69,7 +72,13 @@ def stored(df: DataFrame, name: str, keep: bool = False, by: str | None = None,
     if _open and not keep:
         _open[-1].append(path)
     out = df.write.option("compression", "zstd").options(**(options or {}))
-    (out.partitionBy(by) if by else out).parquet(path)
+    # Shuffle files go with the query that made them, not when the driver happens to collect its garbage.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

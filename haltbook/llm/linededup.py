@@ -12,12 +12,12 @@ higher up in its own. Lines with fewer than ``min_words`` distinct words always
 2. Prefix filter: similar sets share a word among their first n - ceil(t n) + 1. Each distinct line
    posts these with its size, the word's place in it and a bitmap of its words. Positional, length and
    bitmap filters, evaluated inside the join, drop pairs that cannot reach the overlap.
-3. A word whose bucket counts more than ``hot`` may be posted by many lines. Such postings are dealt by
-   line, not by word, and kept apart. Words that turn out to be posted by at most ``hot`` lines are
-   then joined by word. In either kind lines first meet the word's ``leaders`` earliest lines, so
+3. A word whose bucket counts more than ``hot`` is not posted by itself. Lines whose first shared word is such a word
+   share a second one not far behind (their prefixes longer by one have both): they post each two such words of the longer prefix as one key,
+   which few lines share however large the table is. Postings meet by key, in ``TURNS`` turns. All lines of a word of at most ``hot / 2``
+   meet each other. Those of any other key meet its earliest lines (``leaders`` of a word, one of a pair), so
    that a group of near copies costs as many pairs as it has lines; only lines that no leader
-   explains meet others, those that do not stand after them. Where more than ``hot`` lines post a word, of these only those that share
-   a second word of the prefix (longer by one) with them.
+   explains meet others, those that do not stand after them.
 4. Of the pairs that are left, each line's likeliest earlier partner (the one whose bitmap differs
    least) is verified first, on the whole sets; other pairs are verified only for lines that it does not
    explain.
@@ -44,6 +44,8 @@ PAGE = 1 << 11
 #: Levels of counts for each doubling.
 STEPS = 5
 LAST_ID = (1 << 63) - 1
+#: Postings are dealt in so many turns, a part of the keys each, since they take more room than all else.
+TURNS = 2
 #: White space other than blanks and line ends.
 OTHER_SPACES = r"[\t\x0B\f\r]"
 #: Many words come again and again: a dictionary of two million in a file takes less than their hashes.
@@ -192,14 +194,24 @@ class Corpus:
         first = self.lines.join(places, ["h", "g"]).where("pos = at")
         return stored(coded(first, self.ranks, "h", "g", "pos").dropDuplicates(["h", "g"]), "sets")  # rows of the same id and text have the same places
 
-    def postings(self) -> DataFrame:
-        """The prefixes of all distinct lines."""
+    def postings(self, hot: int, turn: int) -> DataFrame:
+        """The prefixes of all distinct lines: words whose buckets count at most ``hot``, and keys (below zero) of two others. Of all keys, those of this ``turn``."""
         repeated = self.bounded(self.distinct.where("times > 1").select("h", F.col("pos").alias("at")))
         first = self.lines.select("h", "doc_key", "pos", "words").join(repeated, "h", "left").where("at is null or at = pos")
+        n, limit = F.col("n"), first_code_of(hot)
+        size = prefix_size(n, self.t)
+        one_is_enough = F.ceil(n * self.t - 1e-9) == 1
+
+        def keys(word: Column, k: Column) -> Column:
+            second = F.slice("codes", k + 2, F.greatest(size - k, F.lit(0)))
+            second = F.when(one_is_enough, F.concat(second, F.array(F.lit(-1).cast("long")))).otherwise(second)
+            two = F.transform(second, lambda other: F.xxhash64(word, other).bitwiseOR(F.lit(-1 << 63).cast("long")))
+            return F.transform(F.when(word < limit, F.array(word)).otherwise(two), lambda key: F.struct(key.alias("word"), k.alias("k")))
+
         # A filter on codes, as explode infers one too, would be pushed below and compute them once more.
-        prefix = F.when(F.col("n") >= self.min_words, F.slice("codes", 1, prefix_size(F.col("n"), self.t)))
-        each = measured(coded(first, self.ranks, "h", "doc_key"), "h", "doc_key").select("h", F.col("doc_key").alias("doc"), "n", "low", "high", F.posexplode_outer(prefix).alias("k", "word"))
-        return each.withColumn("nr", F.shiftleft(F.col("n").cast("long"), 32) + F.col("n") - F.col("k")).select(*POSTING).where("word is not null")
+        posted = F.when(n >= self.min_words, F.flatten(F.transform(F.slice("codes", 1, size), keys)))
+        each = measured(coded(first, self.ranks, "h", "doc_key"), "h", "doc_key").select("h", F.col("doc_key").alias("doc"), "n", "low", "high", F.explode_outer(posted).alias("x"))
+        return each.select(F.col("x.word").alias("word"), "h", "doc", (F.shiftleft(n.cast("long"), 32) + n - F.col("x.k")).alias("nr"), "low", "high").where(F.pmod("word", F.lit(TURNS)) == turn)
 
     def later(self, pairs: DataFrame) -> DataFrame:
         """(h, g) of the later line of each similar pair of ``pairs`` (h, h2, differ, order). A line's likeliest
@@ -225,69 +237,33 @@ class Corpus:
 
     def similar(self, leaders: int, hot: int) -> DataFrame:
         """(h, g) of the distinct lines that have a similar line before them."""
-        limit = F.lit(first_code_of(hot))
-        posted = self.postings()
-        x, y = posted.alias("x"), posted.alias("y")
-
-        def key(side: str) -> Column:
-            word, h = F.col(f"{side}.word"), F.col(f"{side}.h")
-            return F.when(word < limit, word).otherwise(F.xxhash64(word, h))
-
-        def own(side: str) -> Column:
-            return F.when(F.col(f"{side}.word") >= limit, F.col(f"{side}.h"))
-
-        # What may be crowded passes through the same exchange as the rest, alone with itself. No term names
-        # one side only: it would be pushed down there, and the two sides would not share the exchange.
-        pair = (F.col("x.h") < F.col("y.h")) & may_reach(self.t)
-        meet = (key("x") == key("y")) & (F.col("x.word").bitwiseXOR(F.col("y.word")) == 0) & (pair | (own("x") == own("y")))
-        met = x.join(y, meet).select(
-            *(F.when(F.col("x.h") == F.col("y.h"), F.col(f"x.{c}")).alias(c) if c != "h" else F.col("x.h") for c in POSTING),
-            F.when(F.col("x.h") < F.col("y.h"), F.col("y.h")).alias("h2"),
-            *paired()[2:],
-        )
-        met = stored(met, "met")
-        maybe = met.where("h2 is null").select(*POSTING).distinct()
-        counts = maybe.groupBy("word").agg(F.count("*").alias("group")).where("group > 1")
-        crowded = stored(maybe.join(counts, "word"), "crowded")
-        mild = crowded.where(F.col("group") <= hot)
-        placed = mild.withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("doc", "h")))
-        mild = stored(placed.withColumn("leads", F.col("rn") <= leaders).drop("rn", "group"), "mild")
-        same = (F.col("x.word") == F.col("y.word")) & (F.col("x.h") != F.col("y.h")) & may_reach(self.t)
-        led = mild.alias("x").join(mild.where("leads").alias("y"), same).select(*paired())
-        pairs = stored(met.where("h2 is not null").select("h", "h2", "differ", "order").union(led).distinct(), "pairs")
+        met = self.met(leaders, hot, 0)
+        for turn in range(1, TURNS):
+            met = met.union(self.met(leaders, hot, turn))
+        mild = stored(met.where("word is not null").select(*(F.col("of").alias(c) if c == "h" else c for c in POSTING)), "mild")
+        pairs = stored(met.where("pair").select("h", "h2", "differ", "order").distinct(), "pairs")
         found = stored(self.later(pairs), "similar")
         # What no leader explains meets the others that do not stand after it.
-        x, y = mild.join(found, "h", "left_anti").alias("x"), mild.where("not leads").alias("y")
+        x, y = mild.join(found, "h", "left_anti").alias("x"), mild.alias("y")
+        same = (F.col("x.word") == F.col("y.word")) & (F.col("x.h") != F.col("y.h")) & may_reach(self.t)
         others = stored(x.join(y, same & (F.col("x.doc") >= F.col("y.doc"))).select(*paired()).distinct(), "others")
-        if not others.isEmpty():
-            found = stored(found.union(self.later(others)).distinct(), "similar")
-        heavy = crowded.where(F.col("group") > hot).drop("group")
-        return found if heavy.isEmpty() else self.similar_in_groups(heavy, found, leaders)
-
-    def similar_in_groups(self, heavy: DataFrame, found: DataFrame, leaders: int) -> DataFrame:
-        """``found`` and the lines with a similar line before them among the postings of heavy words."""
-        placed = stored(heavy.join(self.distinct.groupBy("h").agg(F.min("pos").alias("pos")), "h"), "heavy")
-        ranked = placed.withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("pos", "h")))
-        first = stored(ranked.where(F.col("rn") <= leaders).drop("rn"), "leaders")
-        x, y = placed.join(found, "h", "left_anti").alias("x"), first.alias("y")
-        meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.h") != F.col("y.h")) & may_reach(self.t)
-        led = x.join(y, meet).select(*paired()).distinct()
-        found = stored(found.union(self.later(stored(led, "led"))).distinct(), "similar")
-        rest = stored(placed.join(found, "h", "left_anti"), "rest")
-        if rest.isEmpty():
-            return found
-        near = placed.join(rest.select("word").distinct(), "word", "left_semi")
-        n = F.size("codes")
-        k = n - F.col("nr").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-        second = F.slice("codes", k + 2, F.greatest(prefix_size(n, self.t) - k, F.lit(0)))
-        alone = F.when(F.ceil(n * self.t - 1e-9) == 1, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>"))  # one shared word is enough
-        sets = self.sets(near.select("h")).select("h", "codes").dropDuplicates(["h"])
-        keyed = near.join(sets, "h").select(*POSTING, F.explode(F.concat(second, alone)).alias("second"))
-        keyed = stored(keyed, "keyed")
-        x, y = keyed.join(rest.select("h").distinct(), "h", "left_semi").alias("x"), keyed.alias("y")
-        meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.second") == F.col("y.second")) & (F.col("x.h") != F.col("y.h")) & may_reach(self.t)
-        pairs = x.join(y, meet).select(*paired()).distinct()
-        return found.union(self.later(stored(pairs, "pairs"))).distinct()
+        return found if others.isEmpty() else found.union(self.later(others)).distinct()
+
+    def met(self, leaders: int, hot: int, turn: int) -> DataFrame:
+        """Pairs of lines that meet by a key of this turn (pair) and the postings of lines that do not lead their key's (word is not null)."""
+        ranked = self.postings(hot, turn).withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("doc", "h")))
+
+        def leading(word: Column) -> Column:
+            return F.when(word < 0, 1).when(word < first_code_of(hot // 2), (1 << 31) - 1).otherwise(leaders)
+
+        # No term names a column of the exchange alone: it would be pushed below, and the two sides would not share the exchange.
+        x, y = ranked.alias("x"), ranked.where(F.col("rn") <= leading(F.col("word"))).alias("y")
+        pair = (F.col("x.h") != F.col("y.h")) & may_reach(self.t)
+        follows = (F.col("y.rn") == 1) & (F.col("x.rn") > leading(F.col("x.word")))  # once for each line that does not lead
+        met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.rn") > F.col("y.rn")) & (pair | follows)).select(
+            *paired(), (~follows | pair).alias("pair"), *(F.when(follows, F.col(f"x.{c}")).alias(c if c != "h" else "of") for c in POSTING)
+        )
+        return stored(met, "met")
 
 
 def removed_lines(

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from haltbook.llm import linededup
 
 LAST = linededup.LAST_ID
@@ -103,3 +105,29 @@ def test_texts_are_cut_once(spark, monkeypatch):
     got = {r.line_no: r for r in seen["lines"].collect()}
     assert [len(got[i].words) for i in (0, 1)] == [len(words(x)) for x in text.split("\n")] == [4, 3]
     assert len(set(got[0].words) & set(got[1].words)) == 2
+
+
+def test_words_of_most_lines_are_met_in_twos(spark, monkeypatch):
+    """Lines of words that more than ``hot`` lines have post two words at once; no posting of one such word is kept."""
+    seen, stored = [], linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda df, name, *rest: (out := stored(df, name, *rest), seen.append((name, out.count())))[0])
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.sample(vocab, 12))) for i in range(600)]  # each word in some 36 lines
+    rows += [(1000 + i, " ".join([*rows[i][1].split()[1:], "new"])) for i in range(20)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), hot=10).collect()
+    compare(got, rows)
+    assert sum(len(r.similar_lines) for r in got) == 20 and sum(n for name, n in seen if name in ("met", "crowded", "mild", "heavy", "keyed", "rest")) < 2500
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """A written table leaves no shuffle files until the driver collects its garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    kept = linededup.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert files() <= before and kept.count() == 7
