@@ -14,7 +14,7 @@ higher up in its own. Lines with fewer than ``min_words`` distinct words always
    bitmap filters, evaluated inside the join, drop pairs that cannot reach the overlap.
 3. A word whose bucket counts more than ``hot`` is not posted by itself. Lines whose first shared word is such a word
    share a second one not far behind (their prefixes longer by one have both): they post each two such words of the longer prefix as one key,
-   which few lines share however large the table is. Postings meet by key, in ``TURNS`` turns. All lines of a word of at most ``hot / 2``
+   which few lines share however large the table is. Prefixes are coded once and stored; postings meet by key, in ``TURNS`` turns. All lines of a word of at most ``hot / 2``
    meet each other. Those of any other key meet its earliest lines (``leaders`` of a word, one of a pair), so
    that a group of near copies costs as many pairs as it has lines; only lines that no leader
    explains meet others, those that do not stand after them.
@@ -194,24 +194,25 @@ class Corpus:
         first = self.lines.join(places, ["h", "g"]).where("pos = at")
         return stored(coded(first, self.ranks, "h", "g", "pos").dropDuplicates(["h", "g"]), "sets")  # rows of the same id and text have the same places
 
-    def postings(self, hot: int, turn: int) -> DataFrame:
-        """The prefixes of all distinct lines: words whose buckets count at most ``hot``, and keys (below zero) of two others. Of all keys, those of this ``turn``."""
+    def prefixes(self) -> DataFrame:
+        """(h, doc, n, low, high, codes) of all distinct lines: codes are those of the prefix and the one behind it, null for less than ``min_words`` words."""
         repeated = self.bounded(self.distinct.where("times > 1").select("h", F.col("pos").alias("at")))
         first = self.lines.select("h", "doc_key", "pos", "words").join(repeated, "h", "left").where("at is null or at = pos")
-        n, limit = F.col("n"), first_code_of(hot)
-        size = prefix_size(n, self.t)
-        one_is_enough = F.ceil(n * self.t - 1e-9) == 1
-
-        def keys(word: Column, k: Column) -> Column:
-            second = F.slice("codes", k + 2, F.greatest(size - k, F.lit(0)))
-            second = F.when(one_is_enough, F.concat(second, F.array(F.lit(-1).cast("long")))).otherwise(second)
-            two = F.transform(second, lambda other: F.xxhash64(word, other).bitwiseOR(F.lit(-1 << 63).cast("long")))
-            return F.transform(F.when(word < limit, F.array(word)).otherwise(two), lambda key: F.struct(key.alias("word"), k.alias("k")))
+        codes = F.when(F.col("n") >= self.min_words, F.slice("codes", 1, prefix_size(F.col("n"), self.t) + 1))
+        each = measured(coded(first, self.ranks, "h", "doc_key"), "h", "doc_key").select("h", F.col("doc_key").alias("doc"), "n", "low", "high", codes.alias("codes"))
+        return stored(each, "prefixes", False, None, DICTIONARY)
 
-        # A filter on codes, as explode infers one too, would be pushed below and compute them once more.
-        posted = F.when(n >= self.min_words, F.flatten(F.transform(F.slice("codes", 1, size), keys)))
-        each = measured(coded(first, self.ranks, "h", "doc_key"), "h", "doc_key").select("h", F.col("doc_key").alias("doc"), "n", "low", "high", F.explode_outer(posted).alias("x"))
-        return each.select(F.col("x.word").alias("word"), "h", "doc", (F.shiftleft(n.cast("long"), 32) + n - F.col("x.k")).alias("nr"), "low", "high").where(F.pmod("word", F.lit(TURNS)) == turn)
+    def postings(self, prefixes: DataFrame, hot: int, turn: int) -> DataFrame:
+        """Of each prefix the words whose buckets count at most ``hot``, and keys (below zero) of two others. Of all keys, those of this ``turn``."""
+        n, k, first = F.col("n"), F.col("k"), F.col("first")
+        size = prefix_size(n, self.t)
+        second = F.slice("codes", k + 2, size - k)
+        second = F.when(F.ceil(n * self.t - 1e-9) == 1, F.concat(second, F.array(F.lit(-1).cast("long")))).otherwise(second)  # one shared word is enough
+        two = F.transform(second, lambda other: F.xxhash64("first", other).bitwiseOR(F.lit(-1 << 63).cast("long")))
+        alone, mine = first < first_code_of(hot), F.lit(turn)
+        each = prefixes.select("*", F.posexplode_outer(F.slice("codes", 1, size)).alias("k", "first")).where(~alone | (F.pmod("first", F.lit(TURNS)) == mine))
+        keyed = each.select("h", "doc", "n", "k", "low", "high", F.explode_outer(F.when(alone, F.array("first")).otherwise(two)).alias("word"))
+        return keyed.select("word", "h", "doc", (F.shiftleft(n.cast("long"), 32) + n - k).alias("nr"), "low", "high").where(F.pmod("word", F.lit(TURNS)) == mine)
 
     def later(self, pairs: DataFrame) -> DataFrame:
         """(h, g) of the later line of each similar pair of ``pairs`` (h, h2, differ, order). A line's likeliest
@@ -237,9 +238,10 @@ class Corpus:
 
     def similar(self, leaders: int, hot: int) -> DataFrame:
         """(h, g) of the distinct lines that have a similar line before them."""
-        met = self.met(leaders, hot, 0)
+        prefixes = self.prefixes()
+        met = self.met(prefixes, leaders, hot, 0)
         for turn in range(1, TURNS):
-            met = met.union(self.met(leaders, hot, turn))
+            met = met.union(self.met(prefixes, leaders, hot, turn))
         mild = stored(met.where("word is not null").select(*(F.col("of").alias(c) if c == "h" else c for c in POSTING)), "mild")
         pairs = stored(met.where("pair").select("h", "h2", "differ", "order").distinct(), "pairs")
         found = stored(self.later(pairs), "similar")
@@ -249,9 +251,9 @@ class Corpus:
         others = stored(x.join(y, same & (F.col("x.doc") >= F.col("y.doc"))).select(*paired()).distinct(), "others")
         return found if others.isEmpty() else found.union(self.later(others)).distinct()
 
-    def met(self, leaders: int, hot: int, turn: int) -> DataFrame:
+    def met(self, prefixes: DataFrame, leaders: int, hot: int, turn: int) -> DataFrame:
         """Pairs of lines that meet by a key of this turn (pair) and the postings of lines that do not lead their key's (word is not null)."""
-        ranked = self.postings(hot, turn).withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("doc", "h")))
+        ranked = self.postings(prefixes, hot, turn).withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("doc", "h")))
 
         def leading(word: Column) -> Column:
             return F.when(word < 0, 1).when(word < first_code_of(hot // 2), (1 << 31) - 1).otherwise(leaders)
